@@ -18,8 +18,29 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.quality_rules(docs, q.fit_on_labels(spark, docs, _table(spark, sf_dir, "labels")))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_store as q
+    from .scratch import Scratch
+
+    path = f"{Scratch(spark, 'tokens').path}/ids"
+    q.write_tokens(_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=0)
+    return q.digest(q.read_tokens(spark, path))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing as q
+
+    return q.digest(q.pack(spark, _table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_quality_rules,)}
+    return {f.__name__: f for f in (op2_token_store, op4_packing, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
