@@ -33,15 +33,35 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.digest(q.read_tokens(spark, path))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat_format as q
+
+    return q.digest(q.format_conversations(q.with_hostile(_table(spark, sf_dir, "conversations"))))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter as q
+
+    return q.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing as q
 
     return q.digest(q.pack(spark, _table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_dedup as q
+
+    return q.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op4_packing, op8_quality_rules)}
+    return {f.__name__: f for f in (op2_token_store, op3_chat_format, op4_packing, op7_url_filter, op8_quality_rules, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import chat_format, near_dedup
+
+    return {"op3_chat_format": chat_format.ORACLE, "op10_near_dedup": near_dedup.ORACLE}
