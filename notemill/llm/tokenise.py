@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
 
 
 #: Characters on which ideas of white space might differ.
@@ -31,11 +30,11 @@ CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 500_000, 500_000, 48
 _encoders: dict[str, Encoder] = {}
 
 
-def _byte_letters() -> list[str]:
-    """The printable character by which a byte-level vocabulary writes each byte."""
+def _byte_letters() -> dict[int, str]:
+    """Fixed: the printable character by which a byte-level vocabulary writes each byte."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = iter(range(256, 512))
-    return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
+    return {b: chr(b) if b in kept else chr(next(rest)) for b in range(256)}
 
 
 class Encoder:
@@ -47,7 +46,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "byte" if '"normalizer":null' in self.tokenizer.to_str() else "word"
         self.pieces, self.merge, self.letters = PIECES[self.kind].findall, self.tokenizer.model.tokenize, _byte_letters()
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self)
         self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -57,7 +56,7 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         got = self.parts.get(piece)
         if got is None:
-            spelled = "".join([self.letters[b] for b in piece.encode()])
+            spelled = piece.replace(" ", "Ġ") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
             got = array("I", [t.id for t in self.merge(spelled)]).tobytes()
             if len(piece) <= CACHE_CHARS:
                 if len(self.parts) >= CACHE_PIECES:
@@ -67,9 +66,10 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """Ids of a stretch of text that begins and ends where pieces do."""
-        if not SIMPLE.fullmatch(word):
+        if not word.isascii() and not SIMPLE.fullmatch(word):
             return self.whole(word)
-        return b"".join(map(self.piece, self.pieces(word.lower() if self.kind == "word" else word)))
+        found = self.pieces(word.lower() if self.kind == "word" else word)
+        return self.piece(found[0]) if len(found) == 1 else b"".join(map(self.piece, found))
 
     def split(self, text: str) -> list[str] | None:
         """The words of a text; in the byte vocabulary each but the first stands for itself with a space before."""
@@ -81,27 +81,35 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [self.split(x) for x in texts]
-        byte, words = self.kind == "byte", self.words
-        heads = [x.pop(0) if byte and x else "" for x in split]
-        wanted = set(chain.from_iterable(x for x in split if x))
-        new = wanted.difference(words)
-        if len(words) + len(new) > CACHE_WORDS:
-            words.clear()
-            new = wanted
-        for w in new:
-            words[w] = self.word(" " + w if byte else w)
-        get = words.__getitem__
-        out = [
-            (self.word(t) if ODD.search(t) is None else self.whole(t)) if x is None else self.word(head) + b"".join(map(get, x))
-            for t, x, head in zip(texts, split, heads, strict=True)
-        ]
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del words[w]
+        out, get = [], self.words.__getitem__
+        for text in texts:
+            words = self.split(text)
+            if words is None:
+                out.append(self.whole(text) if ODD.search(text) else self.word(text))
+            elif self.kind == "byte":
+                head = self.word(words[0])
+                out.append(head + b"".join(map(get, words[1:])))
+            else:
+                out.append(b"".join(map(get, words)))
         return out
 
 
+class _Words(dict):
+    """Ids of words met so far; new ones are encoded on the way."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.before = encoder, " " if encoder.kind == "byte" else ""
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.encoder.word(self.before + word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = got
+        return got
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary and worker process."""
     if path not in _encoders:
