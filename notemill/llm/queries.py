@@ -24,6 +24,20 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_classifier as q
+
+    docs = _table(spark, sf_dir, "documents")
+    return q.classify(docs, q.fit_on_labels(spark, docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id as q
+
+    docs = _table(spark, sf_dir, "documents")
+    return q.identify(docs, q.fit(spark, docs, _vocabulary("piece_bpe_32k.model")))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_store as q
     from .scratch import Scratch
@@ -58,7 +72,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op3_chat_format, op4_packing, op7_url_filter, op8_quality_rules, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_token_store, op3_chat_format, op4_packing, op5_language_id, op7_url_filter, op8_quality_rules, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
