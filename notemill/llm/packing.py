@@ -112,9 +112,8 @@ def pack(spark: SparkSession, documents: DataFrame, vocabulary: str, end_id: int
         packer, rows = Packer(capacity, open_windows), _Rows(0, capacity)
         encode = tokenise.encoder(vocabulary)
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in tokenise.slices(texts):
-                for doc_id, ids in zip(ids_of[i:j], encode(texts[i:j]), strict=True):
+            for i, j, texts in tokenise.slices(batch.column(1)):
+                for doc_id, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode(texts), strict=True):
                     ids += end
                     packer.add(doc_id, 0, ids, len(ids) // 4)
                 if packer.done:

@@ -44,9 +44,8 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int =
         part, total = TaskContext.get().partitionId(), 0
         encode = tokenise.encoder(vocabulary)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in tokenise.slices(texts):
-                ids = [x + end for x in encode(texts[i:j])]
+            for i, j, texts in tokenise.slices(batch.column(1)):
+                ids = [x + end for x in encode(texts)]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.zeros(len(n) + 1, np.int64)
                 np.cumsum(n, out=offsets[1:])

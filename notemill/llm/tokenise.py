@@ -13,6 +13,11 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+
+from .textcore import buffers, large_text
+
 
 #: Characters on which ideas of white space might differ.
 ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
@@ -24,8 +29,8 @@ PIECES = {
     "byte": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
     "word": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"),
 }
-#: Most cached words and pieces, and the longest that is cached.
-CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 500_000, 500_000, 48
+#: Most cached words, most cached other pieces, and the longest of either.
+CACHE_WORDS, CACHE_PARTS, CACHE_CHARS = 550_000, 100_000, 48
 
 _encoders: dict[str, Encoder] = {}
 
@@ -53,15 +58,25 @@ class Encoder:
         """Ids of a text as the library gives them."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def merged(self, piece: str) -> bytes:
+        """Ids of one piece, by the library's model."""
+        spelled = piece.replace(" ", "Ġ") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(spelled)]).tobytes()
+
     def piece(self, piece: str) -> bytes:
-        got = self.parts.get(piece)
+        """Ids of one piece of several, from the words met alone where it is spelled like one."""
+        spaced = self.kind == "byte"
+        if spaced and piece[0] != " ":
+            store, key, most = self.parts, piece, CACHE_PARTS
+        else:
+            store, key, most = self.words, piece[spaced:], CACHE_WORDS
+        got = store.get(key)
         if got is None:
-            spelled = piece.replace(" ", "Ġ") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
-            got = array("I", [t.id for t in self.merge(spelled)]).tobytes()
+            got = self.merged(piece)
             if len(piece) <= CACHE_CHARS:
-                if len(self.parts) >= CACHE_PIECES:
-                    self.parts.clear()
-                self.parts[piece] = got
+                if len(store) >= most:
+                    store.clear()
+                store[key] = got
         return got
 
     def word(self, word: str) -> bytes:
@@ -69,7 +84,7 @@ class Encoder:
         if not word.isascii() and not SIMPLE.fullmatch(word):
             return self.whole(word)
         found = self.pieces(word.lower() if self.kind == "word" else word)
-        return self.piece(found[0]) if len(found) == 1 else b"".join(map(self.piece, found))
+        return self.merged(found[0]) if len(found) == 1 else b"".join(map(self.piece, found))
 
     def split(self, text: str) -> list[str] | None:
         """The words of a text; in the byte vocabulary each but the first stands for itself with a space before."""
@@ -117,13 +132,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(texts: list[str], chars: int = 1 << 20):
-    """(begin, end) of runs of texts of about that many characters."""
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= chars):
-            n += len(texts[j])
-            j += 1
-        yield i, j
+def slices(column: pa.Array, size: int = 1 << 20):
+    """(begin, end, texts) of runs of about that many bytes of a text column, null as empty."""
+    arr = large_text(column)
+    _, offsets = buffers(arr)
+    i, n = 0, len(arr)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
+        yield i, j, arr.slice(i, j - i).to_pylist()
         i = j
