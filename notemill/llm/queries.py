@@ -65,6 +65,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.digest(q.pack(spark, _table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate as q
+
+    return q.leaks(_table(spark, sf_dir, "documents"), q.indexes(_table(spark, sf_dir, "benchmark")))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_dedup as q
 
@@ -72,7 +78,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_token_store, op3_chat_format, op4_packing, op5_language_id, op7_url_filter, op8_quality_rules, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_token_store, op3_chat_format, op4_packing, op5_language_id, op7_url_filter, op8_quality_rules, op9_decontaminate, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
