@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 
-INDEX_ITEMS, BLOCK = 2048, 32
+INDEX_ITEMS, BLOCK = 512, 4
+#: Word-passage pairs whose bounds are added up at once.
+PAIRS = 1 << 15
 K1, B = 1.2, 0.75
 SCORE, OVERLAP, SHINGLE = 0.6, 0.5, 3
 LEAKS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -161,8 +163,12 @@ def search(t: tc.Texts, index: Index) -> list[tuple[int, int, float, float, floa
     keys = np.unique(np.concatenate(keys))
     passage, term = keys // len(index.terms), keys % len(index.terms)
     begin = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    bound = np.add.reduceat(index.most[term], begin).max(1)
     stop = np.append(begin[1:], len(passage))
+    bound, i = np.zeros(len(begin)), 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + PAIRS)))
+        bound[i:j] = np.add.reduceat(index.most[term[begin[i] : stop[j - 1]]], begin[i:j] - begin[i]).max(1)
+        i = j
     best: dict[tuple[int, int], tuple] = {}
     for i in np.flatnonzero(bound >= SCORE - 1e-5):
         p = passage[begin[i]]
