@@ -71,6 +71,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.leaks(_table(spark, sf_dir, "documents"), q.indexes(_table(spark, sf_dir, "benchmark")))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pitman_yor as q
+
+    return q.score(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_dedup as q
 
@@ -78,7 +84,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_token_store, op3_chat_format, op4_packing, op5_language_id, op7_url_filter, op8_quality_rules, op9_decontaminate, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_token_store, op3_chat_format, op4_packing, op5_language_id, op6_pitman_yor, op7_url_filter, op8_quality_rules, op9_decontaminate, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
