@@ -7,7 +7,7 @@ a pair misses all 32 bands once in 190,000 times; no candidate is capped or samp
 
 No step emits the pairs of a group: copies of one set are one node; in a bucket all nodes are first tried against the
 bucket's least node, then only nodes still in different components against each other, first each with its most similar
-one, last all that remain. Every try passes the collision-corrected Jaccard estimate of the sketches (``LEAST_ESTIMATE``, about
+one, last all that remain, of which a task gives out only those that sets of shortened hashes don't rule out. Every try passes the collision-corrected Jaccard estimate of the sketches (``LEAST_ESTIMATE``, about
 four standard errors below the threshold) and is then confirmed on the full sets. Large buckets are compared block by
 block, so no task holds one whole.
 
@@ -98,7 +98,7 @@ def _sets(batches):
     for batch in batches:
         for i, j, t in tc.chunks(batch.column(1), lower=True):
             h, bounds = t.shingles(SHINGLE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for x in (h, (h >> np.uint64(32)).astype(np.uint32)))], names=["node", "set", "short"])
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -127,6 +127,13 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _absent(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which entries of x are not in the sorted array y."""
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return y[at] != x
+
+
 def _across(best_only: bool):
     """Pairs of one bucket's blocks (i, j) in different components that the sketches allow."""
 
@@ -135,6 +142,7 @@ def _across(best_only: bool):
         node, comp, n, rep = (np.asarray(group.column(c)) for c in ("node", "comp", "n", "rep"))
         band, blk, i, j = (np.asarray(group.column(c)) for c in ("band", "blk", "i", "j"))
         reg = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        short = [] if best_only else group.column("short").to_pylist()
         hi, out_a, out_b = np.searchsorted(n, 100 * n // THRESHOLD, side="right"), [], []
         best: dict[int, tuple[float, int]] = {}
         earlier = int(band[0]) * ROWS if len(band) else 0
@@ -152,6 +160,10 @@ def _across(best_only: bool):
                 continue
             e = estimate(same.sum(1), np.full(len(y), n[x]), n[y])
             y, e = y[e >= LEAST_ESTIMATE], e[e >= LEAST_ESTIMATE]
+            if not best_only:  # sorted 32-bit hashes bound the intersection from above, so no link is lost
+                mine = np.frombuffer(short[x], np.uint32)
+                most = np.array([len(mine) - np.count_nonzero(_absent(mine, np.frombuffer(short[z], np.uint32))) for z in y.tolist()], np.int64)
+                y = y[100 * most >= THRESHOLD * (n[x] + n[y] - most)]
             if best_only:
                 for q, z in zip(e.tolist(), y.tolist(), strict=True):
                     for one, other in ((x, z), (z, x)):
@@ -206,7 +218,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     hits = scratch.write(banded.join(shared, "key"), "hits")
 
     wanted = hits.select("node").distinct()
-    sets = scratch.write(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").mapInArrow(_sets, "node long, set binary"), "sets")
+    sets = scratch.write(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").mapInArrow(_sets, "node long, set binary, short binary"), "sets")
     size = nodes.select("node", "n", "registers")
 
     def confirmed(pairs: DataFrame, name: str, estimated: bool) -> DataFrame:
@@ -227,7 +239,10 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
         members = placed.join(mixed, "key").join(size, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
         members = members.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks"))
         dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.select("key", "band", "node", "comp", "n", "rep", "registers", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+        columns = ["key", "band", "node", "comp", "n", "rep", "registers", "blk"]
+        if not best_only:
+            dealt, columns = dealt.join(sets.select("node", "short"), "node"), [*columns, "short"]
+        dealt = dealt.select(*columns, F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
         pairs = dealt.groupBy("key", "i", "j").applyInArrow(_across(best_only), "a long, b long")
         more = confirmed(pairs, f"edges{turn}", True)
         edges = edges.unionByName(more)
