@@ -149,13 +149,15 @@ def pack(spark: SparkSession, documents: DataFrame, vocabulary: str, end_id: int
         out = out.unionByName(table.where("closed"))
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    """The pieces with the crc32 of their ids in place of the ids."""
+def digest(pieces: DataFrame, keep_tokens: bool = False) -> DataFrame:
+    """The pieces with the crc32 of their ids, and the ids themselves only if asked for."""
+    kept = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded_length"]
 
     def run(batches):
         for batch in batches:
             crc = [zlib.crc32(x) for x in batch.column(7).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(crc, pa.int64())], names=[*batch.schema.names[:7], "ids_crc32"])
+            columns = [*batch.columns[:7], pa.array(crc, pa.int64()), *batch.columns[7 : 7 + keep_tokens]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids_crc32", *["tokens"] * keep_tokens])
 
-    kept = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded_length"]
-    return pieces.select(*kept, "tokens").mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "ids_crc32"]))
+    schema = ", ".join(f"{c} long" for c in [*kept, "ids_crc32"]) + ", tokens binary" * keep_tokens
+    return pieces.select(*kept, "tokens").mapInArrow(run, schema)
