@@ -86,14 +86,33 @@ def shortlist(pairs: DataFrame, limit: int, settings: Settings = DEFAULTS) -> Da
     return scored.withColumn("coarse_rank", F.row_number().over(best)).where(F.col("coarse_rank") <= settings.shortlist(limit))
 
 
-def prefilter(pairs: DataFrame) -> DataFrame:
-    """Pairs that overlap, or whose scope and type suit the query's scope and intents."""
+def pad(kept: DataFrame, queries: DataFrame, candidates: DataFrame, minimum: int) -> DataFrame:
+    """Add the newest other notes to queries with fewer than minimum pairs (all notes' newest, where there are none).
+
+    minimum plus what is kept bounds how many of the newest are looked at: 2 * minimum.
+    """
+    counts = queries.join(kept.groupBy("query_id").agg(F.count("*").alias("kept")), "query_id", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    newest = candidates.orderBy(F.desc("updated"), F.desc("rel_path")).limit(2 * minimum)
+    more = counts.where(F.col("kept") < minimum).crossJoin(F.broadcast(newest)).join(kept.select("query_id", "rel_path"), ["query_id", "rel_path"], "left_anti")
+    order = Window.partitionBy("query_id").orderBy(F.desc("updated"), F.desc("rel_path"))
+    more = more.withColumn("rn", F.row_number().over(order)).where(F.col("rn") + F.col("kept") <= minimum)
+    n = lambda c: F.size(F.array_intersect(c, "query_tokens")).cast("long")
+    more = more.withColumns({"lexical_count": n("note_tokens"), "tag_count": n("tag_tokens")})
+    return kept.unionByName(more.select(kept.columns))
+
+
+def prefilter(pairs: DataFrame, queries: DataFrame, candidates: DataFrame, limit: int, settings: Settings = DEFAULTS) -> DataFrame:
+    """Pairs that overlap, or whose scope and type suit the query's scope and intents; few ones are padded."""
     overlap = (F.col("lexical_count") + F.col("tag_count")) > 0
     suits = t.scope_matches(F.col("scope"), F.col("query_scope"))
     suits &= ~F.col("pref") | F.col("type").isin("pref", "concept")
     suits &= ~F.col("loop") | F.col("type").isin("loop", "goal")
     suits &= ~F.col("history") | F.col("type").isin("loop", "fact", "concept")
-    return pairs.where(overlap | suits)
+    kept = pairs.where(overlap | suits)
+    padded = queries.where("query_scope <> 'all' OR NOT (history OR loop OR pref)")
+    return pad(kept.join(padded.select("query_id"), "query_id", "left_semi"), padded, candidates, max(settings.shortlist_min, 2 * limit)).unionByName(
+        kept.join(queries.where("query_scope = 'all' AND (history OR loop OR pref)").select("query_id"), "query_id", "left_semi")
+    )
 
 
 def bm25(shortlisted: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
