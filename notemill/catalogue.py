@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import registry, retrieval_queries
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["m0_tokenise"](spark, sf_dir)
+    return retrieval_queries.d18_two_stage(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)

@@ -50,9 +50,13 @@ def overlaps(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return asked.join(held, "token").groupBy("query_id", "rel_path").agg(F.sum("n").alias("lexical_count"), F.sum("g").alias("tag_count"))
 
 
-def pairs(queries: DataFrame, candidates: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """All (query, candidate) pairs that a shortlist could hold, with overlap counts and both sides' columns."""
-    newest = Window.partitionBy("scope", "type", "status").orderBy(F.desc("updated"), F.desc("rel_path"))
+def pairs(queries: DataFrame, candidates: DataFrame, settings: Settings = DEFAULTS, best: Column | None = None) -> DataFrame:
+    """All (query, candidate) pairs that a shortlist could hold, with overlap counts and both sides' columns.
+
+    best orders the candidates that match by scope alone; the newest come first if it is not given.
+    """
+    first = [] if best is None else [best.desc()]
+    newest = Window.partitionBy("scope", "type", "status").orderBy(*first, F.desc("updated"), F.desc("rel_path"))
     by_scope = candidates.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= settings.shortlist_max)
     by_scope = by_scope.select("rel_path", t.canonical_scope(F.col("scope")).alias("query_scope"))
     scoped = queries.where("query_scope <> 'all'").select("query_id", "query_scope").join(by_scope, "query_scope").select("query_id", "rel_path")
@@ -133,6 +137,21 @@ def bm25(shortlisted: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return raw.withColumn("top", top).where("top > 0").select("query_id", "rel_path", F.greatest(F.lit(0.0), F.col("raw") / F.col("top")).alias("bm25"))
 
 
+def bm25_whole(pool: DataFrame, candidates: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """BM25 as above, with the statistics of all candidates: what a query ranks when nothing is shortlisted."""
+    stats = candidates.agg(F.count("*").alias("n"), F.avg(F.size("note_tokens")).alias("avgdl"))
+    df = candidates.select(F.explode("note_tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    df = df.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = df.agg(F.avg("raw_idf").alias("mean_idf"))
+    idf = df.crossJoin(F.broadcast(mean)).select("token", "avgdl", F.when(F.col("raw_idf") < 0, settings.bm25_epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
+    hits = pool.select("query_id", "rel_path", F.size("note_tokens").alias("dl"), F.explode(F.array_intersect("note_tokens", "query_tokens")).alias("token"))
+    k1, b = settings.bm25_k1, settings.bm25_b
+    part = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    raw = hits.join(idf, "token").groupBy("query_id", "rel_path").agg(F.sum(part).alias("raw"))
+    top = F.max("raw").over(Window.partitionBy("query_id"))
+    return raw.withColumn("top", top).where("top > 0").select("query_id", "rel_path", F.greatest(F.lit(0.0), F.col("raw") / F.col("top")).alias("bm25"))
+
+
 def recency(ts: Column, now: Column, days: float = DEFAULTS.recency_days) -> Column:
     """1 now, falling to 0 at the horizon; null is 0, the future is 1."""
     age = (F.unix_micros(now) - F.unix_micros(ts)) / F.lit(86_400_000_000.0)
@@ -173,9 +192,9 @@ def reasons(settings: Settings = DEFAULTS) -> Column:
     return F.filter(F.array(*given), lambda x: x.isNotNull())
 
 
-def rank(pool: DataFrame, now: Column, limit: int, settings: Settings = DEFAULTS, signals: DataFrame | None = None) -> DataFrame:
-    """Score, gate and order a pool of pairs (with components); rank 1 is best."""
-    scored = pool.join(bm25(pool, settings), ["query_id", "rel_path"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+def rank(pool: DataFrame, now: Column, limit: int, settings: Settings = DEFAULTS, signals: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """Score, gate and order a pool of pairs (with components); rank 1 is best. scores: BM25 if not of the pool."""
+    scored = pool.join(bm25(pool, settings) if scores is None else scores, ["query_id", "rel_path"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     scored = scored.withColumn("recency", recency(F.col("updated_ts"), now, settings.recency_days))
     if signals is None:
         scored = scored.withColumn("signal_score", F.lit(0.0))
