@@ -12,6 +12,11 @@ def strings(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Sorted set of lower-case ASCII alphanumeric tokens without stopwords."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
@@ -27,7 +32,7 @@ def word_count(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
 def normalise_statement(text: Column) -> Column:
@@ -35,7 +40,7 @@ def normalise_statement(text: Column) -> Column:
 
 
 def slug(text: Column, longest: int = 80) -> Column:
-    s = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), "['`\"]+", "")
+    s = F.regexp_replace(F.lower(strip(F.coalesce(text, F.lit("")))), "['`\"]+", "")
     s = F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", "_"), "^_+|_+$", "")
     s = F.regexp_replace(F.substring(s, 1, longest), "^_+|_+$", "")
     return F.when(s == "", "untitled").otherwise(s)
@@ -83,8 +88,8 @@ def body_and_front(text: Column) -> tuple[Column, Column]:
 
 
 def unquote(value: Column) -> Column:
-    v = F.trim(value)
-    v = F.when(v.rlike('^".*"$') | v.rlike("^'.*'$"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(F.trim(F.regexp_replace(v, r"(^|\s)#.*$", "")))
+    v = strip(value)
+    v = F.when(v.rlike('^".*"$') | v.rlike("^'.*'$"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(strip(F.regexp_replace(v, r"(^|\s)#.*$", "")))
     return v
 
 
@@ -106,7 +111,7 @@ def front_list(front: Column, key: str) -> Column:
 def normalise_tags(tags: Column) -> Column:
     """Lower-cased, split at commas, in order of first occurrence."""
     parts = F.flatten(F.transform(F.coalesce(tags, strings()), lambda t: F.split(F.regexp_replace(F.lower(t), r"[\[\]\"']", ""), ",")))
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(parts, strip), lambda t: t != ""))
 
 
 def timestamp(value: Column) -> Column:
@@ -116,7 +121,7 @@ def timestamp(value: Column) -> Column:
 
 
 def section_name(header: Column) -> Column:
-    name = F.trim(F.regexp_replace(F.lower(header), "[^a-z0-9]+", " "))
+    name = strip(F.regexp_replace(F.lower(header), "[^a-z0-9]+", " "))
     out = name
     for alias, canonical in SECTION_ALIASES.items():
         out = F.when(name == alias, F.lit(canonical)).otherwise(out)
@@ -143,18 +148,18 @@ def section(of: Column, name: str) -> Column:
 
 
 def title(body: Column) -> Column:
-    t = F.trim(F.regexp_extract(F.coalesce(body, F.lit("")), r"(?m)^# (.*)$", 1))
-    return F.trim(F.regexp_replace(t, "(?i)^loop:", ""))
+    t = strip(F.regexp_extract(F.coalesce(body, F.lit("")), r"(?m)^# (.*)$", 1))
+    return strip(F.regexp_replace(t, "(?i)^loop:", ""))
 
 
 def first_content_line(body: Column) -> Column:
-    kept = F.filter(F.transform(F.filter(lines(body), lambda x: ~x.startswith("#")), F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(F.filter(lines(body), lambda x: ~x.startswith("#")), strip), lambda x: x != "")
     first = F.coalesce(F.get(kept, F.lit(0)), F.lit(""))
-    return F.when(first.startswith("- "), F.trim(F.substring(first, 3, 100000))).otherwise(first)
+    return F.when(first.startswith("- "), strip(F.substring(first, 3, 100000))).otherwise(first)
 
 
 def first_checkbox(text: Column) -> Column:
-    return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?m)^\s*-\s*\[[ xX]\][ \t]+(.*)$", 1))
+    return strip(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?m)^\s*-\s*\[[ xX]\][ \t]+(.*)$", 1))
 
 
 def has_checkbox(text: Column) -> Column:
@@ -165,9 +170,9 @@ def links(body: Column) -> Column:
     """Array of (line, target, display, wiki): by line, wiki links first."""
     def on(line: Column, i: Column) -> Column:
         wiki = F.transform(F.regexp_extract_all(line, F.lit(r"\[\[([^\]]+)\]\]"), 1), lambda x: F.struct(
-            (i + 1).alias("line"), F.trim(F.element_at(F.split(x, r"\|"), 1)).alias("target"), F.trim(F.element_at(F.split(x, r"\|"), -1)).alias("display"), F.lit(True).alias("wiki")))
+            (i + 1).alias("line"), strip(F.element_at(F.split(x, r"\|"), 1)).alias("target"), strip(F.element_at(F.split(x, r"\|"), -1)).alias("display"), F.lit(True).alias("wiki")))
         plain = F.zip_with(F.regexp_extract_all(line, F.lit(r"\[([^\]]+)\]\(([^)]+\.md)\)"), 2), F.regexp_extract_all(line, F.lit(r"\[([^\]]+)\]\(([^)]+\.md)\)"), 1), lambda u, d: F.struct(
-            (i + 1).alias("line"), F.trim(u).alias("target"), F.trim(d).alias("display"), F.lit(False).alias("wiki")))
+            (i + 1).alias("line"), strip(u).alias("target"), strip(d).alias("display"), F.lit(False).alias("wiki")))
         return F.concat(wiki, plain)
     return F.flatten(F.transform(lines(body), on))
 
@@ -187,7 +192,7 @@ def logical_path(path: Column) -> Column:
 
 
 def canonical_scope(scope: Column) -> Column:
-    return F.when(F.lower(F.trim(scope)) == "life", "personal").otherwise(F.lower(F.trim(scope)))
+    return F.when(F.lower(strip(scope)) == "life", "personal").otherwise(F.lower(strip(scope)))
 
 
 def scope_matches(note_scope: Column, query_scope: Column) -> Column:

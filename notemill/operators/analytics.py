@@ -125,16 +125,17 @@ def phrase_tokens(text: Column) -> Column:
 def phrases(texts: DataFrame, column: str) -> DataFrame:
     """Counts of all two- and three-word phrases."""
     rows = texts.select(phrase_tokens(F.col(column)).alias("w"))
-    grams = [
-        F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).otherwise(t.strings())
-        for n in (2, 3)
-    ]
-    return rows.select(F.explode(F.concat(*grams)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+
+    def grams(n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return F.when(F.size("w") >= n, runs).otherwise(t.strings())
+
+    return rows.select(F.explode(F.concat(grams(2), grams(3))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
 
 def alias_suggestions(notes: DataFrame, phrase_counts: DataFrame, existing: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
     """alias, phrases: neighbours of tags and frequent phrases by their first word, without those already known."""
-    by_tag = tag_pairs(notes).where(F.col("n") >= least).select(F.col("tag").alias("alias"), F.lower(F.trim(F.regexp_replace("other", "[_-]", " "))).alias("phrase"))
+    by_tag = tag_pairs(notes).where(F.col("n") >= least).select(F.col("tag").alias("alias"), F.lower(t.strip(F.regexp_replace("other", "[_-]", " "))).alias("phrase"))
     by_phrase = phrase_counts.where(F.col("n") >= least).select(F.element_at(F.split("phrase", " "), 1).alias("alias"), "phrase").where(F.length("alias") >= 3)
     found = by_tag.unionByName(by_phrase).where("phrase <> ''").distinct().join(existing.select("alias", "phrase"), ["alias", "phrase"], "left_anti")
     first = Window.partitionBy("alias").orderBy("phrase")

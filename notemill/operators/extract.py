@@ -77,7 +77,7 @@ def section_items(text: Column, head: str) -> Column:
         F.struct(F.lit(False).alias("on"), t.strings().alias("out")),
         lambda acc, line: F.struct(
             F.when(line.rlike(head), True).when(line.rlike(r"^\s*#+\s+"), False).otherwise(acc["on"]).alias("on"),
-            F.when(acc["on"] & ~line.rlike(r"^\s*#+\s+") & line.rlike(item), F.concat(acc["out"], F.array(F.trim(F.regexp_extract(line, item, 1))))).otherwise(acc["out"]).alias("out"),
+            F.when(acc["on"] & ~line.rlike(r"^\s*#+\s+") & line.rlike(item), F.concat(acc["out"], F.array(t.strip(F.regexp_extract(line, item, 1))))).otherwise(acc["out"]).alias("out"),
         ),
     )
     return F.filter(fold["out"], lambda s: s != "")
@@ -89,18 +89,23 @@ def statements(files: DataFrame) -> DataFrame:
     item = lambda kind, conf, tag: lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("statement"), F.lit(conf).alias("confidence"), F.lit(tag).alias("tag"))
     n_words = lambda s: F.size(t.words(s))
     found = []
+
+    def matching(heads: str, least: int, modal: bool) -> Column:
+        got = F.transform(_all(F.col("text"), rf"(?imuU)^((?:-\s*)?(?:{heads})\s+.+)$"), lambda s: t.strip(F.regexp_replace(s, r"^[- ]+", "")))
+        got = F.filter(got, lambda s: n_words(s) >= least)
+        return F.filter(got, lambda s: s.rlike(rf"(?iuU)^(?:{heads})\s+\w+\b(?:\s+\w+){{1,}}")) if modal else got
+
+    def headed(before: str, heads: str) -> Column:
+        titles = F.filter(F.transform(_all(F.col("text"), rf"(?imuU)^#+\s*(?:{heads}):\s*(.+)$"), t.strip), lambda s: F.length(s) >= 3)
+        return F.transform(titles, lambda s: F.concat(F.lit(before), s))
+
     for kind, conf, heads, least, modal in LINE_RULES:
-        lines = F.transform(_all(F.col("text"), rf"(?imuU)^((?:-\s*)?(?:{heads})\s+.+)$"), lambda s: F.trim(F.regexp_replace(s, r"^[- ]+", "")))
-        lines = F.filter(lines, lambda s, least=least: n_words(s) >= least)
-        if modal:
-            lines = F.filter(lines, lambda s, heads=heads: s.rlike(rf"(?iuU)^(?:{heads})\s+\w+\b(?:\s+\w+){{1,}}"))
-        found.append(F.transform(lines, item(kind, conf, "preference" if kind == "pref" else "decision")))
+        found.append(F.transform(matching(heads, least, modal), item(kind, conf, "preference" if kind == "pref" else "decision")))
     for before, heads in HEADING_RULES:
-        titles = F.filter(F.transform(_all(F.col("text"), rf"(?imuU)^#+\s*(?:{heads}):\s*(.+)$"), F.trim), lambda s: F.length(s) >= 3)
-        found.append(F.transform(F.transform(titles, lambda s, before=before: F.concat(F.lit(before), s)), item("concept", 0.82, "concept")))
+        found.append(F.transform(headed(before, heads), item("concept", 0.82, "concept")))
     found.append(F.transform(F.filter(section_items(F.col("text"), DECISION_HEAD), lambda s: n_words(s) >= 4), item("fact", 0.80, "decision")))
     found.append(F.transform(F.filter(section_items(F.col("text"), ACTION_HEAD), lambda s: (n_words(s) >= 4) | s.rlike(VERBS)), item("loop", 0.75, "open_loop")))
-    tasks = F.filter(F.transform(_all(F.col("text"), r"(?im)^(?:-\s*)?\[\s*\]\s+(.+)$"), F.trim), lambda s: (F.length(s) >= 18) & s.rlike(VERBS))
+    tasks = F.filter(F.transform(_all(F.col("text"), r"(?im)^(?:-\s*)?\[\s*\]\s+(.+)$"), t.strip), lambda s: (F.length(s) >= 18) & s.rlike(VERBS))
     found.append(F.transform(tasks, item("loop", 0.75, "open_loop")))
     exploded = rows.select("path", "text", F.posexplode(F.concat(*found)).alias("pos", "c")).select("path", "text", "pos", "c.*")
     first = Window.partitionBy("path", "kind", F.lower("statement")).orderBy("pos")

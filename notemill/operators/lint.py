@@ -48,7 +48,7 @@ def counters(violations: DataFrame) -> DataFrame:
 def cases(rows: DataFrame, paths: DataFrame) -> DataFrame:
     """query_id, code of evaluation cases (query_id, query, query_scope, expected) that can't be used."""
     twice = rows.groupBy("query_id").count().where("count > 1").select("query_id", F.lit("duplicate_id").alias("code"))
-    empty = rows.where(F.trim(F.coalesce("query", F.lit(""))) == "").select("query_id", F.lit("empty_query").alias("code"))
+    empty = rows.where(t.strip(F.coalesce("query", F.lit(""))) == "").select("query_id", F.lit("empty_query").alias("code"))
     scope = rows.where(~F.col("query_scope").isin(*SCOPES)).select("query_id", F.lit("bad_scope").alias("code"))
     none = rows.where(F.size("expected") <= 0).select("query_id", F.lit("nothing_expected").alias("code"))
     missing = rows.select("query_id", F.explode("expected").alias("rel_path")).join(paths, "rel_path", "left_anti").select("query_id", F.lit("missing_path").alias("code")).distinct()

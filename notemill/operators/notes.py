@@ -32,7 +32,7 @@ def parse(files: DataFrame) -> DataFrame:
 
 def candidates(parsed: DataFrame) -> DataFrame:
     """Ranking rows of parsed notes."""
-    get = lambda name: F.trim(t.section(F.col("sections"), name))
+    get = lambda name: t.strip(t.section(F.col("sections"), name))
     is_loop, first = F.col("type") == "loop", t.first_content_line(F.col("body"))
     rows = parsed.withColumns({
         "statement": F.when(is_loop, F.when(get("question or task") != "", get("question or task")).otherwise(first)).otherwise(F.when(get("statement") != "", get("statement")).otherwise(first)),

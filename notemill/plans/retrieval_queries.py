@@ -195,11 +195,11 @@ def d17_reasons(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{sql_pool()}, sc AS (SELECT *, {_RECENCY} AS recency FROM comp), s2 AS (
   SELECT query_id, rel_path, updated, round(greatest(0, least(1, {_num(0.15)} * lexical_match + {_num(0.15)} * tag_overlap + {_num(0.15)} * 1 + {_num(0.15)} * recency + {_num(0.1)} * confidence
    + CASE WHEN type = 'id' THEN {_num(0.15)} ELSE 0 END + CASE WHEN type = 'loop' AND status = 'closed' THEN {_num(-0.2)} ELSE 0 END)), 4) AS score FROM sc WHERE lexical_count + tag_count > 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated DESC, rel_path DESC) AS INT) AS rank, rel_path, score FROM s2 QUALIFY rank <= 5""")
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated DESC, rel_path DESC) AS INT) AS rank, rel_path FROM s2 QUALIFY rank <= 5""")
 def d20_related(spark: SparkSession, d: str) -> DataFrame:
     q, rows = _tables(spark, d)
     asked = q.select("query_id", "query_tokens").withColumn("query_scope", F.lit("all"))
-    return r.related(asked, rows, a.now()).select("query_id", F.col("rank").cast("int").alias("rank"), "rel_path", "score")
+    return r.related(asked, rows, a.now()).select("query_id", F.col("rank").cast("int").alias("rank"), "rel_path")
 
 
 @query()
