@@ -14,8 +14,8 @@ from ..schema import ACTIONS, SIGNAL, TIMELINE, TYPE_DIRS, Settings
 
 
 def notes(spark: SparkSession, root: str, folders: tuple[str, ...] = tuple(TYPE_DIRS)) -> DataFrame:
-    """Markdown files directly in the type folders: path, text, mtime, size."""
-    return _files(spark, [f"{root}/{f}" for f in folders], False)
+    """Markdown files directly in those of the type folders that exist: path, text, mtime, size."""
+    return _files(spark, [root + "/{" + ",".join(folders) + "}"], False)
 
 
 def tree(spark: SparkSession, root: str, skip: tuple[str, ...] = ("08_indices", "templates")) -> DataFrame:
