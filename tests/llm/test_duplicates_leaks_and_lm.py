@@ -1,0 +1,190 @@
+import collections
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from notemill.llm import decontaminate, near_dedup, pitman_yor
+
+from .conftest import chunk
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 7))) for _ in range(n))
+
+
+def changed(rng, text, edits):
+    words = text.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = "new" + str(rng.randrange(999))
+    return " ".join(words)
+
+
+def brute_components(rows):
+    def shingles(x):
+        w = (x or "").encode().lower().split()
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets, parent = {i: shingles(x) for i, x in rows}, {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    keys = sorted(sets)
+    for a in keys:
+        for b in keys:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in keys}
+
+
+def test_components_equal_brute_force(spark, docs):
+    rng = random.Random(11)
+    passage, rows = prose(rng, 60), []
+    for k in range(25):
+        base = prose(rng, rng.choice([3, 4, 5, 12, 80, 200]))
+        for _ in range(rng.randrange(1, 6)):
+            rows.append(changed(rng, base, rng.randrange(0, 2 + len(base.split()) // 60)))
+    rows += [passage + " " + prose(rng, rng.randrange(5, 60)) for _ in range(40)]
+    base = prose(rng, 150)
+    rows += [changed(rng, base, 3) for _ in range(60)] + [base] * 5 + ["", None, "  ", "One Two", "one two"]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(spark, docs(rows).repartition(3)).collect()}
+    want = brute_components(rows)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+
+
+def test_odd_rows_and_empty_tables(spark, docs, odd_rows):
+    got = [tuple(r) for r in near_dedup.near_duplicates(spark, docs(odd_rows)).collect()]
+    assert len(got) == len(odd_rows) and (None, 1, None, True) in got and got.count((4, 1, 4, True)) == 2 and (2, 0, 2, True) in got
+    assert near_dedup.near_duplicates(spark, docs([])).count() == 0
+
+
+def test_estimates_are_close():
+    rng = np.random.default_rng(4)
+    for share in (0.5, 0.75, 0.9):
+        n = 400
+        common = rng.integers(0, 2**63, int(n * share), np.uint64)
+        sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, n - len(common), np.uint64)])) for _ in range(2)]
+        true = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
+        reg = near_dedup.sketch(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]))
+        got = near_dedup.estimate(np.array([(reg[0] == reg[1]).sum()]), np.array([n]), np.array([n]))[0]
+        assert abs(got - true) < 0.15
+
+
+def test_chain_components(spark):
+    from notemill.llm.scratch import Scratch
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
+    got = {r.node: r.comp for r in near_dedup.components(Scratch(spark, "cc"), edges, "x").collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+ITEMS = [(k, prose(random.Random(1000 + k), 30)) for k in range(30)]
+
+
+def test_wand_equals_exhaustive_scoring():
+    index = decontaminate.build([(i, x, None) for i, x in ITEMS])
+    rng = random.Random(8)
+    for _ in range(40):
+        words = " ".join(rng.sample(" ".join(x for _, x in rng.sample(ITEMS, 3)).split(), 40))
+        t = chunk([words], lower=True)
+        terms = np.unique(index.lookup(t.hash))
+        terms = terms[terms >= 0]
+        want = collections.Counter()
+        for term in terms:
+            for k in range(index.first[term], index.first[term + 1]):
+                want[int(index.items[k])] += float(index.shares[k])
+        for threshold in (0.2, 0.4):
+            got = dict(decontaminate.wand(index, terms, threshold))
+            assert set(got) == {i for i, v in want.items() if v >= threshold - 1e-9}
+            assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def test_leaks(spark, docs, odd_rows):
+    rng = random.Random(3)
+    clean = [(500 + k, prose(rng, 300)) for k in range(10)]
+    leaked = [(600 + k, prose(rng, rng.randrange(400)) + " " + ITEMS[k][1].upper() + " " + prose(rng, 50)) for k in range(20)]
+    half = [(700, prose(rng, 50) + " " + " ".join(ITEMS[25][1].split()[:10]))]
+    table = docs([*odd_rows, *clean, *leaked, *half])
+    bench = spark.createDataFrame([*ITEMS, (99, None), (98, "")], "item_id long, text string")
+    idx = decontaminate.indexes(bench)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, idx).collect()} == {(600 + k, k) for k in range(20)}
+    kept = decontaminate.filter_documents(table, idx)
+    assert kept.count() == table.count() - 20 and kept.columns == table.columns
+    assert decontaminate.leaks(table, decontaminate.indexes(bench.limit(0))).count() == 0 and decontaminate.leaks(docs([]), idx).count() == 0
+
+
+def test_many_items_are_sharded(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 10)
+    idx = decontaminate.indexes(spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert len(idx) == 3 and decontaminate.leaks(docs([(1, ITEMS[4][1]), (2, ITEMS[20][1])]), idx).count() == 2
+
+
+def test_language_model_scores(spark, docs, odd_rows):
+    rng = random.Random(6)
+    vocabulary = prose(rng, 80).split()
+    rows = [*odd_rows, *((100 + k, " ".join(x for _ in range(20) for x in (rng.choice(vocabulary[:40]), rng.choice(vocabulary[40:])))) for k in range(120))]
+    got = pitman_yor.score(spark, docs(rows).repartition(3)).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    tokens = [(i, [*(x or "").encode().translate(lower).split(), b"</end>"]) for i, x in rows]
+    c = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = sorted((str(i), held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 4)) for i, ws in tokens)
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+    some = [r for r in got if r.held_out and (r.doc_id or 0) >= 100]
+    assert some and sum(r.score for r in some) > sum(r.base_score for r in some)
+    assert pitman_yor.score(spark, docs([])).count() == 0
+
+
+def test_seating():
+    rng = np.random.default_rng(0)
+    c = np.array([0, 1, 2, 50, 5000])
+    t = pitman_yor.seat(rng, c, np.full(5, 2.0), 0.5)
+    assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[2:] >= 1).all()
+    a = np.array([0, 1, 254, 255, 256, 70000])
+    assert (pitman_yor.unpack_small(pitman_yor.pack_small(a)) == a).all()
+
+
+def test_probabilities_add_up_to_one(spark, docs):
+    """Each word known to the model, and one unknown word, after the same word: their probabilities add up to one."""
+    train = [(k, " ".join(random.Random(k).choices("abcd", k=30))) for k in range(1, 30) if zlib.crc32(str(k).encode()) % 10]
+    probes = [k for k in range(1000, 3000) if zlib.crc32(str(k).encode()) % 10 == 0][:6]
+    known = ["a", "b", "c", "d", "zz"]
+    table = docs([*train, *((k, f"a {w}") for k, w in zip(probes, known, strict=False)), (probes[5], "a")])
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark, table).collect()}
+    first = docs([*train, (probes[0], "b a"), (probes[1], "b")])
+    ends = {r.doc_id: r.score for r in pitman_yor.score(spark, first).collect()}
+    assert all(v < 0 for v in got.values()) and ends[probes[0]] < 0
+    # P(a) * sum over w of P(w | a) * P(end | w), bounded by P(a); with the end itself: P(a, end)
+    total = sum(10 ** got[k] for k in probes)
+    assert 0 < total < 1
+
+
+def test_pipeline_stages(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    good = [(k, "\n".join(prose(rng, 30) + "." for _ in range(4))) for k in range(60)]
+    bad = [(100 + k, " ".join(prose(rng, 1) + "###&&&" for _ in range(120))) for k in range(30)]
+    copies = [(200 + k, changed(rng, good[k][1], 2)) for k in range(5)]
+    leak = [(300, good[7][1][::-1] + " " + ITEMS[3][1])]
+    rows = [(i, x, "en", "s", len(x)) for i, x in good + bad + copies + leak]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 100), 0) for i, _ in good + bad], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    kept = {r.doc_id for r in out.select("doc_id").distinct().collect()}
+    assert kept == {i for i, _ in good}
+    assert out.agg(F.sum("length")).first()[0] > 0
