@@ -43,3 +43,11 @@ def decide(percent: float = 0.05, slack_ms: float = 2.0) -> Column:
     for m in ("eval_p95", "query_p95"):
         slow |= F.col(f"new_{m}") > F.col(f"base_{m}") * (1 + percent) + slack_ms
     return F.when(worse, "regression").when(better, "beneficial").when(slow, "regression").otherwise("neutral")
+
+
+def compare(base: DataFrame, new: DataFrame) -> DataFrame:
+    """Deltas of a quality row against a stored one, and whether it regressed."""
+    b = base.select(*[F.col(m).alias(f"b_{m}") for m in ("hit1", "hitk", "mrr")])
+    rows = new.crossJoin(F.broadcast(b))
+    deltas = [F.round(F.col(m) - F.col(f"b_{m}"), 6).alias(f"delta_{m}") for m in ("hit1", "hitk", "mrr")]
+    return rows.select(*deltas).withColumn("regressed", (F.col("delta_hitk") < 0) | (F.col("delta_mrr") < 0))

@@ -198,3 +198,11 @@ def commit_kind(message: Column) -> Column:
     for kind, pattern in reversed(COMMITS):
         out = F.when(message.rlike(f"(?i)(?:{pattern})"), kind).otherwise(out)
     return out
+
+
+def promote(queue: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queue with approved rows promoted, newly promoted rows): approved candidates whose key isn't known yet."""
+    approved = queue.where("review_status = 'approved'").join(known.select("key"), "key", "left_anti")
+    fresh = approved.select("key").distinct().withColumn("fresh", F.lit(True))
+    done = F.when((F.col("review_status") == "approved") & F.col("fresh"), "promoted").otherwise(F.col("review_status"))
+    return queue.join(fresh, "key", "left").withColumn("review_status", done).drop("fresh"), approved

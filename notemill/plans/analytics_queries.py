@@ -323,3 +323,113 @@ def h1_select_files(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id AS id, sha1(vec_id || chr(31) || label) AS hash FROM embeddings")
 def e1_item_hash(spark: SparkSession, d: str) -> DataFrame:
     return a.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), s.item_hash("vec_id", "label").alias("hash"))
+
+
+@query(f"WITH {a.SQL_TIMELINE} SELECT lineno, ts, action, path, \"desc\" FROM timeline WHERE lineno % 10 <> 3")
+def a12_timeline_markdown(spark: SparkSession, d: str) -> DataFrame:
+    rows = a.timeline(spark, d)
+    line = F.when(F.col("lineno") % 10 == 3, F.concat(F.lit("- "), "ts")).otherwise(F.concat_ws(" | ", "ts", "action", "path", "desc"))
+    return an.parse_timeline(rows.select("lineno", line.alias("value"))).select("lineno", "ts", "action", "path", "desc")
+
+
+@query(f"WITH {a.SQL_TIMELINE} SELECT ts || ' | ' || action || ' | ' || path || ' | ' || \"desc\" AS value FROM timeline WHERE stream = 3")
+def b5_render_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return an.render_timeline(a.timeline(spark, d).where("stream = 3"))
+
+
+@query("""WITH q AS (SELECT avg(quality) AS hit1, avg(toxic) AS hitk, avg(quality + toxic) / 2 AS mrr FROM labels), p AS (SELECT avg(quality) AS hit1, avg(toxic) AS hitk, avg(quality + toxic) / 2 AS mrr FROM labels WHERE doc_id % 2 = 0)
+SELECT round(p.hit1 - q.hit1, 6) AS delta_hit1, round(p.hitk - q.hitk, 6) AS delta_hitk, round(p.mrr - q.mrr, 6) AS delta_mrr, delta_hitk < 0 OR delta_mrr < 0 AS regressed FROM p, q""")
+def f15_baseline_compare(spark: SparkSession, d: str) -> DataFrame:
+    rows = a.table(spark, d, "labels")
+    of = lambda x: x.agg(F.avg("quality").alias("hit1"), F.avg("toxic").alias("hitk"), (F.avg(F.col("quality") + F.col("toxic")) / 2).alias("mrr"))
+    return ev.compare(of(rows), of(rows.where("doc_id % 2 = 0")))
+
+
+_QUEUE = "queue AS (SELECT doc_id, sha1(text) AS key, CASE doc_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'pending' ELSE 'promoted' END AS review_status FROM documents), known AS (SELECT key FROM queue WHERE doc_id % 3 = 0)"
+
+
+def _queue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    i = F.col("doc_id")
+    status = F.when(i % 4 == 0, "approved").when(i % 4 == 1, "rejected").when(i % 4 == 2, "pending").otherwise("promoted")
+    queue = a.table(spark, d, "documents").select("doc_id", F.sha1("text").alias("key"), status.alias("review_status"))
+    return queue, queue.where("doc_id % 3 = 0").select("key").distinct()
+
+
+@query(f"WITH {_QUEUE} SELECT review_status, count(*) AS n FROM queue GROUP BY 1")
+def f24_queue_status(spark: SparkSession, d: str) -> DataFrame:
+    return _queue(spark, d)[0].groupBy("review_status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_QUEUE} SELECT doc_id, CASE WHEN review_status = 'approved' AND key NOT IN (SELECT key FROM known) THEN 'promoted' ELSE review_status END AS review_status FROM queue")
+def x13_queue_promotion(spark: SparkSession, d: str) -> DataFrame:
+    return x.promote(*_queue(spark, d))[0].select("doc_id", "review_status")
+
+
+@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) = 1")
+def h2_first_occurrence(spark: SparkSession, d: str) -> DataFrame:
+    # the least id of each text, so that equal texts are reduced before the shuffle
+    return a.table(spark, d, "documents").groupBy(F.lower("text").alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query(f"WITH {a.SQL_TIMELINE} SELECT stream, count(*) FILTER (lineno > 5000) AS n FROM timeline GROUP BY stream")
+def h5_after_baseline(spark: SparkSession, d: str) -> DataFrame:
+    return a.timeline(spark, d).groupBy("stream").agg(F.count_if(F.col("lineno") > 5000).alias("n"))
+
+
+@query(f"WITH {a.SQL_NOTES} SELECT rel_path, updated FROM notes ORDER BY updated DESC, rel_path DESC LIMIT 30")
+def i3_recent(spark: SparkSession, d: str) -> DataFrame:
+    return a.notes(spark, d).select("rel_path", "updated").orderBy(F.desc("updated"), F.desc("rel_path")).limit(30)
+
+
+@query(f"WITH {a.SQL_NOTES} SELECT rel_path, len(regexp_extract_all(text, '\\S+')) AS words FROM notes ORDER BY words DESC, rel_path DESC LIMIT 10")
+def i4_largest(spark: SparkSession, d: str) -> DataFrame:
+    return an.sizes(a.notes(spark, d)).withColumn("words", F.col("words").cast("long")).orderBy(F.desc("words"), F.desc("rel_path")).limit(10)
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, src = '5' AS outgoing FROM e WHERE src = '5' OR dst = '/the'")
+def j8_links_of_one(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d).where("src = '5' OR dst = '/the'").select("src", "dst", (F.col("src") == "5").alias("outgoing"))
+
+
+@query("""SELECT doc_id, regexp_matches(s, '(?i)(#openloop|#loop|@loop|@openloop)') OR regexp_matches(s, '(?i)\\b(20\\d{2}-\\d{2}-\\d{2}|q[1-4]|uke\\s?\\d{1,2}|week\\s?\\d{1,2})\\b') AS kept
+FROM (SELECT doc_id, substr(text, 1, 20) || CASE doc_id % 3 WHEN 0 THEN ' by week 12' WHEN 1 THEN ' #loop' ELSE ' later' END AS s FROM documents)""")
+def x6_archive_loops(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    stmt = F.concat(F.substring("text", 1, 20), F.when(i % 3 == 0, " by week 12").when(i % 3 == 1, " #loop").otherwise(" later"))
+    # a decision-pending word makes the journal rule hold, so that the archive rule decides
+    path = F.lit("/vault/90-journal/archive/a.md")
+    return a.table(spark, d, "documents").select("doc_id", x.suits_path(path, F.lit(""), F.lit("loop"), F.concat(stmt, F.lit(" tbd"))).alias("kept"))
+
+
+@query(_SUMMARY.replace("WITH ", f"WITH {a.SQL_NOTES}, ", 1) + " SELECT source, round(CASE WHEN source IN ('user', 'tool') THEN 1.0 WHEN source = 'assistant' THEN 0.7 ELSE 0.6 END, 2) AS weight, count(*) AS n FROM notes GROUP BY 1, 2")
+def k1_source_weight(spark: SparkSession, d: str) -> DataFrame:
+    fixed = F.lit("2020-01-01").cast("timestamp")  # far beyond the horizon, so recency is 0
+    rows = a.notes(spark, d).withColumn("updated_ts", fixed).withColumn("confidence", F.lit(0.0))
+    return rows.select("source", F.round(an.profile_score(a.now()) / 0.20, 2).alias("weight")).groupBy("source", "weight").agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT '04-dev/' || doc_id || '.md' AS path, 'I prefer option ' || (doc_id % 30) AS s, doc_id % 17 AS y, doc_id % 7 AS m, doc_id % 5 AS g FROM documents
+), c AS (SELECT *, row_number() OVER (ORDER BY y DESC, m DESC, g DESC, path) AS fr FROM f QUALIFY fr <= 50
+), k AS (SELECT *, sha1('pref|dev|' || lower(s)) AS key FROM c)
+SELECT path, s AS statement, key, 'write' AS route, least(1.0, CAST(0.92 AS DOUBLE) + least(g / CAST(30 AS DOUBLE), 0.2)) AS score FROM k WHERE s <> 'I prefer option 3' QUALIFY row_number() OVER (PARTITION BY key ORDER BY fr) = 1""")
+def x12_import_cycle(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    scan = a.table(spark, d, "documents").select(
+        F.concat(F.lit("04-dev/"), i, F.lit(".md")).alias("path"), F.concat(F.lit("I prefer option "), i % 30, F.lit("\n")).alias("text"), F.lit("h").alias("hash"), i.alias("size"),
+        (i % 17).alias("yield"), (i % 7).alias("mtime"), (i % 5).alias("signal"),
+    )
+    known = spark.range(1).select(x.import_key(F.lit("pref"), F.lit("dev"), F.lit("I prefer option 3")).alias("key"))
+    got = x.import_cycle(scan, scan.limit(0).select("path", "hash", "size"), known)
+    return got.select("path", "statement", "key", "route", F.col("candidate_score").alias("score"))
+
+
+@query("SELECT event_type AS type, count(*) AS n, max(event_id) AS last FROM events GROUP BY event_type")
+def s3_signal_stream(spark: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    from ..streaming import imports
+
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    counts = stream.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    return imports.run_once(counts, f"signal_stream_{uuid.uuid4().hex}")

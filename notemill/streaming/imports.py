@@ -52,3 +52,10 @@ def watch_sources(spark: SparkSession, folder: str, state: str, out: str, checkp
 
 def stream_writer(df: DataFrame, checkpoint: str, trigger: dict | None):
     return df.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "3 seconds"}))
+
+
+def run_once(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Run a streaming plan over all that is there, into a table in memory; for summaries of bounded size."""
+    q = rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rows.sparkSession.table(name)

@@ -54,7 +54,7 @@ def test_scan_and_candidates(spark, vault, candidates):
     assert row.tags == ["release", "checklist", "deploy"] and row.confidence == 0.9 and "Next: Do the" in row.snippet
 
 
-@pytest.mark.parametrize("mode", ["legacy", "two_stage", "scope_type_prefilter", "precomputed_index", "progressive_disclosure", "semantic_hybrid", "unknown"])
+@pytest.mark.parametrize("mode", ["legacy", "two_stage", "precomputed_index", "progressive_disclosure", "unknown"])
 def test_modes_find_the_expected_notes(spark, candidates, mode):
     q = ask(spark, ("What should I do next for the release?", "dev"), ("What is the deploy target?", "all"))
     best = {r.query_id: r.rel_path for r in retrieval.rank_notes(q, candidates, NOW(), mode, 3).where("rank = 1").collect()}
