@@ -433,3 +433,38 @@ def s3_signal_stream(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     counts = stream.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
     return imports.run_once(counts, f"signal_stream_{uuid.uuid4().hex}")
+
+
+@query(f"""WITH {a.SQL_NOTES} SELECT rel_path, '- T' || doc_id || CASE WHEN type = 'loop' AND status <> '' THEN ' [' || status || ']' ELSE '' END || CASE WHEN confidence < 0.7 THEN printf(' (confidence %.2f)', confidence) ELSE '' END AS line FROM notes""")
+def y1_listing(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import render
+
+    return a.notes(spark, d).withColumn("title", F.concat(F.lit("T"), "doc_id")).select("rel_path", render.listing().alias("line"))
+
+
+@query(f"""WITH {a.SQL_NOTES}, s AS (SELECT rel_path, doc_id, CAST(date_diff('day', CAST(updated_ts AS DATE), DATE '2024-02-15') AS INT) AS days FROM notes WHERE type = 'loop' AND status IN ('open', 'blocked'))
+SELECT rel_path, days, '- T' || doc_id || CASE WHEN days > 21 THEN ' **[stale >21d]**' WHEN days > 14 THEN ' **[stale >14d]**' WHEN days > 7 THEN ' **[>7d]**' ELSE '' END || ' (' || days || 'd ago)' AS line FROM s""")
+def f19_briefing_lines(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import render
+
+    rows = a.notes(spark, d).withColumn("title", F.concat(F.lit("T"), "doc_id")).where("type = 'loop'")
+    return render.briefing(an.staleness(rows, "2024-02-15"))
+
+
+_CASES = "CASE WHEN item_id % 5 = 0 THEN '' ELSE 'q' END"
+
+
+@query(f"""WITH c AS (SELECT item_id - item_id % 7 // 6 AS query_id, {_CASES} AS query, CASE WHEN item_id % 4 = 0 THEN 'moon' ELSE 'dev' END AS query_scope, CASE WHEN item_id % 3 = 0 THEN [] WHEN item_id % 3 = 1 THEN ['notes/1'] ELSE ['gone'] END AS expected FROM benchmark)
+SELECT CAST(query_id AS BIGINT) AS query_id, code, count(*) AS n FROM (
+  SELECT query_id, 'duplicate_id' AS code FROM c GROUP BY query_id HAVING count(*) > 1 UNION ALL SELECT query_id, 'empty_query' FROM c WHERE query = '' UNION ALL SELECT query_id, 'bad_scope' FROM c WHERE query_scope = 'moon'
+  UNION ALL SELECT query_id, 'nothing_expected' FROM c WHERE len(expected) = 0 UNION ALL SELECT DISTINCT query_id, 'missing_path' FROM c WHERE list_contains(expected, 'gone')) GROUP BY ALL""")
+def x20_case_lint(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import lint
+
+    i = F.col("item_id")
+    rows = a.table(spark, d, "benchmark").select(
+        (i - F.floor(i % 7 / 6)).alias("query_id"), F.when(i % 5 == 0, "").otherwise("q").alias("query"), F.when(i % 4 == 0, "moon").otherwise("dev").alias("query_scope"),
+        F.when(i % 3 == 0, t.strings()).when(i % 3 == 1, t.strings("notes/1")).otherwise(t.strings("gone")).alias("expected"),
+    )
+    found = lint.cases(rows, spark.createDataFrame([("notes/1",)], "rel_path string"))
+    return found.groupBy("query_id", "code").agg(F.count("*").alias("n"))
