@@ -156,6 +156,13 @@ def test_seating():
     assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[2:] >= 1).all()
     a = np.array([0, 1, 254, 255, 256, 70000])
     assert (pitman_yor.unpack_small(pitman_yor.pack_small(a)) == a).all()
+    samples = []
+    for _ in range(pitman_yor.SAMPLES):
+        few = pitman_yor.seat(rng, a, np.full(6, 3.0), 0.5)
+        above = few + rng.integers(0, 5, 6)
+        samples.append([few, above, pitman_yor.seat(rng, above, np.full(6, 3.0), 0.5)])
+    got = pitman_yor.unpack_samples(pitman_yor.pack_samples(a, samples, (0, None, 2)), (0, None, 2))
+    assert (got == np.array([a, *(x for s in samples for x in s)])).all()
 
 
 def test_probabilities_add_up_to_one(spark, docs):
