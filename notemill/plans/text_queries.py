@@ -12,7 +12,12 @@ from ..operators import notes as n
 from ..sources import adapter as a
 from .registry import query
 
-_I = F.col("doc_id")
+
+
+def _i() -> Column:
+    return F.col("doc_id")
+
+
 #: Plain letters and spaces of a document's beginning, so that both engines see the same words.
 _CORE = "trim(regexp_replace(substr(text, 1, 90), '[^a-zA-Z]+', ' ', 'g'))"
 
@@ -23,17 +28,17 @@ def _core() -> Column:
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     """A note file for each document."""
-    folder = F.element_at(t.strings("01_identity", "02_facts", "03_preferences", "04_goals", "05_open_loops", "06_concepts"), (_I % 6 + 1).cast("int"))
+    folder = F.element_at(t.strings("01_identity", "02_facts", "03_preferences", "04_goals", "05_open_loops", "06_concepts"), (_i() % 6 + 1).cast("int"))
     front = F.concat(
-        F.lit("---\ncreated: 2024-01-01T00:00:00Z\nupdated: "), F.when(_I % 9 == 0, "yesterday").otherwise("2024-01-02T03:04:05Z"), F.lit("\ntags: [\"Big\", "), "lang", F.lit(", src-"), (_I % 4), F.lit("]\nconfidence: 0."), (_I % 10),
-        F.lit("\nsource: user\nscope: "), F.when(_I % 8 == 0, "nowhere").otherwise("dev"), F.lit("\nlang: en\nstatus: open\n---\n"),
+        F.lit("---\ncreated: 2024-01-01T00:00:00Z\nupdated: "), F.when(_i() % 9 == 0, "yesterday").otherwise("2024-01-02T03:04:05Z"), F.lit("\ntags: [\"Big\", "), "lang", F.lit(", src-"), (_i() % 4), F.lit("]\nconfidence: 0."), (_i() % 10),
+        F.lit("\nsource: user\nscope: "), F.when(_i() % 8 == 0, "nowhere").otherwise("dev"), F.lit("\nlang: en\nstatus: open\n---\n"),
     )
     body = F.concat(
-        F.lit("# Loop: T"), _I, F.lit("\n\nIntro\n## Statement\n"), _core(), F.lit("\n<private>secret <private>x</private> y</private>\n### Next Steps\n- [ ] act "), _I, F.lit("\n## Links\n- [[other "), _I,
-        F.lit("|shown]] and [doc](a/b"), _I, F.lit(".md)\n"), F.when(_I % 5 == 0, "-\n").otherwise(""),
+        F.lit("# Loop: T"), _i(), F.lit("\n\nIntro\n## Statement\n"), _core(), F.lit("\n<private>secret <private>x</private> y</private>\n### Next Steps\n- [ ] act "), _i(), F.lit("\n## Links\n- [[other "), _i(),
+        F.lit("|shown]] and [doc](a/b"), _i(), F.lit(".md)\n"), F.when(_i() % 5 == 0, "-\n").otherwise(""),
     )
-    text = F.when(_I % 13 == 0, body).otherwise(F.concat(front, body))
-    return a.table(spark, d, "documents").select("doc_id", F.concat(F.lit("/v/notes/"), folder, F.lit("/n"), _I, F.lit(".md")).alias("path"), text.alias("text"))
+    text = F.when(_i() % 13 == 0, body).otherwise(F.concat(front, body))
+    return a.table(spark, d, "documents").select("doc_id", F.concat(F.lit("/v/notes/"), folder, F.lit("/n"), _i(), F.lit(".md")).alias("path"), text.alias("text"))
 
 
 @query("""SELECT doc_id, doc_id % 13 <> 0 AS has_front, CASE WHEN doc_id % 13 = 0 THEN 0.5 ELSE (doc_id % 10) / CAST(10 AS DOUBLE) END AS confidence, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 9 = 0 THEN 'yesterday' ELSE '2024-01-02T03:04:05Z' END AS updated,
@@ -61,7 +66,7 @@ def c17_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, text || ' a ' || ' d' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' z</private>' END AS text FROM documents")
 def c19_privacy(spark: SparkSession, d: str) -> DataFrame:
-    fenced = F.concat("text", F.lit(" a <PRIVATE>b <private>c</private> x</Private> d"), F.when(_I % 2 == 0, "<private> rest").otherwise(" z</private>"))
+    fenced = F.concat("text", F.lit(" a <PRIVATE>b <private>c</private> x</Private> d"), F.when(_i() % 2 == 0, "<private> rest").otherwise(" z</private>"))
     return a.table(spark, d, "documents").select("doc_id", t.strip_private(fenced).alias("text"))
 
 
@@ -81,23 +86,23 @@ def x18_lint(spark: SparkSession, d: str) -> DataFrame:
 SELECT kind, CAST(confidence AS DOUBLE) AS confidence, count(*) AS n FROM m GROUP BY ALL""")
 def x3_statements(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(
-        F.lit("I prefer tea "), _I, F.lit("\nDecision: ship the thing "), _I, F.lit("\nWe should try this now "), _I, F.lit("\n# Framework: FF"), _I,
-        F.lit("\n<private>\nI prefer secrets\n</private>\n## Next steps\n- write the report today\n- short\n# Other\n- [ ] no\n[ ] Investigate the failing build "), _I,
+        F.lit("I prefer tea "), _i(), F.lit("\nDecision: ship the thing "), _i(), F.lit("\nWe should try this now "), _i(), F.lit("\n# Framework: FF"), _i(),
+        F.lit("\n<private>\nI prefer secrets\n</private>\n## Next steps\n- write the report today\n- short\n# Other\n- [ ] no\n[ ] Investigate the failing build "), _i(),
     )
-    rows = a.table(spark, d, "documents").select(_I.cast("string").alias("path"), text.alias("text"))
+    rows = a.table(spark, d, "documents").select(_i().cast("string").alias("path"), text.alias("text"))
     return x.statements(rows).groupBy("kind", "confidence").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, round(CASE WHEN doc_id % 2 = 0 THEN 0.2 + 3.0 + 0.1 - 1.0 ELSE 3.0 - 1.0 END, 6) AS signal, CASE WHEN doc_id % 2 = 0 THEN 4.0 ELSE 2.0 END AS hint FROM documents")
 def x1_signal_score(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(_I % 2 == 0, "# Title\nI prefer this\nI prefer that\n- [ ] a\n").otherwise("we will go\nWe will go\n".replace("we will go\n", "", 1))
+    text = F.when(_i() % 2 == 0, "# Title\nI prefer this\nI prefer that\n- [ ] a\n").otherwise("we will go\nWe will go\n".replace("we will go\n", "", 1))
     rows = a.table(spark, d, "documents").select("doc_id", text.alias("text"))
     return rows.select("doc_id", F.round(x.signal_score(F.col("text")), 6).alias("signal"), x.yield_hint(F.col("text")).alias("hint"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'notes/02_facts/x.md' ELSE 'other/x.md' END AS logical, CASE WHEN doc_id % 3 = 0 THEN 'fact' ELSE 'other' END AS type FROM documents""")
 def c25_paths(spark: SparkSession, d: str) -> DataFrame:
-    path = F.when(_I % 3 == 0, "file:/data/v/notes/02_facts/x.md").otherwise("other/x.md")
+    path = F.when(_i() % 3 == 0, "file:/data/v/notes/02_facts/x.md").otherwise("other/x.md")
     return a.table(spark, d, "documents").select("doc_id", t.logical_path(path).alias("logical"), n.note_type(path).alias("type"))
 
 
