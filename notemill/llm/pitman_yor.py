@@ -1,15 +1,15 @@
 """Language-model scoring by a hierarchical Pitman-Yor model (operator 6).
 
 Tokens are lower-cased words and one end for each text. A token is drawn in the restaurant of its context, the word before
-it: 65,536 restaurants (a class of the word's last letters, and a hash of the word), which share 256 parents (the classes),
+it: every word has one of its own, known by its full 64-bit hash. They share 256 parents (classes of the word's last letters),
 which share one root over a uniform base on all words and one unknown. Customers are all training tokens; seatings are
 sampled by Gibbs sweeps that seat each restaurant's customers anew given its parent and the other tables, from the
 contexts to the root, and the predictive probability of a token is averaged over the samples kept.
 
-Words, and with them all their dishes in all restaurants, are dealt to shards by hash; the numbers of contexts are fixed, so only
-their totals are shared. During sampling a shard takes the totals as its own times the number of shards (its words are a hash
+Words, and with them all their dishes in all restaurants, are dealt to shards by hash, and so are the totals of the contexts
+that they make. During sampling a shard takes the totals as its own times the number of shards (its words are a hash
 sample); the probabilities use the exact totals over all shards. Texts are tokenised once into blocks; each block asks
-each shard once for the counts of the pairs it holds, so no word, pair or document is gathered beyond its shard or block.
+each shard for the counts of the pairs it holds, so no word, context, pair or document is gathered beyond its shard or block.
 
 Defined results: null text is empty and has the end alone; a null doc_id stays null and counts as the empty id in the fold;
 repeated rows are counted and scored row by row; other columns are ignored; an empty table gives an empty result; without
@@ -18,6 +18,7 @@ training texts every token is unknown. Texts of any length are taken whole.
 
 from __future__ import annotations
 
+import io
 import zlib
 
 import numpy as np
@@ -34,10 +35,10 @@ from .scratch import Scratch
 DISCOUNT, STRENGTH = (0.8, 0.75, 0.6), (1.0, 5.0, 50.0)
 BURN_IN, SAMPLES = 2, 3
 BLOCK_BYTES = 8 << 20
-CONTEXTS, PARENTS = 1 << 16, 1 << 8
+PARENTS = 1 << 8
 END = np.uint64(0xE7037ED1A0B428DB)
-#: words are in the order of shards and hashes, contexts and tokens follow that order; scoring reads all but words.
-_BLOCKS = "block long, doc_ids binary, id_null binary, held binary, n_words binary, tokens binary, contexts binary, shard_sizes binary, end_at long, words binary"
+#: words are in the order of shards and hashes, classes and tokens follow that order; scoring reads all but words.
+_BLOCKS = "block long, doc_ids binary, id_null binary, held binary, n_words binary, tokens binary, classes binary, shard_sizes binary, end_at long, words binary"
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -127,6 +128,10 @@ def _word_classes(t: tc.Texts) -> np.ndarray:
     return (tc.mix(last * np.uint64(256) + before + np.uint64(1)) % np.uint64(PARENTS)).astype(np.uint8)
 
 
+def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
+    return (tc.mix(words ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(shards)).astype(np.int64)
+
+
 def _blocks(shards: int):
     """Tokenised blocks of about BLOCK_BYTES of text each."""
 
@@ -134,16 +139,15 @@ def _blocks(shards: int):
         ids = pa.concat_arrays([h[0].combine_chunks() if isinstance(h[0], pa.ChunkedArray) else h[0] for h in held])
         found = np.append(np.concatenate([h[3] for h in held]), END)
         words, at, local = np.unique(found, return_index=True, return_inverse=True)
-        classes = np.append(np.concatenate([h[4] for h in held]), 0)[at].astype(np.int64)
-        shard = (tc.mix(words ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(shards)).astype(np.int64)
+        classes = np.append(np.concatenate([h[4] for h in held]), 0)[at].astype(np.uint8)
+        shard = shard_of(words, shards)
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        contexts = ((classes << 8) | (tc.mix(words) & np.uint64(255)).astype(np.int64)).astype(np.uint16)
         local = place[local]
         row = [
             (TaskContext.get().partitionId() << 32) | number, np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(), np.asarray(ids.is_null()).tobytes(), np.concatenate([h[1] for h in held]).tobytes(),
-            np.concatenate([h[2] for h in held]).astype(np.int64).tobytes(), zlib.compress(_planes(local[:-1]), 1), contexts[order].tobytes(),
+            np.concatenate([h[2] for h in held]).astype(np.int64).tobytes(), zlib.compress(_planes(local[:-1]), 1), classes[order].tobytes(),
             zlib.compress(np.bincount(shard, minlength=shards).astype(np.uint32).tobytes(), 1), int(local[-1]), words[order].tobytes(),
         ]
         kinds = [pa.int64() if c.endswith("long") else pa.binary() for c in _BLOCKS.split(", ")]
@@ -170,7 +174,7 @@ class Block:
     def __init__(self, row: dict, shards: int):
         self.doc_ids, self.id_null = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["id_null"], bool)
         self.held, n_words = np.frombuffer(row["held"], bool), np.frombuffer(row["n_words"], np.int64)
-        context = np.frombuffer(row["contexts"], np.uint16).astype(np.int64)
+        self.classes = np.frombuffer(row["classes"], np.uint8)
         self.n_tokens = n_words + 1
         stop = np.cumsum(self.n_tokens)
         token = np.full(int(stop[-1]), row["end_at"], np.int64)
@@ -180,15 +184,21 @@ class Block:
         before = np.empty_like(token)
         before[1:] = token[:-1]
         before[stop - self.n_tokens] = row["end_at"]
-        self.keys, self.pair = np.unique((token << 16) | context[before], return_inverse=True)
+        self.keys, self.pair = np.unique((token << 32) | before, return_inverse=True)
         self.starts = stop - self.n_tokens
         self.counts = np.bincount(self.pair, np.repeat(~self.held, self.n_tokens), len(self.keys)).astype(np.int64)
-        self.word, self.context = self.keys >> 16, self.keys & 0xFFFF
+        self.word, self.context = self.keys >> 32, self.keys & 0xFFFFFFFF
         sizes = np.frombuffer(zlib.decompress(row["shard_sizes"]), np.uint32)
         self.shard = np.repeat(np.arange(shards), sizes)[self.word]
+        self.parent = self.classes[self.context].astype(np.int64)
+
+
+_REQUESTS = "shard long, block long, words binary, pairs binary, contexts binary, classes binary, at binary, counts binary"
 
 
 def _requests(shards: int):
+    """What a block asks each shard: its words there, and of each the contexts (a list of hashes and places in it) and counts."""
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -200,15 +210,37 @@ def _requests(shards: int):
                     if cut[s] == cut[s + 1]:
                         continue
                     new = np.append(True, b.word[sl][1:] != b.word[sl][:-1])
-                    at = np.flatnonzero(new)
-                    out.append((s, row["block"], words[b.word[sl][at]].tobytes(), pack_small(np.diff(np.append(at, cut[s + 1] - cut[s]))), _planes(b.context[sl].astype(np.uint16)), pack_small(b.counts[sl])))
-                kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "block", "words", "pairs", "contexts", "counts"])
+                    first = np.flatnonzero(new)
+                    contexts, at = np.unique(b.context[sl], return_inverse=True)
+                    out.append((s, row["block"], words[b.word[sl][first]].tobytes(), pack_small(np.diff(np.append(first, cut[s + 1] - cut[s]))), words[contexts].tobytes(), b.classes[contexts].tobytes(), _planes(at.astype(np.uint32)), pack_small(b.counts[sl])))
+                yield _batch(out, _REQUESTS)
 
     return run
 
 
-def seat(rng: np.random.Generator, customers: np.ndarray, mass: np.ndarray, discount: float) -> np.ndarray:
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [c.split() for c in schema.split(", ")]
+    kinds = [pa.int64() if k == "long" else pa.binary() for _, k in names]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[n for n, _ in names])
+
+
+class Draws:
+    """Coin tosses that depend on the dish, the customer and the sweep only."""
+
+    def __init__(self, keys: np.ndarray, salt: int):
+        self.keys, self.salt = keys, tc.mix(np.array([salt + 20061], np.uint64))
+
+    def heads(self, live: np.ndarray, seated: int, some: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """How many of the customers after those seated, some of each dish in live, take a new table."""
+        out, width = np.zeros(len(live), np.int64), max(1, (1 << 20) // len(live))
+        for j in range(0, int(some.max()), width):
+            k = np.arange(j, min(j + width, int(some.max())))
+            u = tc.mix(self.keys[live][:, None] ^ tc.mix(self.salt + (seated + k).astype(np.uint64))[None, :]) >> np.uint64(11)
+            out += ((u * 2.0**-53 < p[:, None]) & (k[None, :] < some[:, None])).sum(1)
+        return out
+
+
+def seat(rng: np.random.Generator | Draws, customers: np.ndarray, mass: np.ndarray, discount: float) -> np.ndarray:
     """Tables after all customers of a dish sat down one after another; mass: weight of a new table.
 
     From the 32nd customer on, those of the next thirty-second part see the same tables, and sit down together.
@@ -219,85 +251,157 @@ def seat(rng: np.random.Generator, customers: np.ndarray, mass: np.ndarray, disc
         some = np.minimum(customers[live] - seated, max(1, seated // 32))
         t = tables[live]
         p = mass[live] / (mass[live] + seated - discount * t)
-        tables[live] = t + rng.binomial(some, np.clip(p, 0, 1))
+        p = np.clip(p, 0, 1)
+        tables[live] = t + (rng.heads(live, seated, some, p) if isinstance(rng, Draws) else rng.binomial(some, p))
         seated += max(1, seated // 32)
         live = live[customers[live] > seated]
     return tables
 
 
-_ANSWER = "block long, shard long, totals binary, pairs binary, parents binary, words binary"
+#: Rows of a shard's state. Static: its words, contexts and counts of pairs. Tables: a sweep's. Sums: what shard part's words
+#: bring to the contexts that this shard owns.
+_STATE = "shard long, kind long, sweep long, part long, data binary"
+STATIC, TABLES, SUMS, TOTALS = range(4)
+_ANSWER = "block long, shard long, pairs binary, parents binary, words binary, contexts binary"
+
+
+def _dump(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **{k: a.astype(np.min_scalar_type(int(a.max()))) if a.dtype == np.int64 and len(a) else a for k, a in arrays.items()})
+    return out.getvalue()
+
+
+def _load(data: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(data), allow_pickle=False) as f:
+        return {k: f[k].astype(np.int64) if f[k].dtype.kind in "ui" and k not in ("words", "contexts") else f[k] for k in f.files}
+
+
+def _total(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, x, size).astype(np.int64)
+
 
+class Shard:
+    """Words of a shard with their contexts; contexts are in the order of the shards that own them, then of hashes."""
 
-def _shard(shards: int):
-    """Merge what the blocks ask of one shard, sample its seatings, and answer each block; one more row has the totals."""
+    def __init__(self, static: dict[str, np.ndarray], shards: int):
+        self.words, self.contexts, self.classes = static["words"], static["contexts"], static["classes"]
+        self.c2, self.context = static["counts"], static["at"]
+        self.word = np.repeat(np.arange(len(self.words)), static["pairs"])
+        self.mid, self.up = np.unique(self.word * PARENTS + self.classes[self.context], return_inverse=True)  # (word, parent)
+        self.parent, self.root = self.mid % PARENTS, self.mid // PARENTS
+        self.cut = np.searchsorted(shard_of(self.contexts, shards), np.arange(shards + 1))
+
+    def tables(self, t2: np.ndarray, t1: np.ndarray, t0: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Tables with the customers that they make: t2, n1, t1, n0, t0."""
+        return t2, _total(self.up, t2, len(self.mid)), t1, _total(self.root, t1, len(self.words)), t0
+
+    def first(self) -> tuple[np.ndarray, ...]:
+        """One table of each dish."""
+        t2 = (self.c2 > 0).astype(np.int64)
+        t1 = (_total(self.up, t2, len(self.mid)) > 0).astype(np.int64)
+        return self.tables(t2, t1, (_total(self.root, t1, len(self.words)) > 0).astype(np.int64))
+
+    def rows(self, me: int, sweep: int, state: tuple[np.ndarray, ...], counts: bool = False) -> list[tuple]:
+        """Sums for the owners of contexts, and totals of parents and root."""
+        t2, n1, t1, n0, t0 = state
+        sums = {"tables": _total(self.context, t2, len(self.contexts))} | ({"counts": _total(self.context, self.c2, len(self.contexts))} if counts else {})
+        out = [(o, SUMS, sweep, me, _dump(contexts=self.contexts[a:b], **{k: x[a:b] for k, x in sums.items()})) for o, (a, b) in enumerate(zip(self.cut[:-1], self.cut[1:], strict=True)) if a < b]
+        return [*out, (me, TOTALS, sweep, me, pack_small(np.concatenate([_total(self.parent, n1, PARENTS), _total(self.parent, t1, PARENTS), [t0.sum(), self.c2.sum()]]).astype(np.int64)))]
+
+    def sweep(self, number: int, state: tuple[np.ndarray, ...], tables2: np.ndarray, totals: np.ndarray, kinds: int) -> tuple[np.ndarray, ...]:
+        """Seats all customers anew, given the totals."""
+        t2, n1, t1, n0, t0 = state
+        (d2, d1, d0), (s2, s1, s0), base = DISCOUNT, STRENGTH, 1 / (kinds + 1)
+        n1_all, tables1, tables0 = totals[:PARENTS], totals[PARENTS : 2 * PARENTS], totals[2 * PARENTS]
+        p0 = (n0 - d0 * t0 + (s0 + d0 * tables0) * base) / (s0 + tables1.sum())
+        p1 = (n1 - d1 * t1 + (s1 + d1 * tables1[self.parent]) * p0[self.root]) / (s1 + n1_all[self.parent])
+        pairs = tc.mix(self.words[self.word] * np.uint64(0x9FB21C651E98DF25) + self.contexts[self.context])
+        t2 = seat(Draws(pairs, 3 * number), self.c2, (s2 + d2 * tables2[self.context]) * p1[self.up], d2)
+        n1 = _total(self.up, t2, len(self.mid))
+        mids = tc.mix(self.words[self.root] * np.uint64(0x9FB21C651E98DF25) + self.parent.astype(np.uint64))
+        t1 = seat(Draws(mids, 3 * number + 1), n1, (s1 + d1 * tables1[self.parent]) * p0[self.root], d1)
+        t0 = seat(Draws(self.words, 3 * number + 2), _total(self.root, t1, len(self.words)), np.float64((s0 + d0 * tables0) * base), d0)
+        return self.tables(t2, t1, t0)
+
+
+def _merge(shards: int):
+    """Merge what the blocks ask of one shard."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["block"])
-        asked = [np.frombuffer(r["words"], np.uint64) for r in rows]
-        words, back = np.unique(np.concatenate(asked), return_inverse=True)
-        per = [unpack_small(r["pairs"]) for r in rows]
-        word = np.repeat(back, np.concatenate(per))
-        context = np.concatenate([_unplanes(r["contexts"], np.uint16) for r in rows]).astype(np.int64)
+        rows, me = group.to_pylist(), int(key[0].as_py())
+        words, back = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows]), return_inverse=True)
+        found = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
+        contexts, first, inverse = np.unique(np.concatenate(found), return_index=True, return_inverse=True)
+        classes = np.concatenate([np.frombuffer(r["classes"], np.uint8) for r in rows])[first]
+        order = np.argsort(shard_of(contexts, shards), kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        begin = np.cumsum([0, *(len(f) for f in found)])
+        at = place[inverse[np.concatenate([_unplanes(r["at"], np.uint32) + np.int64(b) for r, b in zip(rows, begin, strict=False)])]]
         count = np.concatenate([unpack_small(r["counts"]) for r in rows])
-        pair, of = np.unique((word << 16) | context, return_inverse=True)
-        c2 = np.bincount(of, count, len(pair)).astype(np.int64)
-        context = pair & 0xFFFF
-        mid, up = np.unique(pair >> 8, return_inverse=True)  # (word, parent)
-        parent, root = mid & 0xFF, mid >> 8
-        rng = np.random.default_rng([int(key[0].as_py()), 20061])
-
-        def total(at, x, size):
-            return np.bincount(at, x, size).astype(np.int64)
-
-        c0 = total(root, total(up, c2, len(mid)), len(words))
-        t2 = (c2 > 0).astype(np.int64)
-        n1 = total(up, t2, len(mid))
-        t1 = (n1 > 0).astype(np.int64)
-        n0 = total(root, t1, len(words))
-        t0 = (n0 > 0).astype(np.int64)
-        base = 1 / (shards * t0.sum() + 1)
-        (d2, d1, d0), (s2, s1, s0) = DISCOUNT, STRENGTH
-        kept = []
-        for sweep in range(BURN_IN + SAMPLES):
-            tables2, tables1, tables0 = shards * total(context, t2, CONTEXTS), shards * total(parent, t1, PARENTS), shards * t0.sum()
-            p0 = (n0 - d0 * t0 + (s0 + d0 * tables0) * base) / (s0 + shards * n0.sum())
-            p1 = (n1 - d1 * t1 + (s1 + d1 * tables1[parent]) * p0[root]) / (s1 + shards * total(parent, n1, PARENTS)[parent])
-            t2 = seat(rng, c2, (s2 + d2 * tables2[context]) * p1[up], d2)
-            n1 = total(up, t2, len(mid))
-            t1 = seat(rng, n1, (s1 + d1 * tables1[parent]) * p0[root], d1)
-            n0 = total(root, t1, len(words))
-            t0 = seat(rng, n0, (s0 + d0 * tables0) * base, d0)
-            if sweep >= BURN_IN:
-                kept.append((t2, n1, t1, n0, t0))
-        totals = np.concatenate([total(context, c2, CONTEXTS), [int((c0 > 0).sum())], *(x for t2, n1, t1, n0, t0 in kept for x in (total(context, t2, CONTEXTS), total(parent, t1, PARENTS), [t0.sum()]))])
-        out, a, b = [(None, key[0].as_py(), pack_small(totals.astype(np.int64)), None, None, None)], 0, 0
-        for r, w, n in zip(rows, asked, per, strict=True):
-            e = of[a : a + int(n.sum())]
-            i = back[b : b + len(w)]
-            a, b = a + int(n.sum()), b + len(w)
-            pairs = pack_samples(c2[e], [[t2[e]] for t2, *_ in kept], PAIR_TABLES)
-            m = up[e][np.append(True, up[e][1:] != up[e][:-1])]
+        pair, of = np.unique((np.repeat(back, np.concatenate([unpack_small(r["pairs"]) for r in rows])) << 32) | at, return_inverse=True)
+        static = {"words": words, "contexts": contexts[order], "classes": classes[order].astype(np.int64), "at": pair & 0xFFFFFFFF, "pairs": np.bincount(pair >> 32, minlength=len(words)), "counts": _total(of, count, len(pair))}
+        shard = Shard(static, shards)
+        out = [(me, STATIC, 0, me, _dump(**static)), *shard.rows(me, 0, shard.first(), counts=True)]
+        return pa.Table.from_batches([_batch(out, _STATE)])
+
+    return run
+
+
+def _sweep(shards: int, number: int, kinds: int):
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        me, rows = int(key[0].as_py()), group.to_pylist()
+        shard = Shard(next(_load(r["data"]) for r in rows if r["kind"] == STATIC), shards)
+        before = next((_load(r["data"]) for r in rows if r["kind"] == TABLES), None)
+        state = shard.first() if before is None else shard.tables(before["t2"], before["t1"], before["t0"])
+        tables2 = shards * _total(shard.context, state[0], len(shard.contexts))
+        totals = shards * np.concatenate([_total(shard.parent, state[1], PARENTS), _total(shard.parent, state[2], PARENTS), [state[4].sum()]])
+        state = shard.sweep(number, state, tables2, totals, kinds)
+        t2, _, t1, _, t0 = state
+        return pa.Table.from_batches([_batch([(me, TABLES, number, me, _dump(t2=t2, t1=t1, t0=t0)), *shard.rows(me, number, state)], _STATE)])
+
+    return run
+
+
+def _answers(shards: int):
+    """Answer each block: samples of its pairs and words, and the totals over all shards of the contexts that its words make."""
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        me, state = int(key[0].as_py()), right.to_pylist()
+        shard = Shard(next(_load(r["data"]) for r in state if r["kind"] == STATIC), shards)
+        kept = [shard.tables(x["t2"], x["t1"], x["t0"]) for x in (_load(r["data"]) for r in sorted((r for r in state if r["kind"] == TABLES), key=lambda r: r["sweep"]))]
+        totals, c0 = np.zeros((1 + SAMPLES, len(shard.words)), np.int64), _total(shard.word, shard.c2, len(shard.words))
+        for r in state:
+            if r["kind"] == SUMS:  # a context is a word that this shard has
+                x = _load(r["data"])
+                totals[max(0, r["sweep"] - BURN_IN), np.searchsorted(shard.words, x["contexts"])] += x["tables" if r["sweep"] else "counts"]
+        pair = (shard.word << 32) | shard.context
+        order = np.argsort(shard.contexts)
+        sorted_contexts = shard.contexts[order]
+        out = []
+        for r in left.to_pylist():
+            i = np.searchsorted(shard.words, np.frombuffer(r["words"], np.uint64))
+            context = order[np.searchsorted(sorted_contexts, np.frombuffer(r["contexts"], np.uint64))][_unplanes(r["at"], np.uint32)]
+            e = np.searchsorted(pair, (np.repeat(i, unpack_small(r["pairs"])) << 32) | context)
+            pairs = pack_samples(shard.c2[e], [[t2[e]] for t2, *_ in kept], PAIR_TABLES)
+            m = np.unique(shard.up[e])
             parents = pack_samples(kept[0][1][m], [[n1[m], t1[m]] for _, n1, t1, _, _ in kept], WORD_TABLES)
             of_words = pack_samples(c0[i], [[n0[i], t0[i]] for _, _, _, n0, t0 in kept], WORD_TABLES)
-            out.append((r["block"], key[0].as_py(), None, pairs, parents, of_words))
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _ANSWER.split(", ")])
+            out.append((r["block"], me, pairs, parents, of_words, pack_small(totals[:, i].reshape(-1))))
+        return pa.Table.from_batches([_batch(out, _ANSWER)])
 
     return run
 
 
 def _sum_totals(table: pa.Table) -> pa.Table:
-    return pa.table({"totals": [pack_small(np.sum([unpack_small(x) for x in table.column("totals").to_pylist()], axis=0))]})
+    return pa.table({"totals": [pack_small(np.sum([unpack_small(x) for x in table.column("data").to_pylist()], axis=0))]})
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(shards: int, totals: np.ndarray):
-    c2_all, kinds = totals[:CONTEXTS], int(totals[CONTEXTS])
-    n, (d2, d1, d0), (s2, s1, s0) = int(c2_all.sum()), DISCOUNT, STRENGTH
-    step = CONTEXTS + PARENTS + 1
-    samples = [totals[CONTEXTS + 1 + k * step : CONTEXTS + 1 + (k + 1) * step] for k in range(SAMPLES)]
+def _score(shards: int, samples: list[np.ndarray], n: int, kinds: int):
+    (d2, d1, d0), (s2, s1, s0) = DISCOUNT, STRENGTH
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -306,20 +410,20 @@ def _score(shards: int, totals: np.ndarray):
             answers = sorted(right.to_pylist(), key=lambda r: r["shard"])
             pairs = np.concatenate([unpack_samples(r["pairs"], PAIR_TABLES) for r in answers], 1)
             parents = np.concatenate([unpack_samples(r["parents"], WORD_TABLES) for r in answers], 1)
-            mid = b.word * PARENTS + (b.context >> 8)
-            parents = parents[:, np.cumsum(np.append(True, mid[1:] != mid[:-1])) - 1]
+            contexts = np.concatenate([unpack_small(r["contexts"]).reshape(1 + SAMPLES, -1) for r in answers], 1)
+            # answers are by the word's hash and the parent, pairs by the word's place and the context
+            mid = np.unique(b.word * PARENTS + b.parent, return_inverse=True)[1]
+            parents = parents[:, mid]
             of_words = np.concatenate([unpack_samples(r["words"], WORD_TABLES) for r in answers], 1)
-            word = np.cumsum(np.append(True, b.word[1:] != b.word[:-1])) - 1
-            parent, p = b.context >> 8, np.zeros(len(b.keys))
-            c0 = of_words[0][word]
+            parent, p, word = b.parent, np.zeros(len(b.keys)), b.word
+            c0, c2_all = of_words[0][word], contexts[0][b.context]
             for k, s in enumerate(samples):
                 t2, (n1, t1) = pairs[1 + k], parents[1 + 2 * k : 3 + 2 * k]
                 n0, t0 = of_words[1 + 2 * k][word], of_words[2 + 2 * k][word]
-                tables2, tables1, tables0 = s[:CONTEXTS], s[CONTEXTS:-1], s[-1]
-                n1_all = np.bincount(np.arange(CONTEXTS) >> 8, tables2, PARENTS)
+                n1_all, tables1, tables0 = s[:PARENTS], s[PARENTS : 2 * PARENTS], s[2 * PARENTS]
                 p0 = (n0 - d0 * t0 + (s0 + d0 * tables0) / (kinds + 1)) / (s0 + tables1.sum())
                 p1 = (n1 - d1 * t1 + (s1 + d1 * tables1[parent]) * p0) / (s1 + n1_all[parent])
-                p += (pairs[0] - d2 * t2 + (s2 + d2 * tables2[b.context]) * p1) / (s2 + c2_all[b.context])
+                p += (pairs[0] - d2 * t2 + (s2 + d2 * contexts[1 + k][b.context]) * p1) / (s2 + c2_all)
             log, known = np.log10(p / len(samples)), c0 > 0
             base = np.log10((c0 + 0.1) / (n + 0.1 * (kinds + 1)))
             per = [np.add.reduceat(x[b.pair], b.starts) for x in (known.astype(np.int64), base, log)]
@@ -336,12 +440,26 @@ def score(spark: SparkSession, documents: DataFrame, parts: int = 10) -> DataFra
     scratch, shards = Scratch(spark, "pitman-yor"), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), (fold(documents["doc_id"], parts) == 0).alias("held"), documents["text"].cast("string").alias("text"))
     blocks = scratch.write(rows.mapInArrow(_blocks(shards), _BLOCKS), "blocks", compression="zstd")
-    asked = blocks.mapInArrow(_requests(shards), "shard long, block long, words binary, pairs binary, contexts binary, counts binary")
-    answers = scratch.write(asked.groupBy("shard").applyInArrow(_shard(shards), _ANSWER), "answers", compression="zstd")
-    sums = answers.where("totals is not null").select("totals", F.pmod("shard", F.lit(max(1, int(shards**0.5)))).alias("g"))
-    got = sums.groupBy("g").applyInArrow(_sum_totals, "totals binary").collect()
-    if not got:
+    asked = blocks.mapInArrow(_requests(shards), _REQUESTS)
+
+    def totals(table: DataFrame) -> np.ndarray | None:
+        got = table.where(F.col("kind") == TOTALS).select("data", F.pmod("shard", F.lit(max(1, int(shards**0.5)))).alias("g")).groupBy("g").applyInArrow(_sum_totals, "totals binary").collect()
+        return np.sum([unpack_small(bytes(r[0])) for r in got], axis=0) if got else None
+
+    merged = scratch.write(asked.groupBy("shard").applyInArrow(_merge(shards), _STATE), "merged", compression="zstd")
+    static, last, of = merged.where(F.col("kind") == STATIC), merged, totals(merged)
+    if of is None:
         return spark.createDataFrame([], _SCORES)
-    totals = np.sum([unpack_small(bytes(r[0])) for r in got], axis=0)
-    replies = answers.where("block is not null").select("block", "shard", "pairs", "parents", "words")
-    return blocks.drop("words").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(shards, totals), _SCORES)
+    n, kinds = int(of[-1]), int(of[2 * PARENTS])
+    state, samples = static.unionByName(merged.where(F.col("kind") == SUMS)), []
+    for number in range(1, BURN_IN + SAMPLES + 1):
+        rows = static.unionByName(last.where(F.col("kind") == TABLES))
+        last, before = scratch.write(rows.groupBy("shard").applyInArrow(_sweep(shards, number, kinds), _STATE), f"sweep{number}", compression="zstd"), number - 1
+        of = totals(last)
+        if 0 < before <= BURN_IN:
+            scratch.drop(f"sweep{before}")
+        if number > BURN_IN:
+            samples.append(of)
+            state = state.unionByName(last.where(F.col("kind").isin(TABLES, SUMS)))
+    answers = asked.drop("counts", "classes").groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(_answers(shards), _ANSWER)
+    return blocks.drop("words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, samples, n, kinds), _SCORES)

@@ -165,6 +165,23 @@ def test_seating():
     assert (got == np.array([a, *(x for s in samples for x in s)])).all()
 
 
+def test_contexts_of_one_class_and_hash_byte_stay_apart(spark, docs):
+    held, seen = lambda k: zlib.crc32(str(k).encode()) % 10 == 0, {}
+    words = [f"w{k}on" for k in range(600)]
+    for w, h in zip(words, chunk([" ".join(words)]).hash.tolist(), strict=True):
+        byte = int(pitman_yor.tc.mix(np.array([h], np.uint64))[0]) & 255
+        if byte in seen:
+            break
+        seen[byte] = w
+    one, two = seen[byte], w
+    train = [(k, f"{one} left" if k % 2 else f"{two} right") for k in range(2000) if not held(k)]
+    ids = [k for k in range(3000, 4000) if held(k)][:4]
+    texts = [f"{one} left", f"{one} right", f"{two} left", f"{two} right"]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark, docs([*train, *zip(ids, texts, strict=True)])).collect()}
+    right, wrong = (got[ids[0]], got[ids[3]]), (got[ids[1]], got[ids[2]])
+    assert min(right) > max(wrong) + 1
+
+
 def test_probabilities_add_up_to_one(spark, docs):
     """Over all texts of at most six tokens of a known vocabulary and one unknown word; longer ones are rare in training."""
     rng, held = random.Random(5), lambda k: zlib.crc32(str(k).encode()) % 10 == 0
