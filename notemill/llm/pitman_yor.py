@@ -7,8 +7,9 @@ sampled by Gibbs sweeps that seat each restaurant's customers anew given its par
 contexts to the root, and the predictive probability of a token is averaged over the samples kept.
 
 Words, and with them all their dishes in all restaurants, are dealt to shards by hash, and so are the totals of the contexts
-that they make. During sampling a shard takes the totals as its own times the number of shards (its words are a hash
-sample); the probabilities use the exact totals over all shards. Texts are tokenised once into blocks; each block asks
+that they make. Between sweeps each shard sends what its words bring to a context to the shard that owns the context, and gets
+the sum over all shards; the totals of parents and root are summed too. Draws depend on word, context and sweep alone, so
+scores do not depend on the number of shards. Texts are tokenised once into blocks; each block asks
 each shard for the counts of the pairs it holds, so no word, context, pair or document is gathered beyond its shard or block.
 
 Defined results: null text is empty and has the end alone; a null doc_id stays null and counts as the empty id in the fold;
@@ -259,9 +260,9 @@ def seat(rng: np.random.Generator | Draws, customers: np.ndarray, mass: np.ndarr
 
 
 #: Rows of a shard's state. Static: its words, contexts and counts of pairs. Tables: a sweep's. Sums: what shard part's words
-#: bring to the contexts that this shard owns.
+#: bring to the contexts that this shard owns. Reply: their sums over all shards, in the order of the shard that they go to.
 _STATE = "shard long, kind long, sweep long, part long, data binary"
-STATIC, TABLES, SUMS, TOTALS = range(4)
+STATIC, TABLES, SUMS, REPLY, TOTALS = range(5)
 _ANSWER = "block long, shard long, pairs binary, parents binary, words binary, contexts binary"
 
 
@@ -309,7 +310,7 @@ class Shard:
         return [*out, (me, TOTALS, sweep, me, pack_small(np.concatenate([_total(self.parent, n1, PARENTS), _total(self.parent, t1, PARENTS), [t0.sum(), self.c2.sum()]]).astype(np.int64)))]
 
     def sweep(self, number: int, state: tuple[np.ndarray, ...], tables2: np.ndarray, totals: np.ndarray, kinds: int) -> tuple[np.ndarray, ...]:
-        """Seats all customers anew, given the totals."""
+        """Seats all customers anew, given the totals over all shards."""
         t2, n1, t1, n0, t0 = state
         (d2, d1, d0), (s2, s1, s0), base = DISCOUNT, STRENGTH, 1 / (kinds + 1)
         n1_all, tables1, tables0 = totals[:PARENTS], totals[PARENTS : 2 * PARENTS], totals[2 * PARENTS]
@@ -348,14 +349,23 @@ def _merge(shards: int):
     return run
 
 
-def _sweep(shards: int, number: int, kinds: int):
+def _replies(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """Sums over all shards of the tables in the contexts that one owns, for each shard that asked."""
+    me, rows = int(key[0].as_py()), group.to_pylist()
+    sent = [_load(r["data"]) for r in rows]
+    _, of = np.unique(np.concatenate([x["contexts"] for x in sent]), return_inverse=True)
+    whole = _total(of, np.concatenate([x["tables"] for x in sent]), int(of.max()) + 1)[of]
+    cut = np.cumsum([0, *(len(x["contexts"]) for x in sent)])
+    return pa.Table.from_batches([_batch([(r["part"], REPLY, r["sweep"], me, _dump(tables=whole[a:b])) for r, a, b in zip(rows, cut[:-1], cut[1:], strict=True)], _STATE)])
+
+
+def _sweep(shards: int, number: int, totals: np.ndarray, kinds: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         me, rows = int(key[0].as_py()), group.to_pylist()
         shard = Shard(next(_load(r["data"]) for r in rows if r["kind"] == STATIC), shards)
         before = next((_load(r["data"]) for r in rows if r["kind"] == TABLES), None)
         state = shard.first() if before is None else shard.tables(before["t2"], before["t1"], before["t0"])
-        tables2 = shards * _total(shard.context, state[0], len(shard.contexts))
-        totals = shards * np.concatenate([_total(shard.parent, state[1], PARENTS), _total(shard.parent, state[2], PARENTS), [state[4].sum()]])
+        tables2 = np.concatenate([_load(r["data"])["tables"] for r in sorted((r for r in rows if r["kind"] == REPLY), key=lambda r: r["part"])])
         state = shard.sweep(number, state, tables2, totals, kinds)
         t2, _, t1, _, t0 = state
         return pa.Table.from_batches([_batch([(me, TABLES, number, me, _dump(t2=t2, t1=t1, t0=t0)), *shard.rows(me, number, state)], _STATE)])
@@ -453,8 +463,9 @@ def score(spark: SparkSession, documents: DataFrame, parts: int = 10) -> DataFra
     n, kinds = int(of[-1]), int(of[2 * PARENTS])
     state, samples = static.unionByName(merged.where(F.col("kind") == SUMS)), []
     for number in range(1, BURN_IN + SAMPLES + 1):
-        rows = static.unionByName(last.where(F.col("kind") == TABLES))
-        last, before = scratch.write(rows.groupBy("shard").applyInArrow(_sweep(shards, number, kinds), _STATE), f"sweep{number}", compression="zstd"), number - 1
+        replies = last.where(F.col("kind") == SUMS).groupBy("shard").applyInArrow(_replies, _STATE)
+        rows = static.unionByName(last.where(F.col("kind") == TABLES)).unionByName(replies)
+        last, before = scratch.write(rows.groupBy("shard").applyInArrow(_sweep(shards, number, of, kinds), _STATE), f"sweep{number}", compression="zstd"), number - 1
         of = totals(last)
         if 0 < before <= BURN_IN:
             scratch.drop(f"sweep{before}")

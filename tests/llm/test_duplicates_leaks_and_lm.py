@@ -182,6 +182,20 @@ def test_contexts_of_one_class_and_hash_byte_stay_apart(spark, docs):
     assert min(right) > max(wrong) + 1
 
 
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    rng, found = random.Random(9), []
+    vocabulary = prose(rng, 60).split()
+    table = docs([(k, " ".join(rng.choices(vocabulary, k=rng.randrange(30)))) for k in range(150)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append({r.doc_id: round(r.score, 8) for r in pitman_yor.score(spark, table.repartition(parts)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found[0]) == 150 and found[0] == found[1] == found[2]
+
+
 def test_probabilities_add_up_to_one(spark, docs):
     """Over all texts of at most six tokens of a known vocabulary and one unknown word; longer ones are rare in training."""
     rng, held = random.Random(5), lambda k: zlib.crc32(str(k).encode()) % 10 == 0
