@@ -4,8 +4,9 @@ The index holds the test items; each posting is the share of the item's own BM25
 threshold suits all items. Items are in blocks, and every word has an upper bound for each block. Training documents
 are cut into overlapping passages at least as long as the longest item, and each passage is a query: where no block's bounds add up
 to the threshold it is passed over, else WAND with block maxima retrieves every item above the threshold. A retrieved item
-counts as leaked if enough three-word shingles of both its question and its answer stand in the passage. Without an
-answer column the last third of an item's words is its answer.
+counts as leaked if enough three-word shingles of both its question and its answer stand in the passage; a part of one or
+two words is looked up as a whole among the passage's runs of that many words. Without an
+answer column the last third of an item's words is its answer (an item of one or two words has none).
 
 An index of at most ``INDEX_ITEMS`` items goes to the tasks; more items are dealt into several indexes, each run over all
 documents. Defined results: null or empty documents and items match nothing; repeated rows are judged alike; a null
@@ -44,6 +45,7 @@ class Index:
     most: np.ndarray  # (terms, blocks)
     question: tuple[np.ndarray, ...]  # shingle hashes of each item
     answer: tuple[np.ndarray, ...]
+    sizes: tuple[tuple[int, int], ...]  # words in a shingle of each item's question and answer
     passage: int
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
@@ -57,11 +59,11 @@ def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(tc.large_text(column))
 
 
-def shingle_hashes(h: np.ndarray) -> np.ndarray:
-    """Distinct shingles of a word sequence; a shorter one is a shingle by itself."""
+def shingle_hashes(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Distinct shingles of size words of a word sequence; a shorter one is a shingle by itself."""
     if not len(h):
         return h
-    size = min(SHINGLE, len(h))
+    size = min(size, len(h))
     out = np.zeros(len(h) - size + 1, np.uint64)
     for k in range(size):
         out = out * np.uint64(0x9FB21C651E98DF25) + h[k : len(h) - size + 1 + k]
@@ -98,7 +100,8 @@ def build(items: list[tuple[int, str, str | None]]) -> Index | None:
     np.maximum.at(most, (term, item // BLOCK), share)
     return Index(
         np.array([i for i, _, _ in split], np.int64), terms, np.searchsorted(term, np.arange(len(terms) + 1)), item, share, most,
-        tuple(shingle_hashes(q) for _, q, _ in split), tuple(shingle_hashes(a) for _, _, a in split), 2 * int(length.max()),
+        tuple(shingle_hashes(q) for _, q, _ in split), tuple(shingle_hashes(a) for _, _, a in split),
+        tuple((min(SHINGLE, len(q)), min(SHINGLE, len(a))) for _, q, a in split), 2 * int(length.max()),
     )
 
 
@@ -177,9 +180,10 @@ def search(t: tc.Texts, index: Index) -> list[tuple[int, int, float, float, floa
         if not found:
             continue
         lo = t.first[d] + (p - base[d]) * stride
-        here = shingle_hashes(t.hash[lo : min(lo + size, t.first[d + 1])])
+        words = t.hash[lo : min(lo + size, t.first[d + 1])]
+        here = {k: shingle_hashes(words, k) for k in {k for item, _ in found for k in index.sizes[item]} if k}
         for item, score in found:
-            shares = [float(np.isin(x, here).mean()) if len(x) else 1.0 for x in (index.question[item], index.answer[item])]
+            shares = [float(np.isin(x, here[k]).mean()) if len(x) else 1.0 for x, k in zip((index.question[item], index.answer[item]), index.sizes[item], strict=True)]
             if min(shares) >= OVERLAP:
                 got = (sum(shares), score, *shares)
                 if got > best.get((d, item), (0.0,)):

@@ -126,6 +126,20 @@ def test_leaks(spark, docs, odd_rows):
     assert decontaminate.leaks(table, decontaminate.indexes(bench.limit(0))).count() == 0 and decontaminate.leaks(docs([]), idx).count() == 0
 
 
+def test_short_items_and_answers(spark, docs):
+    rng = random.Random(21)
+    items = [(n, " ".join(f"item{n}word{k}" for k in range(n))) for n in range(1, 9)]
+    table = docs([(n, f"{prose(rng, 40)} {x} {prose(rng, 40)}") for n, x in items] + [(50, prose(rng, 100)), (51, "item2word1 item2word0 " + prose(rng, 20))])
+    for extra in ([], ITEMS):
+        idx = decontaminate.indexes(spark.createDataFrame([*items, *extra], "item_id long, text string"))
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, idx).collect()} == {(n, n) for n, _ in items}
+    asked = [(n, "what is the capital of country" + str(n) + " today", "city" if n == 1 else "new city") for n in (1, 2)]
+    table = docs([(n, f"{prose(rng, 30)} {q} {a} {prose(rng, 30)}") for n, q, a in asked] + [(9, prose(rng, 30) + " " + asked[0][1] + " " + prose(rng, 30))])
+    idx = decontaminate.indexes(spark.createDataFrame(asked, "item_id long, text string, reply string"), "reply")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, idx).collect()}
+    assert {(1, 1), (2, 2)} <= got and not any(d == 9 for d, _ in got)
+
+
 def test_many_items_are_sharded(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 10)
     idx = decontaminate.indexes(spark.createDataFrame(ITEMS, "item_id long, text string"))
