@@ -26,15 +26,21 @@ def _core() -> Column:
     return F.trim(F.regexp_replace(F.substring("text", 1, 90), "[^a-zA-Z]+", " "))
 
 
-def files(spark: SparkSession, d: str) -> DataFrame:
-    """A note file for each document."""
+def _plain() -> Column:
+    """Plain letters and spaces of the whole document."""
+    return F.trim(F.regexp_replace("text", "[^a-zA-Z]+", " "))
+
+
+def files(spark: SparkSession, d: str, statement: Column | None = None) -> DataFrame:
+    """A note file for each document; its statement is the whole document unless another is given."""
+    statement = _plain() if statement is None else statement
     folder = F.element_at(t.strings("01_identity", "02_facts", "03_preferences", "04_goals", "05_open_loops", "06_concepts"), (_i() % 6 + 1).cast("int"))
     front = F.concat(
         F.lit("---\ncreated: 2024-01-01T00:00:00Z\nupdated: "), F.when(_i() % 9 == 0, "yesterday").otherwise("2024-01-02T03:04:05Z"), F.lit("\ntags: [\"Big\", "), "lang", F.lit(", src-"), (_i() % 4), F.lit("]\nconfidence: 0."), (_i() % 10),
         F.lit("\nsource: user\nscope: "), F.when(_i() % 8 == 0, "nowhere").otherwise("dev"), F.lit("\nlang: en\nstatus: open\n---\n"),
     )
     body = F.concat(
-        F.lit("# Loop: T"), _i(), F.lit("\n\nIntro\n## Statement\n"), _core(), F.lit("\n<private>secret <private>x</private> y</private>\n### Next Steps\n- [ ] act "), _i(), F.lit("\n## Links\n- [[other "), _i(),
+        F.lit("# Loop: T"), _i(), F.lit("\n\nIntro\n## Statement\n"), statement, F.lit("\n<private>secret <private>x</private> y</private>\n### Next Steps\n- [ ] act "), _i(), F.lit("\n## Links\n- [[other "), _i(),
         F.lit("|shown]] and [doc](a/b"), _i(), F.lit(".md)\n"), F.when(_i() % 5 == 0, "-\n").otherwise(""),
     )
     text = F.when(_i() % 13 == 0, body).otherwise(F.concat(front, body))
@@ -51,7 +57,7 @@ def c8_front_matter(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT doc_id, 'T' || doc_id AS title, {_CORE} AS statement, 'act ' || doc_id AS next_action, ['id','fact','pref','goal','loop','concept'][CAST(doc_id % 6 + 1 AS INT)] AS type,
   len(regexp_extract_all({_CORE}, '[^ ]+')) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS extra_words FROM documents""")
 def c20_candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = n.parse(files(spark, d)).withColumn("doc_id", F.regexp_extract("rel_path", r"n(\d+)\.md$", 1).cast("long"))
+    rows = n.parse(files(spark, d, _core())).withColumn("doc_id", F.regexp_extract("rel_path", r"n(\d+)\.md$", 1).cast("long"))
     first = t.first_checkbox(t.section(F.col("sections"), "next action"))
     core = t.strip(t.section(F.col("sections"), "statement"))
     dash = F.when(t.section(F.col("sections"), "links").rlike(r"(?m)^-$"), 1).otherwise(0)
@@ -79,7 +85,7 @@ def c27_slug(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH v AS (SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 13 = 0 THEN 'missing_front_matter' END, CASE WHEN doc_id % 13 <> 0 AND doc_id % 9 = 0 THEN 'bad_updated' END, CASE WHEN doc_id % 13 <> 0 AND doc_id % 8 = 0 THEN 'bad_scope' END,
   CASE WHEN doc_id % 13 <> 0 AND doc_id % 5 = 0 THEN 'placeholder_link' END], lambda x: x IS NOT NULL)) AS code FROM documents) SELECT code, count(*) AS n FROM v GROUP BY code""")
 def x18_lint(spark: SparkSession, d: str) -> DataFrame:
-    return lint.counters(lint.notes(n.parse(files(spark, d)))).select("code", "n")
+    return lint.counters(lint.notes(n.parse(files(spark, d, _core())))).select("code", "n")
 
 
 @query("""WITH m AS (SELECT doc_id, unnest(['pref', 'fact', 'fact', 'concept', 'loop', 'loop']) AS kind, unnest([0.92, 0.90, 0.78, 0.82, 0.75, 0.75]) AS confidence FROM documents)

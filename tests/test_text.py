@@ -55,3 +55,12 @@ def test_timestamps_and_slugs(spark):
     assert one(spark, "!!!", t.slug) == "untitled"
     assert one(spark, "one two  three four", lambda c: t.shorten(c, 12)) == "one two..."
     assert one(spark, "short", lambda c: t.shorten(c, 12)) == "short"
+
+
+def test_whole_texts_reach_files_and_archive_loops(spark, tmp_path):
+    from notemill.plans import analytics_queries, text_queries
+
+    rows = [(2, "plain words " * 50 + "by week 12 finally", "en", "s"), (5, "plain words " * 50 + "finally", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert all("words finally\n" in r.text or "week finally\n" in r.text for r in text_queries.files(spark, str(tmp_path)).collect())
+    assert {r.doc_id: r.kept for r in analytics_queries.x6_archive_loops(spark, str(tmp_path)).collect()} == {2: True, 5: False}
