@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .worker import releasing
 
 INDEX_ITEMS, BLOCK = 512, 4
 #: Word-passage pairs whose bounds are added up at once.
@@ -219,7 +220,7 @@ def leaks(documents: DataFrame, indexes: list[Index]) -> DataFrame:
 
     if not indexes:
         return rows.sparkSession.createDataFrame([], LEAKS)
-    return reduce(DataFrame.unionByName, [rows.mapInArrow(runner(x), LEAKS) for x in indexes])
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(releasing(runner(x)), LEAKS) for x in indexes])
 
 
 def filter_documents(documents: DataFrame, indexes: list[Index]) -> DataFrame:
@@ -237,5 +238,5 @@ def filter_documents(documents: DataFrame, indexes: list[Index]) -> DataFrame:
         return run
 
     for x in indexes:
-        out = out.mapInArrow(runner(x), documents.schema)
+        out = out.mapInArrow(releasing(runner(x)), documents.schema)
     return out

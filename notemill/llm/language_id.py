@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .folds import fold
+from .worker import releasing
 
 TRAIN_DOCS, ROUNDS, SMOOTHING = 300, 4, 0.5
 #: Longest piece considered, in bytes, and longest stretch of a word in one lattice (longer words are cut there).
@@ -251,7 +252,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
                 )
 
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), (fold(documents["doc_id"], 5) == 0).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(releasing(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def fit(spark: SparkSession, documents: DataFrame, path: str, bound: int = TRAIN_DOCS) -> LanguageModel:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .scratch import Scratch
+from .worker import releasing
 
 SHINGLE, BANDS, ROWS, MANTISSA = 5, 32, 4, 10
 REGISTERS = BANDS * ROWS
@@ -207,7 +208,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row for each row of documents."""
     scratch = Scratch(spark, "near-dedup")
     docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    sketches = scratch.write(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, s1 long, s2 long, registers binary"), "sketches")
+    sketches = scratch.write(docs.mapInArrow(releasing(_sketches), "doc_id long, n_shingles long, s1 long, s2 long, registers binary"), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     nodes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     nodes = scratch.write(nodes, "nodes")
@@ -218,17 +219,17 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     hits = scratch.write(banded.join(shared, "key"), "hits")
 
     wanted = hits.select("node").distinct()
-    sets = scratch.write(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").mapInArrow(_sets, "node long, set binary, short binary"), "sets")
+    sets = scratch.write(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").mapInArrow(releasing(_sets), "node long, set binary, short binary"), "sets")
     size = nodes.select("node", "n", "registers")
 
     def confirmed(pairs: DataFrame, name: str, estimated: bool) -> DataFrame:
         if not estimated:
             one = size.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
             two = size.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-            pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long")
+            pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(releasing(_likely), "a long, b long")
         one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
         tried = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y")
-        return scratch.write(tried.mapInArrow(_linked, "a long, b long").distinct(), name)
+        return scratch.write(tried.mapInArrow(releasing(_linked), "a long, b long").distinct(), name)
 
     stars = hits.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     edges = confirmed(stars, "edges0", False)

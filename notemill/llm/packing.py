@@ -12,8 +12,6 @@ document longer than a window fills windows of its own; other columns are ignore
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import tokenise
 from .scratch import Scratch
+from .worker import releasing
 
 FAN_IN = 64
 #: closed: the window is done; tokens: little-endian 32-bit ids of the piece; padded_length: of its sequence.
@@ -135,7 +134,7 @@ def pack(spark: SparkSession, documents: DataFrame, vocabulary: str, end_id: int
         return run
 
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.coalesce(documents["text"].cast("string"), F.lit("")).alias("text"))
-    table = scratch.write(rows.mapInArrow(first, PIECES), "level0")
+    table = scratch.write(rows.mapInArrow(releasing(first), PIECES), "level0")
     out, level = table.where("closed"), 0
     while True:
         left, level = table.where("not closed"), level + 1
@@ -145,19 +144,11 @@ def pack(spark: SparkSession, documents: DataFrame, vocabulary: str, end_id: int
         last = parts < FAN_IN
         group = F.floor(F.col("part") / FAN_IN)
         dealt = left.repartition(max(1, parts // FAN_IN + 1), group).sortWithinPartitions(group, "sequence_id", "offset")
-        table = scratch.write(dealt.select("doc_id", "start", "tokens", "doc_tokens").mapInArrow(merge(level, last), PIECES), f"level{level}")
+        table = scratch.write(dealt.select("doc_id", "start", "tokens", "doc_tokens").mapInArrow(releasing(merge(level, last)), PIECES), f"level{level}")
         out = out.unionByName(table.where("closed"))
 
 
 def digest(pieces: DataFrame, keep_tokens: bool = False) -> DataFrame:
     """The pieces with the crc32 of their ids, and the ids themselves only if asked for."""
     kept = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded_length"]
-
-    def run(batches):
-        for batch in batches:
-            crc = [zlib.crc32(x) for x in batch.column(7).to_pylist()]
-            columns = [*batch.columns[:7], pa.array(crc, pa.int64()), *batch.columns[7 : 7 + keep_tokens]]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids_crc32", *["tokens"] * keep_tokens])
-
-    schema = ", ".join(f"{c} long" for c in [*kept, "ids_crc32"]) + ", tokens binary" * keep_tokens
-    return pieces.select(*kept, "tokens").mapInArrow(run, schema)
+    return pieces.select(*kept, F.crc32("tokens").alias("ids_crc32"), *["tokens"] * keep_tokens)

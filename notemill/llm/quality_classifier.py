@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .folds import fold, labelled_sample
+from .worker import releasing
 
 TRAIN_DOCS, DIM, HIDDEN, MIN_COUNT, WINDOW = 1500, 64, 32, 3, 2
 THRESHOLD = 0.3
@@ -179,7 +180,7 @@ def classify(documents: DataFrame, model: Model) -> DataFrame:
                 )
 
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), (fold(documents["doc_id"], 5) == 0).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(releasing(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def filter_documents(documents: DataFrame, model: Model) -> DataFrame:
@@ -191,4 +192,4 @@ def filter_documents(documents: DataFrame, model: Model) -> DataFrame:
             for i, j, t in tc.chunks(batch.column(at)):
                 yield batch.slice(i, j - i).filter(pa.array(model.score(t) >= THRESHOLD))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(releasing(run), documents.schema)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import textcore as tc
 from .folds import labelled_sample
+from .worker import releasing
 
 #: Most labelled documents the field is trained on.
 TRAIN_DOCS = 1000
@@ -219,7 +220,7 @@ def quality_rules(documents: DataFrame, field: LineField, least_share: float = 0
                 cols = [base.n_words, base.word_chars, base.n_symbols, base.n_dup_lines, base.n_repeat_words, failed, kept, share]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, cols)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return documents.select(documents["doc_id"].cast("long"), documents["text"].cast("string")).mapInArrow(run, SCHEMA)
+    return documents.select(documents["doc_id"].cast("long"), documents["text"].cast("string")).mapInArrow(releasing(run), SCHEMA)
 
 
 def filter_documents(documents: DataFrame, field: LineField, least_share: float = 0.5) -> DataFrame:
@@ -231,4 +232,4 @@ def filter_documents(documents: DataFrame, field: LineField, least_share: float
             for i, j, t in tc.chunks(batch.column(at)):
                 yield batch.slice(i, j - i).filter(pa.array(judge(t, field, least_share)[3]))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(releasing(run), documents.schema)

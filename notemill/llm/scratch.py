@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group, which a task holds in memory until it is full.
+ROW_GROUP = 16 << 20
+
 
 def shared_root(spark: SparkSession) -> str:
     """Folder the cluster names in spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
@@ -38,7 +41,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write df as Parquet and return it read back, with its lineage cut."""
         path, schema = f"{self.path}/{name}", df.schema
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP)
         for key, value in options.items():
             writer = writer.option(key.replace("__", "."), value)
         writer.parquet(path)

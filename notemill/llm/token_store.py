@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokenise
+from .worker import releasing
 
 STORED = "doc_id long, part long, local_start long, n_tokens long, tokens array<int>"
 #: Of the files; parquet.block.size bounds a row group, the page limits bound what a selective read fetches.
@@ -59,7 +60,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int =
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.coalesce(documents["text"].cast("string"), F.lit("")).alias("text"))
     # Parts are ranges of ids in ascending order; equal ids meet in one part.
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    writer = ordered.mapInArrow(run, STORED).write.mode("overwrite")
+    writer = ordered.mapInArrow(releasing(run), STORED).write.mode("overwrite")
     for key, value in FORMAT.items():
         writer = writer.option(key, value)
     writer.parquet(path)
@@ -96,4 +97,4 @@ def digest(stored: DataFrame) -> DataFrame:
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return stored.select("doc_id", "part", "local_start", "tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return stored.select("doc_id", "part", "local_start", "tokens").mapInArrow(releasing(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -29,8 +29,8 @@ PIECES = {
     "byte": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
     "word": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"),
 }
-#: Most cached words, most cached other pieces, and the longest of either.
-CACHE_WORDS, CACHE_PARTS, CACHE_CHARS = 550_000, 100_000, 48
+#: Most cached words (of about 200 bytes each) by vocabulary, most cached other pieces, and the longest of either.
+CACHE_WORDS, CACHE_PARTS, CACHE_CHARS = {"byte": 550_000, "word": 250_000}, 50_000, 48
 
 _encoders: dict[str, Encoder] = {}
 
@@ -69,7 +69,7 @@ class Encoder:
         if spaced and piece[0] != " ":
             store, key, most = self.parts, piece, CACHE_PARTS
         else:
-            store, key, most = self.words, piece[spaced:], CACHE_WORDS
+            store, key, most = self.words, piece[spaced:], self.words.most
         got = store.get(key)
         if got is None:
             got = self.merged(piece)
@@ -114,12 +114,12 @@ class _Words(dict):
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder, self.before = encoder, " " if encoder.kind == "byte" else ""
+        self.encoder, self.before, self.most = encoder, " " if encoder.kind == "byte" else "", CACHE_WORDS[encoder.kind]
 
     def __missing__(self, word: str) -> bytes:
         got = self.encoder.word(self.before + word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = got
         return got

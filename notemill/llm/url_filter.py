@@ -158,4 +158,4 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, bound: int = T
                 names=["page_id", "host", "path", "rule", "verdict", "probability"],
             )
 
-    return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, probability double")
+    return rows.mapInArrow(releasing(run), "page_id long, host string, path string, rule string, verdict string, probability double")
