@@ -1,16 +1,20 @@
 """Language-model scoring by a hierarchical Pitman-Yor model (operator 6).
 
-Tokens are lower-cased words and one end for each text. A token is drawn in the restaurant of its context, the word before
-it: every word has one of its own, known by its full 64-bit hash. They share 256 parents (classes of the word's last letters),
-which share one root over a uniform base on all words and one unknown. Customers are all training tokens; seatings are
-sampled by Gibbs sweeps that seat each restaurant's customers anew given its parent and the other tables, from the
-contexts to the root, and the predictive probability of a token is averaged over the samples kept.
-
-Words, and with them all their dishes in all restaurants, are dealt to shards by hash, and so are the totals of the contexts
-that they make. Between sweeps each shard sends what its words bring to a context to the shard that owns the context, and gets
-the sum over all shards; the totals of parents and root are summed too. Draws depend on word, context and sweep alone, so
-scores do not depend on the number of shards. Texts are tokenised once into blocks; each block asks
-each shard for the counts of the pairs it holds, so no word, context, pair or document is gathered beyond its shard or block.
+Tokens are lower-cased words and one end for each text. A token is drawn in the restaurant of its context, the two words
+before it. Contexts with the same last word share that word's restaurant as their parent, and all of those share the root, over a
+uniform base on all training words and one unknown. Customers are all training tokens. Gibbs sweeps draw the tables of every
+dish from their conditional distribution (``restaurants``), parents' distributions from their posterior, and discounts and
+strengths of each level from theirs; the predictive probability of a token is averaged over the sweeps kept.
+
+A word that is the last one of more than ``MOST`` contexts' tokens has several restaurants, one for each class of the word before
+it, so that no restaurant and no group of rows grows with its frequency. Texts without words before have a class by
+their number of words in place of those words.
+
+Work is dealt so that nothing gathers beyond a bounded group: texts are tokenised into blocks; words are numbered by ranges of their
+64-bit hashes; restaurants with all their contexts are dealt to shards of about ``SHARD_TOKENS`` tokens. A block tells each
+shard the (context, word) pairs it holds, and gets the probability of each. Between the sweeps that warm up and those that are
+kept, shards send each word's tables to the range that owns the word, which seats the root. All numbers of groups
+follow from the tokens counted, so scores don't depend on partitions.
 
 Defined results: null text is empty and has the end alone; a null doc_id stays null and counts as the empty id in the fold;
 repeated rows are counted and scored row by row; other columns are ignored; an empty table gives an empty result; without
@@ -19,426 +23,359 @@ training texts every token is unknown. Texts of any length are taken whole.
 
 from __future__ import annotations
 
-import io
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import restaurants as r
 from . import textcore as tc
 from .folds import fold
 from .scratch import Scratch
+from .worker import releasing
 
-#: Discounts and strengths of context, parent and root restaurants.
-DISCOUNT, STRENGTH = (0.8, 0.75, 0.6), (1.0, 5.0, 50.0)
-BURN_IN, SAMPLES = 2, 3
+#: Sweeps of a shard before the root is seated, and before and while probabilities are averaged.
+WARM_UP, BURN_IN, SAMPLES = 2, 2, 3
 BLOCK_BYTES = 8 << 20
-PARENTS = 1 << 8
+SHARD_TOKENS = 1_500_000
+RANGE_TOKENS = 20_000_000
+MOST = 200_000
+#: Discount and strength of contexts, parents and root until they are sampled.
+FIRST = ((0.8, 1.0), (0.8, 2.0), (0.6, 50.0))
 END = np.uint64(0xE7037ED1A0B428DB)
-#: words are in the order of shards and hashes, classes and tokens follow that order; scoring reads all but words.
-_BLOCKS = "block long, doc_ids binary, id_null binary, held binary, n_words binary, tokens binary, classes binary, shard_sizes binary, end_at long, words binary"
-
-
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes of an array, all lowest ones first, which compress better."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
-
-
-def _unplanes(b: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
-
-
-def pack_small(a: np.ndarray) -> bytes:
-    """Compressed form of counts, most of them small."""
-    low = np.minimum(a, 255).astype(np.uint8)
-    big = a[a >= 255].astype(np.int64)
-    return zlib.compress(np.int64(len(a)).tobytes() + low.tobytes() + big.tobytes(), 1)
-
-
-def unpack_small(b: bytes) -> np.ndarray:
-    raw = zlib.decompress(b)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw[8 + n :], np.int64)
-    return out
-
-
-def _zigzag(a: np.ndarray) -> np.ndarray:
-    return np.where(a >= 0, 2 * a, -2 * a - 1)
+#: Answers are negative logarithms (base 10) in steps of this size.
+STEP = 2.0**-19
 
 
-def _unzigzag(a: np.ndarray) -> np.ndarray:
-    return np.where(a % 2 == 0, a // 2, -(a + 1) // 2)
+def pack(a: np.ndarray) -> bytes:
+    """Compressed non-negative integers: bytes of equal weight stand together."""
+    kind = np.min_scalar_type(int(a.max())) if len(a) else np.dtype(np.uint8)
+    raw = np.ascontiguousarray(a.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes()
+    return bytes([kind.itemsize]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-#: Of a pair's numbers (tables), and of a word's with its parent or at the root (customers, tables): which earlier one a
-#: number is the tables of, counting the count itself as 0. Of one customer or none there is nothing to tell.
-PAIR_TABLES, WORD_TABLES = (0,), (None, 1)
+def unpack(b: bytes) -> np.ndarray:
+    size, n = b[0], int.from_bytes(b[1:9], "little")
+    raw = np.frombuffer(pa.decompress(b[9:], n, codec="zstd", asbytes=True), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(raw.T).view(f"<u{size}").reshape(-1).astype(np.int64)
 
 
-def pack_samples(count: np.ndarray, samples: list[list[np.ndarray]], tables_of: tuple[int | None, ...]) -> bytes:
-    """Counts and the sampled numbers of each: tables by what they lack to their customers, customers by what changes."""
-    rows, first = [np.array([len(count)]), count], None
-    for sample in samples:
-        have = [count]
-        for j, x in enumerate(sample):
-            if tables_of[j] is None:
-                rows.append(_zigzag(x - (first[j] if first else have[-1])))
-            else:
-                customers = have[tables_of[j]]
-                rows.append((customers - x)[customers > 1])
-            have.append(x)
-        first = first or sample
-    return pack_small(np.concatenate(rows))
+def pack_ascending(a: np.ndarray) -> bytes:
+    return pack(np.diff(a, prepend=0))
 
 
-def unpack_samples(b: bytes, tables_of: tuple[int | None, ...]) -> np.ndarray:
-    """(1 + SAMPLES * len(tables_of), n): the count, then the numbers of each sample."""
-    raw, at = unpack_small(b), 1
+def unpack_ascending(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b))
 
-    def take(k: int) -> np.ndarray:
-        nonlocal at
-        at += k
-        return raw[at - k : at]
-
-    n = int(raw[0])
-    count = take(n)
-    out, first = [count], None
-    for _ in range(SAMPLES):
-        have = [count]
-        for j, q in enumerate(tables_of):
-            if q is None:
-                x = (first[j] if first else have[-1]) + _unzigzag(take(n))
-            else:
-                some = have[q] > 1
-                x = np.minimum(have[q], 1)
-                x[some] = have[q][some] - take(int(some.sum()))
-            have.append(x)
-        out += have[1:]
-        first = first or have[1:]
-    return np.stack(out)
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [c.split() for c in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}[k] for _, k in names]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=[n for n, _ in names])
 
-def _word_classes(t: tc.Texts) -> np.ndarray:
-    """Parent restaurant of the contexts that each word makes: by its last two bytes, or one."""
-    last = t.buf[t.end - 1].astype(np.uint64)
-    before = np.where(t.end - t.start > 1, t.buf[np.maximum(t.end - 2, 0)], 0).astype(np.uint64)
-    return (tc.mix(last * np.uint64(256) + before + np.uint64(1)) % np.uint64(PARENTS)).astype(np.uint8)
 
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows, schema)])
 
-def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
-    return (tc.mix(words ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(shards)).astype(np.int64)
 
+# Blocks: words are ascending hashes, counts those of training tokens, tokens the places of the texts' words (ends left out).
+_BLOCKS = "block long, doc_ids binary, id_null binary, held binary, n_words binary, tokens binary, words binary, counts binary, n_tokens long"
 
-def _blocks(shards: int):
-    """Tokenised blocks of about BLOCK_BYTES of text each."""
 
+def _blocks(batches):
     def block(number: int, held: list) -> pa.RecordBatch:
         ids = pa.concat_arrays([h[0].combine_chunks() if isinstance(h[0], pa.ChunkedArray) else h[0] for h in held])
-        found = np.append(np.concatenate([h[3] for h in held]), END)
-        words, at, local = np.unique(found, return_index=True, return_inverse=True)
-        classes = np.append(np.concatenate([h[4] for h in held]), 0)[at].astype(np.uint8)
-        shard = shard_of(words, shards)
-        order = np.argsort(shard, kind="stable")
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        local = place[local]
-        row = [
-            (TaskContext.get().partitionId() << 32) | number, np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(), np.asarray(ids.is_null()).tobytes(), np.concatenate([h[1] for h in held]).tobytes(),
-            np.concatenate([h[2] for h in held]).astype(np.int64).tobytes(), zlib.compress(_planes(local[:-1]), 1), classes[order].tobytes(),
-            zlib.compress(np.bincount(shard, minlength=shards).astype(np.uint32).tobytes(), 1), int(local[-1]), words[order].tobytes(),
-        ]
-        kinds = [pa.int64() if c.endswith("long") else pa.binary() for c in _BLOCKS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
+        out, n_words = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]).astype(np.int64)
+        words, place = np.unique(np.append(np.concatenate([h[3] for h in held]), END), return_inverse=True)
+        counts = np.bincount(place[:-1], np.repeat(~out, n_words), len(words)).astype(np.int64)
+        counts[place[-1]] += int((~out).sum())
+        row = (
+            (TaskContext.get().partitionId() << 32) | number, np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(), np.asarray(ids.is_null()).tobytes(), out.tobytes(), pack(n_words),
+            pack(place[:-1]), words.tobytes(), pack(counts), int(n_words.sum()) + len(n_words),
+        )
+        return _batch([row], _BLOCKS)
+
+    number, held, size = 0, [], 0
+    for batch in batches:
+        for i, j, t in tc.chunks(batch.column(2), lower=True):
+            held.append((batch.column(0).slice(i, j - i), np.asarray(batch.column(1).slice(i, j - i)).astype(bool), t.n_words, t.hash))
+            size += len(t.buf)
+            if size >= BLOCK_BYTES:
+                yield block(number, held)
+                held, size, number = [], 0, number + 1
+    if held:
+        yield block(number, held)
+
+
+# Words: a number is rank * ranges + range, ranks going by count; so frequent words have small numbers.
+_WORD_ASKS = "range long, block long, words binary, counts binary"
+_NUMBERS = "block long, range long, ranks binary, counts binary, n long, kinds long, curve array<double>"
+
+
+def _word_asks(ranges: int):
+    edges = np.array([(j << 64) // ranges for j in range(1, ranges)], np.uint64)
 
     def run(batches):
-        number, held, size = 0, [], 0
         for batch in batches:
-            for i, j, t in tc.chunks(batch.column(2), lower=True):
-                held.append((batch.column(0).slice(i, j - i), np.asarray(batch.column(1).slice(i, j - i)).astype(bool), t.n_words, t.hash, _word_classes(t)))
-                size += len(t.buf)
-                if size >= BLOCK_BYTES:
-                    yield block(number, held)
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield block(number, held)
+            for row in batch.select(["block", "words", "counts"]).to_pylist():
+                words, counts = np.frombuffer(row["words"], np.uint64), unpack(row["counts"])
+                cut = [0, *np.searchsorted(words, edges).tolist(), len(words)]
+                yield _batch([(j, row["block"], words[a:b].tobytes(), pack(counts[a:b])) for j, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b], _WORD_ASKS)
 
     return run
 
 
-class Block:
-    """A block's tokens as pairs (word, context), in the order in which shards are asked."""
+def _number(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """Rank and count of every word asked for; totals and the counts at ranks 1, 2, 4, ... in the last row."""
+    rows = group.to_pylist()
+    words = [np.frombuffer(x["words"], np.uint64) for x in rows]
+    distinct, back = np.unique(np.concatenate(words), return_inverse=True)
+    counts = np.bincount(back, np.concatenate([unpack(x["counts"]) for x in rows]), len(distinct)).astype(np.int64)
+    order = np.lexsort((distinct, -counts))
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    cut, me = np.cumsum([0, *(len(w) for w in words)]), key[0].as_py()
+    out = [(x["block"], me, pack(rank[back[a:b]]), pack(counts[back[a:b]]), 0, 0, None) for x, a, b in zip(rows, cut[:-1], cut[1:], strict=True)]
+    at = 1 << np.arange(40)
+    curve = np.where(at <= len(order), counts[order][np.minimum(at, len(order)) - 1], 0)
+    return _table([*out, (-1, me, b"", b"", int(counts.sum()), int((counts > 0).sum()), curve.astype(float).tolist())], _NUMBERS)
 
-    def __init__(self, row: dict, shards: int):
-        self.doc_ids, self.id_null = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["id_null"], bool)
-        self.held, n_words = np.frombuffer(row["held"], bool), np.frombuffer(row["n_words"], np.int64)
-        self.classes = np.frombuffer(row["classes"], np.uint8)
-        self.n_tokens = n_words + 1
-        stop = np.cumsum(self.n_tokens)
-        token = np.full(int(stop[-1]), row["end_at"], np.int64)
-        is_end = np.zeros(len(token), bool)
-        is_end[stop - 1] = True
-        token[~is_end] = _unplanes(zlib.decompress(row["tokens"]), np.uint32)
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[stop - self.n_tokens] = row["end_at"]
-        self.keys, self.pair = np.unique((token << 32) | before, return_inverse=True)
-        self.starts = stop - self.n_tokens
-        self.counts = np.bincount(self.pair, np.repeat(~self.held, self.n_tokens), len(self.keys)).astype(np.int64)
-        self.word, self.context = self.keys >> 32, self.keys & 0xFFFFFFFF
-        sizes = np.frombuffer(zlib.decompress(row["shard_sizes"]), np.uint32)
-        self.shard = np.repeat(np.arange(shards), sizes)[self.word]
-        self.parent = self.classes[self.context].astype(np.int64)
-
-
-_REQUESTS = "shard long, block long, words binary, pairs binary, contexts binary, classes binary, at binary, counts binary"
-
-
-def _requests(shards: int):
-    """What a block asks each shard: its words there, and of each the contexts (a list of hashes and places in it) and counts."""
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                b, words = Block(row, shards), np.frombuffer(row["words"], np.uint64)
-                cut = np.searchsorted(b.shard, np.arange(shards + 1))
-                out = []
-                for s in range(shards):
-                    sl = slice(cut[s], cut[s + 1])
-                    if cut[s] == cut[s + 1]:
-                        continue
-                    new = np.append(True, b.word[sl][1:] != b.word[sl][:-1])
-                    first = np.flatnonzero(new)
-                    contexts, at = np.unique(b.context[sl], return_inverse=True)
-                    out.append((s, row["block"], words[b.word[sl][first]].tobytes(), pack_small(np.diff(np.append(first, cut[s + 1] - cut[s]))), words[contexts].tobytes(), b.classes[contexts].tobytes(), _planes(at.astype(np.uint32)), pack_small(b.counts[sl])))
-                yield _batch(out, _REQUESTS)
+# Coded blocks: tokens are word numbers; hot ones are those of more than MOST training tokens.
+_CODED = "block long, doc_ids binary, id_null binary, held binary, n_words binary, known binary, base binary, tokens binary, hot binary, hot_counts binary, end_at long, end_count long"
 
-    return run
-
-
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    names = [c.split() for c in schema.split(", ")]
-    kinds = [pa.int64() if k == "long" else pa.binary() for _, k in names]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[n for n, _ in names])
 
+def _code(ranges: int, n: int, kinds: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            answers = sorted(right.to_pylist(), key=lambda x: x["range"])
+            number = np.concatenate([unpack(x["ranks"]) * ranges + x["range"] for x in answers])
+            count = np.concatenate([unpack(x["counts"]) for x in answers])
+            place, n_words = unpack(row["tokens"]), unpack(row["n_words"])
+            end = int(np.searchsorted(np.frombuffer(row["words"], np.uint64), END))
+            base = np.log10((count + 0.1) / (n + 0.1 * (kinds + 1)))
+            stop = np.cumsum(n_words)
+            known = tc.per_span(count[place] > 0, stop - n_words, stop) + int(count[end] > 0)
+            sums = np.zeros(len(place) + 1)
+            np.cumsum(base[place], out=sums[1:])
+            hot = np.flatnonzero(count > MOST)
+            hot = hot[np.argsort(number[hot])]
+            out.append((
+                row["block"], row["doc_ids"], row["id_null"], row["held"], row["n_words"], pack(known), (sums[stop] - sums[stop - n_words] + base[end]).tobytes(), pack(number[place]),
+                pack_ascending(number[hot]), pack(count[hot]), int(number[end]), int(count[end]),
+            ))
+        return _table(out, _CODED)
 
-class Draws:
-    """Coin tosses that depend on the dish, the customer and the sweep only."""
+    return run
 
-    def __init__(self, keys: np.ndarray, salt: int):
-        self.keys, self.salt = keys, tc.mix(np.array([salt + 20061], np.uint64))
 
-    def heads(self, live: np.ndarray, seated: int, some: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """How many of the customers after those seated, some of each dish in live, take a new table."""
-        out, width = np.zeros(len(live), np.int64), max(1, (1 << 20) // len(live))
-        for j in range(0, int(some.max()), width):
-            k = np.arange(j, min(j + width, int(some.max())))
-            u = tc.mix(self.keys[live][:, None] ^ tc.mix(self.salt + (seated + k).astype(np.uint64))[None, :]) >> np.uint64(11)
-            out += ((u * 2.0**-53 < p[:, None]) & (k[None, :] < some[:, None])).sum(1)
-        return out
+def classes(count: np.ndarray) -> np.ndarray:
+    """Restaurants of a word that so many training tokens follow."""
+    return np.maximum(1, -(-count // MOST))
 
 
-def seat(rng: np.random.Generator | Draws, customers: np.ndarray, mass: np.ndarray, discount: float) -> np.ndarray:
-    """Tables after all customers of a dish sat down one after another; mass: weight of a new table.
+def _hash(a: np.ndarray) -> np.ndarray:
+    return tc.mix(a.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
-    From the 32nd customer on, those of the next thirty-second part see the same tables, and sit down together.
-    """
-    tables, mass = (customers > 0).astype(np.int64), np.broadcast_to(mass, customers.shape)
-    live, seated = np.flatnonzero(customers > 1), 1
-    while len(live):
-        some = np.minimum(customers[live] - seated, max(1, seated // 32))
-        t = tables[live]
-        p = mass[live] / (mass[live] + seated - discount * t)
-        p = np.clip(p, 0, 1)
-        tables[live] = t + (rng.heads(live, seated, some, p) if isinstance(rng, Draws) else rng.binomial(some, p))
-        seated += max(1, seated // 32)
-        live = live[customers[live] > seated]
-    return tables
 
+class Triples:
+    """A block's tokens as distinct (last word, class, word before, token), in the order of shards."""
 
-#: Rows of a shard's state. Static: its words, contexts and counts of pairs. Tables: a sweep's. Sums: what shard part's words
-#: bring to the contexts that this shard owns. Reply: their sums over all shards, in the order of the shard that they go to.
-_STATE = "shard long, kind long, sweep long, part long, data binary"
-STATIC, TABLES, SUMS, REPLY, TOTALS = range(5)
-_ANSWER = "block long, shard long, pairs binary, parents binary, words binary, contexts binary"
+    def __init__(self, row: dict, shards: int):
+        self.n_words = unpack(row["n_words"])
+        n_tokens, end = self.n_words + 1, row["end_at"]
+        stop = np.cumsum(n_tokens)
+        self.starts = stop - n_tokens
+        token = np.full(int(stop[-1]), end, np.int64)
+        inner = np.ones(len(token), bool)
+        inner[stop - 1] = False
+        token[inner] = unpack(row["tokens"])
+        last, before = np.empty_like(token), np.empty_like(token)
+        last[1:], before[2:] = token[:-1], token[:-2]
+        last[self.starts] = end
+        second = self.starts[self.n_words > 0] + 1
+        before[second] = end
+        before[self.starts] = self.n_words % int(classes(np.int64(row["end_count"])))
+        numbers, place = np.unique(np.concatenate([token, last]), return_inverse=True)
+        split = np.ones(len(numbers), np.int64)
+        hot = unpack_ascending(row["hot"])
+        at = np.searchsorted(numbers, hot)
+        have = at < len(numbers)
+        have[have] = numbers[at[have]] == hot[have]
+        split[at[have]] = classes(unpack(row["hot_counts"])[have])
+        w, v = place[: len(token)], place[len(token) :]
+        u_numbers, u = np.unique(before, return_inverse=True)
+        kind = (_hash(u_numbers).astype(np.uint64) >> np.uint64(20)).astype(np.int64)[u] % split[v]
+        parents, parent = np.unique((v << 24) | kind, return_inverse=True)
+        self.parent_word, self.parent_class = numbers[parents >> 24], parents & 0xFFFFFF
+        shard = (_hash(self.parent_word * np.int64(0x10001) + self.parent_class) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.parent_word, self.parent_class, shard = self.parent_word[order], self.parent_class[order], shard[order]
+        contexts, context = np.unique((rank[parent] << 32) | u, return_inverse=True)
+        self.keys, self.at = np.unique((context << 32) | w, return_inverse=True)
+        of = self.keys >> 32
+        self.counts = np.bincount(self.at, np.repeat(~np.frombuffer(row["held"], bool), n_tokens), len(self.keys)).astype(np.int64)
+        self.token = numbers[self.keys & 0xFFFFFFFF]
+        self.before, self.context_parent = u_numbers[contexts & 0xFFFFFFFF], contexts >> 32
+        self.per_context, self.per_parent = np.bincount(of, minlength=len(contexts)), np.bincount(self.context_parent, minlength=len(order))
+        self.parent_cut = np.searchsorted(shard, np.arange(shards + 1))
+        self.context_cut = np.append(0, np.cumsum(self.per_parent))[self.parent_cut]
+        self.cut = np.append(0, np.cumsum(self.per_context))[self.context_cut]
 
 
-def _dump(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **{k: a.astype(np.min_scalar_type(int(a.max()))) if a.dtype == np.int64 and len(a) else a for k, a in arrays.items()})
-    return out.getvalue()
+_ASKS = "shard long, block long, parents binary, classes binary, contexts binary, befores binary, sizes binary, tokens binary, counts binary"
 
 
-def _load(data: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(data), allow_pickle=False) as f:
-        return {k: f[k].astype(np.int64) if f[k].dtype.kind in "ui" and k not in ("words", "contexts") else f[k] for k in f.files}
+def _asks(shards: int):
+    """What each block tells each shard: parents with how many contexts each, those with how many tokens each, and the tokens' counts."""
 
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                b, out = Triples(row, shards), []
+                for s in np.flatnonzero(np.diff(b.cut)).tolist():
+                    p, c, t = (slice(x[s], x[s + 1]) for x in (b.parent_cut, b.context_cut, b.cut))
+                    out.append((s, row["block"], pack_ascending(b.parent_word[p]), pack(b.parent_class[p]), pack(b.per_parent[p]), pack(b.before[c]), pack(b.per_context[c]), pack(b.token[t]), pack(b.counts[t])))
+                yield _batch(out, _ASKS)
 
-def _total(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(at, x, size).astype(np.int64)
+    return run
 
 
 class Shard:
-    """Words of a shard with their contexts; contexts are in the order of the shards that own them, then of hashes."""
-
-    def __init__(self, static: dict[str, np.ndarray], shards: int):
-        self.words, self.contexts, self.classes = static["words"], static["contexts"], static["classes"]
-        self.c2, self.context = static["counts"], static["at"]
-        self.word = np.repeat(np.arange(len(self.words)), static["pairs"])
-        self.mid, self.up = np.unique(self.word * PARENTS + self.classes[self.context], return_inverse=True)  # (word, parent)
-        self.parent, self.root = self.mid % PARENTS, self.mid // PARENTS
-        self.cut = np.searchsorted(shard_of(self.contexts, shards), np.arange(shards + 1))
-
-    def tables(self, t2: np.ndarray, t1: np.ndarray, t0: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Tables with the customers that they make: t2, n1, t1, n0, t0."""
-        return t2, _total(self.up, t2, len(self.mid)), t1, _total(self.root, t1, len(self.words)), t0
-
-    def first(self) -> tuple[np.ndarray, ...]:
-        """One table of each dish."""
-        t2 = (self.c2 > 0).astype(np.int64)
-        t1 = (_total(self.up, t2, len(self.mid)) > 0).astype(np.int64)
-        return self.tables(t2, t1, (_total(self.root, t1, len(self.words)) > 0).astype(np.int64))
-
-    def rows(self, me: int, sweep: int, state: tuple[np.ndarray, ...], counts: bool = False) -> list[tuple]:
-        """Sums for the owners of contexts, and totals of parents and root."""
-        t2, n1, t1, n0, t0 = state
-        sums = {"tables": _total(self.context, t2, len(self.contexts))} | ({"counts": _total(self.context, self.c2, len(self.contexts))} if counts else {})
-        out = [(o, SUMS, sweep, me, _dump(contexts=self.contexts[a:b], **{k: x[a:b] for k, x in sums.items()})) for o, (a, b) in enumerate(zip(self.cut[:-1], self.cut[1:], strict=True)) if a < b]
-        return [*out, (me, TOTALS, sweep, me, pack_small(np.concatenate([_total(self.parent, n1, PARENTS), _total(self.parent, t1, PARENTS), [t0.sum(), self.c2.sum()]]).astype(np.int64)))]
-
-    def sweep(self, number: int, state: tuple[np.ndarray, ...], tables2: np.ndarray, totals: np.ndarray, kinds: int) -> tuple[np.ndarray, ...]:
-        """Seats all customers anew, given the totals over all shards."""
-        t2, n1, t1, n0, t0 = state
-        (d2, d1, d0), (s2, s1, s0), base = DISCOUNT, STRENGTH, 1 / (kinds + 1)
-        n1_all, tables1, tables0 = totals[:PARENTS], totals[PARENTS : 2 * PARENTS], totals[2 * PARENTS]
-        p0 = (n0 - d0 * t0 + (s0 + d0 * tables0) * base) / (s0 + tables1.sum())
-        p1 = (n1 - d1 * t1 + (s1 + d1 * tables1[self.parent]) * p0[self.root]) / (s1 + n1_all[self.parent])
-        pairs = tc.mix(self.words[self.word] * np.uint64(0x9FB21C651E98DF25) + self.contexts[self.context])
-        t2 = seat(Draws(pairs, 3 * number), self.c2, (s2 + d2 * tables2[self.context]) * p1[self.up], d2)
-        n1 = _total(self.up, t2, len(self.mid))
-        mids = tc.mix(self.words[self.root] * np.uint64(0x9FB21C651E98DF25) + self.parent.astype(np.uint64))
-        t1 = seat(Draws(mids, 3 * number + 1), n1, (s1 + d1 * tables1[self.parent]) * p0[self.root], d1)
-        t0 = seat(Draws(self.words, 3 * number + 2), _total(self.root, t1, len(self.words)), np.float64((s0 + d0 * tables0) * base), d0)
-        return self.tables(t2, t1, t0)
-
-
-def _merge(shards: int):
-    """Merge what the blocks ask of one shard."""
+    """All restaurants of a shard: contexts (2) and their parents (1), with the dishes of each."""
+
+    def __init__(self, rows: list[dict]):
+        parent, kind, before, token, count, self.cut = [], [], [], [], [], [0]
+        for x in rows:
+            p, per_parent, per_context = unpack_ascending(x["parents"]), unpack(x["contexts"]), unpack(x["sizes"])
+            of_context = np.repeat(np.arange(len(p)), per_parent)
+            at = np.repeat(of_context, per_context)
+            parent.append(p[at])
+            kind.append(unpack(x["classes"])[at])
+            before.append(np.repeat(unpack(x["befores"]), per_context))
+            token.append(unpack(x["tokens"]))
+            count.append(unpack(x["counts"]))
+            self.cut.append(self.cut[-1] + len(token[-1]))
+        parent, kind = np.concatenate(parent), np.concatenate(kind)
+        self.words, w = np.unique(np.concatenate(token), return_inverse=True)
+        words, v = np.unique(parent, return_inverse=True)
+        parents, parent = np.unique((v << 24) | kind, return_inverse=True)
+        _, u = np.unique(np.concatenate(before), return_inverse=True)
+        contexts, context = np.unique((parent << 32) | u, return_inverse=True)
+        dishes, self.of = np.unique((context << 32) | w, return_inverse=True)
+        self.c2 = np.bincount(self.of, np.concatenate(count), len(dishes)).astype(np.int64)
+        self.restaurant2, word2, self.n2, self.n1 = dishes >> 32, dishes & 0xFFFFFFFF, len(contexts), len(parents)
+        mids, self.up = np.unique((contexts[self.restaurant2] >> 32 << 32) | word2, return_inverse=True)
+        self.restaurant1, self.word1 = mids >> 32, mids & 0xFFFFFFFF
+        self.t2 = np.minimum(self.c2, 1)
+        self.c1 = self._customers()
+        self.t1 = np.minimum(self.c1, 1)
+
+    def _customers(self) -> np.ndarray:
+        return np.bincount(self.up, self.t2, len(self.word1)).astype(np.int64)
+
+    def sweep(self, rng: np.random.Generator, p0: np.ndarray, parameters: list[tuple[float, float]]) -> None:
+        """Draws the tables of all dishes anew; p0: probability of each word in the root."""
+        p1 = r.distribution(rng, self.c1, self.t1, self.restaurant1, self.n1, p0[self.word1], *parameters[1])
+        self.t2 = r.resample(rng, self.c2, self.t2, self.restaurant2, self.n2, p1[self.up], *parameters[0])
+        self.c1 = self._customers()
+        self.t1 = np.minimum(self.t1, self.c1)
+        self.t1 = r.resample(rng, self.c1, self.t1, self.restaurant1, self.n1, p0[self.word1], *parameters[1])
+
+    def probabilities(self, p0: np.ndarray, parameters: list[tuple[float, float]]) -> np.ndarray:
+        p1 = r.predictive(self.c1, self.t1, self.restaurant1, self.n1, p0[self.word1], *parameters[1])
+        return r.predictive(self.c2, self.t2, self.restaurant2, self.n2, p1[self.up], *parameters[0])
+
+
+def _ordered(group: pa.Table) -> list[dict]:
+    return sorted(group.to_pylist(), key=lambda x: x["block"])
+
+
+_TABLES = "range long, shard long, ranks binary, tables binary, likelihood array<double>"
+
+
+def _warm_up(ranges: int, n: int, curve: np.ndarray):
+    """Sweeps with a root made of how often words of each rank occur; each word's tables go to its range."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        rows, me = group.to_pylist(), int(key[0].as_py())
-        words, back = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows]), return_inverse=True)
-        found = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
-        contexts, first, inverse = np.unique(np.concatenate(found), return_index=True, return_inverse=True)
-        classes = np.concatenate([np.frombuffer(r["classes"], np.uint8) for r in rows])[first]
-        order = np.argsort(shard_of(contexts, shards), kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        begin = np.cumsum([0, *(len(f) for f in found)])
-        at = place[inverse[np.concatenate([_unplanes(r["at"], np.uint32) + np.int64(b) for r, b in zip(rows, begin, strict=False)])]]
-        count = np.concatenate([unpack_small(r["counts"]) for r in rows])
-        pair, of = np.unique((np.repeat(back, np.concatenate([unpack_small(r["pairs"]) for r in rows])) << 32) | at, return_inverse=True)
-        static = {"words": words, "contexts": contexts[order], "classes": classes[order].astype(np.int64), "at": pair & 0xFFFFFFFF, "pairs": np.bincount(pair >> 32, minlength=len(words)), "counts": _total(of, count, len(pair))}
-        shard = Shard(static, shards)
-        out = [(me, STATIC, 0, me, _dump(**static)), *shard.rows(me, 0, shard.first(), counts=True)]
-        return pa.Table.from_batches([_batch(out, _STATE)])
+        me, shard = key[0].as_py(), Shard(_ordered(group))
+        rng = np.random.default_rng([6, me])
+        p0 = np.exp2(np.interp(np.log2(shard.words // ranges + 1), np.arange(len(curve)), np.log2(curve + 0.1))) / max(n, 1)
+        for _ in range(WARM_UP):
+            shard.sweep(rng, p0, FIRST)
+        tables = np.bincount(shard.word1, shard.t1, len(shard.words)).astype(np.int64)
+        fit = np.concatenate([r.likelihoods(shard.c2, shard.t2, shard.restaurant2, shard.n2), r.likelihoods(shard.c1, shard.t1, shard.restaurant1, shard.n1)]).reshape(-1)
+        mine, out = shard.words % ranges, [(-1, me, b"", b"", fit.tolist())]
+        for j in np.unique(mine).tolist():
+            out.append((j, me, pack_ascending(shard.words[mine == j] // ranges), pack(tables[mine == j]), None))
+        return _table(out, _TABLES)
 
     return run
 
 
-def _replies(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Sums over all shards of the tables in the contexts that one owns, for each shard that asked."""
-    me, rows = int(key[0].as_py()), group.to_pylist()
-    sent = [_load(r["data"]) for r in rows]
-    _, of = np.unique(np.concatenate([x["contexts"] for x in sent]), return_inverse=True)
-    whole = _total(of, np.concatenate([x["tables"] for x in sent]), int(of.max()) + 1)[of]
-    cut = np.cumsum([0, *(len(x["contexts"]) for x in sent)])
-    return pa.Table.from_batches([_batch([(r["part"], REPLY, r["sweep"], me, _dump(tables=whole[a:b])) for r, a, b in zip(rows, cut[:-1], cut[1:], strict=True)], _STATE)])
+_ROOT = "shard long, range long, customers binary, tables binary, n long, t long"
+
 
+def _seat_root(kinds: int):
+    """Seats the root's customers, the tables of all shards, word by word of a range."""
 
-def _sweep(shards: int, number: int, totals: np.ndarray, kinds: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        me, rows = int(key[0].as_py()), group.to_pylist()
-        shard = Shard(next(_load(r["data"]) for r in rows if r["kind"] == STATIC), shards)
-        before = next((_load(r["data"]) for r in rows if r["kind"] == TABLES), None)
-        state = shard.first() if before is None else shard.tables(before["t2"], before["t1"], before["t0"])
-        tables2 = np.concatenate([_load(r["data"])["tables"] for r in sorted((r for r in rows if r["kind"] == REPLY), key=lambda r: r["part"])])
-        state = shard.sweep(number, state, tables2, totals, kinds)
-        t2, _, t1, _, t0 = state
-        return pa.Table.from_batches([_batch([(me, TABLES, number, me, _dump(t2=t2, t1=t1, t0=t0)), *shard.rows(me, number, state)], _STATE)])
+        me, rows = key[0].as_py(), sorted(group.to_pylist(), key=lambda x: x["shard"])
+        ranks = [unpack_ascending(x["ranks"]) for x in rows]
+        distinct, back = np.unique(np.concatenate(ranks), return_inverse=True)
+        customers = np.bincount(back, np.concatenate([unpack(x["tables"]) for x in rows]), len(distinct)).astype(np.int64)
+        discount, strength = FIRST[2]
+        x = np.full(len(customers), (strength + discount * kinds) / (kinds + 1))  # every word has one table at first
+        tables = r.draw_tables(np.random.default_rng([7, me]), customers, x, discount)
+        cut = np.cumsum([0, *(len(a) for a in ranks)])
+        out = [(x["shard"], me, pack(customers[back[a:b]]), pack(tables[back[a:b]]), 0, 0) for x, a, b in zip(rows, cut[:-1], cut[1:], strict=True)]
+        return _table([*out, (-1, me, b"", b"", int(customers.sum()), int(tables.sum()))], _ROOT)
 
     return run
 
 
-def _answers(shards: int):
-    """Answer each block: samples of its pairs and words, and the totals over all shards of the contexts that its words make."""
+_ANSWERS = "block long, shard long, answers binary"
 
-    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        me, state = int(key[0].as_py()), right.to_pylist()
-        shard = Shard(next(_load(r["data"]) for r in state if r["kind"] == STATIC), shards)
-        kept = [shard.tables(x["t2"], x["t1"], x["t0"]) for x in (_load(r["data"]) for r in sorted((r for r in state if r["kind"] == TABLES), key=lambda r: r["sweep"]))]
-        totals, c0 = np.zeros((1 + SAMPLES, len(shard.words)), np.int64), _total(shard.word, shard.c2, len(shard.words))
-        for r in state:
-            if r["kind"] == SUMS:  # a context is a word that this shard has
-                x = _load(r["data"])
-                totals[max(0, r["sweep"] - BURN_IN), np.searchsorted(shard.words, x["contexts"])] += x["tables" if r["sweep"] else "counts"]
-        pair = (shard.word << 32) | shard.context
-        order = np.argsort(shard.contexts)
-        sorted_contexts = shard.contexts[order]
-        out = []
-        for r in left.to_pylist():
-            i = np.searchsorted(shard.words, np.frombuffer(r["words"], np.uint64))
-            context = order[np.searchsorted(sorted_contexts, np.frombuffer(r["contexts"], np.uint64))][_unplanes(r["at"], np.uint32)]
-            e = np.searchsorted(pair, (np.repeat(i, unpack_small(r["pairs"])) << 32) | context)
-            pairs = pack_samples(shard.c2[e], [[t2[e]] for t2, *_ in kept], PAIR_TABLES)
-            m = np.unique(shard.up[e])
-            parents = pack_samples(kept[0][1][m], [[n1[m], t1[m]] for _, n1, t1, _, _ in kept], WORD_TABLES)
-            of_words = pack_samples(c0[i], [[n0[i], t0[i]] for _, _, _, n0, t0 in kept], WORD_TABLES)
-            out.append((r["block"], me, pairs, parents, of_words, pack_small(totals[:, i].reshape(-1))))
-        return pa.Table.from_batches([_batch(out, _ANSWER)])
 
-    return run
+def _answer(ranges: int, kinds: int, parameters: list[tuple[float, float]], root: tuple[int, int]):
+    """Averages the probability of every dish over sweeps, and answers each block in the order of its tokens."""
 
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = _ordered(left)
+        if not rows:
+            return _table([], _ANSWERS)
+        me, shard = key[0].as_py(), Shard(rows)
+        p0, mine, (discount, strength) = np.empty(len(shard.words)), shard.words % ranges, parameters[2]
+        for x in right.to_pylist():
+            c, t = unpack(x["customers"]), unpack(x["tables"])
+            p0[mine == x["range"]] = (c - discount * t + (strength + discount * root[1]) / (kinds + 1)) / (strength + root[0])
+        rng, p = np.random.default_rng([8, me]), np.zeros(len(shard.c2))
+        for k in range(BURN_IN + SAMPLES):
+            shard.sweep(rng, p0, parameters)
+            if k >= BURN_IN:
+                p += shard.probabilities(p0, parameters) / SAMPLES
+        steps = np.rint(-np.log10(p) / STEP).astype(np.int64)[shard.of]
+        return _table([(x["block"], me, pack(steps[a:b])) for x, a, b in zip(rows, shard.cut[:-1], shard.cut[1:], strict=True)], _ANSWERS)
 
-def _sum_totals(table: pa.Table) -> pa.Table:
-    return pa.table({"totals": [pack_small(np.sum([unpack_small(x) for x in table.column("data").to_pylist()], axis=0))]})
+    return run
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(shards: int, samples: list[np.ndarray], n: int, kinds: int):
-    (d2, d1, d0), (s2, s1, s0) = DISCOUNT, STRENGTH
-
+def _score(shards: int, n: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            b = Block(row, shards)
-            answers = sorted(right.to_pylist(), key=lambda r: r["shard"])
-            pairs = np.concatenate([unpack_samples(r["pairs"], PAIR_TABLES) for r in answers], 1)
-            parents = np.concatenate([unpack_samples(r["parents"], WORD_TABLES) for r in answers], 1)
-            contexts = np.concatenate([unpack_small(r["contexts"]).reshape(1 + SAMPLES, -1) for r in answers], 1)
-            # answers are by the word's hash and the parent, pairs by the word's place and the context
-            mid = np.unique(b.word * PARENTS + b.parent, return_inverse=True)[1]
-            parents = parents[:, mid]
-            of_words = np.concatenate([unpack_samples(r["words"], WORD_TABLES) for r in answers], 1)
-            parent, p, word = b.parent, np.zeros(len(b.keys)), b.word
-            c0, c2_all = of_words[0][word], contexts[0][b.context]
-            for k, s in enumerate(samples):
-                t2, (n1, t1) = pairs[1 + k], parents[1 + 2 * k : 3 + 2 * k]
-                n0, t0 = of_words[1 + 2 * k][word], of_words[2 + 2 * k][word]
-                n1_all, tables1, tables0 = s[:PARENTS], s[PARENTS : 2 * PARENTS], s[2 * PARENTS]
-                p0 = (n0 - d0 * t0 + (s0 + d0 * tables0) / (kinds + 1)) / (s0 + tables1.sum())
-                p1 = (n1 - d1 * t1 + (s1 + d1 * tables1[parent]) * p0) / (s1 + n1_all[parent])
-                p += (pairs[0] - d2 * t2 + (s2 + d2 * contexts[1 + k][b.context]) * p1) / (s2 + c2_all)
-            log, known = np.log10(p / len(samples)), c0 > 0
-            base = np.log10((c0 + 0.1) / (n + 0.1 * (kinds + 1)))
-            per = [np.add.reduceat(x[b.pair], b.starts) for x in (known.astype(np.int64), base, log)]
+            b = Triples(row, shards)
+            log = -STEP * np.concatenate([unpack(x["answers"]) for x in sorted(right.to_pylist(), key=lambda x: x["shard"])])
             out.append(pa.table([
-                pa.array(b.doc_ids, mask=b.id_null), pa.array(b.held), pa.array(b.n_tokens), pa.array(per[0]), pa.array(np.full(len(b.held), n)), pa.array(per[1]), pa.array(per[2]),
+                pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["id_null"], bool)), pa.array(np.frombuffer(row["held"], bool)), pa.array(b.n_words + 1), pa.array(unpack(row["known"])),
+                pa.array(np.full(len(b.n_words), n)), pa.array(np.frombuffer(row["base"], float)), pa.array(np.add.reduceat(log[b.at], b.starts)),
             ], names=[c.split()[0] for c in _SCORES.split(", ")]))
         return pa.concat_tables(out)
 
@@ -447,30 +384,28 @@ def _score(shards: int, samples: list[np.ndarray], n: int, kinds: int):
 
 def score(spark: SparkSession, documents: DataFrame, parts: int = 10) -> DataFrame:
     """The contract's columns for each row of documents; rows of fold 0 are not learnt from."""
-    scratch, shards = Scratch(spark, "pitman-yor"), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    scratch = Scratch(spark, "pitman-yor")
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), (fold(documents["doc_id"], parts) == 0).alias("held"), documents["text"].cast("string").alias("text"))
-    blocks = scratch.write(rows.mapInArrow(_blocks(shards), _BLOCKS), "blocks", compression="zstd")
-    asked = blocks.mapInArrow(_requests(shards), _REQUESTS)
-
-    def totals(table: DataFrame) -> np.ndarray | None:
-        got = table.where(F.col("kind") == TOTALS).select("data", F.pmod("shard", F.lit(max(1, int(shards**0.5)))).alias("g")).groupBy("g").applyInArrow(_sum_totals, "totals binary").collect()
-        return np.sum([unpack_small(bytes(r[0])) for r in got], axis=0) if got else None
-
-    merged = scratch.write(asked.groupBy("shard").applyInArrow(_merge(shards), _STATE), "merged", compression="zstd")
-    static, last, of = merged.where(F.col("kind") == STATIC), merged, totals(merged)
-    if of is None:
+    blocks = scratch.write(rows.mapInArrow(releasing(_blocks), _BLOCKS), "blocks")
+    tokens = blocks.agg(F.sum("n_tokens")).first()[0]
+    if tokens is None:
         return spark.createDataFrame([], _SCORES)
-    n, kinds = int(of[-1]), int(of[2 * PARENTS])
-    state, samples = static.unionByName(merged.where(F.col("kind") == SUMS)), []
-    for number in range(1, BURN_IN + SAMPLES + 1):
-        replies = last.where(F.col("kind") == SUMS).groupBy("shard").applyInArrow(_replies, _STATE)
-        rows = static.unionByName(last.where(F.col("kind") == TABLES)).unionByName(replies)
-        last, before = scratch.write(rows.groupBy("shard").applyInArrow(_sweep(shards, number, of, kinds), _STATE), f"sweep{number}", compression="zstd"), number - 1
-        of = totals(last)
-        if 0 < before <= BURN_IN:
-            scratch.drop(f"sweep{before}")
-        if number > BURN_IN:
-            samples.append(of)
-            state = state.unionByName(last.where(F.col("kind").isin(TABLES, SUMS)))
-    answers = asked.drop("counts", "classes").groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(_answers(shards), _ANSWER)
-    return blocks.drop("words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, samples, n, kinds), _SCORES)
+    shards, ranges = -(-tokens // SHARD_TOKENS), -(-tokens // RANGE_TOKENS)
+
+    numbers = scratch.write(blocks.mapInArrow(_word_asks(ranges), _WORD_ASKS).groupBy("range").applyInArrow(_number, _NUMBERS), "numbers")
+    n, kinds = numbers.agg(F.sum("n"), F.sum("kinds")).first()
+    curve = [x[0] for x in numbers.where("block < 0").select(F.posexplode("curve").alias("at", "c")).groupBy("at").agg(F.avg("c").alias("c")).orderBy("at").select("c").collect()]
+    coded = blocks.drop("counts").groupBy("block").cogroup(numbers.where("block >= 0").groupBy("block")).applyInArrow(_code(ranges, n, kinds), _CODED)
+    coded = scratch.write(coded, "coded")
+    scratch.drop("blocks")
+    scratch.drop("numbers")
+
+    asks = coded.mapInArrow(_asks(shards), _ASKS)
+    tables = scratch.write(asks.groupBy("shard").applyInArrow(_warm_up(ranges, n, np.array(curve)), _TABLES), "tables")
+    fit = [x[0] for x in tables.where("range < 0").select(F.posexplode("likelihood").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").select("x").collect()]
+    rng, half = np.random.default_rng(6), len(fit) // 2
+    parameters = [r.sample_parameters(rng, np.array(fit[:half])), r.sample_parameters(rng, np.array(fit[half:])), FIRST[2]]
+    seated = scratch.write(tables.where("range >= 0").groupBy("range").applyInArrow(_seat_root(kinds), _ROOT), "root")
+    root = tuple(seated.agg(F.sum("n"), F.sum("t")).first())
+    answers = asks.groupBy("shard").cogroup(seated.where("shard >= 0").groupBy("shard")).applyInArrow(_answer(ranges, kinds, parameters, root), _ANSWERS)
+    return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, n), _SCORES)

@@ -146,80 +146,6 @@ def test_many_items_are_sharded(spark, docs, monkeypatch):
     assert len(idx) == 3 and decontaminate.leaks(docs([(1, ITEMS[4][1]), (2, ITEMS[20][1])]), idx).count() == 2
 
 
-def test_language_model_scores(spark, docs, odd_rows):
-    rng = random.Random(6)
-    vocabulary = prose(rng, 80).split()
-    rows = [*odd_rows, *((100 + k, " ".join(x for _ in range(20) for x in (rng.choice(vocabulary[:40]), rng.choice(vocabulary[40:])))) for k in range(120))]
-    got = pitman_yor.score(spark, docs(rows).repartition(3)).collect()
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-    tokens = [(i, [*(x or "").encode().translate(lower).split(), b"</end>"]) for i, x in rows]
-    c = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
-    n, v = sum(c.values()), len(c)
-    want = sorted((str(i), held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 4)) for i, ws in tokens)
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    some = [r for r in got if r.held_out and (r.doc_id or 0) >= 100]
-    assert some and sum(r.score for r in some) > sum(r.base_score for r in some)
-    assert pitman_yor.score(spark, docs([])).count() == 0
-
-
-def test_seating():
-    rng = np.random.default_rng(0)
-    c = np.array([0, 1, 2, 50, 5000])
-    t = pitman_yor.seat(rng, c, np.full(5, 2.0), 0.5)
-    assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[2:] >= 1).all()
-    a = np.array([0, 1, 254, 255, 256, 70000])
-    assert (pitman_yor.unpack_small(pitman_yor.pack_small(a)) == a).all()
-    samples = []
-    for _ in range(pitman_yor.SAMPLES):
-        few = pitman_yor.seat(rng, a, np.full(6, 3.0), 0.5)
-        above = few + rng.integers(0, 5, 6)
-        samples.append([few, above, pitman_yor.seat(rng, above, np.full(6, 3.0), 0.5)])
-    got = pitman_yor.unpack_samples(pitman_yor.pack_samples(a, samples, (0, None, 2)), (0, None, 2))
-    assert (got == np.array([a, *(x for s in samples for x in s)])).all()
-
-
-def test_contexts_of_one_class_and_hash_byte_stay_apart(spark, docs):
-    held, seen = lambda k: zlib.crc32(str(k).encode()) % 10 == 0, {}
-    words = [f"w{k}on" for k in range(600)]
-    for w, h in zip(words, chunk([" ".join(words)]).hash.tolist(), strict=True):
-        byte = int(pitman_yor.tc.mix(np.array([h], np.uint64))[0]) & 255
-        if byte in seen:
-            break
-        seen[byte] = w
-    one, two = seen[byte], w
-    train = [(k, f"{one} left" if k % 2 else f"{two} right") for k in range(2000) if not held(k)]
-    ids = [k for k in range(3000, 4000) if held(k)][:4]
-    texts = [f"{one} left", f"{one} right", f"{two} left", f"{two} right"]
-    got = {r.doc_id: r.score for r in pitman_yor.score(spark, docs([*train, *zip(ids, texts, strict=True)])).collect()}
-    right, wrong = (got[ids[0]], got[ids[3]]), (got[ids[1]], got[ids[2]])
-    assert min(right) > max(wrong) + 1
-
-
-def test_scores_do_not_depend_on_partitions(spark, docs):
-    rng, found = random.Random(9), []
-    vocabulary = prose(rng, 60).split()
-    table = docs([(k, " ".join(rng.choices(vocabulary, k=rng.randrange(30)))) for k in range(150)])
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        for parts in (1, 2, 7):
-            spark.conf.set("spark.sql.shuffle.partitions", parts)
-            found.append({r.doc_id: round(r.score, 8) for r in pitman_yor.score(spark, table.repartition(parts)).collect()})
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert len(found[0]) == 150 and found[0] == found[1] == found[2]
-
-
-def test_probabilities_add_up_to_one(spark, docs):
-    """Over all texts of at most six tokens of a known vocabulary and one unknown word; longer ones are rare in training."""
-    rng, held = random.Random(5), lambda k: zlib.crc32(str(k).encode()) % 10 == 0
-    train = [(k, " ".join(rng.choices("ab", k=rng.randrange(3)))) for k in range(400) if not held(k)]
-    texts = [" ".join(p) for n in range(7) for p in itertools.product(["a", "b", "zz"], repeat=n)]
-    ids = [k for k in range(1000, 20000) if held(k)][: len(texts)]
-    got = pitman_yor.score(spark, docs([*train, *zip(ids, texts, strict=True)])).where("held_out and doc_id >= 1000").collect()
-    assert len(got) == len(texts) and 0.99 < sum(10**r.score for r in got) <= 1 + 1e-9
-
-
 def test_pipeline_stages(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
