@@ -37,10 +37,12 @@ from .worker import releasing
 
 #: Sweeps of a shard before the root is seated, and before and while probabilities are averaged.
 WARM_UP, BURN_IN, SAMPLES = 2, 2, 3
-BLOCK_BYTES = 8 << 20
-SHARD_TOKENS = 1_500_000
+BLOCK_BYTES = 4 << 20
+SHARD_TOKENS = 600_000
 RANGE_TOKENS = 20_000_000
 MOST = 200_000
+#: Bits of a number that holds a parent, a word before and a token, where they fit.
+KEY_BITS = 62
 #: Discount and strength of contexts, parents and root until they are sampled.
 FIRST = ((0.8, 1.0), (0.8, 2.0), (0.6, 50.0))
 END = np.uint64(0xE7037ED1A0B428DB)
@@ -69,6 +71,21 @@ def unpack_ascending(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b))
 
 
+def codes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in ascending order, and each value's place among them."""
+    found = pa.array(a).dictionary_encode()
+    values, place = np.asarray(found.dictionary), np.asarray(found.indices)
+    order = np.argsort(values)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return values[order], rank[place]
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where new values begin in ascending keys."""
+    return np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     names = [c.split() for c in schema.split(", ")]
     kinds = [{"long": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}[k] for _, k in names]
@@ -87,7 +104,7 @@ def _blocks(batches):
     def block(number: int, held: list) -> pa.RecordBatch:
         ids = pa.concat_arrays([h[0].combine_chunks() if isinstance(h[0], pa.ChunkedArray) else h[0] for h in held])
         out, n_words = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]).astype(np.int64)
-        words, place = np.unique(np.append(np.concatenate([h[3] for h in held]), END), return_inverse=True)
+        words, place = codes(np.append(np.concatenate([h[3] for h in held]), END))
         counts = np.bincount(place[:-1], np.repeat(~out, n_words), len(words)).astype(np.int64)
         counts[place[-1]] += int((~out).sum())
         row = (
@@ -130,7 +147,7 @@ def _number(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     """Rank and count of every word asked for; totals and the counts at ranks 1, 2, 4, ... in the last row."""
     rows = group.to_pylist()
     words = [np.frombuffer(x["words"], np.uint64) for x in rows]
-    distinct, back = np.unique(np.concatenate(words), return_inverse=True)
+    distinct, back = codes(np.concatenate(words))
     counts = np.bincount(back, np.concatenate([unpack(x["counts"]) for x in rows]), len(distinct)).astype(np.int64)
     order = np.lexsort((distinct, -counts))
     rank = np.empty_like(order)
@@ -142,8 +159,8 @@ def _number(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     return _table([*out, (-1, me, b"", b"", int(counts.sum()), int((counts > 0).sum()), curve.astype(float).tolist())], _NUMBERS)
 
 
-# Coded blocks: tokens are word numbers; hot ones are those of more than MOST training tokens.
-_CODED = "block long, doc_ids binary, id_null binary, held binary, n_words binary, known binary, base binary, tokens binary, hot binary, hot_counts binary, end_at long, end_count long"
+# Coded blocks: numbers are those of its words, ascending; tokens are places among them; hot ones are those of more than MOST training tokens.
+_CODED = "block long, doc_ids binary, id_null binary, held binary, n_words binary, known binary, base binary, numbers binary, tokens binary, hot binary, hot_counts binary, end long, end_count long"
 
 
 def _code(ranges: int, n: int, kinds: int):
@@ -152,19 +169,21 @@ def _code(ranges: int, n: int, kinds: int):
         for row in left.to_pylist():
             answers = sorted(right.to_pylist(), key=lambda x: x["range"])
             number = np.concatenate([unpack(x["ranks"]) * ranges + x["range"] for x in answers])
-            count = np.concatenate([unpack(x["counts"]) for x in answers])
-            place, n_words = unpack(row["tokens"]), unpack(row["n_words"])
-            end = int(np.searchsorted(np.frombuffer(row["words"], np.uint64), END))
+            order = np.argsort(number)
+            count = np.concatenate([unpack(x["counts"]) for x in answers])[order]
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            place, n_words = rank[unpack(row["tokens"])], unpack(row["n_words"])
+            end = int(rank[np.searchsorted(np.frombuffer(row["words"], np.uint64), END)])
             base = np.log10((count + 0.1) / (n + 0.1 * (kinds + 1)))
             stop = np.cumsum(n_words)
             known = tc.per_span(count[place] > 0, stop - n_words, stop) + int(count[end] > 0)
             sums = np.zeros(len(place) + 1)
             np.cumsum(base[place], out=sums[1:])
             hot = np.flatnonzero(count > MOST)
-            hot = hot[np.argsort(number[hot])]
             out.append((
-                row["block"], row["doc_ids"], row["id_null"], row["held"], row["n_words"], pack(known), (sums[stop] - sums[stop - n_words] + base[end]).tobytes(), pack(number[place]),
-                pack_ascending(number[hot]), pack(count[hot]), int(number[end]), int(count[end]),
+                row["block"], row["doc_ids"], row["id_null"], row["held"], row["n_words"], pack(known), (sums[stop] - sums[stop - n_words] + base[end]).tobytes(), pack_ascending(number[order]), pack(place),
+                pack(hot), pack(count[hot]), end, int(count[end]),
             ))
         return _table(out, _CODED)
 
@@ -183,108 +202,143 @@ def _hash(a: np.ndarray) -> np.ndarray:
 class Triples:
     """A block's tokens as distinct (last word, class, word before, token), in the order of shards."""
 
-    def __init__(self, row: dict, shards: int):
-        self.n_words = unpack(row["n_words"])
-        n_tokens, end = self.n_words + 1, row["end_at"]
+    def __init__(self, row: dict, shards: int, places: bool):
+        n_words, end, numbers = unpack(row["n_words"]), row["end"], unpack_ascending(row["numbers"])
+        n_tokens = n_words + 1
         stop = np.cumsum(n_tokens)
-        self.starts = stop - n_tokens
-        token = np.full(int(stop[-1]), end, np.int64)
-        inner = np.ones(len(token), bool)
+        self.n_words, self.starts = n_words, stop - n_tokens
+        w = np.full(int(stop[-1]), end, np.int64)
+        inner = np.ones(len(w), bool)
         inner[stop - 1] = False
-        token[inner] = unpack(row["tokens"])
-        last, before = np.empty_like(token), np.empty_like(token)
-        last[1:], before[2:] = token[:-1], token[:-2]
-        last[self.starts] = end
-        second = self.starts[self.n_words > 0] + 1
-        before[second] = end
-        before[self.starts] = self.n_words % int(classes(np.int64(row["end_count"])))
-        numbers, place = np.unique(np.concatenate([token, last]), return_inverse=True)
+        w[inner] = unpack(row["tokens"])
+        v, u = np.empty_like(w), np.empty_like(w)
+        v[1:], u[2:] = w[:-1], w[:-2]
+        v[self.starts] = end
+        u[self.starts[n_words > 0] + 1] = end
+        # words before are numbered on for texts' beginnings, whose class is by their number of words
+        begin = n_words % int(classes(np.int64(row["end_count"])))
+        u[self.starts] = len(numbers) + begin
+        befores = np.append(numbers, np.arange(int(begin.max()) + 1))
         split = np.ones(len(numbers), np.int64)
-        hot = unpack_ascending(row["hot"])
-        at = np.searchsorted(numbers, hot)
-        have = at < len(numbers)
-        have[have] = numbers[at[have]] == hot[have]
-        split[at[have]] = classes(unpack(row["hot_counts"])[have])
-        w, v = place[: len(token)], place[len(token) :]
-        u_numbers, u = np.unique(before, return_inverse=True)
-        kind = (_hash(u_numbers).astype(np.uint64) >> np.uint64(20)).astype(np.int64)[u] % split[v]
-        parents, parent = np.unique((v << 24) | kind, return_inverse=True)
-        self.parent_word, self.parent_class = numbers[parents >> 24], parents & 0xFFFFFF
+        split[unpack(row["hot"])] = classes(unpack(row["hot_counts"]))
+        first = np.cumsum(split) - split
+        parent = first[v]
+        several = np.flatnonzero(split[v] > 1)
+        parent[several] += (_hash(befores[u[several]]) >> np.uint64(20)).astype(np.int64) % split[v[several]]
+        seen = np.zeros(int(split.sum()), bool)
+        seen[parent] = True
+        kept = np.flatnonzero(seen)
+        word = np.searchsorted(first, kept, side="right") - 1
+        self.parent_word, self.parent_class = numbers[word], kept - first[word]
         shard = (_hash(self.parent_word * np.int64(0x10001) + self.parent_class) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
+        rank = np.zeros(len(seen), np.int64)
+        rank[kept[order]] = np.arange(len(order))
         self.parent_word, self.parent_class, shard = self.parent_word[order], self.parent_class[order], shard[order]
-        contexts, context = np.unique((rank[parent] << 32) | u, return_inverse=True)
-        self.keys, self.at = np.unique((context << 32) | w, return_inverse=True)
-        of = self.keys >> 32
-        self.counts = np.bincount(self.at, np.repeat(~np.frombuffer(row["held"], bool), n_tokens), len(self.keys)).astype(np.int64)
-        self.token = numbers[self.keys & 0xFFFFFFFF]
-        self.before, self.context_parent = u_numbers[contexts & 0xFFFFFFFF], contexts >> 32
-        self.per_context, self.per_parent = np.bincount(of, minlength=len(contexts)), np.bincount(self.context_parent, minlength=len(order))
+        # a key holds parent, word before, token and whether the text is held out
+        bits_u, bits_w = len(befores).bit_length(), len(numbers).bit_length()
+        context, values = (rank[parent] << bits_u) | u, None
+        if len(order).bit_length() + bits_u + bits_w > KEY_BITS:
+            values, context = codes(context)
+        key = (context << bits_w) | w
+        out = np.repeat(np.frombuffer(row["held"], bool), n_tokens)
+        if places:
+            sort = np.argsort(key)
+            key, out = key[sort], out[sort]
+            new = _runs(key)
+            self.at = np.empty_like(sort)
+            self.at[sort] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
+            counts = np.add.reduceat((~out).astype(np.int64), new)
+        else:
+            key = np.sort((key << 1) | out)
+            out, key = key & 1, key >> 1
+            new = _runs(key)
+            counts = np.add.reduceat(1 - out, new)
+        self.keys, self.counts = key[new], counts
+        context = self.keys >> bits_w
+        at = _runs(context)
+        pairs = context[at] if values is None else values[context[at]]
+        self.token, self.before, context_parent = numbers[self.keys & ((1 << bits_w) - 1)], befores[pairs & ((1 << bits_u) - 1)], pairs >> bits_u
+        self.per_context, self.per_parent = np.diff(np.append(at, len(context))), np.bincount(context_parent, minlength=len(order))
+        self.context_parent = context_parent
         self.parent_cut = np.searchsorted(shard, np.arange(shards + 1))
         self.context_cut = np.append(0, np.cumsum(self.per_parent))[self.parent_cut]
         self.cut = np.append(0, np.cumsum(self.per_context))[self.context_cut]
 
+    def asks(self, block: int) -> list[tuple]:
+        """What each shard is told: parents with how many contexts each, those with how many tokens each, and the tokens' counts."""
+        out = []
+        for s in np.flatnonzero(np.diff(self.cut)).tolist():
+            p, c, t = (slice(x[s], x[s + 1]) for x in (self.parent_cut, self.context_cut, self.cut))
+            out.append((
+                s, block, pack_ascending(self.parent_word[p]), pack(self.parent_class[p]), pack(self.per_parent[p]), pack(self.before[c]), pack(self.per_context[c]), pack(self.token[t]), pack(self.counts[t]),
+            ))
+        return out
+
 
 _ASKS = "shard long, block long, parents binary, classes binary, contexts binary, befores binary, sizes binary, tokens binary, counts binary"
 
 
 def _asks(shards: int):
-    """What each block tells each shard: parents with how many contexts each, those with how many tokens each, and the tokens' counts."""
-
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                b, out = Triples(row, shards), []
-                for s in np.flatnonzero(np.diff(b.cut)).tolist():
-                    p, c, t = (slice(x[s], x[s + 1]) for x in (b.parent_cut, b.context_cut, b.cut))
-                    out.append((s, row["block"], pack_ascending(b.parent_word[p]), pack(b.parent_class[p]), pack(b.per_parent[p]), pack(b.before[c]), pack(b.per_context[c]), pack(b.token[t]), pack(b.counts[t])))
-                yield _batch(out, _ASKS)
+                yield _batch(Triples(row, shards, False).asks(row["block"]), _ASKS)
 
     return run
 
 
 class Shard:
-    """All restaurants of a shard: contexts (2) and their parents (1), with the dishes of each."""
+    """All restaurants of a shard: contexts (2) and their parents (1), with the dishes of each.
+
+    Dishes of one customer always have one table; sweeps go over the others (live) and the restaurants that have such.
+    """
 
     def __init__(self, rows: list[dict]):
-        parent, kind, before, token, count, self.cut = [], [], [], [], [], [0]
-        for x in rows:
-            p, per_parent, per_context = unpack_ascending(x["parents"]), unpack(x["contexts"]), unpack(x["sizes"])
-            of_context = np.repeat(np.arange(len(p)), per_parent)
-            at = np.repeat(of_context, per_context)
-            parent.append(p[at])
-            kind.append(unpack(x["classes"])[at])
-            before.append(np.repeat(unpack(x["befores"]), per_context))
-            token.append(unpack(x["tokens"]))
-            count.append(unpack(x["counts"]))
-            self.cut.append(self.cut[-1] + len(token[-1]))
-        parent, kind = np.concatenate(parent), np.concatenate(kind)
-        self.words, w = np.unique(np.concatenate(token), return_inverse=True)
-        words, v = np.unique(parent, return_inverse=True)
-        parents, parent = np.unique((v << 24) | kind, return_inverse=True)
-        _, u = np.unique(np.concatenate(before), return_inverse=True)
-        contexts, context = np.unique((parent << 32) | u, return_inverse=True)
-        dishes, self.of = np.unique((context << 32) | w, return_inverse=True)
-        self.c2 = np.bincount(self.of, np.concatenate(count), len(dishes)).astype(np.int64)
-        self.restaurant2, word2, self.n2, self.n1 = dishes >> 32, dishes & 0xFFFFFFFF, len(contexts), len(parents)
-        mids, self.up = np.unique((contexts[self.restaurant2] >> 32 << 32) | word2, return_inverse=True)
-        self.restaurant1, self.word1 = mids >> 32, mids & 0xFFFFFFFF
+        parent, kind, per_parent, before, per_context, token, count = ([f(x[c]) for x in rows] for f, c in (
+            (unpack_ascending, "parents"), (unpack, "classes"), (unpack, "contexts"), (unpack, "befores"), (unpack, "sizes"), (unpack, "tokens"), (unpack, "counts")))
+        self.cut = np.cumsum([0, *map(len, token)]).tolist()
+        self.words, w = codes(np.concatenate(token))
+        _, parent = codes((np.concatenate(parent) << 24) | np.concatenate(kind))
+        befores, u = codes(np.concatenate(before))
+        bits_u, bits_w = len(befores).bit_length(), len(self.words).bit_length()
+        self.n1 = int(parent.max()) + 1
+        context, values = (np.repeat(parent, np.concatenate(per_parent)) << bits_u) | u, None
+        if self.n1.bit_length() + bits_u + bits_w > KEY_BITS:
+            values, context = codes(context)
+        key = (np.repeat(context, np.concatenate(per_context)) << bits_w) | w
+        sort = np.argsort(key)
+        key = key[sort]
+        new = _runs(key)
+        self.of = np.empty_like(sort)
+        self.of[sort] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
+        self.c2 = np.add.reduceat(np.concatenate(count)[sort], new)
+        key = key[new]
+        starts = _runs(key >> bits_w)
+        self.n2 = len(starts)
+        self.restaurant2 = np.repeat(np.arange(self.n2), np.diff(np.append(starts, len(key))))
+        of_parent = (key >> bits_w if values is None else values[key >> bits_w]) >> bits_u
+        mids, self.up = codes((of_parent << bits_w) | (key & ((1 << bits_w) - 1)))
+        self.restaurant1, self.word1 = mids >> bits_w, mids & ((1 << bits_w) - 1)
         self.t2 = np.minimum(self.c2, 1)
-        self.c1 = self._customers()
+        self.live2 = np.flatnonzero(self.c2 > 1)
+        self.up_live = self.up[self.live2]
+        self.fixed1 = self._customers(np.flatnonzero(self.c2 == 1))
+        self.c1 = self.fixed1 + self._customers(self.live2)
         self.t1 = np.minimum(self.c1, 1)
+        self.live1 = np.flatnonzero(np.bincount(self.up, self.c2, len(mids)) > 1)
+        self.asked1, self.asked = codes(self.up_live)
 
-    def _customers(self) -> np.ndarray:
-        return np.bincount(self.up, self.t2, len(self.word1)).astype(np.int64)
+    def _customers(self, dishes: np.ndarray) -> np.ndarray:
+        return np.bincount(self.up[dishes], self.t2[dishes], len(self.word1)).astype(np.int64)
 
     def sweep(self, rng: np.random.Generator, p0: np.ndarray, parameters: list[tuple[float, float]]) -> None:
         """Draws the tables of all dishes anew; p0: probability of each word in the root."""
-        p1 = r.distribution(rng, self.c1, self.t1, self.restaurant1, self.n1, p0[self.word1], *parameters[1])
-        self.t2 = r.resample(rng, self.c2, self.t2, self.restaurant2, self.n2, p1[self.up], *parameters[0])
-        self.c1 = self._customers()
+        p1 = r.distribution(rng, self.c1, self.t1, self.restaurant1, self.n1, p0[self.word1], *parameters[1], self.asked1)
+        self.t2[self.live2] = r.resample(rng, self.c2, self.t2, self.restaurant2, self.n2, p1[self.asked], *parameters[0], self.live2)
+        self.c1 = self.fixed1 + np.bincount(self.up_live, self.t2[self.live2], len(self.word1)).astype(np.int64)
         self.t1 = np.minimum(self.t1, self.c1)
-        self.t1 = r.resample(rng, self.c1, self.t1, self.restaurant1, self.n1, p0[self.word1], *parameters[1])
+        self.t1[self.live1] = r.resample(rng, self.c1, self.t1, self.restaurant1, self.n1, p0[self.word1[self.live1]], *parameters[1], self.live1)
 
     def probabilities(self, p0: np.ndarray, parameters: list[tuple[float, float]]) -> np.ndarray:
         p1 = r.predictive(self.c1, self.t1, self.restaurant1, self.n1, p0[self.word1], *parameters[1])
@@ -326,7 +380,7 @@ def _seat_root(kinds: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         me, rows = key[0].as_py(), sorted(group.to_pylist(), key=lambda x: x["shard"])
         ranks = [unpack_ascending(x["ranks"]) for x in rows]
-        distinct, back = np.unique(np.concatenate(ranks), return_inverse=True)
+        distinct, back = codes(np.concatenate(ranks))
         customers = np.bincount(back, np.concatenate([unpack(x["tables"]) for x in rows]), len(distinct)).astype(np.int64)
         discount, strength = FIRST[2]
         x = np.full(len(customers), (strength + discount * kinds) / (kinds + 1))  # every word has one table at first
@@ -371,7 +425,7 @@ def _score(shards: int, n: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            b = Triples(row, shards)
+            b = Triples(row, shards, True)
             log = -STEP * np.concatenate([unpack(x["answers"]) for x in sorted(right.to_pylist(), key=lambda x: x["shard"])])
             out.append(pa.table([
                 pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["id_null"], bool)), pa.array(np.frombuffer(row["held"], bool)), pa.array(b.n_words + 1), pa.array(unpack(row["known"])),
