@@ -454,7 +454,8 @@ def score(spark: SparkSession, documents: DataFrame, parts: int = 10) -> DataFra
     scratch.drop("blocks")
     scratch.drop("numbers")
 
-    asks = coded.mapInArrow(_asks(shards), _ASKS)
+    # a task takes a few shards, however many there are
+    asks = coded.mapInArrow(_asks(shards), _ASKS).repartition(-(-shards // 4), "shard")
     tables = scratch.write(asks.groupBy("shard").applyInArrow(_warm_up(ranges, n, np.array(curve)), _TABLES), "tables")
     fit = [x[0] for x in tables.where("range < 0").select(F.posexplode("likelihood").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").select("x").collect()]
     rng, half = np.random.default_rng(6), len(fit) // 2
