@@ -19,8 +19,8 @@ def strip(text: Column | str) -> Column:
 
 def tokens(text: Column) -> Column:
     """Sorted set of lower-case ASCII alphanumeric tokens without stopwords."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
-    return F.array_sort(F.array_except(F.array_distinct(found), strings(*STOPWORDS)))
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")
+    return F.sort_array(F.array_except(parts, strings("", *STOPWORDS)))
 
 
 def words(text: Column) -> Column:

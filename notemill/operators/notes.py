@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..schema import TYPE_DIRS
+from . import rank
 
 
 def note_type(path: Column) -> Column:
@@ -21,8 +22,9 @@ def parse(files: DataFrame) -> DataFrame:
     front, body = t.body_and_front(F.col("text"))
     rows = files.withColumns({"front": front, "body": t.strip_private(body)}).withColumn("sections", t.section_lines(F.col("body")))
     value = lambda key: t.front_value(F.col("front"), key)
+    kept = [c for c in ("path", "mtime", "hash", "size") if c in files.columns]
     return rows.select(
-        t.logical_path(F.col("path")).alias("rel_path"), note_type(F.col("path")).alias("type"), "text", "body", "sections", "front",
+        *kept, t.logical_path(F.col("path")).alias("rel_path"), note_type(F.col("path")).alias("type"), "text", "body", "sections", "front",
         t.title(F.col("body")).alias("title"), value("created").alias("created"), value("updated").alias("updated"), t.timestamp(value("updated")).alias("updated_ts"),
         t.clamp(F.coalesce(value("confidence").try_cast("double"), F.lit(0.5))).alias("confidence"),
         F.lower(value("source")).alias("source"), F.lower(value("scope")).alias("scope"), F.lower(F.coalesce(value("lang"), F.lit("en"))).alias("lang"), F.lower(value("status")).alias("status"),
@@ -30,8 +32,8 @@ def parse(files: DataFrame) -> DataFrame:
     )
 
 
-def candidates(parsed: DataFrame) -> DataFrame:
-    """Ranking rows of parsed notes."""
+def candidates(parsed: DataFrame, *kept: str) -> DataFrame:
+    """Ranking rows of parsed notes; columns to keep besides are those of the files."""
     get = lambda name: t.strip(t.section(F.col("sections"), name))
     is_loop, first = F.col("type") == "loop", t.first_content_line(F.col("body"))
     rows = parsed.withColumns({
@@ -48,34 +50,29 @@ def candidates(parsed: DataFrame) -> DataFrame:
         t.tokens(F.concat_ws(" ", "title", "statement", "body", F.array_join("tags", " "), "slug")).alias("note_tokens"),
         t.tokens(F.array_join("tags", " ")).alias("tag_tokens"),
         F.array_sort(F.array_union(t.tokens(F.concat_ws(" ", "title", "statement", "snippet", F.array_join("tags", " "), "scope", "status", "next_action", "slug")), t.link_tokens(F.col("body")))).alias("attention_tokens"),
-        "snippet", "next_action", "has_next_action_checkbox", t.word_count(F.col("body")).alias("word_count"),
+        "snippet", "next_action", "has_next_action_checkbox", t.word_count(F.col("body")).alias("word_count"), *kept,
     )
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """token, paths: inverted index over note and tag tokens (and attention tokens where present)."""
+def postings(rows: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """token, part, paths: inverted index over note and tag tokens (and attention tokens where present).
+
+    The paths of a frequent token are in several parts of about chunk paths each, by their hash.
+    """
     sets = [F.col(c) for c in ("note_tokens", "tag_tokens", "attention_tokens") if c in rows.columns]
     all_tokens = sets[0]
     for s in sets[1:]:
         all_tokens = F.array_union(all_tokens, s)
-    return rows.select(F.explode(all_tokens).alias("token"), "rel_path").groupBy("token").agg(F.sort_array(F.collect_set("rel_path")).alias("paths"))
+    held = rows.select(F.explode(all_tokens).alias("token"), "rel_path")
+    frequent = held.groupBy("token").agg(F.ceil(F.count("*") / chunk).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("rel_path"), F.coalesce("parts", F.lit(1)))
+    return held.join(frequent, "token", "left").withColumn("part", part).groupBy("token", "part").agg(F.sort_array(F.collect_set("rel_path")).alias("paths"))
 
 
-def index_pool(queries: DataFrame, rows: DataFrame, minimum: int = 24) -> DataFrame:
-    """query_id, rel_path, matched: notes that share a token or the scope, padded with the newest others up to minimum.
-
-    Padding needs at most minimum + matched notes of each query, so only the newest of all notes are joined for it:
-    with fewer matches than minimum, the first 2 * minimum newest hold enough others.
-    """
-    token = queries.select("query_id", F.explode("query_tokens").alias("token")).join(rows.select("rel_path", F.explode(F.array_union("note_tokens", "tag_tokens")).alias("token")), "token").select("query_id", "rel_path")
-    scope = queries.where("query_scope <> 'all'").join(rows.select("rel_path", t.canonical_scope(F.col("scope")).alias("query_scope")), "query_scope").select("query_id", "rel_path")
-    matched = token.unionByName(scope).distinct()
-    counts = queries.select("query_id").join(matched.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    newest = rows.select("rel_path", "updated").orderBy(F.desc("updated"), F.desc("rel_path")).limit(2 * minimum)
-    short = counts.where((F.col("n") > 0) & (F.col("n") < minimum)).crossJoin(F.broadcast(newest)).join(matched, ["query_id", "rel_path"], "left_anti")
-    order = Window.partitionBy("query_id").orderBy(F.desc("updated"), F.desc("rel_path"))
-    pad = short.withColumn("rn", F.row_number().over(order)).where(F.col("rn") + F.col("n") <= minimum).select("query_id", "rel_path")
-    return matched.withColumn("matched", F.lit(True)).unionByName(pad.withColumn("matched", F.lit(False)))
+def index_pool(queries: DataFrame, index: rank.Index, minimum: int = 24) -> DataFrame:
+    """query_id, rel_path, matched: notes that share a token or the scope, padded with the newest others up to minimum; all
+    notes, unmatched, where none does."""
+    return rank.members(queries, index, "index", minimum)
 
 
 def refresh(previous: DataFrame, files: DataFrame) -> DataFrame:

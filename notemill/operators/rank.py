@@ -1,18 +1,23 @@
-"""Batched ranking: every operator takes all queries at once and joins on tokens, scopes or ids.
+"""Batched ranking: every operator takes all queries at once and joins on tokens, groups or ids.
 
 queries: query_id, query_tokens (sorted set), query_scope, history, loop, pref (intent flags).
-candidates: rel_path, type, status, scope, updated, updated_ts, confidence, note_tokens, tag_tokens, body, title, statement.
-No step pairs all queries with all candidates: overlapping pairs come from an equi-join on tokens, and of candidates that
-match by scope alone (their score doesn't depend on the query's words) only as many of the newest as a shortlist can hold are joined.
+candidates: rel_path (unique), type, status, scope, updated, updated_ts, confidence, note_tokens, tag_tokens, body, title, statement.
+
+No step pairs all queries with all candidates. Overlapping pairs come from an equi-join on tokens and carry narrow columns alone. What a
+candidate without overlap scores depends on its group (scope, type, status), its age and confidence, and the query's profile (scope and
+intents); so the best of each group (as many as a result can hold) serve all queries of a profile. There are at most
+168 groups and 64 profiles. Weights of the final score must not let a candidate without overlap exceed 1.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..schema import DEFAULTS, HISTORY_HINTS, LOOP_HINTS, PREFERENCE_HINTS, Settings
+from ..schema import DEFAULTS, HISTORY_HINTS, LOOP_HINTS, PREFERENCE_HINTS, SCOPES, STATUSES, TYPE_DIRS, Settings
 
 
 def with_intents(queries: DataFrame) -> DataFrame:
@@ -26,7 +31,7 @@ def expand_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 
     An event (alias, phrase) is one that adds a token, in the order of aliases and phrases (pos).
     """
-    hits = queries.select("query_id", F.explode("query_tokens").alias("alias")).join(F.broadcast(aliases), "alias")
+    hits = queries.select("query_id", F.explode("query_tokens").alias("alias")).join(aliases, "alias")
     hits = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("alias", "pos", "phrase", t.tokens(F.col("phrase")).alias("tokens")))).alias("hits"))
     start = F.struct(F.col("query_tokens").alias("have"), F.array().cast("array<struct<alias:string,phrase:string>>").alias("events"))
 
@@ -42,27 +47,156 @@ def expand_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     return joined.select("query_id", F.array_sort(folded["have"]).alias("expanded"), folded["events"].alias("events"))
 
 
-def overlaps(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+#: Narrow columns that a pair carries until it is ranked.
+CARRIED = ("type", "scope", "status", "updated", "updated_ts", "confidence", "dl")
+PROFILE, GROUP = ("profile_scope", "history", "loop", "pref"), ("group_scope", "group_type", "group_status")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Notes as ranking reads them: entries (candidates) and postings (token, rel_path, n, g, CARRIED): a row for each token of a
+    note, n if it is one of the note's and g if of its tags."""
+
+    entries: DataFrame
+    postings: DataFrame
+
+
+def with_length(candidates: DataFrame) -> DataFrame:
+    return candidates if "dl" in candidates.columns else candidates.withColumn("dl", F.size("note_tokens"))
+
+
+def postings(candidates: DataFrame) -> DataFrame:
+    rows = with_length(candidates)
+    kept = ["rel_path", *CARRIED]
+    note = rows.select(*kept, F.explode("note_tokens").alias("token")).withColumns({"n": F.lit(1), "g": F.lit(0)})
+    tag = rows.select(*kept, F.explode("tag_tokens").alias("token")).withColumns({"n": F.lit(0), "g": F.lit(1)})
+    return note.unionByName(tag)
+
+
+def index_of(candidates: DataFrame) -> Index:
+    """An index made on the way; ``sources.index`` stores one and reads it."""
+    return Index(with_length(candidates), postings(candidates))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode("query_tokens").alias("token"))
+
+
+def overlaps(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, rel_path, lexical_count, tag_count of every pair that shares a token."""
-    asked = queries.select("query_id", F.explode("query_tokens").alias("token"))
-    held = candidates.select("rel_path", F.explode(F.array_union("note_tokens", "tag_tokens")).alias("token"), "note_tokens", "tag_tokens")
-    held = held.select("rel_path", "token", F.array_contains("note_tokens", F.col("token")).cast("int").alias("n"), F.array_contains("tag_tokens", F.col("token")).cast("int").alias("g"))
-    return asked.join(held, "token").groupBy("query_id", "rel_path").agg(F.sum("n").alias("lexical_count"), F.sum("g").alias("tag_count"))
+    return index.postings.select("token", "rel_path", "n", "g").join(_asked(queries), "token").groupBy("query_id", "rel_path").agg(F.sum("n").alias("lexical_count"), F.sum("g").alias("tag_count"))
+
+
+def _profiles() -> Column:
+    """Every profile a query can have; a scope that no note has counts as one."""
+    return F.array(*[
+        F.struct(F.lit(s).alias("profile_scope"), *[F.lit(bool(bits >> k & 1)).alias(c) for k, c in enumerate(PROFILE[1:])]) for s in (*SCOPES, "") for bits in range(8)
+    ])
+
+
+def with_profile(queries: DataFrame) -> DataFrame:
+    return queries.withColumn("profile_scope", F.when(F.col("query_scope").isin(*SCOPES), F.col("query_scope")).otherwise(""))
+
+
+def with_group(candidates: DataFrame) -> DataFrame:
+    known = lambda c, values: F.when(c.isin(*values), c).otherwise("")
+    return candidates.withColumns({
+        "group_scope": known(t.canonical_scope(F.col("scope")), SCOPES), "group_type": known(F.col("type"), TYPE_DIRS.values()), "group_status": known(F.col("status"), STATUSES),
+    })
+
+
+def _suits(mode: str) -> Column:
+    """Which candidates are in a query's pool without an overlap, by scope and type."""
+    matches, kind = (F.col("profile_scope") == "all") | (F.col("group_scope") == F.col("profile_scope")), F.col("group_type")
+    if mode == "index":
+        return matches & (F.col("profile_scope") != "all")
+    if mode == "prefilter":
+        return matches & (~F.col("pref") | kind.isin("pref", "concept")) & (~F.col("loop") | kind.isin("loop", "goal")) & (~F.col("history") | kind.isin("loop", "fact", "concept"))
+    return F.lit(True)
+
+
+def _alone(rows: DataFrame, suits: Column, score: Column | None, depth: int, base: Column | None = None) -> DataFrame:
+    """For each profile the best suiting candidates as if none overlapped, by score and age; base orders a group, newest first without it."""
+    age = [F.desc("updated"), F.desc("rel_path")]
+    heads = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*GROUP).orderBy(*([] if base is None else [base.desc()]), *age))).where(F.col("rn") <= depth)
+    spread = heads.withColumn("profile", F.explode(_profiles())).select(*rows.columns, "profile.*").where(suits)
+    zero = F.lit(0).cast("long")
+    spread = components(spread.withColumns({"lexical_count": zero, "tag_count": zero, "query_scope": F.col("profile_scope"), "query_tokens": t.strings(), "bm25": F.lit(0.0)}))
+    best = Window.partitionBy(*PROFILE).orderBy(*([] if score is None else [score.desc()]), *age)
+    return spread.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= depth).select("rel_path", *[c for c in rows.columns if c != "rel_path"], *PROFILE)
+
+
+def _suiting(rows: DataFrame, suits: Column) -> tuple[DataFrame, DataFrame]:
+    """(group, profile) pairs that suit, and how many candidates suit each profile of how many."""
+    spread = rows.groupBy(*GROUP).agg(F.count("*").alias("n")).withColumn("profile", F.explode(_profiles())).select(*GROUP, "n", "profile.*")
+    counts = spread.groupBy(*PROFILE).agg(F.sum(F.when(suits, F.col("n")).otherwise(0)).alias("suiting"), F.sum("n").alias("whole"))
+    return spread.where(suits).drop("n"), counts
+
+
+def _short(queries: DataFrame, rows: DataFrame, met: DataFrame, suits: Column, minimum: int) -> DataFrame:
+    """Queries whose pool has fewer candidates than minimum, with how many it has and how many all are."""
+    few = queries.join(_suiting(rows, suits)[1], list(PROFILE)).where(F.col("suiting") < F.least("whole", F.lit(minimum)))
+    more = with_group(met).join(_asked(few), "token").select("query_id", "rel_path", *GROUP).distinct().join(few.select("query_id", *PROFILE), "query_id").where(~suits)
+    more = more.groupBy("query_id").agg(F.count("*").alias("more"))
+    found = few.join(more, "query_id", "left").withColumn("found", F.col("suiting") + F.coalesce("more", F.lit(0)))
+    return found.where(F.col("found") < F.least("whole", F.lit(minimum)))
+
+
+def _padding(short: DataFrame, rows: DataFrame, met: DataFrame, mode: str, minimum: int) -> DataFrame:
+    """What pools are padded with (a prefiltered one of all scopes and some intent is not): the newest candidates outside the pools of queries that found some, but fewer than minimum. Of the newest as many as
+    minimum that don't suit, those that overlap are among the found ones, so enough are left."""
+    some = short.where("found > 0 AND NOT (profile_scope = 'all' AND (history OR loop OR pref))" if mode == "prefilter" else "found > 0")
+    newest = some.join(_alone(rows, ~_suits(mode), None, minimum), list(PROFILE))
+    others = newest.join(met.join(_asked(some), "token").select("query_id", "rel_path").distinct(), ["query_id", "rel_path"], "left_anti")
+    order = Window.partitionBy("query_id").orderBy(F.desc("updated"), F.desc("rel_path"))
+    return others.withColumn("rn", F.row_number().over(order)).where(F.col("rn") + F.col("found") <= F.least("whole", F.lit(minimum)))
+
 
+def members(queries: DataFrame, index: Index, mode: str, minimum: int) -> DataFrame:
+    """query_id, rel_path, matched: the whole pool of each query, padded with the newest others up to minimum; where none
+    matches, all notes."""
+    q, rows, suits = with_profile(queries), with_group(index.entries.select("rel_path", *CARRIED)), _suits(mode)
+    short = _short(q, rows, index.postings, suits, minimum)
+    of_group = lambda which, asked: rows.select("rel_path", *GROUP).join(_suiting(rows, which)[0], list(GROUP)).join(asked.select("query_id", *PROFILE), list(PROFILE)).select("query_id", "rel_path")
+    met = index.postings.join(_asked(q), "token").select("query_id", "rel_path")
+    more = of_group(F.lit(True), short.where("found = 0")).unionByName(_padding(short, rows, index.postings, mode, minimum).select("query_id", "rel_path"))
+    return of_group(suits, q).unionByName(met).distinct().withColumn("matched", F.lit(True)).unionByName(more.withColumn("matched", F.lit(False)))
 
-def pairs(queries: DataFrame, candidates: DataFrame, settings: Settings = DEFAULTS, best: Column | None = None) -> DataFrame:
-    """All (query, candidate) pairs that a shortlist could hold, with overlap counts and both sides' columns.
 
-    best orders the candidates that match by scope alone; the newest come first if it is not given.
+def _signalled(rows: DataFrame, signals: DataFrame | None) -> DataFrame:
+    """With the signal_score of each note (signals: note, signal_score), 0 without one."""
+    if signals is None:
+        return rows.withColumn("signal_score", F.lit(0.0))
+    return rows.join(signals.select(F.col("note").alias("rel_path"), "signal_score"), "rel_path", "left").withColumn("signal_score", F.coalesce("signal_score", F.lit(0.0)))
+
+
+def pairs(
+    queries: DataFrame, index: Index, mode: str = "all", depth: int = DEFAULTS.shortlist_max, minimum: int = 0, now: Column | None = None,
+    settings: Settings = DEFAULTS, signals: DataFrame | None = None, weights: DataFrame | None = None, ungated: bool = False,
+) -> DataFrame:
+    """Pairs of the queries' pools with overlap counts, carried columns and the queries' columns: all that overlap, and of the others the
+    best ``depth``, by the coarse score, or by the final one where now is given.
+
+    weights (token, weight): adds their sum over shared note tokens. ungated: queries of all scopes get pairs without
+    overlap too.
     """
-    first = [] if best is None else [best.desc()]
-    newest = Window.partitionBy("scope", "type", "status").orderBy(*first, F.desc("updated"), F.desc("rel_path"))
-    by_scope = candidates.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= settings.shortlist_max)
-    by_scope = by_scope.select("rel_path", t.canonical_scope(F.col("scope")).alias("query_scope"))
-    scoped = queries.where("query_scope <> 'all'").select("query_id", "query_scope").join(by_scope, "query_scope").select("query_id", "rel_path")
-    both = overlaps(queries, candidates).unionByName(scoped.withColumns({"lexical_count": F.lit(0).cast("long"), "tag_count": F.lit(0).cast("long")}))
-    both = both.groupBy("query_id", "rel_path").agg(F.max("lexical_count").alias("lexical_count"), F.max("tag_count").alias("tag_count"))
-    return both.join(queries, "query_id").join(candidates, "rel_path")
+    q, suits, rows = with_profile(queries), _suits(mode), with_group(index.entries.select("rel_path", *CARRIED))
+    scoped = q if ungated else q.where("query_scope <> 'all'")
+    score, base, placed = coarse_score(), None, rows
+    if now is not None:
+        placed = _signalled(rows, signals).withColumn("recency", recency(F.col("updated_ts"), now, settings.recency_days))
+        score, base = final_score(now, settings), settings.recency * F.col("recency") + settings.confidence * F.coalesce("confidence", F.lit(0.0)) + settings.signal * F.col("signal_score")
+    kept = ["query_id", "rel_path", *CARRIED]
+    alone = scoped.join(_alone(placed, suits, score, depth, base), list(PROFILE)).select(*kept)
+    if minimum:
+        short = _short(scoped, rows, index.postings, suits, minimum)
+        alone = alone.unionByName(_padding(short, rows, index.postings, mode, minimum).select(*kept))
+        alone = alone.unionByName(short.where("found = 0").join(_alone(placed, F.lit(True), score, depth, base), list(PROFILE)).select(*kept))
+    asked = _asked(q).withColumn("w", F.lit(0.0)) if weights is None else _asked(q).join(weights, "token", "left").select("query_id", "token", F.coalesce("weight", F.lit(0.0)).alias("w"))
+    hits = index.postings.join(asked, "token").select(*kept, "n", "g", (F.col("n") * F.col("w")).alias("w"))
+    both = hits.unionByName(alone.withColumns({"n": F.lit(0), "g": F.lit(0), "w": F.lit(0.0)}))
+    both = both.groupBy(*kept).agg(F.sum("n").alias("lexical_count"), F.sum("g").alias("tag_count"), F.sum("w").alias("weight"))
+    return _signalled(both.join(queries, "query_id"), signals)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -90,66 +224,42 @@ def shortlist(pairs: DataFrame, limit: int, settings: Settings = DEFAULTS) -> Da
     return scored.withColumn("coarse_rank", F.row_number().over(best)).where(F.col("coarse_rank") <= settings.shortlist(limit))
 
 
-def pad(kept: DataFrame, queries: DataFrame, candidates: DataFrame, minimum: int) -> DataFrame:
-    """Add the newest other notes to queries with fewer than minimum pairs (all notes' newest, where there are none).
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
 
-    minimum plus what is kept bounds how many of the newest are looked at: 2 * minimum.
-    """
-    counts = queries.join(kept.groupBy("query_id").agg(F.count("*").alias("kept")), "query_id", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
-    newest = candidates.orderBy(F.desc("updated"), F.desc("rel_path")).limit(2 * minimum)
-    more = counts.where(F.col("kept") < minimum).crossJoin(F.broadcast(newest)).join(kept.select("query_id", "rel_path"), ["query_id", "rel_path"], "left_anti")
-    order = Window.partitionBy("query_id").orderBy(F.desc("updated"), F.desc("rel_path"))
-    more = more.withColumn("rn", F.row_number().over(order)).where(F.col("rn") + F.col("kept") <= minimum)
-    n = lambda c: F.size(F.array_intersect(c, "query_tokens")).cast("long")
-    more = more.withColumns({"lexical_count": n("note_tokens"), "tag_count": n("tag_tokens")})
-    return kept.unionByName(more.select(kept.columns))
-
-
-def prefilter(pairs: DataFrame, queries: DataFrame, candidates: DataFrame, limit: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """Pairs that overlap, or whose scope and type suit the query's scope and intents; few ones are padded."""
-    overlap = (F.col("lexical_count") + F.col("tag_count")) > 0
-    suits = t.scope_matches(F.col("scope"), F.col("query_scope"))
-    suits &= ~F.col("pref") | F.col("type").isin("pref", "concept")
-    suits &= ~F.col("loop") | F.col("type").isin("loop", "goal")
-    suits &= ~F.col("history") | F.col("type").isin("loop", "fact", "concept")
-    kept = pairs.where(overlap | suits)
-    padded = queries.where("query_scope <> 'all' OR NOT (history OR loop OR pref)")
-    return pad(kept.join(padded.select("query_id"), "query_id", "left_semi"), padded, candidates, max(settings.shortlist_min, 2 * limit)).unionByName(
-        kept.join(queries.where("query_scope = 'all' AND (history OR loop OR pref)").select("query_id"), "query_id", "left_semi")
-    )
-
-
-def bm25(shortlisted: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """query_id, rel_path, bm25 in [0, 1]: Okapi over each query's own shortlist of token sets, divided by its maximum."""
-    stats = shortlisted.groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.size("note_tokens")).alias("avgdl"))
-    held = shortlisted.select("query_id", F.explode("note_tokens").alias("token"))
-    df = held.groupBy("query_id", "token").agg(F.count("*").alias("df")).join(stats, "query_id")
-    df = df.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.groupBy("query_id").agg(F.avg("raw_idf").alias("mean_idf"))
-    asked = shortlisted.select("query_id", F.explode("query_tokens").alias("token")).distinct()
-    idf = df.join(asked, ["query_id", "token"]).join(mean, "query_id")
-    idf = idf.select("query_id", "token", F.when(F.col("raw_idf") < 0, settings.bm25_epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    hits = shortlisted.select("query_id", "rel_path", F.size("note_tokens").alias("dl"), F.explode(F.array_intersect("note_tokens", "query_tokens")).alias("token"))
-    k1, b = settings.bm25_k1, settings.bm25_b
-    part = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    raw = hits.join(idf, ["query_id", "token"]).join(stats, "query_id").groupBy("query_id", "rel_path").agg(F.sum(part).alias("raw"))
-    top = F.max("raw").over(Window.partitionBy("query_id"))
-    return raw.withColumn("top", top).where("top > 0").select("query_id", "rel_path", F.greatest(F.lit(0.0), F.col("raw") / F.col("top")).alias("bm25"))
-
-
-def bm25_whole(pool: DataFrame, candidates: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """BM25 as above, with the statistics of all candidates: what a query ranks when nothing is shortlisted."""
-    stats = candidates.agg(F.count("*").alias("n"), F.avg(F.size("note_tokens")).alias("avgdl"))
-    df = candidates.select(F.explode("note_tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
-    df = df.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw_idf").alias("mean_idf"))
-    idf = df.crossJoin(F.broadcast(mean)).select("token", "avgdl", F.when(F.col("raw_idf") < 0, settings.bm25_epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    hits = pool.select("query_id", "rel_path", F.size("note_tokens").alias("dl"), F.explode(F.array_intersect("note_tokens", "query_tokens")).alias("token"))
+
+def length_part(dl: Column, avgdl: Column, settings: Settings) -> Column:
     k1, b = settings.bm25_k1, settings.bm25_b
-    part = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    raw = hits.join(idf, "token").groupBy("query_id", "rel_path").agg(F.sum(part).alias("raw"))
-    top = F.max("raw").over(Window.partitionBy("query_id"))
-    return raw.withColumn("top", top).where("top > 0").select("query_id", "rel_path", F.greatest(F.lit(0.0), F.col("raw") / F.col("top")).alias("bm25"))
+    return (k1 + 1) / (1 + k1 * (1 - b + b * dl / avgdl))
+
+
+def bm25(pool: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """query_id, rel_path, bm25 in [0, 1]: Okapi over each query's own pool of token sets, divided by its maximum.
+
+    pool: query_id, query_tokens, rel_path, note_tokens. Tokens are spread once; everything after follows the query.
+    """
+    own = Window.partitionBy("query_id")
+    rows = pool.select("query_id", "query_tokens", "rel_path", F.size("note_tokens").alias("dl"), "note_tokens")
+    rows = rows.withColumns({"n": F.count("*").over(own), "avgdl": F.avg("dl").over(own)})
+    held = rows.select("query_id", "rel_path", "dl", "n", "avgdl", F.explode("note_tokens").alias("token"), "query_tokens")
+    held = held.withColumn("asked", F.array_contains("query_tokens", F.col("token")))
+    holders = F.collect_list(F.when(F.col("asked"), F.struct("rel_path", "dl"))).alias("holders")
+    tokens = held.groupBy("query_id", "token").agg(F.count("*").alias("df"), F.first("n").alias("n"), F.first("avgdl").alias("avgdl"), holders)
+    tokens = tokens.withColumn("idf", _idf(F.col("n"), F.col("df")))
+    tokens = tokens.withColumn("mean", F.avg("idf").over(own)).where(F.size("holders") > 0)
+    idf = F.when(F.col("idf") < 0, settings.bm25_epsilon * F.col("mean")).otherwise(F.col("idf"))
+    spread = tokens.select("query_id", "avgdl", idf.alias("idf"), F.inline("holders"))
+    raw = spread.groupBy("query_id", "rel_path").agg(F.sum(F.col("idf") * length_part(F.col("dl"), F.col("avgdl"), settings)).alias("raw"))
+    return raw.withColumn("top", F.max("raw").over(own)).where("top > 0").select("query_id", "rel_path", F.greatest(F.lit(0.0), F.col("raw") / F.col("top")).alias("bm25"))
+
+
+def corpus_idf(queries: DataFrame, index: Index, settings: Settings = DEFAULTS) -> DataFrame:
+    """token, weight of the tokens asked for: inverse document frequencies over all notes."""
+    df = index.postings.where("n = 1").groupBy("token").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(index.entries.agg(F.count("*").alias("n")))).withColumn("idf", _idf(F.col("n"), F.col("df")))  # one row
+    mean = idf.agg(F.avg("idf").alias("mean"))
+    kept = idf.join(_asked(queries).select("token").distinct(), "token", "left_semi").join(F.broadcast(mean))  # one row too
+    return kept.select("token", F.when(F.col("idf") < 0, settings.bm25_epsilon * F.col("mean")).otherwise(F.col("idf")).alias("weight"))
 
 
 def recency(ts: Column, now: Column, days: float = DEFAULTS.recency_days) -> Column:
@@ -192,24 +302,17 @@ def reasons(settings: Settings = DEFAULTS) -> Column:
     return F.filter(F.array(*given), lambda x: x.isNotNull())
 
 
-def rank(pool: DataFrame, now: Column, limit: int, settings: Settings = DEFAULTS, signals: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
-    """Score, gate and order a pool of pairs (with components); rank 1 is best. scores: BM25 if not of the pool."""
-    scored = pool.join(bm25(pool, settings) if scores is None else scores, ["query_id", "rel_path"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    scored = scored.withColumn("recency", recency(F.col("updated_ts"), now, settings.recency_days))
-    if signals is None:
-        scored = scored.withColumn("signal_score", F.lit(0.0))
-    else:
-        scored = scored.join(signals.select(F.col("note").alias("rel_path"), "signal_score"), "rel_path", "left")
-    scored = scored.withColumn("score", final_score(now, settings))
+def rank(pool: DataFrame, now: Column, limit: int, settings: Settings = DEFAULTS) -> DataFrame:
+    """Score, gate and order a pool of pairs (with components and bm25); rank 1 is best."""
+    scored = pool.withColumn("recency", recency(F.col("updated_ts"), now, settings.recency_days)).withColumn("score", final_score(now, settings))
     kept = scored.where("score > 0 AND (query_scope <> 'all' OR lexical_count + tag_count > 0)")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("updated"), F.desc("rel_path"))
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def hybrid(pool: DataFrame, vectors: DataFrame, now: Column, limit: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """Rank by cosine, lexical, scope and recency; vectors: query_id, rel_path, cosine; a missing one counts as 0."""
-    scored = pool.join(vectors, ["query_id", "rel_path"], "left").withColumn("cosine", t.clamp(F.coalesce("cosine", F.lit(0.0))))
-    scored = scored.withColumn("recency", recency(F.col("updated_ts"), now, settings.recency_days))
+def hybrid(pool: DataFrame, now: Column, limit: int, settings: Settings = DEFAULTS) -> DataFrame:
+    """Rank pairs with components and a cosine by cosine, lexical, scope and recency; a missing cosine counts as 0."""
+    scored = pool.withColumn("cosine", t.clamp(F.coalesce("cosine", F.lit(0.0)))).withColumn("recency", recency(F.col("updated_ts"), now, settings.recency_days))
     lexical = t.clamp(0.70 * F.col("lexical_match") + 0.30 * F.col("tag_overlap"))
     scored = scored.withColumn("lexical_component", lexical).where("cosine > 0 OR lexical_component > 0")
     s = settings
@@ -246,10 +349,14 @@ def view(ranked: DataFrame, level: str = "index") -> DataFrame:
     return ranked.select(*{"index": [*base, "title"], "context": context, "detail": [*context, "body", "confidence"]}[level])
 
 
-def related(text_tokens: DataFrame, candidates: DataFrame, now: Column, top_k: int = 5, settings: Settings = DEFAULTS) -> DataFrame:
-    """Notes most related to free text: final score without BM25 and intents, ties by path."""
-    asked = text_tokens.withColumns({"history": F.lit(False), "loop": F.lit(False), "pref": F.lit(False)})
-    pool = components(pairs(asked, candidates, settings)).withColumns({"bm25": F.lit(0.0), "signal_score": F.lit(0.0)})
-    pool = pool.withColumn("recency", recency(F.col("updated_ts"), now, settings.recency_days)).withColumn("score", F.round(final_score(now, settings), 4))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("updated"), F.desc("rel_path"))
-    return pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+def related(text_tokens: DataFrame, index: Index, now: Column, top_k: int = 5, settings: Settings = DEFAULTS) -> DataFrame:
+    """Notes most related to free text: final score without BM25 and intents over the index pool, zero overlaps included.
+
+    Equal scores are in the order of the pool: matching notes first, then the newest.
+    """
+    asked = text_tokens.where(F.size("query_tokens") > 0).withColumns({"history": F.lit(False), "loop": F.lit(False), "pref": F.lit(False)})
+    pool = components(pairs(asked, index, "index", top_k, settings.shortlist_min, now, settings, ungated=True)).withColumn("bm25", F.lit(0.0))
+    pool = pool.withColumn("recency", recency(F.col("updated_ts"), now, settings.recency_days)).withColumn("score", final_score(now, settings))
+    matched = (F.col("lexical_count") + F.col("tag_count") > 0) | ((F.col("query_scope") != "all") & (F.col("scope_match") >= 1))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), matched.desc(), F.desc("updated"), F.desc("rel_path"))
+    return pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).withColumn("score", F.round("score", 4))

@@ -23,14 +23,18 @@ def _num(x: float) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
-def sql_pool(where: str = "TRUE") -> str:
+def sql_pool(matched: str | None = None, minimum: int = 24) -> str:
+    """Pairs, a query's pool and its shortlist. matched: who is in the pool (all if not given); few are padded with the newest others."""
     d = _num
+    member = "SELECT query_id, rel_path, TRUE AS matched FROM comp" if matched is None else f"""SELECT query_id, rel_path, matched FROM (
+    SELECT query_id, rel_path, updated, query_scope = 'all' AND (history OR loop OR pref) AS as_is, {matched} AS matched, count(*) FILTER ({matched}) OVER (PARTITION BY query_id) AS k FROM comp)
+  QUALIFY matched OR k = 0 OR (NOT as_is AND row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, updated DESC, rel_path DESC) <= {minimum})"""
     return f"""{BOTH}, pairs AS (
   SELECT q.query_id, q.query_tokens, q.query_scope, q.history, q.loop, q.pref, n.*, len(list_intersect(note_tokens, query_tokens)) AS lexical_count, len(list_intersect(tag_tokens, query_tokens)) AS tag_count FROM queries q, notes n
 ), comp AS (
   SELECT *, lexical_count / greatest(len(query_tokens), 1) AS lexical_match, tag_count / greatest(len(query_tokens), 1) AS tag_overlap,
     CASE WHEN query_scope = 'all' OR scope = query_scope THEN {d(1)} ELSE {d(0)} END AS scope_match FROM pairs
-), pool AS (SELECT * FROM comp WHERE {where}), scored AS (
+), member AS ({member}), pool AS (SELECT comp.* FROM comp JOIN member USING (query_id, rel_path)), scored AS (
   SELECT *, {d(0.7)} * lexical_match + {d(0.2)} * tag_overlap + {d(0.1)} * scope_match
     + CASE WHEN query_scope = 'all' THEN {d(0)} WHEN scope_match >= 1 THEN {d(0.03)} ELSE {d(-0.03)} END
     + CASE WHEN type = 'loop' AND status = 'closed' THEN CASE WHEN history THEN {d(0.05)} ELSE {d(-0.05)} END ELSE {d(0)} END
@@ -75,12 +79,18 @@ def sql_rank(pool: str = "short", limit: int = 8, signal: str = "") -> str:
 
 
 _OUT = " SELECT query_id, CAST(rank AS INT) AS rank, rel_path, round(score, 6) AS score FROM best"
-_PREFILTER = """(lexical_count + tag_count > 0) OR ((query_scope = 'all' OR scope = query_scope) AND (NOT pref OR type IN ('pref', 'concept'))
-    AND (NOT loop OR type IN ('loop', 'goal')) AND (NOT history OR type IN ('loop', 'fact', 'concept')))"""
+_INDEX = "(lexical_count + tag_count > 0 OR (query_scope <> 'all' AND scope = query_scope))"
+_PREFILTER = """((lexical_count + tag_count > 0) OR ((query_scope = 'all' OR scope = query_scope) AND (NOT pref OR type IN ('pref', 'concept'))
+    AND (NOT loop OR type IN ('loop', 'goal')) AND (NOT history OR type IN ('loop', 'fact', 'concept'))))"""
 
 
-def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return a.queries(spark, d), a.notes(spark, d)
+def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, r.Index]:
+    return a.queries(spark, d), a.index(spark, d)
+
+
+def _shortlisted(spark: SparkSession, d: str) -> DataFrame:
+    q, index = _tables(spark, d)
+    return r.shortlist(r.pairs(q, index), 8).join(index.entries.select("rel_path", "note_tokens"), "rel_path")
 
 
 def _out(ranked: DataFrame) -> DataFrame:
@@ -121,25 +131,22 @@ def d3_intents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {a.SQL_NOTES}, e AS (SELECT DISTINCT rel_path, unnest(list_concat(note_tokens, tag_tokens)) AS token FROM notes) SELECT token, count(*) AS n, min(rel_path) AS first FROM e GROUP BY token")
 def d5_postings(spark: SparkSession, d: str) -> DataFrame:
-    return n.postings(a.notes(spark, d)).select("token", F.size("paths").cast("long").alias("n"), F.element_at("paths", 1).alias("first"))
+    return n.postings(a.index(spark, d).entries, 1000).groupBy("token").agg(F.sum(F.size("paths")).alias("n"), F.min(F.element_at("paths", 1)).alias("first"))
 
 
-@query(f"""{sql_pool()}, m AS (SELECT query_id, rel_path, updated, lexical_count + tag_count > 0 OR (query_scope <> 'all' AND scope = query_scope) AS matched FROM comp),
-c AS (SELECT query_id, count(*) FILTER (matched) AS k FROM m GROUP BY query_id)
-SELECT query_id, rel_path, matched FROM m JOIN c USING (query_id) WHERE k > 0
-QUALIFY matched OR row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, updated DESC, rel_path DESC) <= 24""")
+@query(sql_pool(_INDEX) + " SELECT * FROM member")
 def d7_index_pool(spark: SparkSession, d: str) -> DataFrame:
     return n.index_pool(*_tables(spark, d))
 
 
 @query(sql_pool() + " SELECT query_id, rel_path, round(coarse, 6) AS coarse FROM short")
 def d9_shortlist(spark: SparkSession, d: str) -> DataFrame:
-    return r.shortlist(r.pairs(*_tables(spark, d)), 8).select("query_id", "rel_path", F.round("coarse", 6).alias("coarse"))
+    return _shortlisted(spark, d).select("query_id", "rel_path", F.round("coarse", 6).alias("coarse"))
 
 
 @query(sql_pool() + sql_bm25() + " SELECT query_id, rel_path, round(bm25, 6) AS bm25 FROM bm")
 def d10_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return r.bm25(r.shortlist(r.pairs(*_tables(spark, d)), 8)).select("query_id", "rel_path", F.round("bm25", 6).alias("bm25"))
+    return r.bm25(_shortlisted(spark, d)).select("query_id", "rel_path", F.round("bm25", 6).alias("bm25"))
 
 
 @query(sql_pool() + " SELECT query_id, rel_path, lexical_count, tag_count FROM comp WHERE lexical_count + tag_count > 0")
@@ -162,7 +169,7 @@ def d18_scope_type_prefilter(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d, "scope_type_prefilter")
 
 
-@query(sql_pool("lexical_count + tag_count > 0 OR (query_scope <> 'all' AND scope = query_scope)") + sql_bm25() + sql_rank() + _OUT)
+@query(sql_pool(_INDEX) + sql_bm25() + sql_rank() + _OUT)
 def d18_precomputed_index(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d, "precomputed_index")
 
@@ -192,14 +199,14 @@ def d17_reasons(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), kept.alias("reasons"))
 
 
-@query(f"""{sql_pool()}, sc AS (SELECT *, {_RECENCY} AS recency FROM comp), s2 AS (
-  SELECT query_id, rel_path, updated, round(greatest(0, least(1, {_num(0.15)} * lexical_match + {_num(0.15)} * tag_overlap + {_num(0.15)} * 1 + {_num(0.15)} * recency + {_num(0.1)} * confidence
-   + CASE WHEN type = 'id' THEN {_num(0.15)} ELSE 0 END + CASE WHEN type = 'loop' AND status = 'closed' THEN {_num(-0.2)} ELSE 0 END)), 4) AS score FROM sc WHERE lexical_count + tag_count > 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated DESC, rel_path DESC) AS INT) AS rank, rel_path FROM s2 QUALIFY rank <= 5""")
+@query(f"""{sql_pool(_INDEX.replace("query_scope", "'all'"))}, s2 AS (
+  SELECT query_id, rel_path, updated, matched, greatest({_num(0)}, least({_num(1)}, {_num(0.3)} * 0 + {_num(0.15)} * lexical_match + {_num(0.15)} * tag_overlap + {_num(0.15)} * {_num(1)} + {_num(0.15)} * {_RECENCY} + {_num(0.1)} * confidence
+   + CASE WHEN type = 'id' THEN {_num(0.15)} ELSE 0 END + CASE WHEN type = 'loop' AND status = 'closed' THEN {_num(-0.2)} ELSE 0 END)) AS score FROM pool JOIN member USING (query_id, rel_path))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, matched DESC, updated DESC, rel_path DESC) AS INT) AS rank, rel_path FROM s2 QUALIFY rank <= 5""")
 def d20_related(spark: SparkSession, d: str) -> DataFrame:
-    q, rows = _tables(spark, d)
+    q, index = _tables(spark, d)
     asked = q.select("query_id", "query_tokens").withColumn("query_scope", F.lit("all"))
-    return r.related(asked, rows, a.now()).select("query_id", F.col("rank").cast("int").alias("rank"), "rel_path")
+    return r.related(asked, index, a.now()).select("query_id", F.col("rank").cast("int").alias("rank"), "rel_path")
 
 
 @query()
@@ -234,10 +241,10 @@ def e8_semantic_search(spark: SparkSession, d: str) -> DataFrame:
   FROM comp LEFT JOIN cos USING (query_id, rel_path) WHERE greatest(0, coalesce(c, 0)) > 0 OR lexical_match > 0 OR tag_overlap > 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated DESC, rel_path DESC) AS INT) AS rank, rel_path, round(score, 5) AS score FROM h QUALIFY rank <= 8""")
 def e10_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    v, (q, rows) = a.table(spark, d, "embeddings"), _tables(spark, d)
+    v, (q, index) = a.table(spark, d, "embeddings"), _tables(spark, d)
     asked = q.select("query_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
     cos = v.crossJoin(F.broadcast(asked)).select("query_id", F.concat(F.lit("notes/"), "vec_id").alias("rel_path"), s.cosine(F.col("embedding"), F.col("qv")).alias("cosine"))
-    ranked = retrieval.rank_notes(q, rows, a.now(), "semantic_hybrid", vectors=cos)
+    ranked = retrieval.rank_notes(q, index, a.now(), "semantic_hybrid", vectors=cos)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "rel_path", F.round("score", 5).alias("score"))
 
 
@@ -253,20 +260,21 @@ def e4_vector_rebuild(spark: SparkSession, d: str) -> DataFrame:
 _EXPECTED = f"expected AS (SELECT item_id AS query_id, 'notes/' || doc_id AS rel_path FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-@query(sql_pool().replace("<= 24", "<= 36") + sql_bm25() + sql_rank(limit=36) + f""", {_EXPECTED}, ranks AS (SELECT query_id, min(rank) AS rank FROM expected LEFT JOIN best USING (query_id, rel_path) GROUP BY query_id)
+@query(sql_pool() + sql_bm25("comp") + sql_rank("comp", limit=50) + f""", {_EXPECTED}, ranks AS (SELECT query_id, min(rank) AS rank FROM expected LEFT JOIN best USING (query_id, rel_path) GROUP BY query_id)
 SELECT count(*) AS cases, round(avg((coalesce(rank, 1000) <= 1)::INT), 6) AS hit1, round(avg((coalesce(rank, 1000) <= 3)::INT), 6) AS hitk, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM ranks""")
 def f14_evaluation(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import evaluate
 
-    q, rows = _tables(spark, d)
-    # an item's first eight words are looked up by an equi-join on shared tokens, then the whole passage is confirmed
+    q, index = _tables(spark, d)
+    # an item is looked up by its rarest token, then the whole passage is confirmed; bodies join the few that are left
     items = a.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    keyed = items.withColumn("token", F.explode(t.tokens(F.col("text"))))
-    rare = rows.select("rel_path", "body", F.explode("note_tokens").alias("token"))
-    df = rare.groupBy("token").agg(F.count("*").alias("df"))
+    held = index.postings.where("n = 1").select("rel_path", "token")
+    keyed = items.select("query_id", F.explode(t.tokens(F.col("text"))).alias("token"))
+    df = held.join(keyed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     least = keyed.join(df, "token").groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    expected = least.join(items, "query_id").join(rare, "token").where(F.contains("body", F.col("text"))).select("query_id", "rel_path")
-    ranked = retrieval.rank_notes(q, rows, a.now(), "two_stage", 36)
+    met = held.join(least, "token").select("query_id", "rel_path").join(items, "query_id")
+    expected = met.join(index.entries.select("rel_path", "body"), "rel_path").where(F.contains("body", F.col("text"))).select("query_id", "rel_path")
+    ranked = retrieval.rank_notes(q, index, a.now(), "two_stage", 50)
     got = evaluate.quality(evaluate.case_ranks(ranked, expected))
     return got.select("cases", *[F.round(c, 6).alias(c) for c in ("hit1", "hitk", "mrr")])
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import rank as r
 from ..operators.rank import with_intents
 from ..schema import STOPWORDS
+from . import index as stored
 
 NOW = "2024-02-15 00:00:00"
 TYPES, SCOPE_CYCLE, SOURCE_CYCLE = ("id", "fact", "pref", "goal", "loop", "concept"), ("home", "work", "dev", "personal", "meta"), ("user", "tool", "assistant", "inferred")
@@ -39,6 +43,20 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple, r.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> r.Index:
+    """The stored index of the notes, built once for each session and state of the tables."""
+    stamp = lambda name: tuple(sorted((x.path, x.stamp, x.size) for x in table(spark, sf_dir, name).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("stamp"), F.col("_metadata.file_size").alias("size")).distinct().collect()))
+    key = (spark.sparkContext.applicationId, sf_dir, stamp("documents"), stamp("labels"))
+    if key not in _INDEXES:
+        root = f"{stored.folder(spark)}/notes-{uuid.uuid4().hex}"
+        stored.store(r.index_of(notes(spark, sf_dir)), root)
+        _INDEXES[key] = stored.load(spark, root)
+    return _INDEXES[key]
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, i = table(spark, sf_dir, "benchmark"), F.col("item_id")
     asked = F.concat(F.substring("text", 1, 60), _cycle(QUERY_WORDS, i))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,17 +11,52 @@ from pyspark.sql import functions as F
 from ..schema import ACTIONS, SIGNAL_TYPES
 
 
+def new_version() -> str:
+    return f"v-{uuid.uuid4().hex}"
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def point(spark: SparkSession, root: str, version: str, facts: dict[str, str] | None = None) -> None:
+    """Make a version the current one. Pointers are small files of ascending names, each written whole and then renamed into place."""
+    fs, folder = _fs(spark, f"{root}/_current")
+    fs.mkdirs(folder)
+    last = max((int(x.getPath().getName()) for x in fs.listStatus(folder) if x.getPath().getName().isdigit()), default=0)
+    _, draft = _fs(spark, f"{root}/_current/.{version}")
+    out = fs.create(draft, True)
+    try:
+        out.write(bytearray(json.dumps({"version": version} | (facts or {})).encode()))
+    finally:
+        out.close()
+    while not fs.rename(draft, _fs(spark, f"{root}/_current/{last + 1:012d}")[1]):  # another writer took the number
+        last += 1
+        if last > 10**9:
+            raise OSError(f"no pointer can be written in {root}")
+
+
+def pointer(spark: SparkSession, root: str) -> dict[str, str] | None:
+    """What the newest pointer says; None without one."""
+    fs, folder = _fs(spark, f"{root}/_current")
+    if not fs.exists(folder):
+        return None
+    names = [x.getPath().getName() for x in fs.listStatus(folder) if x.getPath().getName().isdigit()]
+    return json.loads(spark.read.text(f"{root}/_current/{max(names)}", wholetext=True).first()[0]) if names else None
+
+
 def replace(df: DataFrame, root: str) -> str:
     """Write a new version of a table, then point to it; readers see the old version or the new one whole."""
-    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    version = new_version()
     df.write.parquet(f"{root}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/_current.json")
+    point(df.sparkSession, root, version)
     return version
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/_current.json").first()[0]
-    return spark.read.parquet(f"{root}/{version}")
+    return spark.read.parquet(f"{root}/{pointer(spark, root)['version']}")
 
 
 def append_signals(df: DataFrame, path: str) -> None:

@@ -66,9 +66,9 @@ def scored(spark, query, **changes):
     rows = [base | changes, base | {"rel_path": "z"}]
     df = spark.createDataFrame(rows).withColumn("updated_ts", F.lit("2026-01-01").cast("timestamp"))
     q = ask(spark, query)
-    pool = rank.components(rank.pairs(q, df.drop("signal_score")))
-    s = spark.createDataFrame([(r["rel_path"], r["signal_score"]) for r in rows], "note string, signal_score double")
-    got = {r.rel_path: r.score for r in rank.rank(pool, NOW(), 5, Settings(signal=0.1), s).collect()}
+    signals = spark.createDataFrame([(r["rel_path"], r["signal_score"]) for r in rows], "note string, signal_score double")
+    pool = rank.components(rank.pairs(q, rank.index_of(df.drop("signal_score")), signals=signals)).withColumn("bm25", F.lit(0.0))
+    got = {r.rel_path: r.score for r in rank.rank(pool, NOW(), 5, Settings(signal=0.1)).collect()}
     return got.get("a", 0.0) - got["z"]
 
 
