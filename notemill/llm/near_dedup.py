@@ -7,9 +7,12 @@ a pair misses all 32 bands once in 190,000 times; no candidate is capped or samp
 
 No step emits the pairs of a group: copies of one set are one node; in a bucket all nodes are first tried against the
 bucket's least node, then only nodes still in different components against each other, first each with its most similar
-one, last all that remain, of which a task gives out only those that sets of shortened hashes don't rule out. Every try passes the collision-corrected Jaccard estimate of the sketches (``LEAST_ESTIMATE``, about
-four standard errors below the threshold) and is then confirmed on the full sets. Large buckets are compared block by
-block, so no task holds one whole.
+one, last all that remain, of which a task gives out only those that sets of shortened hashes don't rule out. Every try passes the
+collision-corrected Jaccard estimate of the sketches (``LEAST_ESTIMATE``, over six standard errors below the threshold: it drops
+less than one pair in 10 ** 9) and is then confirmed on the full sets. Large buckets are compared block by block, and blocks by
+size of set, as sets of unlike size can't be linked; so no task holds a bucket whole.
+
+A node is a set, known by a 128-bit signature; its text is found again by id and a hash of the text, and by the signature.
 
 Defined results: a text without words has an empty set, no links, and is its own component; fewer words than a shingle
 make one shingle of all; rows of one doc_id are judged each by its own text; a null doc_id takes the component of the
@@ -31,7 +34,9 @@ from .worker import releasing
 SHINGLE, BANDS, ROWS, MANTISSA = 5, 32, 4, 10
 REGISTERS = BANDS * ROWS
 THRESHOLD = 75
-LEAST_ESTIMATE = 0.60
+LEAST_ESTIMATE = 0.50
+#: Of the last 32 registers at least so many must agree; a pair at the threshold has fewer once in 10 ** 9 times.
+LEAST_AGREE = 8
 #: Members of a bucket that are compared in one task at once.
 BLOCK = 1024
 _draw = np.random.default_rng(20240229)
@@ -84,7 +89,7 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _sketches(batches):
     for batch in batches:
-        for i, j, t in tc.chunks(batch.column(1), lower=True):
+        for i, j, t in tc.chunks(batch.column(2), lower=True):
             h, bounds = t.shingles(SHINGLE)
             n = np.diff(bounds).astype(np.int64)
             registers = sketch(h, bounds)
@@ -92,14 +97,18 @@ def _sketches(batches):
             full[n > 0] = registers
             flat = pa.array([r.tobytes() if k else None for r, k in zip(full, n, strict=True)], pa.binary())
             s1, s2 = signatures(h, bounds)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(s1), pa.array(s2), flat], names=["doc_id", "n_shingles", "s1", "s2", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n), pa.array(s1), pa.array(s2), flat], names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "registers"])
 
 
 def _sets(batches):
+    """Sets of the texts that have the signature of their node."""
     for batch in batches:
-        for i, j, t in tc.chunks(batch.column(1), lower=True):
+        for i, j, t in tc.chunks(batch.column(3), lower=True):
             h, bounds = t.shingles(SHINGLE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for x in (h, (h >> np.uint64(32)).astype(np.uint32)))], names=["node", "set", "short"])
+            s1, s2 = signatures(h, bounds)
+            ok = pa.array((s1 == np.asarray(batch.column(1).slice(i, j - i))) & (s2 == np.asarray(batch.column(2).slice(i, j - i))))
+            sets = [pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for x in (h, (h >> np.uint64(32)).astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *sets], names=["node", "set", "short"]).filter(ok)
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -152,7 +161,7 @@ def _across(best_only: bool):
             y = y[(comp[y] != comp[x]) & (node[y] != rep[x]) & (node[x] != rep[x]) & ((i[0] == j[0]) | (blk[y] != blk[x]))]
             if not len(y):
                 continue
-            y = y[(reg[y, -32:] == reg[x, -32:]).sum(1) >= 11]
+            y = y[(reg[y, -32:] == reg[x, -32:]).sum(1) >= LEAST_AGREE]
             same = reg[y] == reg[x]
             if earlier and len(y) and not best_only:  # a pair that shares an earlier band is met there
                 fresh = ~same[:, :earlier].reshape(len(y), -1, ROWS).all(2).any(1)
@@ -204,22 +213,52 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         scratch.drop(f"{name}{step - 1}")
 
 
-def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, a row for each row of documents."""
+def _keyed(documents: DataFrame) -> DataFrame:
+    """Each row whole, beside its id as a number, its text and a hash of that, by which it is found again."""
+    text = documents["text"].cast("string")
+    return documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("_row"), documents["doc_id"].cast("long").alias("_id"), text.alias("_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"))
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """Members of buckets once for each pair of blocks (i, j) that they are compared in; a small bucket is one block.
+
+    A large bucket's blocks are of one class of set sizes each; classes are a little over a factor of 4/3 wide, so links lie
+    within one class or between neighbours.
+    """
+    zero = F.lit(0).cast("long")
+    small = members.where(F.col("size") <= BLOCK).withColumns({"blk": zero, "i": zero, "j": zero})
+    large = members.where(F.col("size") > BLOCK).withColumn("width", F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 * 100 / THRESHOLD))))
+    sizes = large.groupBy("key", "width").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    near = sizes.select("key", F.explode(F.array(F.col("width") - 1, F.col("width"), F.col("width") + 1)).alias("width"), F.col("width").alias("of"), F.col("blocks").alias("others"))
+    near = near.join(sizes, ["key", "width"]).groupBy("key", "width", "blocks").agg(F.collect_list(F.struct("of", "others")).alias("near"))  # three at most
+    placed = large.join(near, ["key", "width"])
+    name = lambda width, at: width * F.lit(1 << 32) + at
+    others = F.flatten(F.transform("near", lambda x: F.transform(F.sequence(zero, x["others"] - 1), lambda k: name(x["of"], k))))
+    dealt = placed.withColumn("blk", name(F.col("width"), F.pmod(F.xxhash64("node"), "blocks"))).withColumn("other", F.explode(others))
+    dealt = dealt.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
+    return small.unionByName(dealt.select(small.columns))
+
+
+def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """_id, _hash, n_shingles, class_id of each row: rows of one class are linked, directly or through others; null without a set."""
     scratch = Scratch(spark, "near-dedup")
-    docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    sketches = scratch.write(docs.mapInArrow(releasing(_sketches), "doc_id long, n_shingles long, s1 long, s2 long, registers binary"), "sketches")
-    full = sketches.where("n_shingles > 0 and doc_id is not null")
-    nodes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
-    nodes = scratch.write(nodes, "nodes")
+    docs = _keyed(documents).drop("_row")
+    columns = "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, registers binary"
+    sketches = scratch.write(docs.select("_id", "_hash", "_text").mapInArrow(releasing(_sketches), columns), "sketches")
+    full = sketches.where("n_shingles > 0")
+    found = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    nodes = scratch.write(found.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "registers", "first.*"), "nodes")
 
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("registers", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])
     banded = nodes.select("node", F.posexplode(keys).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("size")).where("size > 1")
     hits = scratch.write(banded.join(shared, "key"), "hits")
 
-    wanted = hits.select("node").distinct()
-    sets = scratch.write(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").mapInArrow(releasing(_sets), "node long, set binary, short binary"), "sets")
+    wanted = nodes.join(hits.select("node").distinct(), "node", "left_semi").select("node", "s1", "s2", "doc_id", "text_hash")
+    texts = docs.join(wanted, (docs["_hash"] == wanted["text_hash"]) & docs["_id"].eqNullSafe(wanted["doc_id"])).select("node", "s1", "s2", "_text")
+    if full.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():  # repeated rows
+        texts = texts.dropDuplicates(["node"])
+    sets = scratch.write(texts.mapInArrow(releasing(_sets), "node long, set binary, short binary"), "sets")
     size = nodes.select("node", "n", "registers")
 
     def confirmed(pairs: DataFrame, name: str, estimated: bool) -> DataFrame:
@@ -237,23 +276,45 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     for turn, best_only in ((1, True), (2, False)):
         placed = hits.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        members = placed.join(mixed, "key").join(size, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-        members = members.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks"))
-        dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        columns = ["key", "band", "node", "comp", "n", "rep", "registers", "blk"]
+        dealt = _blocked(placed.join(mixed, "key").join(size.select("node", "n"), "node")).join(size.select("node", "registers"), "node")
+        columns = ["key", "band", "node", "comp", "n", "rep", "registers", "blk", "i", "j"]
         if not best_only:
             dealt, columns = dealt.join(sets.select("node", "short"), "node"), [*columns, "short"]
-        dealt = dealt.select(*columns, F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-        pairs = dealt.groupBy("key", "i", "j").applyInArrow(_across(best_only), "a long, b long")
+        pairs = dealt.select(*columns).groupBy("key", "i", "j").applyInArrow(_across(best_only), "a long, b long")
         more = confirmed(pairs, f"edges{turn}", True)
         edges = edges.unionByName(more)
         comps = components(scratch, edges, f"comps{turn}-")
 
     placed = nodes.select("s1", "s2", "node").join(comps, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("class_id"))
     rows = sketches.drop("registers").withColumn("s1", F.when(F.col("n_shingles") > 0, F.col("s1")))
-    out = rows.join(placed, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+    return rows.join(placed, ["s1", "s2"], "left").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n_shingles", "class_id")
+
+
+def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, a row for each row of documents."""
+    rows = Scratch(spark, "near-dedup-classes").write(classes(spark, documents), "rows")
+    least = rows.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("_id").alias("least"))
+    out = rows.join(least, "class_id", "left").select(F.col("_id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("_id")).alias("component_id"))
+    return out.withColumn("kept", F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+
+
+def filter_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """The documents without near duplicates, their columns untouched: of each class the row of the least id (then of the least hash of its
+    text), and all rows without words. Rows that are linked with nothing stay, whatever ids they share."""
+    scratch = Scratch(spark, "near-dedup-filter")
+    rows = classes(spark, documents)
+    best = rows.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")).alias("r"), F.count("*").alias("n"))
+    kept = scratch.write(best.select(F.col("r._id").alias("k_id"), F.col("r._hash").alias("k_hash"), "n"), "kept")
+    bare = scratch.write(rows.where("class_id IS NULL").select(F.col("_id").alias("k_id"), F.col("_hash").alias("k_hash")).distinct(), "bare")
+    docs = _keyed(documents)
+    same = lambda keys: (docs["_hash"] == keys["k_hash"]) & docs["_id"].eqNullSafe(keys["k_id"])
+    chosen = docs.join(kept, same(kept), "left_semi")
+    if kept.where("n > 1").limit(1).count():  # else no row can stand for a repeated one
+        repeated = kept.where("n > 1")
+        several = docs.join(repeated, same(repeated), "left_semi").dropDuplicates(["_id", "_hash"])
+        single = kept.where("n = 1")
+        chosen = docs.join(single, same(single), "left_semi").unionByName(several)
+    return chosen.unionByName(docs.join(bare, same(bare), "left_semi")).select("_row.*")
 
 
 ORACLE = r"""

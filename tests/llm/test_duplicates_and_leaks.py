@@ -47,7 +47,9 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in keys}
 
 
-def test_components_equal_brute_force(spark, docs):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_components_equal_brute_force(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(11)
     passage, rows = prose(rng, 60), []
     for k in range(25):
@@ -71,6 +73,19 @@ def test_odd_rows_and_empty_tables(spark, docs, odd_rows):
     assert near_dedup.near_duplicates(spark, docs([])).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark, docs):
+    rng = random.Random(2)
+    one, two = prose(rng, 60), prose(rng, 60)
+    rows = [(3, one), (5, two), (7, one + " x"), (7, two + " y"), (7, prose(rng, 40)), (None, two + " z"), (None, one), (8, prose(rng, 30))]
+    got = sorted((str(r.doc_id), r.component_id) for r in near_dedup.near_duplicates(spark, docs(rows)).collect())
+    assert got == sorted([("3", 3), ("5", 5), ("7", 3), ("7", 5), ("7", 7), ("None", 5), ("None", 3), ("8", 8)])
+    extra = docs(rows + [(8, rows[-1][1]), (9, None), (9, None)]).withColumns({"s1": F.lit("a"), "class_id": F.lit("b"), "node": F.lit(1), "k_id": F.lit(1)})
+    left = near_dedup.filter_documents(spark, extra)
+    assert left.columns == extra.columns
+    want = [(3, one), (5, two), (7, rows[4][1]), (8, rows[-1][1]), (9, None), (9, None)]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(want, key=str)
+
+
 def test_estimates_are_close():
     rng = np.random.default_rng(4)
     for share in (0.5, 0.75, 0.9):
