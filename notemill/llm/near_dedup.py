@@ -315,21 +315,3 @@ def filter_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
         single = kept.where("n = 1")
         chosen = docs.join(single, same(single), "left_semi").unionByName(several)
     return chosen.unionByName(docs.join(bare, same(bare), "left_semi")).select("_row.*")
-
-
-ORACLE = r"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
-), sets AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM words
-), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
-), common AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
-), links AS (
-  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)
-), pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
-), reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT pairs.b, reach.c FROM reach JOIN pairs ON pairs.a = reach.doc_id)
-SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept
-FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
-"""

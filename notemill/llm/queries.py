@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules as q
 
-    docs = _table(spark, sf_dir, "documents")
-    return q.quality_rules(docs, q.fit_on_labels(spark, docs, _table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents")
+    return q.quality_rules(docs, q.fit_on_labels(spark, docs, table(spark, sf_dir, "labels")))
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -27,15 +27,15 @@ def _vocabulary(name: str) -> str:
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_classifier as q
 
-    docs = _table(spark, sf_dir, "documents")
-    return q.classify(docs, q.fit_on_labels(spark, docs, _table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents")
+    return q.classify(docs, q.fit_on_labels(spark, docs, table(spark, sf_dir, "labels")))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language_id as q
 
-    docs = _table(spark, sf_dir, "documents")
-    return q.identify(docs, q.fit(spark, docs, _vocabulary("piece_bpe_32k.model")))
+    docs = table(spark, sf_dir, "documents")
+    return q.identify(docs, q.fit(spark, docs, vocabulary("piece_bpe_32k.model")))
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,44 +43,44 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .scratch import Scratch
 
     path = f"{Scratch(spark, 'tokens').path}/ids"
-    q.write_tokens(_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=0)
+    q.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=0)
     return q.digest(q.read_tokens(spark, path))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat_format as q
 
-    return q.digest(q.format_conversations(q.with_hostile(_table(spark, sf_dir, "conversations"))))
+    return q.digest(q.format_conversations(q.with_hostile(table(spark, sf_dir, "conversations"))))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_filter as q
 
-    return q.judge_urls(_table(spark, sf_dir, "pages"))
+    return q.judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing as q
 
-    return q.digest(q.pack(spark, _table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+    return q.digest(q.pack(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate as q
 
-    return q.leaks(_table(spark, sf_dir, "documents"), q.indexes(_table(spark, sf_dir, "benchmark")))
+    return q.leaks(table(spark, sf_dir, "documents"), q.indexes(table(spark, sf_dir, "benchmark")))
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pitman_yor as q
 
-    return q.score(spark, _table(spark, sf_dir, "documents"))
+    return q.score(spark, table(spark, sf_dir, "documents"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_dedup as q
 
-    return q.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+    return q.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -88,6 +88,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat_format, near_dedup
+    from .oracles import CHAT_FORMAT, NEAR_DEDUP
 
-    return {"op3_chat_format": chat_format.ORACLE, "op10_near_dedup": near_dedup.ORACLE}
+    return {"op3_chat_format": CHAT_FORMAT, "op10_near_dedup": NEAR_DEDUP}
