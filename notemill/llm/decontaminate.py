@@ -8,9 +8,10 @@ counts as leaked if enough three-word shingles of both its question and its answ
 two words is looked up as a whole among the passage's runs of that many words. Without an
 answer column the last third of an item's words is its answer (an item of one or two words has none).
 
-An index of at most ``INDEX_ITEMS`` items goes to the tasks; more items are dealt into several indexes, each run over all
-documents. Defined results: null or empty documents and items match nothing; repeated rows are judged alike; a null
-doc_id stays null; other columns are ignored (or passed through by ``filter_documents``); an empty table on either side
+An index holds about ``INDEX_ITEMS`` items; more items are dealt into several, with the document frequencies and lengths of all
+items, so that results are those of one index. A scan of the documents searches ``PASS_INDEXES`` of them. Defined results: null or
+empty documents and items match nothing; repeated documents are judged alike, equal items count once; a null doc_id or
+item_id stays null; other columns are ignored (or passed through by ``filter_documents``); an empty table on either side
 gives no leaks. Documents of any length are taken whole.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .worker import releasing
 
-INDEX_ITEMS, BLOCK = 512, 4
+INDEX_ITEMS, PASS_INDEXES, BLOCK = 512, 8, 4
 #: Word-passage pairs whose bounds are added up at once.
 PAIRS = 1 << 15
 K1, B = 1.2, 0.75
@@ -38,7 +39,7 @@ LEAKS = "doc_id long, item_id long, score double, question_overlap double, answe
 
 @dataclass(frozen=True)
 class Index:
-    item_ids: np.ndarray
+    item_ids: pa.Array
     terms: np.ndarray  # sorted word hashes
     first: np.ndarray  # postings first[t]:first[t + 1]
     items: np.ndarray
@@ -71,8 +72,8 @@ def shingle_hashes(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(tc.mix(out))
 
 
-def build(items: list[tuple[int, str, str | None]]) -> Index | None:
-    """Index of (item_id, text or question, answer or None)."""
+def cut_items(items: list[tuple[int | None, str | None, str | None]]) -> list[tuple[int | None, np.ndarray, np.ndarray]]:
+    """Word hashes of the question and the answer of each of (item_id, text or question, answer or None) that has words."""
     split = []
     for item, question, answer in items:
         t = next(tc.chunks(lowered(pa.array([question, answer], pa.large_string())), size=1 << 40))[2]
@@ -81,28 +82,50 @@ def build(items: list[tuple[int, str, str | None]]) -> Index | None:
             q, a = q[: -(len(q) // 3)], q[-(len(q) // 3) :]
         if len(q) + len(a):
             split.append((item, q, a))
+    return sorted(split, key=lambda x: (x[0] is None, x[0]))
+
+
+class Statistics:
+    """Of all items, however many indexes they are dealt to: their number, lengths and the words' document frequencies."""
+
+    def __init__(self):
+        self.n, self.words, self.longest = 0, 0, 0
+        self.terms, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, split: list[tuple[int | None, np.ndarray, np.ndarray]]) -> Statistics:
+        sizes = [len(q) + len(a) for _, q, a in split]
+        self.n, self.words, self.longest = self.n + len(split), self.words + sum(sizes), max([self.longest, *sizes])
+        found = np.concatenate([self.terms, *(np.unique(np.concatenate([q, a])) for _, q, a in split)])
+        self.terms, at = np.unique(found, return_inverse=True)
+        self.df = np.bincount(at, np.concatenate([self.df, np.ones(len(found) - len(self.df), np.int64)]), len(self.terms)).astype(np.int64)
+        return self
+
+
+def build(split: list[tuple[int | None, np.ndarray, np.ndarray]], statistics: Statistics | None = None) -> Index | None:
+    """Index of cut items, by the statistics of all (of these alone if not given)."""
     if not split:
         return None
-    split.sort(key=lambda x: x[0])
+    statistics = statistics or Statistics().add(split)
     n = len(split)
     whole = [np.concatenate([q, a]) for _, q, a in split]
     length = np.array([len(w) for w in whole], float)
     pairs = [np.unique(w, return_counts=True) for w in whole]
-    terms, df = np.unique(np.concatenate([u for u, _ in pairs]), return_counts=True)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    terms = np.unique(np.concatenate([u for u, _ in pairs]))
+    df = statistics.df[np.searchsorted(statistics.terms, terms)]
+    idf = np.log1p((statistics.n - df + 0.5) / (df + 0.5))
     item = np.repeat(np.arange(n), [len(u) for u, _ in pairs])
     term = np.searchsorted(terms, np.concatenate([u for u, _ in pairs]))
     tf = np.concatenate([c for _, c in pairs]).astype(float)
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / length.mean()))
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] * statistics.n / statistics.words))
     share = impact / np.bincount(item, impact, n)[item]
     order = np.lexsort((item, term))
     term, item, share = term[order], item[order], share[order]
     most = np.zeros((len(terms), (n + BLOCK - 1) // BLOCK), np.float32)
     np.maximum.at(most, (term, item // BLOCK), share)
     return Index(
-        np.array([i for i, _, _ in split], np.int64), terms, np.searchsorted(term, np.arange(len(terms) + 1)), item, share, most,
+        pa.array([i for i, _, _ in split], pa.int64()), terms, np.searchsorted(term, np.arange(len(terms) + 1)), item, share, most,
         tuple(shingle_hashes(q) for _, q, _ in split), tuple(shingle_hashes(a) for _, _, a in split),
-        tuple((min(SHINGLE, len(q)), min(SHINGLE, len(a))) for _, q, a in split), 2 * int(length.max()),
+        tuple((min(SHINGLE, len(q)), min(SHINGLE, len(a))) for _, q, a in split), 2 * statistics.longest,
     )
 
 
@@ -193,50 +216,57 @@ def search(t: tc.Texts, index: Index) -> list[tuple[int, int, float, float, floa
 
 
 def indexes(benchmark: DataFrame, answer: str | None = None) -> list[Index]:
-    """Indexes of all items, each of at most about INDEX_ITEMS; that many items reach the driver at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("q"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("a"))
+    """Indexes of all items, each of about INDEX_ITEMS; that many texts reach the driver at a time. Equal items count once."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("q"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("a")).distinct()
     shards = max(1, -(-rows.count() // INDEX_ITEMS))
-    found = []
+    splits, statistics = [], Statistics()
     for k in range(shards):
-        items = rows.where(F.pmod(F.xxhash64("i", "q"), F.lit(shards)) == k).collect()
-        found.append(build([(r[0] if r[0] is not None else -1, r[1], r[2]) for r in items]))
-    return [x for x in found if x is not None]
+        splits.append(cut_items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "q", "a"), F.lit(shards)) == k).collect()]))
+        statistics.add(splits[-1])
+    return [x for x in (build(s, statistics) for s in splits) if x is not None]
+
+
+def _passes(indexes: list[Index]) -> list[list[Index]]:
+    """Indexes that one scan of the documents searches, a bounded number of items."""
+    return [indexes[k : k + PASS_INDEXES] for k in range(0, len(indexes), PASS_INDEXES)]
 
 
 def leaks(documents: DataFrame, indexes: list[Index]) -> DataFrame:
     """A row for each document and item leaked into it."""
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
 
-    def runner(index: Index):
+    def runner(own: list[Index]):
         def run(batches):
             for batch in batches:
                 for i, j, t in tc.chunks(lowered(batch.column(1))):
-                    found = search(t, index)
-                    ids = batch.column(0).slice(i, j - i).take(pa.array([f[0] for f in found], pa.int64()))
-                    cols = [pa.array(index.item_ids[[f[1] for f in found]] if found else [], pa.int64()), *(pa.array([f[c] for f in found], pa.float64()) for c in (2, 3, 4))]
-                    yield pa.RecordBatch.from_arrays([ids, *cols], names=[c.split()[0] for c in LEAKS.split(", ")])
+                    for index in own:
+                        found = search(t, index)
+                        ids = batch.column(0).slice(i, j - i).take(pa.array([f[0] for f in found], pa.int64()))
+                        cols = [index.item_ids.take(pa.array([f[1] for f in found], pa.int64())), *(pa.array([f[c] for f in found], pa.float64()) for c in (2, 3, 4))]
+                        yield pa.RecordBatch.from_arrays([ids, *cols], names=[c.split()[0] for c in LEAKS.split(", ")])
 
         return run
 
     if not indexes:
         return rows.sparkSession.createDataFrame([], LEAKS)
-    return reduce(DataFrame.unionByName, [rows.mapInArrow(releasing(runner(x)), LEAKS) for x in indexes])
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(releasing(runner(x)), LEAKS) for x in _passes(indexes)])
 
 
 def filter_documents(documents: DataFrame, indexes: list[Index]) -> DataFrame:
     """The documents into which no item leaked, with all their columns."""
     at, out = documents.columns.index("text"), documents
 
-    def runner(index: Index):
+    def runner(own: list[Index]):
         def run(batches):
             for batch in batches:
                 for i, j, t in tc.chunks(lowered(batch.column(at))):
                     clean = np.ones(t.n, bool)
-                    clean[[f[0] for f in search(t, index)]] = False
+                    for index in own:
+                        clean[[f[0] for f in search(t, index)]] = False
                     yield batch.slice(i, j - i).filter(pa.array(clean))
 
         return run
 
-    for x in indexes:
+    for x in _passes(indexes):
         out = out.mapInArrow(releasing(runner(x)), documents.schema)
     return out

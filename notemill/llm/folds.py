@@ -24,5 +24,5 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound:
         .orderBy(F.xxhash64("_id"), "_id").limit(bound)
     )
     texts = documents.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    got = texts.join(F.broadcast(rows), "_id").select("_text", "_y", "_id")
-    return [(r[0], r[1]) for r in sorted(got.collect(), key=lambda r: (r[2], r[0]))]
+    got = texts.join(F.broadcast(rows), "_id").groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.max("_y").alias("_y"))  # a text of each id
+    return [(r[1], r[2]) for r in sorted(got.collect())]

@@ -1,7 +1,7 @@
 """Language identification (operator 5): unigram pieces with all segmentations summed.
 
 Each language has probabilities over a fixed public piece vocabulary. A word's probability is the sum over all its
-segmentations into pieces, by a forward pass over its bytes; a text's is the product over its words (lower-cased, each
+segmentations into all pieces of the vocabulary, by a forward pass over its bytes, however long it is; a text's is the product over its words (lower-cased, each
 with the vocabulary's word-begin mark before it). Single bytes are pieces too, so everything has a segmentation. The
 probabilities are fitted by expectation-maximisation over the same lattices, on word counts of at most ``TRAIN_DOCS``
 documents of each language outside the held-out fold, chosen by a hash of the id; every text is scored whole.
@@ -18,12 +18,11 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
@@ -31,22 +30,30 @@ from .folds import fold
 from .worker import releasing
 
 TRAIN_DOCS, ROUNDS, SMOOTHING = 300, 4, 0.5
-#: Longest piece considered, in bytes, and longest stretch of a word in one lattice (longer words are cut there).
-LONGEST_PIECE, LONGEST_WORD = 16, 64
+#: Words of more bytes are summed one by one in logarithms, as their sums would leave the range of numbers.
+LONGEST_WORD = 64
 MARK = "▁".encode()
 #: Forward values are scaled by this for each byte, which cancels at the end.
 GAIN = 64.0
-WHITE = r"[\x20\x09-\x0D]+"
 
 
-def vocabulary(path: str) -> np.ndarray:
-    """Sorted span hashes of the pieces of a public vocabulary, then those of single bytes."""
+def vocabulary(path: str) -> Pieces:
+    """The pieces of a public vocabulary, and all single bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower().encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    pieces = sorted({p for p in pieces if 1 < len(p) <= LONGEST_PIECE})
-    return np.unique(_hash_all(pieces + [bytes([b]) for b in range(256)]))
+    return pieces_of(sorted(p for p in pieces if len(p) > 1))
+
+
+@dataclass(frozen=True)
+class Pieces:
+    hashes: np.ndarray  # ascending span hashes
+    sizes: tuple[int, ...]  # lengths in bytes that occur
+
+
+def pieces_of(pieces: list[bytes]) -> Pieces:
+    return Pieces(np.unique(_hash_all(pieces + [bytes([b]) for b in range(256)])), tuple(sorted({1, *map(len, pieces)})))
 
 
 def _hash_all(words: list[bytes]) -> np.ndarray:
@@ -69,12 +76,12 @@ class Lattice:
 
 
 class Lattices:
-    def __init__(self, pieces: np.ndarray):
-        self.pieces = pieces
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.sizes = pieces.hashes, pieces.sizes
         bits = 20
         self.shift = np.uint64(64 - bits)
         self.filter = np.zeros(1 << bits, bool)
-        self.filter[(pieces >> self.shift).astype(np.int64)] = True
+        self.filter[(self.pieces >> self.shift).astype(np.int64)] = True
 
     def __call__(self, words: list[bytes]) -> Lattice:
         words = [MARK + w for w in words]
@@ -85,8 +92,11 @@ class Lattices:
         word = np.repeat(np.arange(len(words)), length)
         spans, pos = tc.SpanHasher(buf, both=False), np.arange(len(buf))
         found = []
-        for size in range(1, LONGEST_PIECE + 1):
-            at = pos[pos + size <= stop[word]]
+        for size in self.sizes:
+            pos = pos[pos + size <= stop[word[pos]]]
+            if not len(pos):
+                break
+            at = pos
             h = spans(at, at + size)
             maybe = self.filter[(h >> self.shift).astype(np.int64)]
             at, h = at[maybe], h[maybe]
@@ -131,57 +141,88 @@ def expected(lat: Lattice, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.bincount(lat.piece, flow, len(p))
 
 
+def long_forward(lat: Lattice, logp: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over segmentations of one word up to each byte; logp: (languages, pieces)."""
+    out = np.full((len(logp), len(lat.cuts) - 1), -np.inf)
+    out[:, 0] = 0
+    for e in range(1, out.shape[1]):
+        s = slice(lat.cuts[e], lat.cuts[e + 1])
+        x = out[:, lat.begin[s]] + logp[:, lat.piece[s]]
+        most = x.max(1)
+        out[:, e] = most + np.log(np.exp(x - most[:, None]).sum(1))
+    return out
+
+
+def long_expected(lat: Lattice, logp: np.ndarray, weight: float) -> np.ndarray:
+    """Expected piece counts over all segmentations of one word."""
+    ahead, n = long_forward(lat, logp[None])[0], int(lat.length[0])
+    back = np.full(n + 1, -np.inf)
+    back[n] = 0
+    order = np.argsort(lat.begin, kind="stable")
+    cuts = np.searchsorted(lat.begin[order], np.arange(n + 1))
+    for b in range(n - 1, -1, -1):
+        s = order[cuts[b] : cuts[b + 1]]
+        x = back[lat.end[s]] + logp[lat.piece[s]]
+        back[b] = x.max() + np.log(np.exp(x - x.max()).sum())
+    return np.bincount(lat.piece, weight * np.exp(ahead[lat.begin] + logp[lat.piece] + back[lat.end] - ahead[n]), len(logp))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     langs: tuple[str, ...]
-    pieces: np.ndarray
+    pieces: Pieces
     p: np.ndarray  # (langs, pieces)
 
 
-def train(counts: dict[str, dict[bytes, int]], pieces: np.ndarray) -> LanguageModel:
+def train(counts: dict[str, dict[bytes, int]], pieces: Pieces) -> LanguageModel:
     """Fit piece probabilities to word counts of each language."""
-    build, langs, rows = Lattices(pieces), tuple(sorted(counts)), []
+    build, langs, rows, size = Lattices(pieces), tuple(sorted(counts)), [], len(pieces.hashes)
     for lang in langs:
-        words = sorted(counts[lang])
-        lat, weight = build(words), np.array([counts[lang][w] for w in words], float)
-        p = np.full(len(pieces), 1 / len(pieces))
+        words = sorted(w for w in counts[lang] if len(w) <= LONGEST_WORD)
+        longs = [(build([w]), float(n)) for w, n in sorted(counts[lang].items()) if len(w) > LONGEST_WORD]
+        lat, weight = build(words) if words else None, np.array([counts[lang][w] for w in words], float)
+        p = np.full(size, 1 / size)
         for _ in range(ROUNDS):
-            p = expected(lat, p, weight) + SMOOTHING
-            p /= p.sum()
+            found = np.full(size, SMOOTHING)
+            if lat is not None:
+                found += expected(lat, p, weight)
+            for one, n in longs:
+                found += long_expected(one, np.log(p), n)
+            p = found / found.sum()
         rows.append(p)
-    return LanguageModel(langs, pieces, np.array(rows).reshape(len(langs), len(pieces)))
+    return LanguageModel(langs, pieces, np.array(rows).reshape(len(langs), size))
+
 
+_COUNTS = "lang string, word binary, n long"
 
-def _cut(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words cut into stretches of at most LONGEST_WORD bytes, and the word of each."""
-    if all(len(w) <= LONGEST_WORD for w in words):
-        return words, np.arange(len(words))
-    out = [(w[i : i + LONGEST_WORD], k) for k, w in enumerate(words) for i in range(0, len(w), LONGEST_WORD)]
-    return [w for w, _ in out], np.array([k for _, k in out])
+
+def _count_words(batches):
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), pc.utf8_lower(tc.large_text(batch.column(1))), strict=True):
+            t = next(tc.chunks(pa.array([text], pa.large_string()), size=1 << 62))[2]
+            _, at, n = np.unique(t.hash, return_index=True, return_counts=True)
+            raw = t.buf.tobytes()
+            words = [raw[a:b] for a, b in zip(t.start[at].tolist(), t.end[at].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array(n.astype(np.int64))], names=["lang", "word", "n"])
 
 
 def word_counts(documents: DataFrame, bound: int = TRAIN_DOCS) -> dict[str, dict[bytes, int]]:
     """Counts of lower-cased words in at most bound training documents of each language, counted on the executors."""
-    known = documents.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("_lang"), F.col("text").cast("string").alias("_text"))
-    known = known.where(F.col("_lang").isNotNull() & (fold("_id", 5) != 0))
-    ids = known.select("_id", "_lang")
-    langs = sorted(r[0] for r in ids.select("_lang").distinct().collect())
+    known = documents.select(documents["doc_id"].cast("long").alias("_id"), documents["lang"].cast("string").alias("_lang"), documents["text"].cast("string").alias("_text"))
+    known = known.where(F.col("_lang").isNotNull() & (fold("_id", 5) != 0)).withColumn("_hash", F.xxhash64("_text"))
+    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id", "_hash")
+    picked = known.select("_id", "_lang", "_hash").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= bound)
+    rows = known.join(F.broadcast(picked), (known["_lang"] == picked["_lang"]) & (known["_hash"] == picked["_hash"]) & known["_id"].eqNullSafe(picked["_id"]), "left_semi")  # bound rows a language
+    counted = rows.dropDuplicates(["_id", "_lang", "_hash"]).select("_lang", "_text").mapInArrow(releasing(_count_words), _COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     out: dict[str, dict[bytes, int]] = {}
-    if not langs:
-        return out
-    picks = [ids.where(F.col("_lang") == lang).orderBy(F.xxhash64("_id"), "_id").limit(bound) for lang in langs]
-    pick = reduce(DataFrame.unionByName, picks).distinct()
-    words = known.join(F.broadcast(pick), ["_id", "_lang"], "left_semi").select("_lang", F.explode(F.split(F.lower("_text"), WHITE)).alias("w"))
-    for lang, w, n in words.where("w <> ''").groupBy("_lang", "w").count().collect():
-        got = out.setdefault(lang, {})
-        for part in _cut([w.encode()])[0]:
-            got[part] = got.get(part, 0) + n
+    for lang, w, n in counted.collect():
+        out.setdefault(lang, {})[bytes(w)] = n
     return out
 
 
 #: Log-probabilities of words already met by this worker process, by model.
 _known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 
 
 class Scorer:
@@ -190,12 +231,17 @@ class Scorer:
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """Log-probability of each word in each language."""
-        parts, of = _cut(words)
-        lat = self.build(parts)
-        each = np.stack([log_probability(lat, p) for p in self.model.p], 1)
-        if len(parts) == len(words):
-            return each
-        return np.stack([np.bincount(of, each[:, k], len(words)) for k in range(each.shape[1])], 1)
+        out = np.zeros((len(words), len(self.model.langs)))
+        short = [k for k, w in enumerate(words) if len(w) <= LONGEST_WORD]
+        if short:
+            lat = self.build([words[k] for k in short])
+            out[short] = np.stack([log_probability(lat, p) for p in self.model.p], 1)
+        if len(short) < len(words):
+            logp = np.log(self.model.p)
+            for k, w in enumerate(words):
+                if len(w) > LONGEST_WORD:
+                    out[k] = long_forward(self.build([w]), logp)[:, -1]
+        return out
 
     def texts(self, t: tc.Texts) -> np.ndarray:
         """Log-likelihood of each text in each language."""
@@ -251,7 +297,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
                     names=["doc_id", "held_out", "lang_pred", "score"],
                 )
 
-    rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), (fold(documents["doc_id"], 5) == 0).alias("held_out"), F.col("text").cast("string"))
+    rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), (fold(documents["doc_id"], 5) == 0).alias("held_out"), documents["text"].cast("string").alias("text"))
     return rows.mapInArrow(releasing(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 

@@ -99,16 +99,50 @@ def segmentations(word, pieces):
 
 
 def test_forward_sums_all_segmentations():
-    pieces = [b"a", b"b", b"ab", b"ba", b"aba", *[bytes([c]) for c in language_id.MARK], language_id.MARK + b"a"]
-    hashes = language_id._hash_all(pieces)
-    order = np.argsort(hashes)
-    p_of = {pieces[k]: float(v) for k, v in zip(order, np.random.default_rng(2).random(len(pieces)), strict=True)}
-    p = np.array([p_of[pieces[k]] for k in order])
-    words = [b"abab", b"a", b"bbaab"]
-    got = language_id.log_probability(language_id.Lattices(hashes[order])(words), p)
-    for w, g in zip(words, got, strict=True):
-        want = sum(np.prod([p_of[x] for x in s]) for s in segmentations(language_id.MARK + w, p_of))
-        assert abs(g - np.log(want)) < 1e-9
+    words = [b"ab", b"ba", b"aba", language_id.MARK + b"a", b"a" * 20, b"ab" * 22]
+    pieces = language_id.pieces_of(words)
+    p = np.random.default_rng(2).random(len(pieces.hashes))
+    p_of = {w: float(p[np.searchsorted(pieces.hashes, language_id._hash_all([w])[0])]) for w in [*words, *(bytes([c]) for c in range(256))]}
+    build = language_id.Lattices(pieces)
+    asked = [b"abab", b"a", b"bbaab", b"a" * 23, b"ab" * 23, b"ab" * 40]
+
+    def total(w):
+        sums = [1.0] + [0.0] * len(w)
+        for e in range(1, len(w) + 1):
+            sums[e] = sum(sums[e - len(x)] * v for x, v in p_of.items() if len(x) <= e and w[e - len(x) : e] == x)
+        return np.log(sums[-1])
+
+    short = asked[:4]
+    for w, g in zip(short, language_id.log_probability(build(short), p), strict=True):
+        assert abs(g - total(language_id.MARK + w)) < 1e-9
+    assert abs(total(language_id.MARK + b"abab") - np.log(sum(np.prod([p_of[x] for x in s]) for s in segmentations(language_id.MARK + b"abab", p_of)))) < 1e-9
+    for w in asked:
+        one = build([w])
+        assert abs(language_id.long_forward(one, np.log(p)[None])[0, -1] - total(language_id.MARK + w)) < 1e-9
+        assert np.abs(language_id.long_expected(one, np.log(p / 9), 2.0) - language_id.expected(one, p / 9, np.array([2.0]))).max() < 1e-9
+
+
+def test_identification_equals_brute_force(spark, docs):
+    """Posteriors of a tiny model, a word of 90 bytes and one of 5,000 among the words."""
+    pieces = language_id.pieces_of([b"ab", b"ba", language_id.MARK + b"a"])
+    rng = np.random.default_rng(7)
+    p = rng.random((2, len(pieces.hashes))) ** 3
+    p /= p.sum(1, keepdims=True)
+    model = language_id.LanguageModel(("xx", "yy"), pieces, p)
+    texts = ["abba ab a", "ABAB bab", "a" * 90 + " b", "ba" * 2500, "ab\t\nba b", "éab"]
+    known = {w: p[:, np.searchsorted(pieces.hashes, language_id._hash_all([w])[0])] for w in [b"ab", b"ba", language_id.MARK + b"a", *(bytes([c]) for c in range(256))]}
+
+    def word(w):
+        w, out = language_id.MARK + w, [np.zeros(2)]
+        for e in range(1, len(w) + 1):
+            out.append(np.logaddexp.reduce([out[e - len(x)] + np.log(known[x]) for x in {w[max(0, e - k) : e] for k in (1, 2, 4)} if x in known]))
+        return out[-1]
+
+    got = {r.doc_id: r for r in language_id.identify(docs(list(enumerate(texts))), model).collect()}
+    for k, text in enumerate(texts):
+        ws = text.lower().encode().split()
+        log = sum(map(word, ws)) / np.sqrt(len(ws))
+        assert got[k].lang_pred == model.langs[int(log.argmax())] and abs(got[k].score - 1 / np.exp(log - log.max()).sum()) < 1e-6
 
 
 def test_language_identification(spark, docs, odd_rows):
@@ -121,6 +155,8 @@ def test_language_identification(spark, docs, odd_rows):
     assert all(got[i].lang_pred == g for i, _, g in rows) and any(r.held_out for r in got.values())
     odd = {str(r.doc_id): r for r in language_id.identify(docs(odd_rows), model).collect()}
     assert odd["1"].lang_pred == odd["2"].lang_pred == odd["7"].lang_pred == "und" and odd["5"].lang_pred in ("en", "de")
+    long = docs([(k, "x" * (70 + k) + " the water") for k in range(12)])
+    assert language_id.fit(spark, long, public.path("piece_bpe_32k.model")).langs == ("en",)
     nothing = language_id.fit(spark, docs([]), public.path("piece_bpe_32k.model"))
     assert language_id.identify(docs([(1, "abc")]), nothing).first().lang_pred == "und"
 
