@@ -246,8 +246,8 @@ def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
     columns = "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, registers binary"
     sketches = scratch.write(docs.select("_id", "_hash", "_text").mapInArrow(releasing(_sketches), columns), "sketches")
     full = sketches.where("n_shingles > 0")
-    found = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
-    nodes = scratch.write(found.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "registers", "first.*"), "nodes")
+    found = full.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    nodes = scratch.write(found.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "registers", "first.doc_id", "first.text_hash"), "nodes")
 
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("registers", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])
     banded = nodes.select("node", F.posexplode(keys).alias("band", "key"))
@@ -285,16 +285,19 @@ def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
         edges = edges.unionByName(more)
         comps = components(scratch, edges, f"comps{turn}-")
 
-    placed = nodes.select("s1", "s2", "node").join(comps, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("class_id"))
+    # the first document of a class is found among its nodes, so that rows, of which many can be copies, are joined once
+    placed = nodes.select("s1", "s2", "node", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias("of")).join(comps, "node", "left")
+    placed = placed.withColumn("class_id", F.coalesce("comp", "node"))
+    first = placed.groupBy("class_id").agg(F.min("of").alias("first"))
+    placed = placed.join(first, "class_id").select("s1", "s2", "class_id", "first")
     rows = sketches.drop("registers").withColumn("s1", F.when(F.col("n_shingles") > 0, F.col("s1")))
-    return rows.join(placed, ["s1", "s2"], "left").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n_shingles", "class_id")
+    return rows.join(placed, ["s1", "s2"], "left").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n_shingles", "class_id", "first")
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row for each row of documents."""
-    rows = Scratch(spark, "near-dedup-classes").write(classes(spark, documents), "rows")
-    least = rows.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("_id").alias("least"))
-    out = rows.join(least, "class_id", "left").select(F.col("_id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("_id")).alias("component_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("first.id")).otherwise(F.col("_id"))
+    out = classes(spark, documents).select(F.col("_id").alias("doc_id"), "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
 
 
@@ -302,10 +305,10 @@ def filter_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """The documents without near duplicates, their columns untouched: of each class the row of the least id (then of the least hash of its
     text), and all rows without words. Rows that are linked with nothing stay, whatever ids they share."""
     scratch = Scratch(spark, "near-dedup-filter")
-    rows = classes(spark, documents)
-    best = rows.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")).alias("r"), F.count("*").alias("n"))
-    kept = scratch.write(best.select(F.col("r._id").alias("k_id"), F.col("r._hash").alias("k_hash"), "n"), "kept")
-    bare = scratch.write(rows.where("class_id IS NULL").select(F.col("_id").alias("k_id"), F.col("_hash").alias("k_hash")).distinct(), "bare")
+    rows = classes(spark, documents).where("class_id IS NULL OR (_id <=> first.id AND _hash = first.hash)")
+    rows = rows.groupBy(F.col("_id").alias("k_id"), F.col("_hash").alias("k_hash"), F.col("class_id").isNull().alias("bare")).agg(F.count("*").alias("n"))
+    rows = scratch.write(rows, "kept")
+    kept, bare = rows.where("NOT bare"), rows.where("bare")
     docs = _keyed(documents)
     same = lambda keys: (docs["_hash"] == keys["k_hash"]) & docs["_id"].eqNullSafe(keys["k_id"])
     chosen = docs.join(kept, same(kept), "left_semi")
