@@ -46,6 +46,11 @@ def gated_scores(signals: DataFrame, notes: DataFrame, settings: Settings = DEFA
     return scored.select("rel_path", F.when(F.col("total") >= settings.signal_min_entries, F.coalesce("signal_score", F.lit(0.0))).otherwise(F.lit(0.0)).alias("signal_score"))
 
 
+def signal_totals(signals: DataFrame) -> DataFrame:
+    """All signals, and notes with corrections that wait."""
+    return signals.agg(F.count("*").alias("total"), F.count_distinct(F.when((F.col("type") == "correction") & (F.col("note") != ""), F.col("note"))).alias("corrections_pending"))
+
+
 # Timeline ----------------------------------------------------------------------------------------------------------
 
 
@@ -79,6 +84,24 @@ def parse_timeline(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(pattern)).select("lineno", *[F.regexp_extract("value", pattern, k + 1).alias(c) for k, c in enumerate(names)])
 
 
+def last_events(timeline: DataFrame, now: str, hours: int = 24, most: int = 10) -> DataFrame:
+    """The last events of the hours before now."""
+    at = lambda c: F.to_timestamp(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return timeline.where(F.unix_timestamp(at(F.lit(now))) - F.unix_timestamp(at(F.col("ts"))) < hours * 3600).orderBy(F.desc("ts"), F.desc("lineno")).limit(most)
+
+
+def numbered(texts: DataFrame, key: str) -> DataFrame:
+    """Timeline rows of whole Markdown texts, with their line numbers."""
+    lines = texts.select(key, F.posexplode(F.split("text", "\n")).alias("lineno", "value")).withColumn("lineno", F.col("lineno") + 1)
+    rows = parse_timeline(lines.withColumn("lineno", F.struct(key, "lineno")))
+    return rows.select(f"lineno.{key}", "lineno.lineno", "ts", "action", "path", "desc")
+
+
+def vault_events(events: DataFrame, now: Column) -> DataFrame:
+    """Timeline rows with logical paths; a row's own time holds, else it is now."""
+    return events.withColumns({"path": t.logical_path(F.col("path")), "ts": F.coalesce("ts", now)})
+
+
 def render_timeline(timeline: DataFrame) -> DataFrame:
     return timeline.select(F.concat_ws(" | ", "ts", "action", "path", "desc").alias("value"))
 
@@ -99,6 +122,12 @@ def nudges(stale: DataFrame, log: DataFrame, now: str, most: int = 5, pause: int
     return rows.orderBy(F.desc("days"), "rel_path").limit(most)
 
 
+def weekly_loops(loops: DataFrame, now: str) -> DataFrame:
+    """Open and blocked loops, open ones not updated for two weeks, and open ones without a next action."""
+    is_open, days = F.col("status") == "open", F.datediff(F.lit(now).cast("date"), F.col("updated_ts").cast("date"))
+    return loops.agg(F.count_if(is_open).alias("open"), F.count_if(F.col("status") == "blocked").alias("blocked"), F.count_if(is_open & (days > 14)).alias("stale"), F.count_if(is_open & (F.coalesce("next_action", F.lit("")) == "")).alias("gaps"))
+
+
 # Corpus ------------------------------------------------------------------------------------------------------------
 
 
@@ -106,8 +135,12 @@ def sizes(notes: DataFrame) -> DataFrame:
     return notes.select("rel_path", t.word_count(F.col("text")).alias("words"))
 
 
-def tag_index(notes: DataFrame) -> DataFrame:
-    return notes.select("rel_path", F.explode("tags").alias("tag")).groupBy("tag").agg(F.sort_array(F.collect_set("rel_path")).alias("paths"))
+def tag_index(notes: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """tag, part, paths; the paths of a frequent tag are in several parts of about chunk paths each."""
+    held = notes.select("rel_path", F.explode("tags").alias("tag"))
+    frequent = held.groupBy("tag").agg(F.ceil(F.count("*") / chunk).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("rel_path"), F.coalesce("parts", F.lit(1)))
+    return held.join(frequent, "tag", "left").withColumn("part", part).groupBy("tag", "part").agg(F.sort_array(F.collect_set("rel_path")).alias("paths"))
 
 
 def tag_pairs(notes: DataFrame) -> DataFrame:
@@ -204,6 +237,21 @@ def drift(old: DataFrame, new: DataFrame, logged: DataFrame) -> DataFrame:
     )
 
 
+def map_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """How many paths were added, removed and changed, and whether the maps are equal."""
+    n = lambda state: F.count_if(F.col("state") == state)
+    return diff(old, new).agg(n("added").alias("added"), n("deleted").alias("removed"), n("modified").alias("changed"), (F.count_if(F.col("state") != "unchanged") == 0).alias("is_equal"))
+
+
+def sync_verdict(old: DataFrame, new: DataFrame, logged: DataFrame, events_then: int, events_now: int) -> DataFrame:
+    """Drift since a baseline, unlogged changes, and whether the timeline is shorter than it was then; exit_code is 1 unless all is well."""
+    rows = drift(old, new, logged).agg(F.count_if(F.col("kind") == "unlogged").alias("unlogged"))
+    counts = map_diff(old, new).select("added", F.col("changed").alias("modified"), "removed")
+    both = counts.join(rows).withColumn("rewound", F.lit(events_now < events_then))  # one row each
+    verdict = F.when(F.col("unlogged") > 0, "unlogged").when(F.col("rewound"), "inconsistent").otherwise("healthy")
+    return both.withColumn("verdict", verdict).withColumn("exit_code", F.when(verdict == "healthy", 0).otherwise(1))
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Rows replace those of table with the same key."""
     return table.join(rows, key, "left_anti").unionByName(rows)
@@ -230,6 +278,17 @@ def profiles(notes: DataFrame, now: Column, caps: dict[str, int] | None = None)
     return rows.where(F.col("pos") <= cap)
 
 
+def context_items(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The best profile items of all."""
+    return rows.orderBy(F.desc("profile"), F.desc("updated"), F.desc("rel_path")).limit(most)
+
+
+def boot_payload(notes: DataFrame, signals: DataFrame) -> DataFrame:
+    """One row for a session's start: notes, open loops, the latest update and the signals that are in."""
+    own = notes.agg(F.count("*").alias("notes"), F.count_if((F.col("type") == "loop") & (F.col("status") == "open")).alias("open_loops"), F.max("updated").alias("latest"))
+    return own.join(signals.agg(F.count("*").alias("signals")))  # one row each
+
+
 def boot(notes: DataFrame, now: Column, settings: Settings = DEFAULTS) -> DataFrame:
     """Confident notes and active loops for a session's start."""
     active = F.coalesce("status", F.lit("open")).isin("open", "blocked", "snoozed")

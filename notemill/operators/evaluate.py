@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +53,16 @@ def compare(base: DataFrame, new: DataFrame) -> DataFrame:
     rows = new.crossJoin(F.broadcast(b))
     deltas = [F.round(F.col(m) - F.col(f"b_{m}"), 6).alias(f"delta_{m}") for m in ("hit1", "hitk", "mrr")]
     return rows.select(*deltas).withColumn("regressed", (F.col("delta_hitk") < 0) | (F.col("delta_mrr") < 0))
+
+
+def deltas(base: DataFrame, new: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """metric, base, new, delta of two rows of metrics, rounded to four digits."""
+    pick = lambda df, name: df.select(F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", name))
+    both = pick(base, "base").join(pick(new, "new"), "metric")
+    return both.select("metric", F.round("base", 4).alias("base"), F.round("new", 4).alias("new"), F.round(F.col("new") - F.col("base"), 4).alias("delta"))
+
+
+def run(cases: DataFrame, ranker: Callable[[DataFrame], DataFrame], k: int = 3) -> DataFrame:
+    """Quality of a ranker, a function from queries to ranked rows (query_id, rel_path, rank), over cases with their expected paths."""
+    expected = cases.select("query_id", F.explode("expected").alias("rel_path"))
+    return quality(case_ranks(ranker(cases.drop("expected")), expected), k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..schema import LANGS, SCOPES, SOURCES, STATUSES
+from . import analytics
 
 REQUIRED = ("created", "updated", "tags", "confidence", "source", "scope", "lang")
 STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
@@ -53,3 +54,14 @@ def cases(rows: DataFrame, paths: DataFrame) -> DataFrame:
     none = rows.where(F.size("expected") <= 0).select("query_id", F.lit("nothing_expected").alias("code"))
     missing = rows.select("query_id", F.explode("expected").alias("rel_path")).join(paths, "rel_path", "left_anti").select("query_id", F.lit("missing_path").alias("code")).distinct()
     return twice.unionByName(empty).unionByName(scope).unionByName(none).unionByName(missing)
+
+
+def timeline(lines: DataFrame) -> DataFrame:
+    """lineno, code of timeline lines (lineno, value, stream): those that begin like an event but aren't one, wildcard paths, and events
+    that come after a later one of their stream."""
+    dated = lines.where(F.trim("value").rlike("^[0-9]"))
+    rows = analytics.parse_timeline(dated.withColumn("lineno", F.struct("stream", "lineno"))).select("lineno.*", "ts", "path")
+    bad = dated.join(rows, ["stream", "lineno"], "left_anti").select("lineno", F.lit("invalid_format").alias("code"))
+    wild = rows.where(F.col("path").contains("*")).select("lineno", F.lit("wildcard_path").alias("code"))
+    late = analytics.order_violations(rows, "stream").select("lineno", F.lit("out_of_order").alias("code"))
+    return bad.unionByName(wild).unionByName(late)

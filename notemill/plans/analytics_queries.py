@@ -57,7 +57,7 @@ def f6_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {a.SQL_NOTES}, e AS (SELECT rel_path, unnest(tags) AS tag FROM notes) SELECT tag, count(DISTINCT rel_path) AS n, min(rel_path) AS first FROM e GROUP BY tag")
 def f7_tag_index(spark: SparkSession, d: str) -> DataFrame:
-    return an.tag_index(a.notes(spark, d)).select("tag", F.size("paths").cast("long").alias("n"), F.element_at("paths", 1).alias("first"))
+    return an.tag_index(a.notes(spark, d), 100).groupBy("tag").agg(F.sum(F.size("paths")).alias("n"), F.min(F.element_at("paths", 1)).alias("first"))
 
 
 _PAIRS = f"{a.SQL_NOTES}, e AS (SELECT DISTINCT rel_path, unnest(tags) AS tag FROM notes), tp AS (SELECT x.tag, y.tag AS other, count(*) AS n FROM e x JOIN e y USING (rel_path) WHERE x.tag <> y.tag GROUP BY ALL)"

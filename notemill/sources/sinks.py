@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import analytics, browse
 from ..schema import ACTIONS, SIGNAL_TYPES
 
 
@@ -78,6 +79,36 @@ def timeline_markdown(timeline: DataFrame, path: str) -> None:
     timeline.orderBy("ts", "path").select(F.concat_ws(" | ", "ts", "action", "path", "desc").alias("value")).write.mode("overwrite").text(path)
 
 
+#: Tables that ``derived`` writes.
+DERIVED = ("sizes", "tags", "recent", "catalogue", "metrics")
+
+
+def derived(rows: DataFrame, root: str) -> None:
+    """The derived indexes of notes, a JSON table each."""
+    sizes = analytics.sizes(rows)
+    tables = {
+        "sizes": sizes, "tags": rows.select(F.explode(F.array_distinct("tags")).alias("tag"), "rel_path", "title"), "recent": browse.recent(rows).select("rel_path", "title", "updated"),
+        "catalogue": analytics.catalogue(rows), "metrics": analytics.metrics(sizes.join(rows.select("rel_path", "scope"), "rel_path"), "scope", "words"),
+    }
+    for name in DERIVED:
+        tables[name].write.mode("overwrite").json(f"{root}/{name}")
+
+
+def by_scope(rows: DataFrame, path: str) -> None:
+    """Context profiles, a folder for each scope."""
+    rows.write.mode("overwrite").partitionBy("scope").parquet(path)
+
+
+def append_lines(df: DataFrame, path: str) -> None:
+    """Append rows (value) as lines of text, as of an import log."""
+    df.select("value").write.mode("append").text(path)
+
+
+def append_queries(ranked: DataFrame, path: str) -> None:
+    """Telemetry of ranked queries: how many results each had, and the best one."""
+    ranked.groupBy("query_id").agg(F.count("*").alias("results"), F.min_by("rel_path", "rank").alias("best"), F.max("score").alias("score")).write.mode("append").json(path)
+
+
 def notes(df: DataFrame, path: str) -> None:
     """Parsed notes, a folder for each type."""
     df.write.mode("overwrite").partitionBy("type").parquet(path)
