@@ -12,13 +12,15 @@ ROW_GROUP = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder the cluster names in spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """Folder the cluster names in spark.checkpoint.dir; where that is unset, a temporary one in local mode (tests), an error elsewhere."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = tempfile.mkdtemp(prefix="notemill-")
     spark.sparkContext.setCheckpointDir(f"file://{root}")
     return f"file://{root}"

@@ -7,7 +7,7 @@ fitted on URLs which the models did not see.
 
 The models are fitted on at most ``TRAIN_URLS`` distinct URLs of each verdict that a rule gave, chosen by hash; every URL
 is judged. Defined results: a null URL, or one without ``://``, has an empty host and path, no rule, and is scored by the
-models on its own characters (null: none, and allowed); equal rows get equal verdicts; without examples of both
+models on its own characters (null: on none); equal rows get equal verdicts; without examples of both
 verdicts everything that no rule blocks is allowed; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -142,16 +142,17 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, bound: int = T
     judge = train(*samples)
 
     def run(batches):
-        seen: dict[str | None, float | None] = {None: None}
+        seen: dict[str, float] = {}
         for batch in batches:
             scores = []
             for url, known in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                url = url or ""
                 if known is not None or judge is None:
                     scores.append(None)
                     continue
                 if url not in seen:
                     if len(seen) > 100_000:
-                        seen = {None: None}
+                        seen = {}
                     seen[url] = judge.probability(url)
                 scores.append(seen[url])
             verdicts = [k or ("allow" if s is None or s >= threshold else "block") for k, s in zip(batch.column(5).to_pylist(), scores, strict=True)]

@@ -83,7 +83,7 @@ def test_chat_round_trip(spark):
 def test_url_filter(spark):
     urls = [
         (1, "http://a.net/x", "net/", "block"), (2, "https://www.Example.NET/en/1?q#f", "example.net/en/", "allow"), (3, "x://example.com/de/", "example.com/de/", "block"), (4, "http://b.org/fr/z", "org/fr/", "allow"),
-        (5, "http://anet/x", None, None), (6, "http://example.net/en", "net/", "block"), (7, "http://a.net", None, None), (8, None, None, "allow"), (9, "no scheme net/", None, None), (10, "", None, None),
+        (5, "http://anet/x", None, None), (6, "http://example.net/en", "net/", "block"), (7, "http://a.net", None, None), (8, None, None, None), (9, "no scheme net/", None, None), (10, "", None, None),
     ]
     more = [(100 + k, f"http://site{k}.net/page/{k}", "net/", "block") for k in range(40)] + [(200 + k, f"http://site{k}.org/fr/{k}", "org/fr/", "allow") for k in range(40)]
     table = spark.createDataFrame([(i, u, 1) for i, u, _, _ in urls + more], "page_id long, url string, verdict int")
@@ -95,6 +95,38 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(alone).first().verdict == "allow" and url_filter.judge_urls(alone.limit(0)).count() == 0
 
 
+def test_model_verdicts_equal_brute_force(spark):
+    """The interpolated probability by its recursion over contexts, the ratio, the calibration and the verdict of each URL."""
+    import math
+
+    good, bad = [f"http://a{k}.org/fr/page{k % 7}" for k in range(25)], [f"http://b{k}.net/buy-{k % 5}!" for k in range(25)]
+    asked = ["http://a9.com/page3", "http://x.com/buy-4!", "", None, "http://q.com/" + "z" * 3000]
+    table = spark.createDataFrame(list(enumerate(good + bad + asked)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge_urls(table).collect()}
+    order = spark.createDataFrame([(u,) for u in good + bad], "u string").selectExpr("u", "xxhash64(u) AS h").orderBy("h", "u").collect()
+    judge = url_filter.train([r.u for r in order if r.u in good], [r.u for r in order if r.u in bad])
+
+    def brute(texts, text):
+        padded = ["\x02" * 5 + x + "\x03" for x in texts]
+
+        def p(context, c):
+            below = p(context[1:], c) if context else 1 / 65536
+            after = [x[i + len(context)] for x in padded for i in range(5 - len(context), len(x) - len(context)) if x.startswith(context, i)]
+            return (after.count(c) + len(set(after)) * below) / (len(after) + len(set(after))) if after else below
+
+        long = "\x02" * 5 + text + "\x03"
+        return sum(math.log2(p(long[i - 5 : i], long[i])) for i in range(5, len(long)))
+
+    for k, url in enumerate(asked):
+        url = url or ""
+        if len(url) < 100:
+            fit = [[t for i, t in enumerate(r.u for r in order if r.u in kind) if i % 5] for kind in (good, bad)]
+            ratio = (brute(fit[0], url) - brute(fit[1], url)) / (len(url) + 1)
+            assert abs(ratio - judge.ratio(url)) < 1e-9
+        row = got[len(good + bad) + k]
+        assert row.rule is None and abs(row.probability - judge.probability(url)) < 1e-9 and row.verdict == ("allow" if row.probability >= 0.5 else "block")
+
+
 def test_char_models_separate():
     judge = url_filter.train([f"good{k}" for k in range(30)], [f"spam-{k}!" for k in range(30)])
     assert judge.probability("good99") > 0.5 > judge.probability("spam-99!")
