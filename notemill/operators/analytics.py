@@ -90,6 +90,13 @@ def last_events(timeline: DataFrame, now: str, hours: int = 24, most: int = 10)
     return timeline.where(F.unix_timestamp(at(F.lit(now))) - F.unix_timestamp(at(F.col("ts"))) < hours * 3600).orderBy(F.desc("ts"), F.desc("lineno")).limit(most)
 
 
+def after_baseline(timeline: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Events of each stream after its baseline (stream, baseline: lines read then); all of a stream that is shorter now."""
+    read = timeline.groupBy("stream").agg(F.max("lineno").alias("last")).join(baseline, "stream", "left")
+    start = read.select("stream", F.when(F.col("last") < F.col("baseline"), -1).otherwise(F.coalesce("baseline", F.lit(-1))).alias("start"))
+    return timeline.join(start, "stream").where(F.col("lineno") > F.col("start")).drop("start")
+
+
 def numbered(texts: DataFrame, key: str) -> DataFrame:
     """Timeline rows of whole Markdown texts, with their line numbers."""
     lines = texts.select(key, F.posexplode(F.split("text", "\n")).alias("lineno", "value")).withColumn("lineno", F.col("lineno") + 1)

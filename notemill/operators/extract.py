@@ -185,10 +185,21 @@ def import_cycle(scan: DataFrame, done: DataFrame, known_keys: DataFrame, settin
     found = found.where(suits_path(F.concat(F.lit("/"), F.col("path")), F.col("text"), F.col("kind"), F.col("statement")))
     found = found.withColumn("scope", scope_of_path(F.col("path"))).withColumn("key", import_key(F.col("kind"), F.col("scope"), F.col("statement")))
     found = found.join(known_keys.select("key"), "key", "left_anti")
-    first = found.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("file_rank", "pos"))).where("rn = 1")
+    first = first_of_key(found, "file_rank", "pos")
     return first.orderBy("file_rank", "pos").limit(settings.import_notes).select("path", "kind", "scope", "statement", "confidence", "key", route(settings).alias("route"), candidate_score().alias("candidate_score"))
 
 
+def first_of_key(rows: DataFrame, *order: str) -> DataFrame:
+    """Of rows with the same key the first by order; equal keys are reduced before they are shuffled."""
+    whole = F.struct(*order, *[c for c in rows.columns if c not in order])
+    return rows.groupBy("key").agg(F.min_by(whole, F.struct(*order)).alias("r")).select("r.*")
+
+
+def queue_counts(queue: DataFrame) -> DataFrame:
+    """Candidates of a review queue by status."""
+    return queue.groupBy("review_status").agg(F.count("*").alias("n"))
+
+
 def triage(text: Column) -> Column:
     """Suggested type of an inbox item."""
     out, low = F.lit("facts"), F.lower(F.coalesce(text, F.lit("")))

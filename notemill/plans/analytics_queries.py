@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import analytics as an
+from ..operators import browse as b
 from ..operators import evaluate as ev
 from ..operators import extract as x
 from ..operators import notes as n
@@ -143,9 +144,7 @@ def g17_nudges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {a.SQL_NOTES}, s(scope) AS (VALUES ('home'), ('work'), ('dev'), ('personal'), ('meta')) SELECT s.scope, count(rel_path) AS n FROM s LEFT JOIN notes ON notes.scope = s.scope AND type = 'loop' AND notes.scope <> 'meta' GROUP BY s.scope")
 def f20_scope_histogram(spark: SparkSession, d: str) -> DataFrame:
-    scopes = spark.createDataFrame([(x,) for x in a.SCOPE_CYCLE], "scope string")
-    counts = a.notes(spark, d).where("type = 'loop' AND scope <> 'meta'").groupBy("scope").count()
-    return scopes.join(counts, "scope", "left").select("scope", F.coalesce("count", F.lit(0)).alias("n"))
+    return b.scope_histogram(a.notes(spark, d).where("type = 'loop' AND scope <> 'meta'"), a.SCOPE_CYCLE)
 
 
 @query("SELECT source, sha256(string_agg(doc_id || chr(9) || sha256(text) || chr(10), '' ORDER BY doc_id || chr(9) || sha256(text) || chr(10))) AS fingerprint FROM documents GROUP BY source")
@@ -159,9 +158,10 @@ def f23_groupings(spark: SparkSession, d: str) -> DataFrame:
     return a.notes(spark, d).groupBy("type", "scope").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {a.SQL_TIMELINE} SELECT lineno, ts, before FROM (SELECT lineno, ts, lag(ts) OVER (PARTITION BY path ORDER BY lineno) AS before FROM timeline) WHERE ts < before")
+@query(f"WITH {a.SQL_TIMELINE} SELECT lineno, ts, before FROM (SELECT xor(lineno, 1023) AS lineno, ts, lag(ts) OVER (PARTITION BY path ORDER BY xor(lineno, 1023)) AS before FROM timeline) WHERE ts < before")
 def h3_timeline_order(spark: SparkSession, d: str) -> DataFrame:
-    return an.order_violations(a.timeline(spark, d)).select("lineno", "ts", "before")
+    mixed = a.timeline(spark, d).withColumn("lineno", F.col("lineno").bitwiseXOR(F.lit(1023)))
+    return an.order_violations(mixed).select("lineno", "ts", "before")
 
 
 @query(f"""WITH {a.SQL_TIMELINE}, l AS (SELECT stream, max(lineno) FILTER (action = 'sleep') AS pos, max(ts) FILTER (action = 'sleep') AS slept FROM timeline GROUP BY stream)
@@ -320,9 +320,12 @@ def h1_select_files(spark: SparkSession, d: str) -> DataFrame:
     return x.select_files(scan, scan.where(i % 10 == 3).select("path", "hash", "size")).select("path")
 
 
-@query("SELECT vec_id AS id, sha1(vec_id || chr(31) || label) AS hash FROM embeddings")
+_RECORD = ("rel_path", "type", "title", "body", "updated", "scope", "status", "source")
+
+
+@query(f"WITH {a.SQL_NOTES} SELECT rel_path, sha1(concat_ws(chr(31), {', '.join(_RECORD)})) AS hash FROM notes")
 def e1_item_hash(spark: SparkSession, d: str) -> DataFrame:
-    return a.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), s.item_hash("vec_id", "label").alias("hash"))
+    return a.notes(spark, d).select("rel_path", s.item_hash(*_RECORD).alias("hash"))
 
 
 @query(f"WITH {a.SQL_TIMELINE} SELECT lineno, ts, action, path, \"desc\" FROM timeline WHERE lineno % 10 <> 3")
@@ -332,9 +335,9 @@ def a12_timeline_markdown(spark: SparkSession, d: str) -> DataFrame:
     return an.parse_timeline(rows.select("lineno", line.alias("value"))).select("lineno", "ts", "action", "path", "desc")
 
 
-@query(f"WITH {a.SQL_TIMELINE} SELECT ts || ' | ' || action || ' | ' || path || ' | ' || \"desc\" AS value FROM timeline WHERE stream = 3")
+@query(f"WITH {a.SQL_TIMELINE} SELECT ts || ' | ' || action || ' | ' || path || ' | ' || \"desc\" AS value FROM timeline ")
 def b5_render_timeline(spark: SparkSession, d: str) -> DataFrame:
-    return an.render_timeline(a.timeline(spark, d).where("stream = 3"))
+    return an.render_timeline(a.timeline(spark, d))
 
 
 @query("""WITH q AS (SELECT avg(quality) AS hit1, avg(toxic) AS hitk, avg(quality + toxic) / 2 AS mrr FROM labels), p AS (SELECT avg(quality) AS hit1, avg(toxic) AS hitk, avg(quality + toxic) / 2 AS mrr FROM labels WHERE doc_id % 2 = 0)
@@ -357,7 +360,7 @@ def _queue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_QUEUE} SELECT review_status, count(*) AS n FROM queue GROUP BY 1")
 def f24_queue_status(spark: SparkSession, d: str) -> DataFrame:
-    return _queue(spark, d)[0].groupBy("review_status").agg(F.count("*").alias("n"))
+    return x.queue_counts(_queue(spark, d)[0])
 
 
 @query(f"WITH {_QUEUE} SELECT doc_id, CASE WHEN review_status = 'approved' AND key NOT IN (SELECT key FROM known) THEN 'promoted' ELSE review_status END AS review_status FROM queue")
@@ -367,28 +370,29 @@ def x13_queue_promotion(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) = 1")
 def h2_first_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    # the least id of each text, so that equal texts are reduced before the shuffle
-    return a.table(spark, d, "documents").groupBy(F.lower("text").alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = a.table(spark, d, "documents").select("doc_id", F.sha1(F.lower("text")).alias("key"))
+    return x.first_of_key(rows, "doc_id").select("doc_id")
 
 
-@query(f"WITH {a.SQL_TIMELINE} SELECT stream, count(*) FILTER (lineno > 5000) AS n FROM timeline GROUP BY stream")
+@query(f"WITH {a.SQL_TIMELINE} SELECT stream, count(*) FILTER (stream % 4 = 0 OR lineno > 5000) AS n FROM timeline GROUP BY stream HAVING n > 0")
 def h5_after_baseline(spark: SparkSession, d: str) -> DataFrame:
-    return a.timeline(spark, d).groupBy("stream").agg(F.count_if(F.col("lineno") > 5000).alias("n"))
+    then = a.timeline(spark, d).select("stream").distinct().withColumn("baseline", F.when(F.col("stream") % 4 == 0, 10**9).otherwise(5000).cast("long"))
+    return an.after_baseline(a.timeline(spark, d), then).groupBy("stream").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {a.SQL_NOTES} SELECT rel_path, updated FROM notes ORDER BY updated DESC, rel_path DESC LIMIT 30")
 def i3_recent(spark: SparkSession, d: str) -> DataFrame:
-    return a.notes(spark, d).select("rel_path", "updated").orderBy(F.desc("updated"), F.desc("rel_path")).limit(30)
+    return b.recent(a.notes(spark, d)).select("rel_path", "updated")
 
 
 @query(f"WITH {a.SQL_NOTES} SELECT rel_path, len(regexp_extract_all(text, '\\S+')) AS words FROM notes ORDER BY words DESC, rel_path DESC LIMIT 10")
 def i4_largest(spark: SparkSession, d: str) -> DataFrame:
-    return an.sizes(a.notes(spark, d)).withColumn("words", F.col("words").cast("long")).orderBy(F.desc("words"), F.desc("rel_path")).limit(10)
+    return b.largest(an.sizes(a.notes(spark, d)).withColumn("words", F.col("words").cast("long")))
 
 
-@query(f"WITH {_EDGES} SELECT src, dst, src = '5' AS outgoing FROM e WHERE src = '5' OR dst = '/the'")
+@query(f"WITH {_EDGES}, m AS (SELECT src, CASE WHEN src < '3' THEN '5' ELSE dst END AS dst FROM e) SELECT src, dst, src = '5' AS outgoing FROM m WHERE src = '5' OR dst = '5'")
 def j8_links_of_one(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(spark, d).where("src = '5' OR dst = '/the'").select("src", "dst", (F.col("src") == "5").alias("outgoing"))
+    return b.panel(_edges(spark, d).withColumn("dst", F.when(F.col("src") < "3", "5").otherwise(F.col("dst"))), "5")
 
 
 @query("""SELECT doc_id, regexp_matches(s, '(?i)(#openloop|#loop|@loop|@openloop)') OR regexp_matches(s, '(?i)\\b(20\\d{2}-\\d{2}-\\d{2}|q[1-4]|uke\\s?\\d{1,2}|week\\s?\\d{1,2})\\b') AS kept
@@ -423,16 +427,17 @@ def x12_import_cycle(spark: SparkSession, d: str) -> DataFrame:
     return got.select("path", "statement", "key", "route", F.col("candidate_score").alias("score"))
 
 
-@query("SELECT event_type AS type, count(*) AS n, max(event_id) AS last FROM events GROUP BY event_type")
+@query(_SUMMARY + " SELECT note, hits, corrections, rating_sum, signal_score FROM summary")
 def s3_signal_stream(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
+    from ..sources import index as stored
     from ..streaming import imports
 
-    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
-    counts = stream.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
-    return imports.run_once(counts, f"signal_stream_{uuid.uuid4().hex}")
+    folder = f"{stored.folder(spark)}/signals-{uuid.uuid4().hex}"
+    a.signals(spark, d).drop("event_id").write.json(folder)
+    summary = imports.run_once(imports.watch_signals(spark, folder), f"signal_stream_{uuid.uuid4().hex}")
+    return summary.select("note", "hits", "corrections", "rating_sum", "signal_score")
 
 
 @query(f"""WITH {a.SQL_NOTES} SELECT rel_path, '- T' || doc_id || CASE WHEN type = 'loop' AND status <> '' THEN ' [' || status || ']' ELSE '' END || CASE WHEN confidence < 0.7 THEN printf(' (confidence %.2f)', confidence) ELSE '' END AS line FROM notes""")

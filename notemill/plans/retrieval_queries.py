@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import browse
 from ..operators import notes as n
 from ..operators import rank as r
 from ..operators import semantic as s
@@ -209,7 +210,11 @@ def d20_related(spark: SparkSession, d: str) -> DataFrame:
     return r.related(asked, index, a.now()).select("query_id", F.col("rank").cast("int").alias("rank"), "rel_path")
 
 
-@query()
+@query(sql_pool().replace("WITH", "WITH RECURSIVE", 1) + sql_bm25() + sql_rank() + r""", w AS (SELECT query_id, CAST(rank AS INT) AS rank, rel_path, len(regexp_extract_all(body, '\S+')) AS words FROM best
+), walk AS (SELECT query_id, 0 AS rank, '' AS rel_path, CAST(0 AS BIGINT) AS taken, CAST(1200 AS BIGINT) AS budget FROM (SELECT DISTINCT query_id FROM w) UNION ALL
+  SELECT w.query_id, w.rank, w.rel_path, CASE WHEN budget > 0 AND words > 0 THEN least(words, greatest(40, least(budget, 200))) ELSE 0 END, budget - CASE WHEN budget > 0 AND words > 0 THEN least(words, greatest(40, least(budget, 200))) ELSE 0 END
+  FROM walk JOIN w ON w.query_id = walk.query_id AND w.rank = walk.rank + 1)
+SELECT query_id, rank, rel_path, CAST(taken AS INT) AS taken FROM walk WHERE taken > 0""")
 def d22_bundle(spark: SparkSession, d: str) -> DataFrame:
     return r.bundle(retrieval.rank_notes(*_tables(spark, d), a.now(), "two_stage")).select("query_id", "rank", "rel_path", "taken")
 
@@ -221,8 +226,7 @@ def d23_view_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {a.SQL_NOTES} SELECT rel_path FROM notes WHERE scope = 'dev' AND contains(lower(title || ' ' || body || ' ' || array_to_string(tags, ' ')), 'tion')")
 def d25_substring_search(spark: SparkSession, d: str) -> DataFrame:
-    text = F.lower(F.concat_ws(" ", "title", "body", F.array_join("tags", " ")))
-    return a.notes(spark, d).where((F.col("scope") == "dev") & text.contains("tion")).select("rel_path")
+    return browse.containing(a.notes(spark, d), "tion", "dev").select("rel_path")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), s AS (

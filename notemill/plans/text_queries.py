@@ -18,12 +18,8 @@ def _i() -> Column:
     return F.col("doc_id")
 
 
-#: Plain letters and spaces of a document's beginning, so that both engines see the same words.
-_CORE = "trim(regexp_replace(substr(text, 1, 90), '[^a-zA-Z]+', ' ', 'g'))"
-
-
-def _core() -> Column:
-    return F.trim(F.regexp_replace(F.substring("text", 1, 90), "[^a-zA-Z]+", " "))
+#: Plain letters and spaces of the whole document, so that both engines see the same words.
+_PLAIN = "trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g'))"
 
 
 def _plain() -> Column:
@@ -54,14 +50,12 @@ def c8_front_matter(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("front").isNotNull().alias("has_front"), "confidence", "updated", F.col("updated_ts").isNotNull().alias("has_time"), F.array_join("tags", ",").alias("tags"))
 
 
-@query(f"""SELECT doc_id, 'T' || doc_id AS title, {_CORE} AS statement, 'act ' || doc_id AS next_action, ['id','fact','pref','goal','loop','concept'][CAST(doc_id % 6 + 1 AS INT)] AS type,
-  len(regexp_extract_all({_CORE}, '[^ ]+')) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS extra_words FROM documents""")
+@query(f"""SELECT doc_id, 'T' || doc_id AS title, CASE WHEN doc_id % 6 = 4 THEN 'Intro' ELSE {_PLAIN} END AS statement, CASE WHEN doc_id % 6 = 4 THEN 'act ' || doc_id ELSE '' END AS next_action,
+  ['id','fact','pref','goal','loop','concept'][CAST(doc_id % 6 + 1 AS INT)] AS type, CASE WHEN doc_id % 6 = 4 THEN 'open' ELSE '' END AS status, doc_id % 6 = 4 AS has_box,
+  CAST(21 + len(regexp_extract_all({_PLAIN}, '[^ ]+')) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS INT) AS word_count FROM documents""")
 def c20_candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = n.parse(files(spark, d, _core())).withColumn("doc_id", F.regexp_extract("rel_path", r"n(\d+)\.md$", 1).cast("long"))
-    first = t.first_checkbox(t.section(F.col("sections"), "next action"))
-    core = t.strip(t.section(F.col("sections"), "statement"))
-    dash = F.when(t.section(F.col("sections"), "links").rlike(r"(?m)^-$"), 1).otherwise(0)
-    return rows.select("doc_id", "title", core.alias("statement"), first.alias("next_action"), "type", (t.word_count(core) + dash).cast("long").alias("extra_words"))
+    rows = n.candidates(n.parse(files(spark, d))).withColumn("doc_id", F.regexp_extract("rel_path", r"n(\d+)\.md$", 1).cast("long"))
+    return rows.select("doc_id", "title", "statement", "next_action", "type", "status", F.col("has_next_action_checkbox").alias("has_box"), "word_count")
 
 
 @query("SELECT doc_id, 'other ' || doc_id AS wiki, 'shown' AS display, 'a/b' || doc_id || '.md' AS plain FROM documents")
@@ -77,31 +71,32 @@ def c19_privacy(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id,
-  regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 200))), '[''`"]+', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80), '^_+|_+$', '', 'g') AS s FROM documents)""")
+  regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '[''`"]+', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80), '^_+|_+$', '', 'g') AS s FROM documents)""")
 def c27_slug(spark: SparkSession, d: str) -> DataFrame:
-    return a.table(spark, d, "documents").select("doc_id", t.slug(F.substring("text", 1, 200)).alias("slug"))
+    return a.table(spark, d, "documents").select("doc_id", t.slug(F.col("text")).alias("slug"))
 
 
-@query("""WITH v AS (SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 13 = 0 THEN 'missing_front_matter' END, CASE WHEN doc_id % 13 <> 0 AND doc_id % 9 = 0 THEN 'bad_updated' END, CASE WHEN doc_id % 13 <> 0 AND doc_id % 8 = 0 THEN 'bad_scope' END,
-  CASE WHEN doc_id % 13 <> 0 AND doc_id % 5 = 0 THEN 'placeholder_link' END], lambda x: x IS NOT NULL)) AS code FROM documents) SELECT code, count(*) AS n FROM v GROUP BY code""")
+@query(f"""WITH w AS (SELECT doc_id, len(regexp_extract_all({_PLAIN}, '[^ ]+')) + 44 + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS words FROM documents
+), v AS (SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 13 = 0 THEN 'missing_front_matter' END, CASE WHEN doc_id % 13 <> 0 AND doc_id % 9 = 0 THEN 'bad_updated' END, CASE WHEN doc_id % 13 <> 0 AND doc_id % 8 = 0 THEN 'bad_scope' END,
+  CASE WHEN doc_id % 13 <> 0 AND doc_id % 5 = 0 THEN 'placeholder_link' END, CASE WHEN doc_id % 13 <> 0 AND words > 2000 THEN 'large_file' END], lambda x: x IS NOT NULL)) AS code FROM w) SELECT code, count(*) AS n FROM v GROUP BY code""")
 def x18_lint(spark: SparkSession, d: str) -> DataFrame:
-    return lint.counters(lint.notes(n.parse(files(spark, d, _core())))).select("code", "n")
+    return lint.counters(lint.notes(n.parse(files(spark, d)))).select("code", "n")
 
 
 @query("""WITH m AS (SELECT doc_id, unnest(['pref', 'fact', 'fact', 'concept', 'loop', 'loop']) AS kind, unnest([0.92, 0.90, 0.78, 0.82, 0.75, 0.75]) AS confidence FROM documents)
 SELECT kind, CAST(confidence AS DOUBLE) AS confidence, count(*) AS n FROM m GROUP BY ALL""")
 def x3_statements(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(
-        F.lit("I prefer tea "), _i(), F.lit("\nDecision: ship the thing "), _i(), F.lit("\nWe should try this now "), _i(), F.lit("\n# Framework: FF"), _i(),
+        _plain(), F.lit("\nI prefer tea "), _i(), F.lit("\nDecision: ship the thing "), _i(), F.lit("\nWe should try this now "), _i(), F.lit("\n# Framework: FF"), _i(),
         F.lit("\n<private>\nI prefer secrets\n</private>\n## Next steps\n- write the report today\n- short\n# Other\n- [ ] no\n[ ] Investigate the failing build "), _i(),
     )
     rows = a.table(spark, d, "documents").select(_i().cast("string").alias("path"), text.alias("text"))
     return x.statements(rows).groupBy("kind", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, round(CASE WHEN doc_id % 2 = 0 THEN 0.2 + 3.0 + 0.1 - 1.0 ELSE 3.0 - 1.0 END, 6) AS signal, CASE WHEN doc_id % 2 = 0 THEN 4.0 ELSE 2.0 END AS hint FROM documents")
+@query(f"SELECT doc_id, round(CAST(CASE WHEN doc_id % 2 = 0 THEN 0.3 ELSE 0 END + 3.0 - CASE WHEN w + CASE WHEN doc_id % 2 = 0 THEN 12 ELSE 3 END < 40 THEN 1.0 ELSE 0 END AS DOUBLE), 6) AS signal, CAST(CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 2 END AS DOUBLE) AS hint FROM (SELECT doc_id, len(regexp_extract_all({_PLAIN}, '[^ ]+')) AS w FROM documents)")
 def x1_signal_score(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(_i() % 2 == 0, "# Title\nI prefer this\nI prefer that\n- [ ] a\n").otherwise("we will go\nWe will go\n".replace("we will go\n", "", 1))
+    text = F.concat(_plain(), F.lit("\n"), F.when(_i() % 2 == 0, "# Title\nI prefer this\nI prefer that\n- [ ] a\n").otherwise("We will go\n"))
     rows = a.table(spark, d, "documents").select("doc_id", text.alias("text"))
     return rows.select("doc_id", F.round(x.signal_score(F.col("text")), 6).alias("signal"), x.yield_hint(F.col("text")).alias("hint"))
 
@@ -112,6 +107,6 @@ def c25_paths(spark: SparkSession, d: str) -> DataFrame:
     return a.table(spark, d, "documents").select("doc_id", t.logical_path(path).alias("logical"), n.note_type(path).alias("type"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(t) <= 60 THEN t ELSE regexp_extract(substr(t, 1, 58) , '^(.*) ', 1) || '...' END AS short FROM (SELECT doc_id, 'word ' || regexp_replace(trim(regexp_replace(substr(text, 1, 90), '[^a-zA-Z]+', ' ', 'g')), '[a-zA-Z]{30,}', 'long', 'g') AS t FROM documents)""")
+@query(f"""SELECT doc_id, CASE WHEN length(t) <= 60 THEN t ELSE regexp_extract(substr(t, 1, 58) , '^(.*) ', 1) || '...' END AS short FROM (SELECT doc_id, 'word ' || regexp_replace({_PLAIN}, '[a-zA-Z]{{30,}}', 'long', 'g') AS t FROM documents)""")
 def c15_shorten(spark: SparkSession, d: str) -> DataFrame:
-    return a.table(spark, d, "documents").select("doc_id", t.shorten(F.concat(F.lit("word "), F.regexp_replace(_core(), "[a-zA-Z]{30,}", "long")), 60).alias("short"))
+    return a.table(spark, d, "documents").select("doc_id", t.shorten(F.concat(F.lit("word "), F.regexp_replace(_plain(), "[a-zA-Z]{30,}", "long")), 60).alias("short"))
