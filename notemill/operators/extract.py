@@ -14,9 +14,12 @@ VERBS = r"(?iu)(decide|design|investigate|figure out|revisit|plan|define|choose|
 DECISION_HEAD = r"(?iuU)^\s*#+\s*(decision|decisions|avgjørelse|avgjørelser|outcome|conclusion)\b"
 ACTION_HEAD = r"(?iuU)^\s*#+\s*(next steps|next actions|action items|actions|oppfølging|oppfolging|tiltak)\b"
 LINE_RULES = (
-    ("pref", 0.92, r"I prefer|I want you to|Going forward|From now on|Jeg foretrekker|Jeg vil|Fremover|Fra nå av", 0, False),
-    ("fact", 0.90, r"Decision:|Decided:|We will|I decided|Avgjørelse:|Bestemt:|Vi skal|Jeg bestemte", 4, False),
-    ("fact", 0.78, r"We should|We must|We aim to|Vi bør|Vi må|Vi har som mål", 4, True),
+    ("pref", 0.92, r"I prefer|I want you to|Going forward|From now on", 0, False),
+    ("pref", 0.92, r"Jeg foretrekker|Jeg vil|Fremover|Fra nå av", 0, False),
+    ("fact", 0.90, r"Decision:|Decided:|We will|I decided", 4, False),
+    ("fact", 0.78, r"We should|We must|We aim to", 4, True),
+    ("fact", 0.90, r"Avgjørelse:|Bestemt:|Vi skal|Jeg bestemte", 4, False),
+    ("fact", 0.78, r"Vi bør|Vi må|Vi har som mål", 4, True),
 )
 HEADING_RULES = (
     ("Definition: ", r"Definition|Concept|Framework|Principle|Rule|Guideline|Pattern|Heuristic|Policy"),
@@ -85,7 +88,7 @@ def section_items(text: Column, head: str) -> Column:
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """path, pos, kind, statement, confidence of each distinct statement, private fences left out."""
+    """path, pos, kind, statement, confidence of each distinct statement, private fences left out; pos is by rule, then by place."""
     rows = files.withColumn("text", t.strip_private(F.col("text")))
     item = lambda kind, conf, tag: lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("statement"), F.lit(conf).alias("confidence"), F.lit(tag).alias("tag"))
     n_words = lambda s: F.size(t.words(s))

@@ -24,9 +24,9 @@ def item_hash(*columns: str) -> Column:
 
 
 def ranked(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """The best vectors of each query by cosine. queries is a stated, small set (id, vector) and is broadcast; a query's score
-    is computed on every row, and only each task's best rows of a query are shuffled."""
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", cosine(F.col("embedding"), F.col("query_vector")).alias("cosine"))
+    """The best vectors of each query by cosine. queries is a stated set (id, vector): a score is computed for each of them on every row, and
+    only each task's best rows of a query are shuffled."""
+    scored = vectors.crossJoin(queries).select("query_id", "id", cosine(F.col("embedding"), F.col("query_vector")).alias("cosine"))
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

@@ -247,7 +247,7 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 def e10_hybrid(spark: SparkSession, d: str) -> DataFrame:
     v, (q, index) = a.table(spark, d, "embeddings"), _tables(spark, d)
     asked = q.select("query_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
-    cos = v.crossJoin(F.broadcast(asked)).select("query_id", F.concat(F.lit("notes/"), "vec_id").alias("rel_path"), s.cosine(F.col("embedding"), F.col("qv")).alias("cosine"))
+    cos = v.crossJoin(asked).select("query_id", F.concat(F.lit("notes/"), "vec_id").alias("rel_path"), s.cosine(F.col("embedding"), F.col("qv")).alias("cosine"))
     ranked = retrieval.rank_notes(q, index, a.now(), "semantic_hybrid", vectors=cos)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "rel_path", F.round("score", 5).alias("score"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,12 @@ def import_batch(spark: SparkSession, scan: DataFrame, state: str, out: str, bat
 
 
 def watch_sources(spark: SparkSession, folder: str, state: str, out: str, checkpoint: str, trigger: dict | None = None, settings: Settings = DEFAULTS, then: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Import Markdown files as they arrive under folder; {'availableNow': True} runs once over what is there."""
-    stream = spark.readStream.format("text").schema("value string").option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(folder)
+    """Import Markdown files as they arrive under folder; {'availableNow': True} runs once over what is there.
+
+    A batch takes at most import_files files, and all statements of them: files beyond that wait for the next batch, none is left out.
+    """
+    every = replace(settings, import_notes=2**31 - 1, bucket_caps={})
+    stream = spark.readStream.format("text").schema("value string").option("wholetext", True).option("maxFilesPerTrigger", settings.import_files).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(folder)
     m = F.col("_metadata")
     scan = stream.select(
         F.regexp_replace(m["file_path"], "^.*?" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", "").alias("path"), F.col("value").alias("text"), F.sha2("value", 256).alias("hash"),
@@ -43,7 +48,8 @@ def watch_sources(spark: SparkSession, folder: str, state: str, out: str, checkp
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        import_batch(batch.sparkSession, batch, state, out, batch_id, settings)
+        import_batch(batch.sparkSession, batch.persist(), state, out, batch_id, every)
+        batch.unpersist()
         if then:
             then(batch_id)
 

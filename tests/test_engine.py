@@ -173,9 +173,17 @@ def test_streaming_import_equals_batch(spark, tmp_path):
     run()
     got = lambda: sorted(r.statement for r in spark.read.parquet(dirs[1]).collect())
     assert got() == ["Decision: we keep the old house", "I prefer tea in the morning"]
+    few = Settings(import_files=2, bucket_caps={"journal": 1})
+    for k in range(7):
+        (src / f"d{k}.md").write_text(f"I prefer colour number {k} of all\n")
+    q = imports.watch_sources(spark, str(src), *dirs, trigger={"availableNow": True}, settings=few)
+    assert q.awaitTermination(120)
+    assert [s for s in got() if "colour" in s] == [f"I prefer colour number {k} of all" for k in range(7)]
+    for k in range(7):
+        (src / f"d{k}.md").unlink()
     (src / "c.md").write_text("I prefer tea in the morning\nI prefer milk with it\n")
     run()
-    assert got() == ["Decision: we keep the old house", "I prefer milk with it", "I prefer tea in the morning"]
+    assert [s for s in got() if "colour" not in s] == ["Decision: we keep the old house", "I prefer milk with it", "I prefer tea in the morning"]
 
 
 def test_queries_match_duckdb_on_one_table(spark):
