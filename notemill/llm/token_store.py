@@ -5,7 +5,7 @@ n_tokens and the list of ids. Ids are dictionary-encoded; the integer columns ar
 pages are small and bounded, and their min/max indexes let a reader fetch a few documents, or metadata alone.
 
 Defined results: null text is empty and has the end id alone; rows with equal doc_id follow each other in the order
-of their texts; a null doc_id comes first; other columns are ignored; an empty table gives an empty table.
+of a hash of their texts; a null doc_id comes first; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -58,17 +58,25 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int =
                 total += int(offsets[-1])
 
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.coalesce(documents["text"].cast("string"), F.lit("")).alias("text"))
-    # Parts are ranges of ids in ascending order; equal ids meet in one part.
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Parts are ranges of ids, and of text hashes within an id, in ascending order.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     writer = ordered.mapInArrow(releasing(run), STORED).write.mode("overwrite")
     for key, value in FORMAT.items():
         writer = writer.option(key, value)
     writer.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The stored rows."""
-    return spark.read.schema(STORED).parquet(path)
+def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The stored rows; of ids from first to last if given, for which files, row groups and pages of other ids are passed over."""
+    rows = spark.read.schema(STORED).parquet(path)
+    rows = rows if first is None else rows.where(F.col("doc_id") >= first)
+    return rows if last is None else rows.where(F.col("doc_id") <= last)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, part, local_start, n_tokens of the stored rows; no token is read."""
+    return spark.read.schema(STORED).parquet(path).drop("tokens")
 
 
 def part_starts(stored: DataFrame) -> dict[int, int]:

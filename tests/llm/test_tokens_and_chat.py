@@ -37,6 +37,30 @@ def test_token_store(spark, docs, odd_rows):
     assert token_store.digest(token_store.read_tokens(spark, where)).count() == 0
 
 
+def test_selective_reads_and_files(spark, docs, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow.parquet as pq
+
+    from notemill.llm import token_store
+
+    path = str(tmp_path / "ids")
+    token_store.write_tokens(docs([(k, f"word{k} and some more " * (1 + k % 9)) for k in range(4000)]).repartition(2), path, public.path("byte_bpe_50k.json"))
+    some = token_store.read_tokens(spark, path, 1200, 1210)
+    assert sorted(r.doc_id for r in some.collect()) == list(range(1200, 1211))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,1200)" in plan and "LessThanOrEqual(doc_id,1210)" in plan
+    meta = token_store.read_metadata(spark, path)
+    assert "array" not in meta._jdf.queryExecution().executedPlan().schema().toString() and "tokens#" not in meta._jdf.queryExecution().optimizedPlan().toString().replace("n_tokens#", "").split("Relation")[0]
+    assert meta.agg({"n_tokens": "sum"}).first()[0] == sum(len(r.tokens) for r in token_store.read_tokens(spark, path).collect())
+    for file in (tmp_path / "ids").glob("*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        columns = {group.column(k).path_in_schema: group.column(k) for k in range(group.num_columns)}
+        tokens = next(c for name, c in columns.items() if name.startswith("tokens"))
+        assert any("DICTIONARY" in e for e in tokens.encodings) and group.total_byte_size <= 40 << 20
+        for name in ("doc_id", "local_start", "n_tokens"):
+            assert "DELTA_BINARY_PACKED" in columns[name].encodings and columns[name].has_offset_index and columns[name].has_column_index
+
+
 def test_packing(spark, docs, odd_rows):
     path = P.path("word_bpe_49k.json")
     rng = random.Random(2)
