@@ -15,6 +15,7 @@ from ..operators import evaluate as ev
 from ..operators import extract as x
 from ..operators import lint
 from ..operators import notes as n
+from ..operators import rank as r
 from ..operators import render
 from ..operators import validate as v
 from ..schema import STATUSES
@@ -303,3 +304,12 @@ def k6_boot_payload(spark: SparkSession, d: str) -> DataFrame:
 def y18_enum_fallback(spark: SparkSession, d: str) -> DataFrame:
     given = F.element_at(t.strings("open", "Closed", "BLOCKED", "snoozed", "whatever"), (F.col("doc_id") % 5 + 1).cast("int"))
     return a.table(spark, d, "documents").select(F.when(F.lower(given).isin(*STATUSES), F.lower(given)).otherwise("open").alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {a.SQL_NOTES} SELECT type, count(*) AS entries, CAST(sum(len(note_tokens) + len(tag_tokens)) AS BIGINT) AS postings FROM notes GROUP BY type")
+def b8_stored_index(spark: SparkSession, d: str) -> DataFrame:
+    root = f"{stored.folder(spark)}/notes-{uuid.uuid4().hex}"
+    stored.store(r.index_of(a.notes(spark, d)), root)
+    index = stored.load(spark, root)
+    entries = index.entries.groupBy("type").agg(F.count("*").alias("entries"))
+    return entries.join(index.postings.groupBy("type").agg(F.count("*").alias("postings")), "type")
