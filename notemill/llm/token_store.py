@@ -24,7 +24,7 @@ from .worker import releasing
 STORED = "doc_id long, part long, local_start long, n_tokens long, tokens array<int>"
 #: Of the files; parquet.block.size bounds a row group, the page limits bound what a selective read fetches.
 FORMAT = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",

@@ -56,6 +56,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "byte" if '"normalizer":null' in self.tokenizer.to_str() else "word"
         self.pieces, self.merge, self.letters = PIECES[self.kind].findall, self.tokenizer.model.tokenize, _byte_letters()
+        self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words = _Words(self)
         self.parts: dict[str, bytes] = {}
 
@@ -66,7 +67,7 @@ class Encoder:
     def merged(self, piece: str) -> bytes:
         """Ids of one piece, by the library's model."""
         spelled = piece.replace(" ", "Ġ") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.merge(spelled)]).tobytes()
+        return b"".join([self.bytes[t.id] for t in self.merge(spelled)])
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece of several, from the words met alone where it is spelled like one."""
@@ -86,7 +87,10 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """Ids of a stretch of text that begins and ends where pieces do."""
-        if not word.isascii() and not SIMPLE.fullmatch(word):
+        if word.isascii():
+            if self.kind == "byte" and word[1:].isalpha() and word[0] == " ":
+                return self.merged(word)
+        elif not SIMPLE.fullmatch(word):
             return self.whole(word)
         found = self.pieces(word.lower() if self.kind == "word" else word)
         return self.merged(found[0]) if len(found) == 1 else b"".join(map(self.piece, found))
