@@ -119,3 +119,22 @@ def folder_of(kind: Column) -> Column:
     for folder, name in TYPE_DIRS.items():
         out = F.when(kind == name, folder).otherwise(out)
     return out
+
+
+def by_stem(notes: DataFrame, stems: DataFrame) -> DataFrame:
+    """stem, rel_path of the notes whose file has one of the stems; the first by path where several do."""
+    found = notes.select("rel_path", stem(F.col("rel_path")).alias("stem")).join(stems.select("stem").distinct(), "stem")
+    return found.groupBy("stem").agg(F.min("rel_path").alias("rel_path"))
+
+
+#: Saved views of a vault: names and the notes that each shows.
+VIEWS = {
+    "open_loops": "type = 'loop' AND status IN ('open', 'blocked')", "low_confidence": "confidence < 0.7", "inferred": "source = 'inferred'", "recent": "updated_ts >= now() - INTERVAL 7 DAYS",
+}
+
+
+def saved_views(notes: DataFrame, prefix: str = "") -> list[str]:
+    """Make the saved views temporary views of the session, and give their names."""
+    for name, shown in VIEWS.items():
+        notes.where(shown).createOrReplaceTempView(prefix + name)
+    return [prefix + name for name in VIEWS]

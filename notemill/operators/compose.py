@@ -126,3 +126,27 @@ def promoted(inbox: DataFrame, stamp: Column) -> tuple[DataFrame, DataFrame]:
 def edited_events(paths: DataFrame, stamp: Column, what: str) -> DataFrame:
     """Timeline rows of an edit."""
     return paths.select(stamp.alias("ts"), F.lit("updated").alias("action"), "path", F.lit(what).alias("desc"))
+
+
+def preview(candidates: DataFrame, taken: DataFrame, stamp: Column) -> DataFrame:
+    """The paths that notes would be written to."""
+    return canonical(candidates, taken, stamp).select("path")
+
+
+def voice_note(profiles: DataFrame, existing: DataFrame, stamp: Column) -> DataFrame:
+    """path, text of the note that holds a voice profile (path, profile: JSON); a note that is there keeps the time it was created."""
+    front, _ = t.body_and_front(F.col("text"))
+    held = existing.select("path", t.front_value(front, "created").alias("held"))
+    rows = profiles.join(held, "path", "left")
+    head = front_matter(created=(F.coalesce("held", stamp), False), updated=(stamp, False), tags=(t.strings("voice"), True), source=(F.lit("user"), False), scope=(F.lit("meta"), False), lang=(F.lit("en"), False))
+    return rows.select("path", F.concat(head, F.lit("\n\n# Voice\n\n## Statement\n```json\n"), F.col("profile"), F.lit("\n```\n")).alias("text"))
+
+
+def session_note(commits: DataFrame, stamp: Column) -> DataFrame:
+    """path, text of an inbox note for each session (session, kind, message, pos): its commits that have a kind, in order."""
+    lines = commits.where(F.col("kind").isNotNull()).groupBy("session").agg(F.sort_array(F.collect_list(F.struct("pos", F.concat(F.lit("- "), "kind", F.lit(": "), "message").alias("line")))).alias("l"))
+    head = front_matter(created=(stamp, False), tags=(t.strings("session"), True), source=(F.lit("tool"), False))
+    return lines.select(
+        F.concat(F.lit("notes/00_inbox/session_"), "session", F.lit(".md")).alias("path"),
+        F.concat(head, F.lit("\n\n# Session "), F.col("session"), F.lit("\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"),
+    )

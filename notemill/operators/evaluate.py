@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -66,3 +67,23 @@ def run(cases: DataFrame, ranker: Callable[[DataFrame], DataFrame], k: int = 3)
     """Quality of a ranker, a function from queries to ranked rows (query_id, rel_path, rank), over cases with their expected paths."""
     expected = cases.select("query_id", F.explode("expected").alias("rel_path"))
     return quality(case_ranks(ranker(cases.drop("expected")), expected), k)
+
+
+def probe(run: Callable[[], object], repeats: int = 5, reset: Callable[[], None] | None = None) -> list[float]:
+    """Milliseconds of repeated runs, each from a cold start if reset clears what was kept."""
+    out = []
+    for _ in range(repeats):
+        if reset:
+            reset()
+        began = time.perf_counter()
+        run()
+        out.append((time.perf_counter() - began) * 1000)
+    return out
+
+
+def ab_row(base: DataFrame, new: DataFrame, base_ms: dict[str, list[float]], new_ms: dict[str, list[float]]) -> DataFrame:
+    """One row for the decision: qualities of both arms, and nearest-rank p95 of their eval and query times."""
+    spark, p95 = base.sparkSession, lambda x: sorted(x)[max(0, -(-len(x) * 95 // 100) - 1)]
+    times = {f"{arm}_{kind}_p95": float(p95(ms[kind])) for arm, ms in (("base", base_ms), ("new", new_ms)) for kind in ("eval", "query")}
+    of = lambda df, arm: df.select(*[F.col(m).alias(f"{arm}_{m}") for m in ("hit1", "hitk", "mrr")])
+    return of(base, "base").join(of(new, "new")).join(spark.createDataFrame([tuple(times.values())], list(times)))  # one row each

@@ -360,3 +360,10 @@ def related(text_tokens: DataFrame, index: Index, now: Column, top_k: int = 5, s
     matched = (F.col("lexical_count") + F.col("tag_count") > 0) | ((F.col("query_scope") != "all") & (F.col("scope_match") >= 1))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), matched.desc(), F.desc("updated"), F.desc("rel_path"))
     return pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).withColumn("score", F.round("score", 4))
+
+
+def ingest_context(sources: DataFrame, index: Index, now: Column, first: int = 2000, top_k: int = 5, settings: Settings = DEFAULTS) -> DataFrame:
+    """query_id, text, related of new source texts: the text, and the paths of the notes most related to its beginning, best first."""
+    asked = sources.select("query_id", t.tokens(F.substring("text", 1, first)).alias("query_tokens"), F.lit("all").alias("query_scope"))
+    found = related(asked, index, now, top_k, settings).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "rel_path"))).alias("r"))  # top_k at most
+    return sources.join(found, "query_id", "left").select("query_id", "text", F.coalesce(F.transform("r", lambda x: x["rel_path"]), t.strings()).alias("related"))

@@ -313,3 +313,55 @@ def b8_stored_index(spark: SparkSession, d: str) -> DataFrame:
     index = stored.load(spark, root)
     entries = index.entries.groupBy("type").agg(F.count("*").alias("entries"))
     return entries.join(index.postings.groupBy("type").agg(F.count("*").alias("postings")), "type")
+
+
+@query(f"WITH {a.SQL_NOTES} SELECT type, count(*) AS n FROM notes WHERE type <> 'id' GROUP BY type")
+def a10_embedding_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.corpus(a.notes(spark, d), "ledger").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, '---' || chr(10) || 'created: ' || CASE WHEN doc_id % 2 = 0 THEN '2024-01-01T00:00:00Z' ELSE '2026-01-01T00:00:00Z' END || chr(10) || 'updated: 2026-01-01T00:00:00Z' || chr(10) || 'tags: [voice]' || chr(10) || 'source: user' || chr(10)
+  || 'scope: meta' || chr(10) || 'lang: en' || chr(10) || '---' || chr(10) || chr(10) || '# Voice' || chr(10) || chr(10) || '## Statement' || chr(10) || '```json' || chr(10) || '{"tone":"' || lang || '"}' || chr(10) || '```' || chr(10) AS text FROM documents""")
+def b22_voice_note(spark: SparkSession, d: str) -> DataFrame:
+    docs, i = a.table(spark, d, "documents"), F.col("doc_id")
+    path = F.concat(F.lit("notes/03_preferences/voice"), i, F.lit(".md"))
+    held = docs.where(i % 2 == 0).select(path.alias("path"), F.lit("---\ncreated: 2024-01-01T00:00:00Z\n---\nold").alias("text"))
+    made = c.voice_note(docs.select(path.alias("path"), F.to_json(F.struct(F.col("lang").alias("tone"))).alias("profile")), held, F.lit("2026-01-01T00:00:00Z"))
+    return made.select(F.regexp_extract("path", r"voice(\d+)\.md$", 1).cast("long").alias("doc_id"), "text")
+
+
+@query("""SELECT conv_id, count(*) AS n, min(turn) AS first FROM conversations WHERE turn % 3 <> 1 GROUP BY conv_id""")
+def b20_session_notes(spark: SparkSession, d: str) -> DataFrame:
+    turn = F.col("turn")
+    message = F.concat(F.when(turn % 3 == 0, "fix ").when(turn % 3 == 1, "zzz ").otherwise("new pattern "), turn)
+    rows = a.table(spark, d, "conversations").select(F.col("conv_id").alias("session"), turn.alias("pos"), message.alias("message"), x.commit_kind(message).alias("kind"))
+    made = c.session_note(rows, F.lit("2026-01-01T00:00:00Z"))
+    line = F.regexp_extract_all("text", F.lit(r"(?m)^- \w+: [a-z ]+(\d+)$"), 1)
+    return made.select(F.regexp_extract("path", r"session_(-?\d+)\.md$", 1).cast("long").alias("conv_id"), F.size(line).cast("long").alias("n"), F.element_at(line, 1).cast("long").alias("first"))
+
+
+@query(f"WITH {a.SQL_NOTES} SELECT CAST(doc_id AS VARCHAR) AS stem, rel_path FROM notes WHERE doc_id % 50 = 0")
+def y15_by_stem(spark: SparkSession, d: str) -> DataFrame:
+    notes = a.notes(spark, d)
+    return b.by_stem(notes, notes.where("doc_id % 50 = 0").select(F.col("doc_id").cast("string").alias("stem")))
+
+
+@query(f"WITH {a.SQL_NOTES} SELECT 'inferred' AS name, count(*) AS n FROM notes WHERE source = 'inferred' UNION ALL SELECT 'low_confidence', count(*) FROM notes WHERE confidence < 0.7 UNION ALL SELECT 'open_loops', count(*) FROM notes WHERE type = 'loop' AND status IN ('open', 'blocked')")
+def b19_saved_views(spark: SparkSession, d: str) -> DataFrame:
+    prefix = f"v{uuid.uuid4().hex}_"
+    names = [v for v in b.saved_views(a.notes(spark, d), prefix) if not v.endswith("_recent")]
+    return spark.sql(" UNION ALL ".join(f"SELECT '{v.removeprefix(prefix)}' AS name, count(*) AS n FROM {v}" for v in names))
+
+
+@query("SELECT '| hit1 | ' || printf('%.4f', a) || ' | ' || printf('%.4f', b) || ' | ' || printf('%+.4f', b - a) || ' |' AS line FROM (SELECT avg(quality) AS a, avg(quality) FILTER (doc_id % 2 = 0) AS b FROM labels)")
+def b18_report_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = a.table(spark, d, "labels").agg(F.avg("quality").alias("base"), F.avg(F.when(F.col("doc_id") % 2 == 0, F.col("quality"))).alias("new"))
+    return render.report(rows.withColumn("metric", F.lit("hit1")))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'other/' ELSE 'notes/' END || user_id AS path FROM events WHERE user_id % 5 = 0")
+def s5_event_append(spark: SparkSession, d: str) -> DataFrame:
+    root = f"{stored.folder(spark)}/events-{uuid.uuid4().hex}"
+    rows = a.timeline(spark, d).withColumn("path", F.when(F.substring_index("path", "/", -1).cast("int") % 5 == 0, F.regexp_replace("path", "notes/", "other/")).otherwise(F.col("path")))
+    bad = sinks.append_events(rows.withColumn("action", F.when(F.col("action") == "sleep", "updated").otherwise(F.col("action"))).select("ts", "action", "path", "desc", "lineno"), f"{root}/jsonl", f"{root}/markdown")
+    return bad.select(F.col("lineno").alias("event_id"), "path")

@@ -286,3 +286,22 @@ def f14_evaluation(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {a.SQL_NOTES} SELECT rel_path, title, CASE WHEN scope = 'dev' THEN 1 ELSE 2 END AS rank FROM notes WHERE list_contains(tags, 'fr') AND scope IN ('dev', 'work')""")
 def d26_tree_filter(spark: SparkSession, d: str) -> DataFrame:
     return a.notes(spark, d).where(F.array_contains("tags", "fr") & F.col("scope").isin("dev", "work")).select("rel_path", "title", F.when(F.col("scope") == "dev", 1).otherwise(2).alias("rank"))
+
+
+@query(sql_pool(_INDEX) + sql_bm25() + sql_rank() + " SELECT query_id, CAST(rank AS INT) AS rank, rel_path, 'precomputed_index' AS effective_mode FROM best")
+def d21_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    ranked = retrieval.dispatch(*_tables(spark, d), a.now(), "no such mode", scores=lambda q, backend: None)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "rel_path", "effective_mode")
+
+
+_X16 = sql_pool(_INDEX.replace("query_scope", "'all'")).replace(a._ASKED, "substr(text, 1, 2000)")
+
+
+@query(f"""{_X16}, s2 AS (
+  SELECT query_id, rel_path, updated, matched, greatest({_num(0)}, least({_num(1)}, {_num(0.3)} * 0 + {_num(0.15)} * lexical_match + {_num(0.15)} * tag_overlap + {_num(0.15)} * {_num(1)} + {_num(0.15)} * {_RECENCY} + {_num(0.1)} * confidence
+   + CASE WHEN type = 'id' THEN {_num(0.15)} ELSE 0 END + CASE WHEN type = 'loop' AND status = 'closed' THEN {_num(-0.2)} ELSE 0 END)) AS score FROM pool JOIN member USING (query_id, rel_path)
+), top AS (SELECT query_id, rel_path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, matched DESC, updated DESC, rel_path DESC) AS rank FROM s2 QUALIFY rank <= 5)
+SELECT query_id, list(rel_path ORDER BY rank) AS related FROM top GROUP BY query_id""")
+def x16_ingest_context(spark: SparkSession, d: str) -> DataFrame:
+    sources = a.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return r.ingest_context(sources, a.index(spark, d), a.now()).select("query_id", "related")

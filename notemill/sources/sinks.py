@@ -75,6 +75,16 @@ def append_timeline(df: DataFrame, path: str) -> None:
     df.where(F.col("action").isin(*ACTIONS)).write.mode("append").json(path)
 
 
+def append_events(df: DataFrame, json_path: str, markdown_path: str) -> DataFrame:
+    """Append events to both forms of a timeline, the activity type only to the first. Returns the rows that can't be: those of
+    an unknown action, or without a path below notes/."""
+    good = F.col("action").isin(*ACTIONS) & (F.coalesce("path", F.lit("")).startswith("notes/") | (F.col("action") == "sleep"))
+    rows = df.where(good)
+    rows.write.mode("append").json(json_path)
+    rows.select(F.concat_ws(" | ", "ts", "action", "path", "desc").alias("value")).write.mode("append").text(markdown_path)
+    return df.where(~F.coalesce(good, F.lit(False)))
+
+
 def timeline_markdown(timeline: DataFrame, path: str) -> None:
     timeline.orderBy("ts", "path").select(F.concat_ws(" | ", "ts", "action", "path", "desc").alias("value")).write.mode("overwrite").text(path)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,22 @@ def clean(spark: SparkSession, root: str, backend: str, model: str) -> None:
     """Remove all versions of a model's vectors."""
     fs, path = sinks._fs(spark, _root(root, backend, model))
     fs.delete(path, True)
+
+
+def corpus(notes: DataFrame, target: str) -> DataFrame:
+    """The notes that a target's vectors are made of, in the order of paths: of the ledger all types but identity, of sources all files."""
+    rows = notes if target == "source" else notes.where((F.col("type") != "id") & (F.col("type") != "other"))
+    return rows.orderBy("rel_path")
+
+
+class QueryVectors:
+    """Vectors of query texts, the last few of them kept on the driver."""
+
+    def __init__(self, encode: Callable[[str], list[float]], most: int = 256):
+        self.encode = lru_cache(maxsize=most)(encode)
+
+    def __call__(self, spark: SparkSession, texts: dict[object, str]) -> DataFrame:
+        """query_id, query_vector of queries by id; empty texts have none."""
+        rows = [(k, self.encode(x.strip())) for k, x in texts.items() if x.strip()]
+        kind = "long" if all(isinstance(k, int) for k in texts) else "string"
+        return spark.createDataFrame(rows, f"query_id {kind}, query_vector array<float>")

@@ -86,3 +86,52 @@ def test_rewound_logs_and_first_keys(spark):
     assert {(r.stream, r.lineno) for r in analytics.after_baseline(log, base).collect()} == {("s", 1), ("s", 2), ("t", 9)}
     keys = rows(spark, ("k", 2, "b"), ("k", 1, "a"), ("m", 3, "c"), schema="key string, n int, v string")
     assert {(r.key, r.n, r.v) for r in extract.first_of_key(keys, "n").collect()} == {("k", 1, "a"), ("m", 3, "c")}
+
+
+def test_query_vectors_are_kept(spark):
+    asked = []
+    held = vectors.QueryVectors(lambda x: asked.append(x) or [float(len(x))], 2)
+    assert {(r.query_id, r.query_vector[0]) for r in held(spark, {1: "abc", 2: " ", 3: "abc "}).collect()} == {(1, 3.0), (3, 3.0)}
+    assert asked == ["abc"]
+
+
+def test_events_and_probes(spark, tmp_path):
+    events = rows(spark, ("t", "created", "notes/a.md", "x", "work"), ("t", "sleep", None, "", None), ("t", "bogus", "notes/a.md", "", None), ("t", "updated", "/etc", "", None), schema="ts string, action string, path string, desc string, activity_type string")
+    bad = sinks.append_events(events, str(tmp_path / "j"), str(tmp_path / "m"))
+    assert {r.action for r in bad.collect()} == {"bogus", "updated"}
+    assert spark.read.json(str(tmp_path / "j")).count() == 2 and {r.value for r in spark.read.text(str(tmp_path / "m")).collect()} == {"t | created | notes/a.md | x", "t | sleep | "}
+    cold = []
+    assert len(evaluate.probe(lambda: None, 3, lambda: cold.append(1))) == 3 and len(cold) == 3
+    quality = rows(spark, (0.5, 0.5, 0.5), schema="hit1 double, hitk double, mrr double")
+    row = evaluate.ab_row(quality, quality, {"eval": [1.0, 2.0], "query": [1.0]}, {"eval": [9.0], "query": [1.0]})
+    assert row.select(evaluate.decide()).first()[0] == "regression"
+
+
+def test_ingest_context_and_stems(spark):
+    from notemill.operators import rank
+
+    made = rows(spark, *[(f"/v/notes/02_facts/n{k}.md", f"---\nupdated: 2026-01-0{k + 1}T00:00:00Z\n---\n# T{k}\n## Statement\n{w}\n") for k, w in enumerate(["alpha beta", "beta gamma", "delta"])], schema="path string, text string")
+    cands = notes.candidates(notes.parse(made))
+    sources = rows(spark, (1, "beta gamma words"), (2, ""), schema="query_id int, text string")
+    got = {r.query_id: r.related for r in rank.ingest_context(sources, rank.index_of(cands), F.lit("2026-01-10").cast("timestamp"), top_k=2).collect()}
+    assert got == {1: ["notes/02_facts/n1.md", "notes/02_facts/n0.md"], 2: []}
+    assert browse.by_stem(cands, rows(spark, ("n2",), ("zz",), schema="stem string")).first().rel_path == "notes/02_facts/n2.md"
+    names = browse.saved_views(cands.withColumn("source", F.lit("inferred")), "tv_")
+    assert spark.table("tv_inferred").count() == 3 and len(names) == 4
+
+
+def test_lint_of_a_timeline(spark):
+    from notemill.operators import lint
+
+    lines = ["# Timeline", "2026-01-02T00:00:00Z | created | notes/a.md | x", "2026-01-01T00:00:00Z | updated | notes/*.md | x", "2026 nonsense", "Format: x"]
+    df = rows(spark, *[(k + 1, x, 0) for k, x in enumerate(lines)], schema="lineno int, value string, stream int")
+    assert {tuple(r) for r in lint.timeline(df).collect()} == {(3, "wildcard_path"), (3, "out_of_order"), (4, "invalid_format")}
+
+
+def test_voice_and_session_notes(spark):
+    held = rows(spark, ("p.md", "---\ncreated: 2020-01-01T00:00:00Z\n---\nold"), schema="path string, text string")
+    profiles = rows(spark, ("p.md", '{"a": [1]}'), ("q.md", "{}"), schema="path string, profile string")
+    got = {r.path: r.text for r in compose.voice_note(profiles, held, F.lit("2026-01-01T00:00:00Z")).collect()}
+    assert "created: 2020-01-01T00:00:00Z\nupdated: 2026-01-01T00:00:00Z" in got["p.md"] and '```json\n{"a": [1]}\n```' in got["p.md"] and "created: 2026" in got["q.md"]
+    commits = rows(spark, ("s", 2, "fix", "b"), ("s", 1, "decision", "a"), ("s", 3, None, "c"), schema="session string, pos int, kind string, message string")
+    assert compose.session_note(commits, F.lit("2026-01-01T00:00:00Z")).first().text.endswith("# Session s\n\n- decision: a\n- fix: b\n")
