@@ -236,21 +236,18 @@ def length_part(dl: Column, avgdl: Column, settings: Settings) -> Column:
 def bm25(pool: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """query_id, rel_path, bm25 in [0, 1]: Okapi over each query's own pool of token sets, divided by its maximum.
 
-    pool: query_id, query_tokens, rel_path, note_tokens. Tokens are spread once; everything after follows the query.
+    pool: query_id, query_tokens, rel_path, dl, note_tokens; it is read three times, so it should be a stored table.
     """
-    own = Window.partitionBy("query_id")
-    rows = pool.select("query_id", "query_tokens", "rel_path", F.size("note_tokens").alias("dl"), "note_tokens")
-    rows = rows.withColumns({"n": F.count("*").over(own), "avgdl": F.avg("dl").over(own)})
-    held = rows.select("query_id", "rel_path", "dl", "n", "avgdl", F.explode("note_tokens").alias("token"), "query_tokens")
-    held = held.withColumn("asked", F.array_contains("query_tokens", F.col("token")))
-    holders = F.collect_list(F.when(F.col("asked"), F.struct("rel_path", "dl"))).alias("holders")
-    tokens = held.groupBy("query_id", "token").agg(F.count("*").alias("df"), F.first("n").alias("n"), F.first("avgdl").alias("avgdl"), holders)
-    tokens = tokens.withColumn("idf", _idf(F.col("n"), F.col("df")))
-    tokens = tokens.withColumn("mean", F.avg("idf").over(own)).where(F.size("holders") > 0)
+    stats = pool.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = pool.select("query_id", F.explode("note_tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("df"))
+    df = df.join(stats, "query_id").withColumn("idf", _idf(F.col("n"), F.col("df")))
+    df = df.withColumn("mean", F.avg("idf").over(Window.partitionBy("query_id")))
     idf = F.when(F.col("idf") < 0, settings.bm25_epsilon * F.col("mean")).otherwise(F.col("idf"))
-    spread = tokens.select("query_id", "avgdl", idf.alias("idf"), F.inline("holders"))
-    raw = spread.groupBy("query_id", "rel_path").agg(F.sum(F.col("idf") * length_part(F.col("dl"), F.col("avgdl"), settings)).alias("raw"))
-    return raw.withColumn("top", F.max("raw").over(own)).where("top > 0").select("query_id", "rel_path", F.greatest(F.lit(0.0), F.col("raw") / F.col("top")).alias("bm25"))
+    hits = pool.select("query_id", "rel_path", "dl", F.explode(F.array_intersect("note_tokens", "query_tokens")).alias("token"))
+    scored = hits.join(df.select("query_id", "token", "avgdl", idf.alias("idf")), ["query_id", "token"])
+    raw = scored.groupBy("query_id", "rel_path").agg(F.sum(F.col("idf") * length_part(F.col("dl"), F.col("avgdl"), settings)).alias("raw"))
+    top = F.max("raw").over(Window.partitionBy("query_id"))
+    return raw.withColumn("top", top).where("top > 0").select("query_id", "rel_path", F.greatest(F.lit(0.0), F.col("raw") / F.col("top")).alias("bm25"))
 
 
 def corpus_idf(queries: DataFrame, index: Index, settings: Settings = DEFAULTS) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import rank as r
 from ..operators import semantic as s
 from ..schema import DEFAULTS, Settings
 from ..sources import adapter as a
+from ..sources import index as stored
 from . import retrieval
 from .registry import query
 
@@ -147,7 +148,7 @@ def d9_shortlist(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql_pool() + sql_bm25() + " SELECT query_id, rel_path, round(bm25, 6) AS bm25 FROM bm")
 def d10_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return r.bm25(_shortlisted(spark, d)).select("query_id", "rel_path", F.round("bm25", 6).alias("bm25"))
+    return r.bm25(stored.scratch(_shortlisted(spark, d))).select("query_id", "rel_path", F.round("bm25", 6).alias("bm25"))
 
 
 @query(sql_pool() + " SELECT query_id, rel_path, lexical_count, tag_count FROM comp WHERE lexical_count + tag_count > 0")

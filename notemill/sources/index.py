@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,16 @@ def folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+def scratch(df: DataFrame) -> DataFrame:
+    """A small table written to the shared folder and read back, so that a plan can read it several times; it goes when the session ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/scratch-{uuid.uuid4().hex}"
+    fs, target = sinks.file_system(spark, path)
+    fs.deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def store(index: r.Index, root: str, extra: dict[str, str] | None = None) -> None:
     """Write an index. Postings are ranges of tokens in order, so that a reader of some tokens skips most row groups."""
     version = sinks.new_version()

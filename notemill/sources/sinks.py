@@ -16,7 +16,7 @@ def new_version() -> str:
     return f"v-{uuid.uuid4().hex}"
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -24,16 +24,16 @@ def _fs(spark: SparkSession, path: str):
 
 def point(spark: SparkSession, root: str, version: str, facts: dict[str, str] | None = None) -> None:
     """Make a version the current one. Pointers are small files of ascending names, each written whole and then renamed into place."""
-    fs, folder = _fs(spark, f"{root}/_current")
+    fs, folder = file_system(spark, f"{root}/_current")
     fs.mkdirs(folder)
     last = max((int(x.getPath().getName()) for x in fs.listStatus(folder) if x.getPath().getName().isdigit()), default=0)
-    _, draft = _fs(spark, f"{root}/_current/.{version}")
+    _, draft = file_system(spark, f"{root}/_current/.{version}")
     out = fs.create(draft, True)
     try:
         out.write(bytearray(json.dumps({"version": version} | (facts or {})).encode()))
     finally:
         out.close()
-    while not fs.rename(draft, _fs(spark, f"{root}/_current/{last + 1:012d}")[1]):  # another writer took the number
+    while not fs.rename(draft, file_system(spark, f"{root}/_current/{last + 1:012d}")[1]):  # another writer took the number
         last += 1
         if last > 10**9:
             raise OSError(f"no pointer can be written in {root}")
@@ -41,7 +41,7 @@ def point(spark: SparkSession, root: str, version: str, facts: dict[str, str] |
 
 def pointer(spark: SparkSession, root: str) -> dict[str, str] | None:
     """What the newest pointer says; None without one."""
-    fs, folder = _fs(spark, f"{root}/_current")
+    fs, folder = file_system(spark, f"{root}/_current")
     if not fs.exists(folder):
         return None
     names = [x.getPath().getName() for x in fs.listStatus(folder) if x.getPath().getName().isdigit()]

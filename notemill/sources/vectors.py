@@ -69,7 +69,7 @@ def build(items: DataFrame, root: str, embed: Callable[[Column], Column], backen
 
 def clean(spark: SparkSession, root: str, backend: str, model: str) -> None:
     """Remove all versions of a model's vectors."""
-    fs, path = sinks._fs(spark, _root(root, backend, model))
+    fs, path = sinks.file_system(spark, _root(root, backend, model))
     fs.delete(path, True)
 
 
