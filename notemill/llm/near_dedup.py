@@ -219,7 +219,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("_row"), documents["doc_id"].cast("long").alias("_id"), text.alias("_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"))
 
 
-def _blocked(members: DataFrame) -> DataFrame:
+def _blocked(members: DataFrame, any_large: bool) -> DataFrame:
     """Members of buckets once for each pair of blocks (i, j) that they are compared in; a small bucket is one block.
 
     A large bucket's blocks are of one class of set sizes each; classes are a little over a factor of 4/3 wide, so links lie
@@ -227,6 +227,8 @@ def _blocked(members: DataFrame) -> DataFrame:
     """
     zero = F.lit(0).cast("long")
     small = members.where(F.col("size") <= BLOCK).withColumns({"blk": zero, "i": zero, "j": zero})
+    if not any_large:
+        return small
     large = members.where(F.col("size") > BLOCK).withColumn("width", F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.01 * 100 / THRESHOLD))))
     sizes = large.groupBy("key", "width").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     near = sizes.select("key", F.explode(F.array(F.col("width") - 1, F.col("width"), F.col("width") + 1)).alias("width"), F.col("width").alias("of"), F.col("blocks").alias("others"))
@@ -254,6 +256,7 @@ def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
     shared = banded.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("size")).where("size > 1")
     hits = scratch.write(banded.join(shared, "key"), "hits")
 
+    any_large = hits.where(F.col("size") > BLOCK).limit(1).count() > 0
     wanted = nodes.join(hits.select("node").distinct(), "node", "left_semi").select("node", "s1", "s2", "doc_id", "text_hash")
     texts = docs.join(wanted, (docs["_hash"] == wanted["text_hash"]) & docs["_id"].eqNullSafe(wanted["doc_id"])).select("node", "s1", "s2", "_text")
     if full.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():  # repeated rows
@@ -276,7 +279,7 @@ def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
     for turn, best_only in ((1, True), (2, False)):
         placed = hits.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        dealt = _blocked(placed.join(mixed, "key").join(size.select("node", "n"), "node")).join(size.select("node", "registers"), "node")
+        dealt = _blocked(placed.join(mixed, "key").join(size.select("node", "n"), "node"), any_large).join(size.select("node", "registers"), "node")
         columns = ["key", "band", "node", "comp", "n", "rep", "registers", "blk", "i", "j"]
         if not best_only:
             dealt, columns = dealt.join(sets.select("node", "short"), "node"), [*columns, "short"]
