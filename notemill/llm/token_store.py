@@ -50,7 +50,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int =
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.zeros(len(n) + 1, np.int64)
                 np.cumsum(n, out=offsets[1:])
-                values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(np.full(len(n), part)), pa.array(total + offsets[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
                     names=["doc_id", "part", "local_start", "n_tokens", "tokens"],
@@ -97,7 +97,7 @@ def digest(stored: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(3)
             offsets = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
-            values = memoryview(np.asarray(lists.values).astype("<u4", copy=False)).cast("B")
+            values = memoryview(np.asarray(lists.values)).cast("B")
             crc = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             base = np.array([starts[p] for p in batch.column(1).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays(

@@ -23,7 +23,8 @@ from .textcore import buffers, large_text
 ODD = tuple(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
 ODD_ASCII = ODD[:4]
 #: White space that does not stand for itself between two words of a text that is split at spaces.
-RUN = tuple(" " + c for c in " \t\n\r\x0b\x0c")
+TABS = "\t\r\x0b\x0c"
+RUN = tuple(" " + c for c in TABS)
 SIMPLE = re.compile("[^̀-\U0010ffff\xb2\xb3\xb9\xbc-\xbeİ]*")
 #: Fixed by the vocabularies: how each splits a text into pieces.
 PIECES = {
@@ -57,8 +58,10 @@ class Encoder:
         self.kind = "byte" if '"normalizer":null' in self.tokenizer.to_str() else "word"
         self.pieces, self.merge, self.letters = PIECES[self.kind].findall, self.tokenizer.model.tokenize, _byte_letters()
         self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.words = _Words(self)
+        self.words = _Words(self, " " if self.kind == "byte" else "", CACHE_WORDS[self.kind])
+        self.heads = _Words(self, "", CACHE_PARTS)
         self.parts: dict[str, bytes] = {}
+        self.end_of_line = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         """Ids of a text as the library gives them."""
@@ -95,35 +98,37 @@ class Encoder:
         found = self.pieces(word.lower() if self.kind == "word" else word)
         return self.merged(found[0]) if len(found) == 1 else b"".join(map(self.piece, found))
 
-    def split(self, text: str) -> list[str] | None:
-        """The words of a text; in the byte vocabulary each but the first stands for itself with a space before."""
-        if has_odd(text):
-            return None
-        if self.kind == "word":
-            return text.split()
-        return None if any(r in text for r in RUN) else text.split(" ")
-
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out, get = [], self.words.__getitem__
         for text in texts:
-            words = self.split(text)
-            if words is None:
-                out.append(self.whole(text) if has_odd(text) else self.word(text))
-            elif self.kind == "byte":
-                head = self.word(words[0])
-                out.append(head + b"".join(map(get, words[1:])))
+            if has_odd(text):
+                out.append(self.whole(text))
+            elif self.kind == "word":
+                out.append(b"".join(map(get, text.split())))
             else:
-                out.append(b"".join(map(get, words)))
+                tabs = any(c in text for c in TABS)
+                if "  " in text or " \n" in text or (tabs and any(r in text for r in RUN)):
+                    out.append(self.word(text))
+                elif tabs or "\n\n" in text or "\n " in text:
+                    words = text.split(" ")
+                    out.append(self.word(words[0]) + b"".join(map(get, words[1:])))
+                else:  # every end of a line is a piece by itself
+                    out.append(self.end_of_line.join([self.line(x, get) for x in text.split("\n")]))
         return out
 
+    def line(self, line: str, get) -> bytes:
+        words = iter(line.split(" "))
+        head = next(words)
+        return (self.heads[head] if head else b"") + b"".join(map(get, words))
+
 
 class _Words(dict):
-    """Ids of words met so far; new ones are encoded on the way."""
+    """Ids of words met so far, with what stands before them; new ones are encoded on the way."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, encoder: Encoder, before: str, most: int):
         super().__init__()
-        self.encoder, self.before, self.most = encoder, " " if encoder.kind == "byte" else "", CACHE_WORDS[encoder.kind]
+        self.encoder, self.before, self.most = encoder, before, most
 
     def __missing__(self, word: str) -> bytes:
         got = self.encoder.word(self.before + word)
