@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from . import browse
 
-#: Scalars that must be quoted, and the wording of imported notes.
+#: Scalars that must be quoted. Then the wording of imported notes, our own.
 RESERVED = ("yes", "no", "true", "false", "null", "~")
-CONTEXT = "Imported from Obsidian source note."
-STEPS = ("- [ ] Clarify and execute this loop", "- [ ] Outcome captured in cognitive ledger")
+CONTEXT = "Imported from a source note."
+STEPS = ("- [ ] Clarify and execute this loop", "- [ ] Outcome captured in a note")
 FOLDERS = {"loop": "05_open_loops", "fact": "02_facts", "pref": "03_preferences", "goal": "04_goals", "concept": "06_concepts"}
 
 

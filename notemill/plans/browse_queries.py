@@ -271,7 +271,7 @@ def y12_model_key(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, 'notes/02_facts/' || doc_id || '.md' AS path, CASE WHEN doc_id % 3 = 0 THEN '2024-05-06T07:08:09Z' ELSE '2026-01-01T00:00:00Z' END AS ts FROM documents")
 def y14_vault_events(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    rows = a.table(spark, d, "documents").select(F.concat(F.lit("/home/v/ledger/notes/02_facts/"), i, F.lit(".md")).alias("path"), F.lit("created").alias("action"), F.lit("x").alias("desc"), F.when(i % 3 == 0, "2024-05-06T07:08:09Z").alias("ts"), i.alias("doc_id"))
+    rows = a.table(spark, d, "documents").select(F.concat(F.lit("/home/v/vault/notes/02_facts/"), i, F.lit(".md")).alias("path"), F.lit("created").alias("action"), F.lit("x").alias("desc"), F.when(i % 3 == 0, "2024-05-06T07:08:09Z").alias("ts"), i.alias("doc_id"))
     return an.vault_events(rows, F.lit("2026-01-01T00:00:00Z")).select("doc_id", "path", "ts")
 
 
@@ -317,7 +317,7 @@ def b8_stored_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {a.SQL_NOTES} SELECT type, count(*) AS n FROM notes WHERE type <> 'id' GROUP BY type")
 def a10_embedding_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.corpus(a.notes(spark, d), "ledger").groupBy("type").agg(F.count("*").alias("n"))
+    return vectors.corpus(a.notes(spark, d), "notes").groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id, '---' || chr(10) || 'created: ' || CASE WHEN doc_id % 2 = 0 THEN '2024-01-01T00:00:00Z' ELSE '2026-01-01T00:00:00Z' END || chr(10) || 'updated: 2026-01-01T00:00:00Z' || chr(10) || 'tags: [voice]' || chr(10) || 'source: user' || chr(10)

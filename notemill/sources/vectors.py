@@ -74,7 +74,7 @@ def clean(spark: SparkSession, root: str, backend: str, model: str) -> None:
 
 
 def corpus(notes: DataFrame, target: str) -> DataFrame:
-    """The notes that a target's vectors are made of, in the order of paths: of the ledger all types but identity, of sources all files."""
+    """The notes that a target's vectors are made of, in the order of paths: of notes all types but identity, of sources all files."""
     rows = notes if target == "source" else notes.where((F.col("type") != "id") & (F.col("type") != "other"))
     return rows.orderBy("rel_path")
 
