@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole tables with production parameters, and their SQL."""
+"""The queries of the operators, each over its whole tables with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -83,11 +83,35 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup as q
+
+    return q.digest(q.dedup_lines(spark, table(spark, sf_dir, "documents")))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence as q
+
+    return q.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle as q
+
+    return q.digest(q.manifest(table(spark, sf_dir, "documents"), {"tampered": q.tampered_leaf()}))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_token_store, op3_chat_format, op4_packing, op5_language_id, op6_pitman_yor, op7_url_filter, op8_quality_rules, op9_decontaminate, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_token_store, op3_chat_format, op4_packing, op5_language_id, op6_pitman_yor, op7_url_filter, op8_quality_rules, op9_decontaminate, op10_near_dedup, op11_line_dedup, op12_source_audit, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracles import CHAT_FORMAT, NEAR_DEDUP
-
-    return {"op3_chat_format": CHAT_FORMAT, "op10_near_dedup": NEAR_DEDUP}
+    from . import oracles
+
+    return {
+        "op3_chat_format": oracles.CHAT_FORMAT,
+        "op10_near_dedup": oracles.NEAR_DEDUP,
+        "op11_line_dedup": oracles.LINE_DEDUP,
+        "op12_source_audit": oracles.SOURCE_AUDIT,
+        "op13_merkle_manifest": oracles.merkle_manifest(),
+    }
