@@ -92,10 +92,10 @@ def merkle_manifest(levels: int = 8, groups: int = 3) -> str:
         """Rows of start (tree, at, ..., proof, folded) taken up the tree."""
         steps, before = [], start
         for k in range(count):
-            left, right = f"array_to_string(g.run[1 : (r.at // {8**k}) % 8], '')", f"array_to_string(g.run[(r.at // {8**k}) % 8 + 2 :], '')"
+            left, right = f"array_to_string(g.run[1 : (r.spot // {8**k}) % 8], '')", f"array_to_string(g.run[(r.spot // {8**k}) % 8 + 2 :], '')"
             steps.append(f"""{to}_{k} AS (SELECT r.* EXCLUDE (proof, folded), CASE WHEN g.m = 1 THEN r.proof ELSE r.proof || {left} || {right} END AS proof,
   CASE WHEN g.m = 1 THEN r.folded ELSE sha256({left} || r.folded || {right}) END AS folded
-  FROM {before} r JOIN {name}_g{k} g ON g.tree = r.tree AND g.pos = r.at // {8 ** (k + 1)})""")
+  FROM {before} r JOIN {name}_g{k} g ON g.tree = r.tree AND g.pos = r.spot // {8 ** (k + 1)})""")
             before = f"{to}_{k}"
         return ", ".join(steps)
 
@@ -103,7 +103,7 @@ def merkle_manifest(levels: int = 8, groups: int = 3) -> str:
         return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
 
     def leaf(text: str) -> str:
-        return f"sha256({' || '.join(told(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {told(text)})"
+        return f"sha256({' || '.join(told(c) for c in ('d.doc_id', 'source', 'lang', 'n_chars'))} || {told(text)})"
 
     lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     step = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
@@ -116,15 +116,15 @@ WITH RECURSIVE crc(doc_id, s, x, k) AS (
 ), leaves AS (
   SELECT d.doc_id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS leaf, CASE WHEN s.crc % 3 = 0 THEN {leaf(lowered)} END AS tampered
   FROM documents d JOIN sums s ON s.doc_id IS NOT DISTINCT FROM d.doc_id
-), rows AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at FROM leaves
-), n_0 AS (SELECT tree, at AS pos, leaf AS h FROM rows
+), placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot FROM leaves
+), n_0 AS (SELECT tree, spot AS pos, leaf AS h FROM placed
 ), {tree("n", levels)}
 , ends AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM n_{levels}
 ), t_0 AS (SELECT 0 AS tree, place AS pos, subroot AS h FROM ends
 ), {tree("t", groups)}
-, begun AS (SELECT *, '' AS proof, coalesce(tampered, leaf) AS folded FROM rows
+, begun AS (SELECT *, '' AS proof, coalesce(tampered, leaf) AS folded FROM placed
 ), {walk("n", "up", levels, "begun")}
-, middle AS (SELECT u.doc_id, u.leaf, e.subroot, 0 AS tree, e.place AS at, u.proof, u.folded FROM up_{levels - 1} u JOIN ends e USING (tree)
+, middle AS (SELECT u.doc_id, u.leaf, e.subroot, 0 AS tree, e.place AS spot, u.proof, u.folded FROM up_{levels - 1} u JOIN ends e USING (tree)
 ), {walk("t", "top", groups, "middle")}
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM top_{groups - 1}, (SELECT h AS root FROM t_{groups})
