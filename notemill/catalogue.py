@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics_queries, browse_queries, registry, retrieval_queries, text_queries
+from .plans import analytics_queries, browse_queries, registry, retrieval_queries, state_queries, text_queries
 
-_MODULES = (retrieval_queries, analytics_queries, text_queries, browse_queries)
+_MODULES = (retrieval_queries, analytics_queries, text_queries, browse_queries, state_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

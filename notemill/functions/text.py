@@ -88,7 +88,7 @@ def body_and_front(text: Column) -> tuple[Column, Column]:
 
 
 def unquote(value: Column) -> Column:
-    v = strip(value)
+    v = F.regexp_replace(strip(value), r"""^("(?:[^"\\]|\\.)*"|'[^']*')\s+#.*$""", "$1")  # a comment after a quoted scalar
     v = F.when(v.rlike('^".*"$') | v.rlike("^'.*'$"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(strip(F.regexp_replace(v, r"(^|\s)#.*$", "")))
     return v
 

@@ -262,6 +262,18 @@ def e4_vector_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return s.rebuild(items, old)
 
 
+def expected_paths(spark: SparkSession, d: str, index: r.Index) -> DataFrame:
+    """(query_id, rel_path) of the notes that hold a benchmark passage. An item is looked up by its rarest token, then the whole passage is
+    confirmed; bodies join the few that are left."""
+    items = a.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    held = index.postings.where("n = 1").select("rel_path", "token")
+    keyed = items.select("query_id", F.explode(t.tokens(F.col("text"))).alias("token"))
+    df = held.join(keyed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    least = keyed.join(df, "token").groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    met = held.join(least, "token").select("query_id", "rel_path").join(items, "query_id")
+    return met.join(index.entries.select("rel_path", "body"), "rel_path").where(F.contains("body", F.col("text"))).select("query_id", "rel_path")
+
+
 _EXPECTED = f"expected AS (SELECT item_id AS query_id, 'notes/' || doc_id AS rel_path FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
@@ -271,14 +283,7 @@ def f14_evaluation(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import evaluate
 
     q, index = _tables(spark, d)
-    # an item is looked up by its rarest token, then the whole passage is confirmed; bodies join the few that are left
-    items = a.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    held = index.postings.where("n = 1").select("rel_path", "token")
-    keyed = items.select("query_id", F.explode(t.tokens(F.col("text"))).alias("token"))
-    df = held.join(keyed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    least = keyed.join(df, "token").groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    met = held.join(least, "token").select("query_id", "rel_path").join(items, "query_id")
-    expected = met.join(index.entries.select("rel_path", "body"), "rel_path").where(F.contains("body", F.col("text"))).select("query_id", "rel_path")
+    expected = expected_paths(spark, d, index)
     ranked = retrieval.rank_notes(q, index, a.now(), "two_stage", 50)
     got = evaluate.quality(evaluate.case_ranks(ranked, expected))
     return got.select("cases", *[F.round(c, 6).alias(c) for c in ("hit1", "hitk", "mrr")])
