@@ -4,16 +4,19 @@ Tokens are lower-cased words and one end for each text. A token is drawn in the
 before it. Contexts with the same last word share that word's restaurant as their parent, and all of those share the root, over a
 uniform base on all training words and one unknown. Customers are all training tokens. Gibbs sweeps draw the tables of every
 dish from their conditional distribution (``restaurants``), parents' distributions from their posterior, and discounts and
-strengths of each level from theirs; the predictive probability of a token is averaged over the sweeps kept.
+strengths from theirs; the predictive probability of a token is averaged over the sweeps kept.
 
 A word that is the last one of more than ``MOST`` contexts' tokens has several restaurants, one for each class of the word before
-it, so that no restaurant and no group of rows grows with its frequency. Texts without words before have a class by
-their number of words in place of those words.
+it, so that no restaurant and no group of rows grows with its frequency. First tokens have no word before; if there are more than
+``MOST`` training texts, a first token is drawn in two steps: its class, which is a share of the vocabulary and has a probability by counts of
+all texts, then the token in that class's restaurant, over the root's distribution within the class. So the counts of
+one word stay together, and probabilities add up to one whatever ``MOST`` is.
 
 Work is dealt so that nothing gathers beyond a bounded group: texts are tokenised into blocks; words are numbered by ranges of their
 64-bit hashes; restaurants with all their contexts are dealt to shards of about ``SHARD_TOKENS`` tokens. A block tells each
 shard the (context, word) pairs it holds, and gets the probability of each. Between the sweeps that warm up and those that are
-kept, shards send each word's tables to the range that owns the word, which seats the root. All numbers of groups
+kept, shards send each word's tables to the range that owns the word, which seats the root once. Discounts and strengths of contexts and
+parents are sampled, the root's are fixed. All numbers of groups
 follow from the tokens counted, so scores don't depend on partitions.
 
 Defined results: null text is empty and has the end alone; a null doc_id stays null and counts as the empty id in the fold;
@@ -160,10 +163,10 @@ def _number(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
 
 
 # Coded blocks: numbers are those of its words, ascending; tokens are places among them; hot ones are those of more than MOST training tokens.
-_CODED = "block long, doc_ids binary, id_null binary, held binary, n_words binary, known binary, base binary, numbers binary, tokens binary, hot binary, hot_counts binary, end long, end_count long"
+_CODED = "block long, doc_ids binary, id_null binary, held binary, n_words binary, known binary, base binary, numbers binary, tokens binary, hot binary, hot_counts binary, unknown binary, end long, end_number long, end_count long"
 
 
-def _code(ranges: int, n: int, kinds: int):
+def _code(ranges: int, n: int, kinds: int, most: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
@@ -180,19 +183,24 @@ def _code(ranges: int, n: int, kinds: int):
             known = tc.per_span(count[place] > 0, stop - n_words, stop) + int(count[end] > 0)
             sums = np.zeros(len(place) + 1)
             np.cumsum(base[place], out=sums[1:])
-            hot = np.flatnonzero(count > MOST)
+            hot = np.flatnonzero(count > most)
             out.append((
                 row["block"], row["doc_ids"], row["id_null"], row["held"], row["n_words"], pack(known), (sums[stop] - sums[stop - n_words] + base[end]).tobytes(), pack_ascending(number[order]), pack(place),
-                pack(hot), pack(count[hot]), end, int(count[end]),
+                pack(hot), pack(count[hot]), pack_ascending(np.flatnonzero(count == 0)), end, int(number[order][end]), int(count[end]),
             ))
         return _table(out, _CODED)
 
     return run
 
 
-def classes(count: np.ndarray) -> np.ndarray:
+def classes(count: np.ndarray, most: int) -> np.ndarray:
     """Restaurants of a word that so many training tokens follow."""
-    return np.maximum(1, -(-count // MOST))
+    return np.maximum(1, -(-count // most))
+
+
+def start_classes(texts: int, ranges: int, most: int) -> int:
+    """Classes of first tokens: shares of each range of words, a word's class being its number modulo this; unknown words are of class 0."""
+    return 1 if texts <= most else ranges * -(-texts // (most * ranges))
 
 
 def _hash(a: np.ndarray) -> np.ndarray:
@@ -202,7 +210,7 @@ def _hash(a: np.ndarray) -> np.ndarray:
 class Triples:
     """A block's tokens as distinct (last word, class, word before, token), in the order of shards."""
 
-    def __init__(self, row: dict, shards: int, places: bool):
+    def __init__(self, row: dict, shards: int, places: bool, most: int, starts: int):
         n_words, end, numbers = unpack(row["n_words"]), row["end"], unpack_ascending(row["numbers"])
         n_tokens = n_words + 1
         stop = np.cumsum(n_tokens)
@@ -215,16 +223,20 @@ class Triples:
         v[1:], u[2:] = w[:-1], w[:-2]
         v[self.starts] = end
         u[self.starts[n_words > 0] + 1] = end
-        # words before are numbered on for texts' beginnings, whose class is by their number of words
-        begin = n_words % int(classes(np.int64(row["end_count"])))
+        # words before are numbered on for the classes of first tokens
+        begin = numbers % starts
+        begin[unpack_ascending(row["unknown"])] = 0
+        begin = begin[w[self.starts]]
         u[self.starts] = len(numbers) + begin
         befores = np.append(numbers, np.arange(int(begin.max()) + 1))
         split = np.ones(len(numbers), np.int64)
-        split[unpack(row["hot"])] = classes(unpack(row["hot_counts"]))
+        split[unpack(row["hot"])] = classes(unpack(row["hot_counts"]), most)
+        split[end] = starts
         first = np.cumsum(split) - split
         parent = first[v]
-        several = np.flatnonzero(split[v] > 1)
+        several = np.flatnonzero((split[v] > 1) & (v != end))
         parent[several] += (_hash(befores[u[several]]) >> np.uint64(20)).astype(np.int64) % split[v[several]]
+        parent[self.starts] += begin
         seen = np.zeros(int(split.sum()), bool)
         seen[parent] = True
         kept = np.flatnonzero(seen)
@@ -279,11 +291,11 @@ class Triples:
 _ASKS = "shard long, block long, parents binary, classes binary, contexts binary, befores binary, sizes binary, tokens binary, counts binary"
 
 
-def _asks(shards: int):
+def _asks(shards: int, most: int, starts: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield _batch(Triples(row, shards, False).asks(row["block"]), _ASKS)
+                yield _batch(Triples(row, shards, False, most, starts).asks(row["block"]), _ASKS)
 
     return run
 
@@ -294,12 +306,14 @@ class Shard:
     Dishes of one customer always have one table; sweeps go over the others (live) and the restaurants that have such.
     """
 
-    def __init__(self, rows: list[dict]):
+    def __init__(self, rows: list[dict], end: int):
         parent, kind, per_parent, before, per_context, token, count = ([f(x[c]) for x in rows] for f, c in (
             (unpack_ascending, "parents"), (unpack, "classes"), (unpack, "contexts"), (unpack, "befores"), (unpack, "sizes"), (unpack, "tokens"), (unpack, "counts")))
         self.cut = np.cumsum([0, *map(len, token)]).tolist()
         self.words, w = codes(np.concatenate(token))
-        _, parent = codes((np.concatenate(parent) << 24) | np.concatenate(kind))
+        held, parent = codes((np.concatenate(parent) << 24) | np.concatenate(kind))
+        # restaurants of first tokens, and the class of each
+        self.first, self.kind = held >> 24 == end, held & 0xFFFFFF
         befores, u = codes(np.concatenate(before))
         bits_u, bits_w = len(befores).bit_length(), len(self.words).bit_length()
         self.n1 = int(parent.max()) + 1
@@ -329,19 +343,27 @@ class Shard:
         self.live1 = np.flatnonzero(np.bincount(self.up, self.c2, len(mids)) > 1)
         self.asked1, self.asked = codes(self.up_live)
 
+    def texts(self) -> np.ndarray:
+        """Training texts whose first token is of each restaurant's class, for restaurants of first tokens."""
+        return np.bincount(self.restaurant1[self.up], self.c2, self.n1)
+
+    def base(self, p0: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Probability of each parent's dish in the root; share: the root's probability of a restaurant's class, 1 for others."""
+        return p0[self.word1] / share[self.restaurant1]
+
     def _customers(self, dishes: np.ndarray) -> np.ndarray:
         return np.bincount(self.up[dishes], self.t2[dishes], len(self.word1)).astype(np.int64)
 
     def sweep(self, rng: np.random.Generator, p0: np.ndarray, parameters: list[tuple[float, float]]) -> None:
-        """Draws the tables of all dishes anew; p0: probability of each word in the root."""
-        p1 = r.distribution(rng, self.c1, self.t1, self.restaurant1, self.n1, p0[self.word1], *parameters[1], self.asked1)
+        """Draws the tables of all dishes anew; p0: probability of each parent's dish in the root (base)."""
+        p1 = r.distribution(rng, self.c1, self.t1, self.restaurant1, self.n1, p0, *parameters[1], self.asked1)
         self.t2[self.live2] = r.resample(rng, self.c2, self.t2, self.restaurant2, self.n2, p1[self.asked], *parameters[0], self.live2)
         self.c1 = self.fixed1 + np.bincount(self.up_live, self.t2[self.live2], len(self.word1)).astype(np.int64)
         self.t1 = np.minimum(self.t1, self.c1)
-        self.t1[self.live1] = r.resample(rng, self.c1, self.t1, self.restaurant1, self.n1, p0[self.word1[self.live1]], *parameters[1], self.live1)
+        self.t1[self.live1] = r.resample(rng, self.c1, self.t1, self.restaurant1, self.n1, p0[self.live1], *parameters[1], self.live1)
 
     def probabilities(self, p0: np.ndarray, parameters: list[tuple[float, float]]) -> np.ndarray:
-        p1 = r.predictive(self.c1, self.t1, self.restaurant1, self.n1, p0[self.word1], *parameters[1])
+        p1 = r.predictive(self.c1, self.t1, self.restaurant1, self.n1, p0, *parameters[1])
         return r.predictive(self.c2, self.t2, self.restaurant2, self.n2, p1[self.up], *parameters[0])
 
 
@@ -352,13 +374,14 @@ def _ordered(group: pa.Table) -> list[dict]:
 _TABLES = "range long, shard long, ranks binary, tables binary, likelihood array<double>"
 
 
-def _warm_up(ranges: int, n: int, curve: np.ndarray):
+def _warm_up(ranges: int, n: int, curve: np.ndarray, end: int, texts: int, starts: int):
     """Sweeps with a root made of how often words of each rank occur; each word's tables go to its range."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        me, shard = key[0].as_py(), Shard(_ordered(group))
+        me, shard = key[0].as_py(), Shard(_ordered(group), end)
         rng = np.random.default_rng([6, me])
         p0 = np.exp2(np.interp(np.log2(shard.words // ranges + 1), np.arange(len(curve)), np.log2(curve + 0.1))) / max(n, 1)
+        p0 = shard.base(p0, np.where(shard.first & (starts > 1), (shard.texts() + 1) / (texts + starts), 1.0))
         for _ in range(WARM_UP):
             shard.sweep(rng, p0, FIRST)
         tables = np.bincount(shard.word1, shard.t1, len(shard.words)).astype(np.int64)
@@ -371,11 +394,11 @@ def _warm_up(ranges: int, n: int, curve: np.ndarray):
     return run
 
 
-_ROOT = "shard long, range long, customers binary, tables binary, n long, t long"
+_ROOT = "shard long, range long, customers binary, tables binary, n long, t long, held array<double>, kinds array<double>"
 
 
-def _seat_root(kinds: int):
-    """Seats the root's customers, the tables of all shards, word by word of a range."""
+def _seat_root(kinds: int, subs: int):
+    """Seats the root's customers, the tables of all shards, word by word of a range; the last row has what classes of first tokens hold."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         me, rows = key[0].as_py(), sorted(group.to_pylist(), key=lambda x: x["shard"])
@@ -386,8 +409,10 @@ def _seat_root(kinds: int):
         x = np.full(len(customers), (strength + discount * kinds) / (kinds + 1))  # every word has one table at first
         tables = r.draw_tables(np.random.default_rng([7, me]), customers, x, discount)
         cut = np.cumsum([0, *(len(a) for a in ranks)])
-        out = [(x["shard"], me, pack(customers[back[a:b]]), pack(tables[back[a:b]]), 0, 0) for x, a, b in zip(rows, cut[:-1], cut[1:], strict=True)]
-        return _table([*out, (-1, me, b"", b"", int(customers.sum()), int(tables.sum()))], _ROOT)
+        out = [(x["shard"], me, pack(customers[back[a:b]]), pack(tables[back[a:b]]), 0, 0, None, None) for x, a, b in zip(rows, cut[:-1], cut[1:], strict=True)]
+        held = np.bincount(distinct % subs, customers - discount * tables, subs)
+        own = np.bincount(distinct % subs, customers > 0, subs)
+        return _table([*out, (-1, me, b"", b"", int(customers.sum()), int(tables.sum()), held.tolist(), own.tolist())], _ROOT)
 
     return run
 
@@ -395,23 +420,27 @@ def _seat_root(kinds: int):
 _ANSWERS = "block long, shard long, answers binary"
 
 
-def _answer(ranges: int, kinds: int, parameters: list[tuple[float, float]], root: tuple[int, int]):
+def _answer(ranges: int, kinds: int, parameters: list[tuple[float, float]], root: tuple[int, int], end: int, texts: int, mass: np.ndarray):
     """Averages the probability of every dish over sweeps, and answers each block in the order of its tokens."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         rows = _ordered(left)
         if not rows:
             return _table([], _ANSWERS)
-        me, shard = key[0].as_py(), Shard(rows)
+        me, shard = key[0].as_py(), Shard(rows, end)
         p0, mine, (discount, strength) = np.empty(len(shard.words)), shard.words % ranges, parameters[2]
         for x in right.to_pylist():
             c, t = unpack(x["customers"]), unpack(x["tables"])
             p0[mine == x["range"]] = (c - discount * t + (strength + discount * root[1]) / (kinds + 1)) / (strength + root[0])
+        of_class = shard.first & (len(mass) > 1)
+        p0 = shard.base(p0, np.where(of_class, mass[np.where(of_class, shard.kind, 0)], 1.0))
+        chosen = np.where(of_class, (shard.texts() + 1) / (texts + np.count_nonzero(mass)), 1.0)  # classes without words are never chosen
         rng, p = np.random.default_rng([8, me]), np.zeros(len(shard.c2))
         for k in range(BURN_IN + SAMPLES):
             shard.sweep(rng, p0, parameters)
             if k >= BURN_IN:
                 p += shard.probabilities(p0, parameters) / SAMPLES
+        p *= chosen[shard.restaurant1[shard.up]]
         steps = np.rint(-np.log10(p) / STEP).astype(np.int64)[shard.of]
         return _table([(x["block"], me, pack(steps[a:b])) for x, a, b in zip(rows, shard.cut[:-1], shard.cut[1:], strict=True)], _ANSWERS)
 
@@ -421,11 +450,11 @@ def _answer(ranges: int, kinds: int, parameters: list[tuple[float, float]], root
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(shards: int, n: int):
+def _score(shards: int, n: int, most: int, starts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            b = Triples(row, shards, True)
+            b = Triples(row, shards, True, most, starts)
             log = -STEP * np.concatenate([unpack(x["answers"]) for x in sorted(right.to_pylist(), key=lambda x: x["shard"])])
             out.append(pa.table([
                 pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["id_null"], bool)), pa.array(np.frombuffer(row["held"], bool)), pa.array(b.n_words + 1), pa.array(unpack(row["known"])),
@@ -436,7 +465,7 @@ def _score(shards: int, n: int):
     return run
 
 
-def score(spark: SparkSession, documents: DataFrame, parts: int = 10) -> DataFrame:
+def score(spark: SparkSession, documents: DataFrame, parts: int = 10, most: int = MOST) -> DataFrame:
     """The contract's columns for each row of documents; rows of fold 0 are not learnt from."""
     scratch = Scratch(spark, "pitman-yor")
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), (fold(documents["doc_id"], parts) == 0).alias("held"), documents["text"].cast("string").alias("text"))
@@ -449,18 +478,29 @@ def score(spark: SparkSession, documents: DataFrame, parts: int = 10) -> DataFra
     numbers = scratch.write(blocks.mapInArrow(_word_asks(ranges), _WORD_ASKS).groupBy("range").applyInArrow(_number, _NUMBERS), "numbers")
     n, kinds = numbers.agg(F.sum("n"), F.sum("kinds")).first()
     curve = [x[0] for x in numbers.where("block < 0").select(F.posexplode("curve").alias("at", "c")).groupBy("at").agg(F.avg("c").alias("c")).orderBy("at").select("c").collect()]
-    coded = blocks.drop("counts").groupBy("block").cogroup(numbers.where("block >= 0").groupBy("block")).applyInArrow(_code(ranges, n, kinds), _CODED)
+    coded = blocks.drop("counts").groupBy("block").cogroup(numbers.where("block >= 0").groupBy("block")).applyInArrow(_code(ranges, n, kinds, most), _CODED)
     coded = scratch.write(coded, "coded")
     scratch.drop("blocks")
     scratch.drop("numbers")
 
+    end, texts = coded.select("end_number", "end_count").first()
+    starts = start_classes(texts, ranges, most)
+    subs = max(1, starts // ranges)
     # a task takes a few shards, however many there are
-    asks = coded.mapInArrow(_asks(shards), _ASKS).repartition(-(-shards // 4), "shard")
-    tables = scratch.write(asks.groupBy("shard").applyInArrow(_warm_up(ranges, n, np.array(curve)), _TABLES), "tables")
+    asks = coded.mapInArrow(_asks(shards, most, starts), _ASKS).repartition(-(-shards // 4), "shard")
+    tables = scratch.write(asks.groupBy("shard").applyInArrow(_warm_up(ranges, n, np.array(curve), end, texts, starts), _TABLES), "tables")
     fit = [x[0] for x in tables.where("range < 0").select(F.posexplode("likelihood").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").select("x").collect()]
     rng, half = np.random.default_rng(6), len(fit) // 2
     parameters = [r.sample_parameters(rng, np.array(fit[:half])), r.sample_parameters(rng, np.array(fit[half:])), FIRST[2]]
-    seated = scratch.write(tables.where("range >= 0").groupBy("range").applyInArrow(_seat_root(kinds), _ROOT), "root")
+    seated = scratch.write(tables.where("range >= 0").groupBy("range").applyInArrow(_seat_root(kinds, subs), _ROOT), "root")
     root = tuple(seated.agg(F.sum("n"), F.sum("t")).first())
-    answers = asks.groupBy("shard").cogroup(seated.where("shard >= 0").groupBy("shard")).applyInArrow(_answer(ranges, kinds, parameters, root), _ANSWERS)
-    return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, n), _SCORES)
+    mass = np.ones(1)
+    if starts > 1:  # a number for each MOST texts
+        discount, strength = parameters[2]
+        held, own = np.zeros(starts), np.zeros(starts)
+        for x in seated.where("shard < 0").select("range", "held", "kinds").collect():
+            held[x["range"] :: ranges], own[x["range"] :: ranges] = x["held"], x["kinds"]
+        own[0] += 1  # the unknown word
+        mass = (held + (strength + discount * root[1]) * own / (kinds + 1)) / (strength + root[0])
+    answers = asks.groupBy("shard").cogroup(seated.where("shard >= 0").groupBy("shard")).applyInArrow(_answer(ranges, kinds, parameters, root, end, texts, mass), _ANSWERS)
+    return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, n, most, starts), _SCORES)
