@@ -35,6 +35,8 @@ LONGEST_WORD = 64
 MARK = "▁".encode()
 #: Forward values are scaled by this for each byte, which cancels at the end.
 GAIN = 64.0
+#: Sums below this lose digits.
+FAINT = 1e-250
 
 
 def vocabulary(path: str) -> Pieces:
@@ -122,23 +124,41 @@ def forward(lat: Lattice, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _one(lat: Lattice, w: int) -> Lattice:
+    """The lattice of one of the words."""
+    s, length = np.flatnonzero(lat.word == w), int(lat.length[w])
+    return Lattice(1, lat.length[w : w + 1], np.zeros(len(s), np.int64), lat.begin[s], lat.end[s], lat.piece[s], np.searchsorted(lat.end[s], np.arange(length + 2)))
+
+
+def _faint(lat: Lattice, alpha: np.ndarray) -> np.ndarray:
+    """Words whose sums come near the least number that there is; they are summed by logarithms."""
+    return np.flatnonzero(((alpha > 0) & (alpha < FAINT)).any(1) | (alpha[np.arange(lat.n), lat.length] < FAINT))
+
+
 def log_probability(lat: Lattice, p: np.ndarray) -> np.ndarray:
-    total = forward(lat, p)[np.arange(lat.n), lat.length]
-    return np.log(np.maximum(total, 1e-300)) - lat.length * np.log(GAIN)
+    alpha = forward(lat, p)
+    out = np.log(np.maximum(alpha[np.arange(lat.n), lat.length], FAINT)) - lat.length * np.log(GAIN)
+    for w in _faint(lat, alpha).tolist():
+        out[w] = long_forward(_one(lat, w), np.log(p)[None])[0, -1]
+    return out
 
 
 def expected(lat: Lattice, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts over all segmentations."""
     alpha = forward(lat, p)
+    faint = _faint(lat, alpha)
     beta = np.zeros_like(alpha)
     beta[np.arange(lat.n), lat.length] = 1
     gain = p[lat.piece] * GAIN ** (lat.end - lat.begin)
     for e in range(len(lat.cuts) - 2, 0, -1):
         s = slice(lat.cuts[e], lat.cuts[e + 1])
         np.add.at(beta, (lat.word[s], lat.begin[s]), beta[lat.word[s], e] * gain[s])
-    total = np.maximum(alpha[np.arange(lat.n), lat.length], 1e-300)
-    flow = alpha[lat.word, lat.begin] * gain * beta[lat.word, lat.end] / total[lat.word] * weight[lat.word]
-    return np.bincount(lat.piece, flow, len(p))
+    share = weight / np.maximum(alpha[np.arange(lat.n), lat.length], FAINT)
+    share[faint] = 0
+    out = np.bincount(lat.piece, alpha[lat.word, lat.begin] * gain * beta[lat.word, lat.end] * share[lat.word], len(p))
+    for w in faint.tolist():
+        out += long_expected(_one(lat, w), np.log(p), float(weight[w]))
+    return out
 
 
 def long_forward(lat: Lattice, logp: np.ndarray) -> np.ndarray:

@@ -145,6 +145,23 @@ def test_identification_equals_brute_force(spark, docs):
         assert got[k].lang_pred == model.langs[int(log.argmax())] and abs(got[k].score - 1 / np.exp(log - log.max()).sum()) < 1e-6
 
 
+@pytest.mark.parametrize("tiny", [1e-7, 1e-8, 1e-12])
+def test_forward_of_rare_pieces(tiny):
+    """Sums of scaled numbers and of logarithms agree for words of all lengths, and so do the counts, however small the probabilities."""
+    pieces = language_id.pieces_of([b"ab"])
+    p, build = np.full(len(pieces.hashes), tiny), language_id.Lattices(pieces)
+    words = [bytes(200 for _ in range(n)) for n in range(1, 65)] + [b"ab" * 20 + bytes(200 for _ in range(k)) + b"ab" * 4 for k in range(0, 40, 7)]
+    got = language_id.log_probability(build(words), p)
+    logs = [language_id.long_forward(build([w]), np.log(p)[None])[0, -1] for w in words]
+    assert np.abs(got - logs).max() < 1e-9 * np.abs(logs).max()
+    mark = len(language_id.MARK)
+    assert max(abs(g - (n + mark) * np.log(tiny)) for n, g in enumerate(got[:64], 1)) < 1e-6, "linear in the length"
+    weight = np.arange(1.0, len(words) + 1)
+    counts = sum(language_id.long_expected(build([w]), np.log(p), k) for w, k in zip(words, weight, strict=True))
+    found = language_id.expected(build(words), p, weight)
+    assert np.abs(found - counts).max() < 1e-6 * counts.max()
+
+
 def test_language_identification(spark, docs, odd_rows):
     public = pytest.importorskip("public_tokenizers")
     rows = [(k, " ".join(random.Random(k).choices("the house river stone water bread green".split(), k=30)), "en") for k in range(40)]
