@@ -3,7 +3,8 @@
 queries: query_id, query_tokens (sorted set), query_scope, history, loop, pref (intent flags).
 candidates: rel_path (unique), type, status, scope, updated, updated_ts, confidence, note_tokens, tag_tokens, body, title, statement.
 
-No step pairs all queries with all candidates. Overlapping pairs come from an equi-join on tokens and carry narrow columns alone. What a
+No step pairs all queries with all candidates. Overlapping pairs are counted block by block (``tiles``), which only the best leave, or, where
+whole pools are needed, by an equi-join on tokens that carries narrow columns alone. What a
 candidate without overlap scores depends on its group (scope, type, status), its age and confidence, and the query's profile (scope and
 intents); so the best of each group (as many as a result can hold) serve all queries of a profile. There are at most
 168 groups and 64 profiles. Weights of the final score must not let a candidate without overlap exceed 1.
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..schema import DEFAULTS, HISTORY_HINTS, LOOP_HINTS, PREFERENCE_HINTS, SCOPES, STATUSES, TYPE_DIRS, Settings
+from . import tiles
 
 
 def with_intents(queries: DataFrame) -> DataFrame:
@@ -133,9 +135,14 @@ def _suiting(rows: DataFrame, suits: Column) -> tuple[DataFrame, DataFrame]:
     return spread.where(suits).drop("n"), counts
 
 
+def _few(queries: DataFrame, rows: DataFrame, suits: Column, minimum: int) -> DataFrame:
+    """Queries that too few candidates suit."""
+    return queries.join(_suiting(rows, suits)[1], list(PROFILE)).where(F.col("suiting") < F.least("whole", F.lit(minimum)))
+
+
 def _short(queries: DataFrame, rows: DataFrame, met: DataFrame, suits: Column, minimum: int) -> DataFrame:
     """Queries whose pool has fewer candidates than minimum, with how many it has and how many all are."""
-    few = queries.join(_suiting(rows, suits)[1], list(PROFILE)).where(F.col("suiting") < F.least("whole", F.lit(minimum)))
+    few = _few(queries, rows, suits, minimum)
     more = with_group(met).join(_asked(few), "token").select("query_id", "rel_path", *GROUP).distinct().join(few.select("query_id", *PROFILE), "query_id").where(~suits)
     more = more.groupBy("query_id").agg(F.count("*").alias("more"))
     found = few.join(more, "query_id", "left").withColumn("found", F.col("suiting") + F.coalesce("more", F.lit(0)))
@@ -172,13 +179,14 @@ def _signalled(rows: DataFrame, signals: DataFrame | None) -> DataFrame:
 
 def pairs(
     queries: DataFrame, index: Index, mode: str = "all", depth: int = DEFAULTS.shortlist_max, minimum: int = 0, now: Column | None = None,
-    settings: Settings = DEFAULTS, signals: DataFrame | None = None, weights: DataFrame | None = None, ungated: bool = False,
+    settings: Settings = DEFAULTS, signals: DataFrame | None = None, weights: DataFrame | None = None, ungated: bool = False, best: bool = False,
 ) -> DataFrame:
     """Pairs of the queries' pools with overlap counts, carried columns and the queries' columns: all that overlap, and of the others the
     best ``depth``, by the coarse score, or by the final one where now is given.
 
     weights (token, weight): adds their sum over shared note tokens. ungated: queries of all scopes get pairs without
-    overlap too.
+    overlap too. best: of the overlapping pairs only those that can be among the best ``depth`` by the coarse score leave their block
+    (tiles.overlap_best); a job counts the notes, and another looks whether any pool is short of ``minimum``.
     """
     q, suits, rows = with_profile(queries), _suits(mode), with_group(index.entries.select("rel_path", *CARRIED))
     scoped = q if ungated else q.where("query_scope <> 'all'")
@@ -188,12 +196,20 @@ def pairs(
         score, base = final_score(now, settings), settings.recency * F.col("recency") + settings.confidence * F.coalesce("confidence", F.lit(0.0)) + settings.signal * F.col("signal_score")
     kept = ["query_id", "rel_path", *CARRIED]
     alone = scoped.join(_alone(placed, suits, score, depth, base), list(PROFILE)).select(*kept)
-    if minimum:
+    if minimum and not (best and _few(scoped, rows, suits, minimum).isEmpty()):
         short = _short(scoped, rows, index.postings, suits, minimum)
         alone = alone.unionByName(_padding(short, rows, index.postings, mode, minimum).select(*kept))
         alone = alone.unionByName(short.where("found = 0").join(_alone(placed, F.lit(True), score, depth, base), list(PROFILE)).select(*kept))
+    if best:
+        hits = tiles.overlap_best(queries, index.postings, CARRIED, depth, tiles.n_blocks(index.entries))
+        met = hits.select(*kept, F.col("lexical_count").alias("n"), F.col("tag_count").alias("g"), F.lit(0.0).alias("w"))
+        return _pooled(met, alone, kept, queries, signals)
     asked = _asked(q).withColumn("w", F.lit(0.0)) if weights is None else _asked(q).join(weights, "token", "left").select("query_id", "token", F.coalesce("weight", F.lit(0.0)).alias("w"))
     hits = index.postings.join(asked, "token").select(*kept, "n", "g", (F.col("n") * F.col("w")).alias("w"))
+    return _pooled(hits, alone, kept, queries, signals)
+
+
+def _pooled(hits: DataFrame, alone: DataFrame, kept: list[str], queries: DataFrame, signals: DataFrame | None) -> DataFrame:
     both = hits.unionByName(alone.withColumns({"n": F.lit(0), "g": F.lit(0), "w": F.lit(0.0)}))
     both = both.groupBy(*kept).agg(F.sum("n").alias("lexical_count"), F.sum("g").alias("tag_count"), F.sum("w").alias("weight"))
     return _signalled(both.join(queries, "query_id"), signals)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tiles
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -24,9 +26,9 @@ def item_hash(*columns: str) -> Column:
 
 
 def ranked(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """The best vectors of each query by cosine. queries is a stated set (id, vector): a score is computed for each of them on every row, and
-    only each task's best rows of a query are shuffled."""
-    scored = vectors.crossJoin(queries).select("query_id", "id", cosine(F.col("embedding"), F.col("query_vector")).alias("cosine"))
+    """The best vectors (id, embedding) of each query (query_id, query_vector) by cosine, ties by id. queries is a stated set; a block of
+    vectors is multiplied by a tile of queries at once, and only each block's best rows of a query leave it."""
+    scored = tiles.nearest(vectors, queries, limit)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

@@ -10,6 +10,7 @@ from ..operators import browse
 from ..operators import notes as n
 from ..operators import rank as r
 from ..operators import semantic as s
+from ..operators import tiles
 from ..schema import DEFAULTS, Settings
 from ..sources import adapter as a
 from ..sources import index as stored
@@ -248,8 +249,8 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 def e10_hybrid(spark: SparkSession, d: str) -> DataFrame:
     v, (q, index) = a.table(spark, d, "embeddings"), _tables(spark, d)
     asked = q.select("query_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
-    cos = v.crossJoin(asked).select("query_id", F.concat(F.lit("notes/"), "vec_id").alias("rel_path"), s.cosine(F.col("embedding"), F.col("qv")).alias("cosine"))
-    ranked = retrieval.rank_notes(q, index, a.now(), "semantic_hybrid", vectors=cos)
+    vectors = tiles.Vectors(v.select(F.concat(F.lit("notes/"), "vec_id").alias("rel_path"), "embedding"), asked.withColumnRenamed("qv", "query_vector"))
+    ranked = retrieval.rank_notes(q, index, a.now(), "semantic_hybrid", vectors=vectors)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "rel_path", F.round("score", 5).alias("score"))
 
 
