@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..schema import DEFAULTS, STOPWORDS, Settings
+from .places import placed
 
 
 # Signals -----------------------------------------------------------------------------------------------------------
@@ -184,8 +185,8 @@ def alias_suggestions(notes: DataFrame, phrase_counts: DataFrame, existing: Data
 
 def catalogue(notes: DataFrame, width: int = 200) -> DataFrame:
     """Title, first content line, tags, confidence and rank by update within the type."""
-    order = Window.partitionBy("type").orderBy(F.desc("updated"), F.desc("rel_path"))
-    return notes.select("rel_path", "type", "title", F.substring(t.first_content_line(F.col("body")), 1, width).alias("summary"), "tags", "confidence", "updated", F.row_number().over(order).alias("pos"))
+    rows = notes.select("rel_path", "type", "title", F.substring(t.first_content_line(F.col("body")), 1, width).alias("summary"), "tags", "confidence", "updated")
+    return placed(rows, "type", [F.desc("updated"), F.desc("rel_path")])
 
 
 def metrics(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -193,10 +194,16 @@ def metrics(rows: DataFrame, group: str, value: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
 
 
-def fingerprint(files: DataFrame, group: str) -> DataFrame:
-    """One hash over the sorted (path, hash) lines of each group."""
-    line = F.concat("path", F.lit("\t"), "hash", F.lit("\n"))
-    return files.groupBy(group).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), ""), 256).alias("fingerprint"))
+def fingerprint(files: DataFrame, group: str, part: int = 4096) -> DataFrame:
+    """One hash over the sorted (path, hash) lines of each group. Of more than `part` lines, every so many are hashed, and the hashes, a line
+    each, take their place; so no row gathers more than a part, and two corpora have one hash only if all lines are the same."""
+    lines = files.select(F.col(group).alias("g"), F.concat("path", F.lit("\t"), "hash", F.lit("\n")).alias("line"))
+    while True:
+        at = placed(lines, "g", [F.col("line").asc()] if "at" not in lines.columns else [F.col("at").asc()])
+        parts = at.groupBy("g", ((F.col("pos") - 1) / part).cast("long").alias("at")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), ""), 256).alias("h"))
+        if parts.agg(F.coalesce(F.max("at"), F.lit(0))).first()[0] == 0:
+            return parts.select(F.col("g").alias(group), F.col("h").alias("fingerprint"))
+        lines = parts.select("g", "at", F.concat("h", F.lit("\n")).alias("line"))
 
 
 # Links -------------------------------------------------------------------------------------------------------------
@@ -215,12 +222,11 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def broken(edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """Links to .md targets that no path equals or ends with, by an anti-join on the last part of the name."""
-    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    targets = edges.where(F.col("dst").endswith(".md")).withColumn("name", name(F.col("dst")))
-    known = paths.select("path", name(F.col("path")).alias("name"))
-    joined = targets.join(known, "name", "left").withColumn("found", F.coalesce((F.col("path") == F.col("dst")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("dst"))), F.lit(False)))
-    return joined.groupBy("src", "dst").agg(F.max("found").alias("found")).where(~F.col("found")).select("src", "dst")
+    """Links to .md targets that no path equals or ends with: an anti-join on what paths end with, each such end once, so that a name that is
+    in every folder is one row."""
+    parts = F.split("path", "/")
+    ends = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("dst")).distinct()
+    return edges.where(F.col("dst").endswith(".md")).select("src", "dst").distinct().join(ends, "dst", "left_anti").select("src", "dst")
 
 
 # Snapshots ---------------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..schema import TYPE_DIRS
+from .places import placed
 
 #: Prefixes of file names by type, and the words that sort a tree.
 PREFIXES = {"id__": "id", "fact__": "fact", "pref__": "pref", "goal__": "goal", "loop__": "loop", "concept__": "concept"}
@@ -27,8 +28,10 @@ def typed(notes: DataFrame, kind: str = "all", loop_status: str | None = None) -
 
 def listing(notes: DataFrame, kind: str = "all", loop_status: str | None = None, limit: int | None = None) -> DataFrame:
     """A typed read with each note's place (pos), newest first within its type; a limit holds for each type."""
-    rows = typed(notes, kind, loop_status).withColumn("pos", F.row_number().over(Window.partitionBy("type").orderBy(*newest())))
-    return rows if limit is None else rows.where(F.col("pos") <= limit)
+    rows = typed(notes, kind, loop_status)
+    if limit is None:
+        return placed(rows, "type", newest())
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("type").orderBy(*newest()))).where(F.col("pos") <= limit)
 
 
 def stem(path: Column) -> Column:
@@ -73,7 +76,7 @@ def tree(notes: DataFrame, scopes: tuple[str, ...] = (), tag: str | None = None,
     rows = rows.where(F.array_contains("tags", tag)) if tag else rows
     rows = containing(rows, text) if text else rows
     first = {"updated": [], "title": [F.lower("title")], "confidence": [F.desc("confidence")], "type": [F.col("type")]}[sort]
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("type").orderBy(*newest(*first))))
+    return placed(rows, "type", newest(*first))
 
 
 def groupings(notes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..schema import DEFAULTS, Settings
 from .browse import skipped
+from .places import placed
 
 # The wording that marks statements, in English and Norwegian.
 VERBS = r"(?iu)(decide|design|investigate|figure out|revisit|plan|define|choose|evaluate|implement|prototype|bestemme|designe|undersøke|finne ut|ta opp igjen|planlegge|definere|velge|evaluere|implementere|prototype)"
@@ -164,7 +165,7 @@ def select_files(scan: DataFrame, done: DataFrame, settings: Settings = DEFAULTS
 def vault(rows: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """Scored files of a vault outside the folders to skip, with each file's place (pos) among those of its yield, by signal."""
     kept = rows.where(~skipped(F.col("path"), skip)) if skip else rows
-    return kept.withColumn("pos", F.row_number().over(Window.partitionBy("yield").orderBy(F.desc("signal"), "path")))
+    return placed(kept, "yield", [F.desc("signal"), F.col("path").asc()])
 
 
 def import_key(kind: Column, scope: Column, statement: Column) -> Column:

@@ -70,14 +70,14 @@ def f8_tag_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
-_PHRASES = f"""w AS (SELECT list_filter(regexp_extract_all(lower(title || ' ' || statement), '[a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ({_STOP})) AS w FROM notes
+_PHRASES = f"""w AS (SELECT list_filter(regexp_extract_all(lower(title || ' ' || text), '[a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ({_STOP})) AS w FROM notes
 ), g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i : i + 1], ' '))) AS phrase FROM w
   UNION ALL SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) FROM w
 ), ph AS (SELECT phrase, count(*) AS n FROM g GROUP BY phrase)"""
 
 
 def _phrases(spark: SparkSession, d: str) -> DataFrame:
-    return an.phrases(a.notes(spark, d).select(F.concat_ws(" ", "title", "statement").alias("source")), "source")
+    return an.phrases(a.notes(spark, d).select(F.concat_ws(" ", "title", "text").alias("source")), "source")
 
 
 @query(f"WITH {a.SQL_NOTES}, {_PHRASES} SELECT * FROM ph WHERE n >= 2")
@@ -396,7 +396,7 @@ def j8_links_of_one(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, regexp_matches(s, '(?i)(#openloop|#loop|@loop|@openloop)') OR regexp_matches(s, '(?i)\\b(20\\d{2}-\\d{2}-\\d{2}|q[1-4]|uke\\s?\\d{1,2}|week\\s?\\d{1,2})\\b') AS kept
-FROM (SELECT doc_id, substr(text, 1, 20) || CASE doc_id % 3 WHEN 0 THEN ' by week 12' WHEN 1 THEN ' #loop' ELSE ' later' END AS s FROM documents)""")
+FROM (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' by week 12' WHEN 1 THEN ' #loop' ELSE ' later' END AS s FROM documents)""")
 def x6_archive_loops(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     stmt = F.concat("text", F.when(i % 3 == 0, " by week 12").when(i % 3 == 1, " #loop").otherwise(" later"))
