@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..operators import compose, mapping
 from ..operators import rank as r
 from ..sources import adapter as a
+from ..sources import files as readers
 from ..sources import index as stored
 from ..sources import state
-from . import ab
-from .analytics_queries import _SUMMARY
+from ..streaming import imports
+from . import ab, sync
+from .analytics_queries import _SNAP, _SUMMARY, _snapshots
 from .registry import query
 from .retrieval_queries import _EXPECTED, _INDEX, expected_paths, sql_bm25, sql_pool, sql_rank
 
@@ -130,3 +132,59 @@ SELECT query_id, CAST(base_rank AS INT) AS base_rank, CAST(new_rank AS INT) AS n
   WHEN coalesce(1 / new_rank, 0) < coalesce(1 / base_rank, 0) THEN 'worse' ELSE 'same' END AS outcome FROM pairs""")
 def y7_ab_paired(spark: SparkSession, d: str) -> DataFrame:
     return ab.paired(_outcomes(spark, d), "base", "new").select("query_id", "base_rank", "new_rank", "outcome")
+
+
+_SINCE = f"""WITH {_SNAP}, lg AS (SELECT DISTINCT CAST(user_id * 3 AS VARCHAR) AS path FROM events WHERE event_id > 300), ch AS (SELECT * FROM df WHERE state <> 'unchanged'
+), dr AS (SELECT coalesce(ch.path, lg.path) AS path, state, CASE WHEN state IS NULL THEN 'timeline_only' WHEN lg.path IS NULL THEN 'unlogged' ELSE 'logged' END AS kind FROM ch FULL JOIN lg ON ch.path = lg.path)"""
+
+
+def _synced(spark: SparkSession, d: str) -> tuple[str, DataFrame, DataFrame]:
+    """(state folder, files now, timeline now) after a sync of the older snapshot with the first lines of the log."""
+    old, new = _snapshots(spark, d)
+    events = a.timeline(spark, d).withColumn("path", (F.substring_index("path", "/", -1).cast("long") * 3).cast("string"))
+    root = own_folder(spark, "sync")
+    sync.apply(spark, root, old, lambda: events.where("lineno <= 300"), "2024-02-01T00:00:00Z")
+    return root, new, events
+
+
+@query(_SINCE + " SELECT * FROM dr")
+def y4_sync_drift(spark: SparkSession, d: str) -> DataFrame:
+    root, new, events = _synced(spark, d)
+    return sync.drift(state.current(spark, root), new, events)
+
+
+@query(_SINCE + """ SELECT 'before' AS step, count(*) FILTER (state = 'added') AS added, count(*) FILTER (state = 'modified') AS modified, count(*) FILTER (state = 'deleted') AS removed, count(*) FILTER (kind = 'unlogged') AS unlogged,
+  count(*) FILTER (kind = 'timeline_only') AS timeline_only, CASE WHEN count(*) FILTER (kind = 'unlogged') > 0 THEN 'unlogged' ELSE 'healthy' END AS verdict, 1 AS version FROM dr
+UNION ALL SELECT 'after', 0, 0, 0, 0, 0, 'healthy', 2 UNION ALL SELECT 'again', 0, 0, 0, 0, 0, 'healthy', 2""")
+def y4_sync_apply(spark: SparkSession, d: str) -> DataFrame:
+    """Check, apply, check, apply again, check: the second apply writes nothing."""
+    root, new, events = _synced(spark, d)
+    shown = lambda step, at: sync.check(at, new, events).select(F.lit(step).alias("step"), "added", "modified", "removed", "unlogged", "timeline_only", "verdict", F.lit(at.version).alias("version"))
+    out = shown("before", state.current(spark, root))
+    for step in ("after", "again"):
+        out = out.unionByName(shown(step, sync.apply(spark, root, new, lambda: events, "2024-02-02T00:00:00Z")))
+    return out
+
+
+@query("""WITH o AS (SELECT user_id AS stream, ts, event_id, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 37 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), s AS (SELECT *, sum(new) OVER (PARTITION BY stream ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM o
+), g AS (SELECT stream, k, min(ts) AS began, max(ts) AS ended, count(*) AS events, min(event_id) AS first_line, max(event_id) AS last_line, count(*) FILTER (event_type = 'signup') AS sleeps FROM s GROUP BY stream, k)
+SELECT stream, strftime(began, '%Y-%m-%d %H:%M:%S') AS began, strftime(ended, '%Y-%m-%d %H:%M:%S') AS ended, events, first_line, last_line, sleeps, greatest(first_line, CASE WHEN stream % 3 = 0 THEN 0 ELSE 501 END) AS from_line FROM g
+WHERE last_line > CASE WHEN stream % 3 = 0 THEN -1 ELSE 500 END""")
+def s7_session_capture(spark: SparkSession, d: str) -> DataFrame:
+    events = a.table(spark, d, "events").select(F.col("user_id").alias("stream"), F.col("ts").alias("at"), F.col("event_id").alias("lineno"), F.when(F.col("event_type") == "signup", "sleep").otherwise("updated").alias("action"))
+    baseline = events.where("stream % 3 <> 0").select("stream").distinct().withColumn("baseline", F.lit(500).cast("long"))
+    rows = imports.captured(imports.sessions(events, "37 minutes"), baseline)
+    told = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return rows.select("stream", told("began"), told("ended"), "events", "first_line", "last_line", "sleeps", "from_line")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN lang END AS tone, CASE WHEN doc_id % 7 <> 0 THEN n_chars END AS n, CASE WHEN doc_id % 7 <> 0 THEN source END AS second, CASE WHEN doc_id % 7 <> 0 THEN text END AS said FROM documents""")
+def a22_voice_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Nested profiles in fenced blocks of notes; the text itself is one of the values, and every seventh block is broken."""
+    docs, i = a.table(spark, d, "documents"), F.col("doc_id")
+    made = F.to_json(F.struct(F.col("lang").alias("tone"), F.struct(F.struct(F.col("n_chars").alias("n"), F.col("text").alias("said")).alias("more"), F.array("lang", "source").alias("list")).alias("deep")))
+    text = F.concat(F.lit("# Voice\n\n```json\n"), F.when(i % 7 == 0, F.lit("{broken")).otherwise(F.replace(made, F.lit("`"), F.lit("\\u0060"))), F.lit("\n```\n"))
+    rows = readers.voice_profile(docs.select(i.alias("path"), text.alias("text")))
+    get = lambda path, kind: F.try_variant_get("profile", path, kind)
+    return rows.select(F.col("path").alias("doc_id"), get("$.tone", "string").alias("tone"), get("$.deep.more.n", "long").alias("n"), get("$.deep.list[1]", "string").alias("second"), get("$.deep.more.said", "string").alias("said"))

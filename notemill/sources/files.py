@@ -80,9 +80,10 @@ def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def voice_profile(files: DataFrame) -> DataFrame:
-    """First fenced json block of each note, as a map, null if it isn't one."""
+    """First fenced json block of each note as a variant, whose values may be nested (variant_get); null if it isn't a JSON object."""
     block = F.regexp_extract("text", r"(?s)```json\s*(.*?)```", 1)
-    return files.select("path", F.from_json(block, "map<string,string>").alias("profile"))
+    found = F.try_parse_json(F.when(F.ltrim(block).startswith("{"), block))
+    return files.select("path", found.alias("profile"))
 
 
 def settings(overrides: dict | None = None, path: str | None = None, prefix: str = "NOTEMILL_") -> Settings:

@@ -60,6 +60,27 @@ def stream_writer(df: DataFrame, checkpoint: str, trigger: dict | None):
     return df.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "3 seconds"}))
 
 
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """Sessions of a stream of events (stream, at, lineno, action): events of one stream with less than a gap between them are one session.
+
+    stream, began, ended (of its last event), events, first_line, last_line, sleeps. For a streaming plan give late, how far behind events may
+    come: a session is told once, when nothing can be added to it. A long session is merged from parts, not gathered.
+    """
+    rows = events.withWatermark("at", late) if late else events
+    out = rows.groupBy(F.session_window("at", gap).alias("w"), "stream").agg(
+        F.min("at").alias("began"), F.max("at").alias("ended"), F.count("*").alias("events"), F.min("lineno").alias("first_line"), F.max("lineno").alias("last_line"), F.count_if(F.col("action") == "sleep").alias("sleeps")
+    )
+    return out.drop("w")
+
+
+def captured(sessions: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Ends of sessions to be captured: those with lines after their stream's baseline (stream, baseline: the last line read when it was taken),
+    and where their new lines begin. A stream without a baseline is new as a whole."""
+    new = F.greatest(F.col("first_line"), F.coalesce("baseline", F.lit(-1)) + 1)
+    rows = sessions.join(baseline.select("stream", "baseline"), "stream", "left").where(F.col("last_line") > F.coalesce("baseline", F.lit(-1)))
+    return rows.withColumn("from_line", new).drop("baseline")
+
+
 def run_once(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a streaming plan over all that is there, into a table in memory; for summaries of bounded size."""
     q = rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
