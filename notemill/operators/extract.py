@@ -88,8 +88,8 @@ def section_items(text: Column, head: str) -> Column:
     return F.filter(fold["out"], lambda s: s != "")
 
 
-def statements(files: DataFrame) -> DataFrame:
-    """path, pos, kind, statement, confidence of each distinct statement, private fences left out; pos is by rule, then by place."""
+def all_statements(files: DataFrame) -> DataFrame:
+    """path, text, pos, kind, statement, confidence, tag of every statement, private fences left out; pos is by rule, then by place."""
     rows = files.withColumn("text", t.strip_private(F.col("text")))
     item = lambda kind, conf, tag: lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("statement"), F.lit(conf).alias("confidence"), F.lit(tag).alias("tag"))
     n_words = lambda s: F.size(t.words(s))
@@ -112,9 +112,13 @@ def statements(files: DataFrame) -> DataFrame:
     found.append(F.transform(F.filter(section_items(F.col("text"), ACTION_HEAD), lambda s: (n_words(s) >= 4) | s.rlike(VERBS)), item("loop", 0.75, "open_loop")))
     tasks = F.filter(F.transform(_all(F.col("text"), r"(?im)^(?:-\s*)?\[\s*\]\s+(.+)$"), t.strip), lambda s: (F.length(s) >= 18) & s.rlike(VERBS))
     found.append(F.transform(tasks, item("loop", 0.75, "open_loop")))
-    exploded = rows.select("path", "text", F.posexplode(F.concat(*found)).alias("pos", "c")).select("path", "text", "pos", "c.*")
+    return rows.select("path", "text", F.posexplode(F.concat(*found)).alias("pos", "c")).select("path", "text", "pos", "c.*")
+
+
+def statements(files: DataFrame) -> DataFrame:
+    """Of all statements of a file the first of each kind and wording."""
     first = Window.partitionBy("path", "kind", F.lower("statement")).orderBy("pos")
-    return exploded.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    return all_statements(files).withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
 def suits_path(path: Column, text: Column, kind: Column, statement: Column) -> Column:

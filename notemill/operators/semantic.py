@@ -1,13 +1,17 @@
-"""Vectors: cosine, brute-force ranking, incremental rebuild."""
+"""Vectors: items to embed, encoders, cosine, block-wise ranking, incremental rebuild."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import tiles
+from ..functions import text as t
+from . import browse, mapping, tiles
+from .notes import note_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,6 +29,63 @@ def item_hash(*columns: str) -> Column:
     return F.sha1(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
 
 
+#: Fixed value: the fields that an item's hash is made of, in their order.
+HASHED = ("body", "confidence", "lang", "scope", "status", "tags", "title", "updated")
+
+
+def items(files: DataFrame, target: str = "notes") -> DataFrame:
+    """id, rel_path, path, type, scope, status, lang, updated, hash, text of what is embedded of files (path, text, mtime).
+
+    The hash is of a record of eight fields as JSON with sorted keys: a change of any of them, and of nothing else, makes an item a new one.
+    A note without a heading has its file's stem as a title; one without a time has its file's. The text is title and body.
+    """
+    front, body = t.body_and_front(F.col("text"))
+    rows = files.select("path", "mtime", mapping.entries(front).alias("e"), t.strip(body).alias("body"))
+    said = lambda k: t.strip(F.coalesce(mapping.scalar_at(F.col("e"), k), F.lit("")))
+    tags = F.array_join(F.array_sort(F.filter(F.transform(F.coalesce(mapping.list_at(F.col("e"), "tags"), t.strings()), t.strip), lambda x: x != "")), ",")
+    number = said("confidence")
+    confidence = F.when(number.rlike(r"^[+-]?(\d+\.\d*|\.\d+)$"), number.cast("double").cast("string")).otherwise(number)
+    heading = t.strip(t.title(F.col("body")))
+    rows = rows.select(
+        "path", "mtime", "body", said("lang").alias("lang"), said("scope").alias("scope"), said("status").alias("status"), said("updated").alias("updated"), tags.alias("tags"), confidence.alias("confidence"),
+        F.when(heading != "", heading).otherwise(F.regexp_replace(browse.stem(F.col("path")), "_", " ")).alias("title"),
+    )
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    record = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{c}": '), quoted(F.col(c))) for c in HASHED]), F.lit("}"))
+    path = t.logical_path(F.col("path")) if target == "notes" else F.col("path")
+    return rows.select(
+        F.concat(F.lit(target + ":"), path).alias("id"), path.alias("rel_path"), "path", (note_type(F.col("path")) if target == "notes" else F.lit("source")).alias("type"), "scope", "status", "lang",
+        F.when(F.col("updated") != "", F.col("updated")).otherwise(F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("updated"), F.sha1(record).alias("hash"), t.strip(F.concat_ws("\n", "title", "body")).alias("text"),
+    )
+
+
+_LOADED: dict[str, Callable[[list[str]], list[list[float]]]] = {}
+
+
+@dataclass(frozen=True)
+class Encoder:
+    """An encoder of texts: load() gives the function from texts to vectors, once in each worker process; it gets `batch` texts at a time."""
+
+    name: str
+    load: Callable[[], Callable[[list[str]], list[list[float]]]]
+    batch: int = 256
+
+    def vectors(self, rows: DataFrame) -> DataFrame:
+        """id, hash, embedding of items (id, hash, text)."""
+        name, load, size = self.name, self.load, self.batch
+
+        def run(batches):
+            if name not in _LOADED:
+                _LOADED[name] = load()
+            for batch in batches:
+                for i in range(0, batch.num_rows, size):
+                    part = batch.slice(i, size)
+                    made = _LOADED[name]([x or "" for x in part.column(2).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([list(map(float, v)) for v in made], pa.list_(pa.float32()))], names=["id", "hash", "embedding"])
+
+        return rows.select("id", "hash", "text").mapInArrow(run, "id string, hash string, embedding array<float>")
+
+
 def ranked(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """The best vectors (id, embedding) of each query (query_id, query_vector) by cosine, ties by id. queries is a stated set; a block of
     vectors is multiplied by a tile of queries at once, and only each block's best rows of a query leave it."""
@@ -33,6 +94,13 @@ def ranked(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def encoded(items: DataFrame, previous: DataFrame, encoder: Encoder) -> DataFrame:
+    """id, hash, embedding of all items (id, hash, text): stored vectors of the same id and hash, new ones of the others alone."""
+    held = items.select("id", "hash").join(previous.select("id", "hash", "embedding"), ["id", "hash"])
+    fresh = items.join(previous.select("id", "hash"), ["id", "hash"], "left_anti")
+    return held.select("id", "hash", "embedding").unionByName(encoder.vectors(fresh))
+
+
 def rebuild(items: DataFrame, previous: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """How each item stands to the stored vectors: reused (same id and hash), embedded, or removed.
 

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compose, mapping
-from ..operators import rank as r
+from ..operators import semantic as sem
 from ..sources import adapter as a
 from ..sources import files as readers
 from ..sources import index as stored
-from ..sources import state
+from ..sources import state, vectors
 from ..streaming import imports
 from . import ab, sync
 from .analytics_queries import _SNAP, _SUMMARY, _snapshots
@@ -188,3 +188,51 @@ def a22_voice_profiles(spark: SparkSession, d: str) -> DataFrame:
     rows = readers.voice_profile(docs.select(i.alias("path"), text.alias("text")))
     get = lambda path, kind: F.try_variant_get("profile", path, kind)
     return rows.select(F.col("path").alias("doc_id"), get("$.tone", "string").alias("tone"), get("$.deep.more.n", "long").alias("n"), get("$.deep.list[1]", "string").alias("second"), get("$.deep.more.said", "string").alias("said"))
+
+
+def _item_files(spark: SparkSession, d: str) -> DataFrame:
+    """Notes with front matter, their bodies whole documents."""
+    docs, i = a.table(spark, d, "documents"), F.col("doc_id")
+    front = F.concat(F.lit("---\ntags: [zz, "), "source", F.lit("]\nscope: dev\nlang: "), "lang", F.lit("\nconfidence: 0."), (i % 9 + 1).cast("string"), F.lit("\nupdated: 2026-01-01T00:00:00Z\n---\n"))
+    path = F.concat(F.lit("/v/notes/02_facts/fact_"), i, F.lit(".md"))
+    return docs.select("doc_id", path.alias("path"), F.concat(front, F.lit("# T"), i, F.lit("\n"), "text").alias("text"), F.timestamp_seconds(F.lit(0)).alias("mtime"))
+
+
+_BODY = "trim('# T' || doc_id || chr(10) || text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(f"""SELECT 'notes:notes/02_facts/fact_' || doc_id || '.md' AS id, sha1('{{"body": ' || CAST(to_json({_BODY}) AS VARCHAR) || ', "confidence": "0.' || (doc_id % 9 + 1) || '", "lang": "' || lang || '", "scope": "dev", "status": "", "tags": "'
+  || array_to_string(list_sort(['zz', source]), ',') || '", "title": "T' || doc_id || '", "updated": "2026-01-01T00:00:00Z"}}') AS hash, 'T' || doc_id || chr(10) || {_BODY} AS text FROM documents""")
+def e1_items(spark: SparkSession, d: str) -> DataFrame:
+    return sem.items(_item_files(spark, d)).select("id", "hash", "text")
+
+
+def word_lengths():
+    """A small encoder: how many words of each length modulo 8 a text has."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        out = []
+        for x in texts:
+            row = [0.0] * 8
+            for w in x.split(" "):
+                row[len(w) % 8] += 1
+            out.append(row)
+        return out
+
+    return encode
+
+
+_LENGTHS = ", ".join(f"count(*) FILTER (length(w) % 8 = {k})" for k in range(8))
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END, ' ')) AS w FROM documents WHERE doc_id % 10 <> 1)
+SELECT CAST(doc_id AS VARCHAR) AS id, array_to_string([{_LENGTHS}], ',') AS vector FROM w GROUP BY doc_id""")
+def e2_encoded_items(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all documents are built, then brought up to a fifth that changed and a tenth that is gone, and read back."""
+    docs, i, root = a.table(spark, d, "documents"), F.col("doc_id"), own_folder(spark, "encoded")
+    rows = lambda df, text: df.select(i.cast("string").alias("id"), F.sha1(text).alias("hash"), text.alias("text"))
+    encoder = sem.Encoder("word-lengths", word_lengths)
+    vectors.build(rows(docs, F.col("text")), root, encoder, "local", "word/lengths")
+    now = docs.where(i % 10 != 1)
+    vectors.build(rows(now, F.when(i % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))), root, encoder, "local", "word/lengths")
+    return vectors.load(spark, root, "local", "word/lengths").select("id", F.array_join(F.transform("embedding", lambda v: v.cast("long").cast("string")), ",").alias("vector"))

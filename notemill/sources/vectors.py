@@ -41,13 +41,14 @@ def store(items: DataFrame, root: str, backend: str, model: str) -> None:
 
 
 def load(spark: SparkSession, root: str, backend: str, model: str) -> DataFrame | None:
-    """The stored vectors; None without any, or where their number isn't the one noted."""
+    """The stored vectors; None without any, or where their number or their length isn't the one noted."""
     at = _root(root, backend, model)
     facts = sinks.pointer(spark, at)
     if facts is None:
         return None
     rows = spark.read.parquet(f"{at}/{facts['version']}")
-    return rows if str(rows.count()) == facts["items"] else None
+    n, odd = rows.agg(F.count("*"), F.count_if(F.coalesce(F.size("embedding"), F.lit(-1)) != int(facts["dims"]))).first()
+    return rows if str(n) == facts["items"] and not odd else None
 
 
 def status(spark: SparkSession, root: str, backend: str, model: str) -> dict[str, int]:
@@ -55,18 +56,45 @@ def status(spark: SparkSession, root: str, backend: str, model: str) -> dict[str
     return {"items": int(facts["items"]), "dims": int(facts["dims"])}
 
 
-def build(items: DataFrame, root: str, embed: Callable[[Column], Column], backend: str, model: str) -> dict[str, int]:
+def build(items: DataFrame, root: str, embed: Callable[[Column], Column] | semantic.Encoder, backend: str, model: str) -> dict[str, int]:
     """Bring stored vectors up to the items (id, hash, text): those of the same id and hash are taken over, others embedded by the
-    column function, gone ones dropped. Returns how many there were of each."""
+    encoder or column function, gone ones dropped. Returns how many there were of each."""
     spark = items.sparkSession
     previous = load(spark, root, backend, model)
     if previous is None:
         previous = spark.createDataFrame([], "id string, hash string, embedding array<float>")
     found = {r["state"]: r["count"] for r in semantic.rebuild(items, previous).groupBy("state").count().collect()}
-    store(semantic.rebuild(items, previous, embed), root, backend, model)
+    made = semantic.encoded(items, previous, embed) if isinstance(embed, semantic.Encoder) else semantic.rebuild(items, previous, embed)
+    store(made, root, backend, model)
     return {s: found.get(s, 0) for s in ("embedded", "reused", "removed")}
 
 
+def search(queries: DataFrame, root: str, encoder: semantic.Encoder, backend: str, model: str, limit: int = 8) -> tuple[DataFrame | None, str]:
+    """((query_id, rank, id, cosine), reason) of query texts (query_id, text). Without vectors the reason is missing_index and there is no
+    result; empty queries have no rows, and where all are empty the reason is empty_query; else it is empty."""
+    spark = queries.sparkSession
+    held = load(spark, root, backend, model)
+    if held is None:
+        return None, "missing_index"
+    asked = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    if asked.isEmpty():
+        return None, "empty_query"
+    made = encoder.vectors(asked.select(F.to_json(F.struct("query_id")).alias("id"), F.lit("").alias("hash"), "text"))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    vectors = made.select(F.from_json("id", f"struct<query_id:{kind}>")["query_id"].alias("query_id"), F.col("embedding").alias("query_vector"))
+    return semantic.ranked(held.select("id", "embedding"), vectors, limit).select("query_id", "rank", "id", "cosine"), ""
+
+
+def told(spark: SparkSession, root: str, backends: dict[str, list[str]]) -> list[str]:
+    """Lines for people: what is stored of each back-end's models."""
+    lines = []
+    for backend, models in sorted(backends.items()):
+        for model in models:
+            at = status(spark, root, backend, model)
+            lines.append(f"- {backend}/{model} items={at['items']} dims={at['dims']}" if at["items"] else f"- {backend}/{model} none")
+    return lines
+
+
 def clean(spark: SparkSession, root: str, backend: str, model: str) -> None:
     """Remove all versions of a model's vectors."""
     fs, path = sinks.file_system(spark, _root(root, backend, model))
