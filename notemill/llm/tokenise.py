@@ -5,6 +5,10 @@ before they merge anything, so a text's ids are those of its pieces one after an
 the library's model once per worker process. The splitting patterns below are the vocabularies' own, restricted to
 characters below U+0300, where Python's classes agree with theirs and no normal form changes; words with any other
 character, and texts with unusual white space, are encoded by the library as they are.
+
+Ids are those of a plain ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``: none is added, and where a
+text itself spells a special token such as ``<|endoftext|>``, it has that token's id. With ``ordinary`` such strings are
+encoded as the ordinary text that they are.
 """
 
 from __future__ import annotations
@@ -49,12 +53,14 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # for pieces, which never hold one whole
+        self.plain = Tokenizer.from_file(path)
+        self.special = () if ordinary else tuple(x.content for x in self.plain.get_added_tokens_decoder().values())
         self.kind = "byte" if '"normalizer":null' in self.tokenizer.to_str() else "word"
         self.pieces, self.merge, self.letters = PIECES[self.kind].findall, self.tokenizer.model.tokenize, _byte_letters()
         self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -102,7 +108,9 @@ class Encoder:
         """Little-endian 32-bit ids of each text."""
         out, get = [], self.words.__getitem__
         for text in texts:
-            if has_odd(text):
+            if any(x in text for x in self.special):
+                out.append(array("I", self.plain.encode(text, add_special_tokens=False).ids).tobytes())
+            elif has_odd(text):
                 out.append(self.whole(text))
             elif self.kind == "word":
                 out.append(b"".join(map(get, text.split())))

@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 import pytest
 
+from tokenizers import Tokenizer
+
 from notemill.llm import chat_format, packing, token_store, tokenise, url_filter
 from notemill.llm.scratch import Scratch
 
@@ -12,15 +14,19 @@ P = pytest.importorskip("public_tokenizers")
 
 
 def ids(path, text, end):
-    return np.array([*tokenise.encoder(path).tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4").tobytes()
+    return np.array([*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end], "<u4").tobytes()
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_cached_encoder_is_exact(name):
-    rng, e = random.Random(5), tokenise.encoder(P.path(name))
+    rng, e, library = random.Random(5), tokenise.encoder(P.path(name)), Tokenizer.from_file(P.path(name))
     texts = ["".join(rng.choice("aB é's'll12²İ \n\t\xa0\x1c\u2003日Σς.,!_-") for _ in range(rng.randrange(120))) for _ in range(300)]
-    texts += ["", " ", "  a", "a  ", "a\n b", "a \n\n  b", "I'll we've <|endoftext|>", "x" * 200 + " " + "y" * 200]
-    assert e(texts) == [e.whole(x) for x in texts] == e(texts)
+    texts += ["", " ", "  a", "a  ", "a\n b", "a \n\n  b", "I'll we've <|endoftext|>", "<|endoftext|>", "a<|endoftext|>\n<|ENDOFTEXT|> b", "<|startoftext|>a <|end", "x" * 200 + " " + "y" * 200]
+    want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert e(texts) == want == e(texts)
+    library.encode_special_tokens = True
+    want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert tokenise.Encoder(P.path(name), ordinary=True)(texts) == want
 
 
 def test_token_store(spark, docs, odd_rows):
