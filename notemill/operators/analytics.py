@@ -85,6 +85,20 @@ def parse_timeline(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(pattern)).select("lineno", *[F.regexp_extract("value", pattern, k + 1).alias(c) for k, c in enumerate(names)])
 
 
+#: What the notes of a folder are called in a timeline.
+EVENT_TYPES = {
+    "01_identity": "identity", "02_facts": "fact", "03_preferences": "preference", "04_goals": "goal", "05_open_loops": "loop", "06_concepts": "concept", "08_indices": "index",
+}
+
+
+def event_type(path: Column) -> Column:
+    """Type of the note that an event is about, by its path's folder; other for any other path."""
+    out, at = F.lit("other"), t.strip(F.coalesce(path, F.lit("")))
+    for folder, kind in EVENT_TYPES.items():
+        out = F.when(at.startswith(f"notes/{folder}/"), kind).otherwise(out)
+    return out
+
+
 def last_events(timeline: DataFrame, now: str, hours: int = 24, most: int = 10) -> DataFrame:
     """The last events of the hours before now."""
     at = lambda c: F.to_timestamp(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -302,6 +316,30 @@ def boot_payload(notes: DataFrame, signals: DataFrame) -> DataFrame:
     return own.join(signals.agg(F.count("*").alias("signals")))  # one row each
 
 
+def boot_lines(notes: DataFrame, timeline: DataFrame, signals: DataFrame, now: Column, today: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """section, pos, line of the text that a session starts with, in that order: context notes by scope and type, then whether the notes want
+    tending, then what the signals say. A stream of signals or events without rows has no lines."""
+    kinds = {"id": "Identity", "fact": "Facts", "pref": "Preferences", "goal": "Goals", "loop": "Open loops"}
+    heading, rank = F.lit(""), F.lit(len(kinds))
+    for k, (kind, name) in enumerate(kinds.items()):
+        heading, rank = F.when(F.col("type") == kind, name).otherwise(heading), F.when(F.col("type") == kind, k).otherwise(rank)
+    line = F.concat(F.lit("- "), heading, F.lit(" ("), "scope", F.lit("): "), t.shorten(F.col("title"), 160))
+    context = boot(notes, now, settings).select(F.lit(1).alias("section"), rank.alias("rank"), F.col("pos").cast("long").alias("k"), "scope", "rel_path", line.alias("line"))
+    asleep = since_sleep(timeline, today).select(
+        F.lit(2).alias("section"), F.lit(0).alias("rank"), F.col("changes").cast("long").alias("k"), F.col("stream").cast("string").alias("scope"), F.lit("").alias("rel_path"),
+        F.concat(F.lit("- Stream "), "stream", F.lit(": "), "changes", F.lit(" changes since it was tended, "), F.coalesce(F.concat(F.col("days").cast("string"), F.lit(" days ago")), F.lit("never")), F.when(F.col("due"), "; due").otherwise("")).alias("line"),
+    )
+    totals = signals.agg(F.count("*").alias("n"), F.count_if(F.col("type") == "correction").alias("corrections")).where("n > 0")
+    told = lambda k, c: F.struct(F.lit(k).alias("rank"), c.alias("line"))
+    said = totals.select(F.explode(F.array_compact(F.array(
+        told(0, F.concat(F.lit("- Signals: "), "n")), F.when(F.col("corrections") > 0, told(1, F.concat(F.lit("- Corrections to look at: "), "corrections")))))).alias("x")).select("x.*")
+    missed = retrieval_misses(signals, 1).select(F.lit(2).alias("rank"), F.concat(F.lit('- Asked for most without a result: "'), "query", F.lit('" ('), "misses", F.lit(")")).alias("line"))
+    signalled = said.unionByName(missed).select(F.lit(3).alias("section"), "rank", F.lit(0).cast("long").alias("k"), F.lit("").alias("scope"), F.lit("").alias("rel_path"), "line")
+    rows = context.unionByName(asleep).unionByName(signalled)
+    # context and signals are of bounded size; streams may be many
+    return placed(rows, "section", [F.col("scope").asc(), F.col("rank").asc(), F.col("k").asc(), F.col("rel_path").asc()]).select("section", "pos", "line")
+
+
 def boot(notes: DataFrame, now: Column, settings: Settings = DEFAULTS) -> DataFrame:
     """Confident notes and active loops for a session's start."""
     active = F.coalesce("status", F.lit("open")).isin("open", "blocked", "snoozed")

@@ -247,9 +247,9 @@ def e5_vector_store(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(state["items"], state["dims"], found["embedded"], found["reused"], found["removed"])], "items long, dims int, embedded long, reused long, removed int")
 
 
-@query(f"WITH {a.SQL_NOTES}, s AS (SELECT rel_path, len(regexp_extract_all(text, '\\S+')) AS words FROM notes) SELECT 'sizes' AS name, count(*) AS n FROM s UNION ALL SELECT 'tags', count(*) FROM (SELECT DISTINCT rel_path, unnest(tags) FROM notes) UNION ALL SELECT 'recent', least(30, count(*)) FROM notes UNION ALL SELECT 'catalogue', count(*) FROM notes UNION ALL SELECT 'metrics', count(DISTINCT scope) FROM notes")
+@query(f"WITH {a.SQL_NOTES}, s AS (SELECT rel_path, len(regexp_extract_all(text, '\\S+')) AS words FROM notes) SELECT 'sizes' AS name, count(*) AS n FROM s UNION ALL SELECT 'tags', count(*) FROM (SELECT DISTINCT rel_path, unnest(tags) FROM notes) UNION ALL SELECT 'recent', least(30, count(*)) FROM notes UNION ALL SELECT 'catalogue', count(*) FROM notes UNION ALL SELECT 'metrics', count(DISTINCT scope) FROM notes UNION ALL SELECT 'links', count(*) FROM notes UNION ALL SELECT 'index', count(*) FROM notes")
 def b10_derived_indexes(spark: SparkSession, d: str) -> DataFrame:
-    root, notes = f"{stored.folder(spark)}/derived-{uuid.uuid4().hex}", a.notes(spark, d)
+    root, notes = f"{stored.folder(spark)}/derived-{uuid.uuid4().hex}", a.notes(spark, d).withColumn("body", F.concat("body", F.lit(" [[n"), F.col("doc_id") + 1, F.lit("]]")))
     sinks.derived(notes, root)
     counts = [(name, spark.read.json(f"{root}/{name}").count()) for name in sinks.DERIVED]
     return spark.createDataFrame(counts, "name string, n long")

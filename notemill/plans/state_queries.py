@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compose, mapping
+from ..operators import analytics, compose, mapping
 from ..operators import semantic as sem
 from ..sources import adapter as a
 from ..sources import files as readers
 from ..sources import index as stored
-from ..sources import state, vectors
+from ..sources import sinks, state, vectors
 from ..streaming import imports
 from . import ab, sync
 from .analytics_queries import _SNAP, _SUMMARY, _snapshots
@@ -22,8 +22,6 @@ from .retrieval_queries import _EXPECTED, _INDEX, expected_paths, sql_bm25, sql_
 
 def own_folder(spark: SparkSession, name: str) -> str:
     """A folder of this run, dropped when the session ends."""
-    from ..sources import sinks
-
     root = f"{stored.folder(spark)}/{name}-{uuid.uuid4().hex}"
     fs, path = sinks.file_system(spark, root)
     fs.deleteOnExit(path)
@@ -49,8 +47,6 @@ def b17_state_commits(spark: SparkSession, d: str) -> DataFrame:
     state.commit(base, *state.merged(state.sync(files, a.timeline(spark, d), now), state.signal_summary(a.signals(spark, d), now), (first, {})))
 
     def later(at: state.Snapshot) -> tuple[dict[str, DataFrame], dict[str, object]]:
-        from ..operators import analytics
-
         third = files.where("doc_id % 3 = 0")
         seen = third.select("path", "hash", F.lit("second").alias("updated"))
         return {"nudges": state.nudge(at.table("nudges"), third.where("loop AND status = 'open'"), "2024-02-10T00:00:00Z"), "manifest": analytics.upsert(at.table("manifest"), seen, "path")}, {}
@@ -236,3 +232,39 @@ def e2_encoded_items(spark: SparkSession, d: str) -> DataFrame:
     now = docs.where(i % 10 != 1)
     vectors.build(rows(now, F.when(i % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))), root, encoder, "local", "word/lengths")
     return vectors.load(spark, root, "local", "word/lengths").select("id", F.array_join(F.transform("embedding", lambda v: v.cast("long").cast("string")), ",").alias("vector"))
+
+
+@query(f"""WITH {a.SQL_NOTES} SELECT 'sizes' AS name, rel_path AS key, CAST(len(regexp_extract_all(text, '\\S+')) AS VARCHAR) AS value FROM notes UNION ALL SELECT DISTINCT 'tags', unnest(tags), rel_path FROM notes
+UNION ALL SELECT 'links', rel_path, 'n' || (doc_id + 1) FROM notes UNION ALL SELECT 'index', type || ' ' || rel_path, title || ' ' || updated FROM notes""")
+def b10_derived_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What the derived tables say, read back from their files."""
+    root, notes = own_folder(spark, "derived"), a.notes(spark, d)
+    sinks.derived(notes.withColumn("body", F.concat("statement", F.lit(" [[n"), F.col("doc_id") + 1, F.lit("]]"))), root)
+    read = lambda name, key, value: spark.read.json(f"{root}/{name}").select(F.lit(name).alias("name"), key.alias("key"), value.cast("string").alias("value"))
+    rows = read("sizes", F.col("rel_path"), F.col("words")).unionByName(read("tags", F.col("tag"), F.col("rel_path"))).unionByName(read("links", F.col("src"), F.col("target")))
+    return rows.unionByName(read("index", F.concat_ws(" ", "type", "rel_path"), F.concat_ws(" ", "title", "updated")))
+
+
+_FOLDERS = ("01_identity", "02_facts", "03_preferences", "04_goals", "05_open_loops", "06_concepts", "08_indices", "elsewhere")
+_EVENT_KINDS = ("identity", "fact", "preference", "goal", "loop", "concept", "index", "other")
+
+
+@query(f"""WITH {a.SQL_TIMELINE} SELECT lineno, ts, action, 'notes/' || ['{"', '".join(_FOLDERS)}'][CAST(lineno % 8 + 1 AS INT)] || '/' || stream AS path, "desc", ['{"', '".join(_EVENT_KINDS)}'][CAST(lineno % 8 + 1 AS INT)] AS type FROM timeline WHERE lineno % 9 <> 0""")
+def b5_timeline_migration(spark: SparkSession, d: str) -> DataFrame:
+    """A Markdown timeline, with broken lines in it, made a JSON one; a second migration does nothing."""
+    root, n = own_folder(spark, "timeline"), F.col("lineno")
+    folder = F.element_at(F.array(*[F.lit(x) for x in _FOLDERS]), (n % 8 + 1).cast("int"))
+    line = F.concat_ws(" | ", "ts", F.when(n % 9 == 0, "unheard").otherwise(F.col("action")), F.concat_ws("/", F.lit("notes"), folder, "stream"), "desc")
+    lines = a.timeline(spark, d).select("lineno", line.alias("value"))
+    sinks.ensure_jsonl(lines, f"{root}/jsonl")
+    sinks.ensure_jsonl(lines, f"{root}/jsonl")
+    return spark.read.schema("ts string, action string, path string, desc string, type string, lineno long").json(f"{root}/jsonl")
+
+
+@query(f"""WITH {a.SQL_SIGNALS}, s AS (SELECT count(*) AS n, count(*) FILTER (type = 'correction') AS c FROM signals), m AS (SELECT query, count(*) AS misses FROM signals WHERE type = 'stale_flag' AND query <> '' GROUP BY query ORDER BY misses DESC, query LIMIT 1)
+SELECT 3 AS section, CAST(1 AS BIGINT) AS pos, '- Signals: ' || n AS line FROM s WHERE n > 0 UNION ALL SELECT 3, 2, '- Corrections to look at: ' || c FROM s WHERE c > 0
+UNION ALL SELECT 3, 3, '- Asked for most without a result: "' || query || '" (' || misses || ')' FROM m""")
+def k6_boot_lines(spark: SparkSession, d: str) -> DataFrame:
+    """What a session's text says of signals; context notes and streams are held against their own operators in the tests."""
+    signals = a.signals(spark, d).withColumn("type", F.when(F.col("type") == "stale_flag", "retrieval_miss").otherwise(F.col("type")))
+    return analytics.boot_lines(a.notes(spark, d), a.timeline(spark, d), signals, a.now(), "2024-02-15").where("section = 3")

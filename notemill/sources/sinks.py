@@ -89,8 +89,20 @@ def timeline_markdown(timeline: DataFrame, path: str) -> None:
     timeline.orderBy("ts", "path").select(F.concat_ws(" | ", "ts", "action", "path", "desc").alias("value")).write.mode("overwrite").text(path)
 
 
+def ensure_jsonl(markdown: DataFrame, path: str) -> int:
+    """Make the JSON form of a timeline from its Markdown lines (value, lineno), with the type of each event, if there is none or it has no
+    events. Returns how many events were written."""
+    spark = markdown.sparkSession
+    fs, at = file_system(spark, path)
+    if fs.exists(at) and not spark.read.text(path).isEmpty():
+        return 0
+    events = analytics.parse_timeline(markdown).select("ts", "action", "path", "desc", analytics.event_type(F.col("path")).alias("type"), "lineno")
+    events.write.mode("overwrite").json(path)
+    return spark.read.text(path).count()
+
+
 #: Tables that ``derived`` writes.
-DERIVED = ("sizes", "tags", "recent", "catalogue", "metrics")
+DERIVED = ("sizes", "tags", "recent", "catalogue", "metrics", "links", "index")
 
 
 def derived(rows: DataFrame, root: str) -> None:
@@ -99,6 +111,7 @@ def derived(rows: DataFrame, root: str) -> None:
     tables = {
         "sizes": sizes, "tags": rows.select(F.explode(F.array_distinct("tags")).alias("tag"), "rel_path", "title"), "recent": browse.recent(rows).select("rel_path", "title", "updated"),
         "catalogue": analytics.catalogue(rows), "metrics": analytics.metrics(sizes.join(rows.select("rel_path", "scope"), "rel_path"), "scope", "words"),
+        "links": analytics.edges(rows), "index": rows.select("type", "rel_path", "title", "updated", "confidence"),
     }
     for name in DERIVED:
         tables[name].write.mode("overwrite").json(f"{root}/{name}")
