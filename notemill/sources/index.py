@@ -68,13 +68,16 @@ def store(index: r.Index, root: str, extra: dict[str, str] | None = None) -> Non
     _point(spark, root, [_write(index, root)], extra)
 
 
-def _point(spark: SparkSession, root: str, segments: list[dict], extra: dict[str, str] | None = None) -> None:
-    sinks.point(spark, root, str(segments[-1]["name"]), {"format": str(VERSION), "segments": json.dumps(segments)} | (extra or {}))
+def _point(spark: SparkSession, root: str, segments: list[dict], extra: dict[str, str] | None = None, after: int | None = None) -> None:
+    sinks.point(spark, root, str(segments[-1]["name"]), {"format": str(VERSION), "segments": json.dumps(segments)} | (extra or {}), after)
 
 
 def segments(spark: SparkSession, root: str) -> list[dict] | None:
     """What the segments are called and how many notes each holds, the oldest first; None without an index of this format."""
-    at = sinks.pointer(spark, root)
+    return _named(sinks.pointer(spark, root))
+
+
+def _named(at: dict[str, str] | None) -> list[dict] | None:
     return None if at is None or at.get("format") != str(VERSION) else json.loads(at["segments"])
 
 
@@ -98,11 +101,12 @@ def load(spark: SparkSession, root: str) -> r.Index | None:
 def refresh(files: DataFrame, root: str) -> dict[str, int]:
     """Bring a stored index up to the files (path, text, mtime, size): files of the same mtime are taken over unread, those of the same hash
     under their new mtime, others are parsed; files that are gone are removed. What changed is a segment of its own; nothing is written
-    if nothing changed.
+    if nothing changed. Another refresh that came first is not undone: sinks.Conflict, and this one is to be called again.
 
     Returns how many files there are of each state.
     """
-    spark, found = files.sparkSession, segments(files.sparkSession, root)
+    spark, at = files.sparkSession, sinks.pointer(files.sparkSession, root)
+    found = _named(at)
     if found is None:
         rows = r.with_length(n.candidates(n.parse(files.withColumn("hash", F.sha2("text", 256))), "path", "mtime", "hash"))
         store(r.Index(rows, rows), root)
@@ -124,7 +128,7 @@ def refresh(files: DataFrame, root: str) -> dict[str, int]:
     rows = r.with_length(n.candidates(n.parse(parsed), "path", "mtime", "hash"))
     kept = old.drop("mtime", "hash").join(states.where("state = 'touched'").select("path", "mtime", "hash"), "path")
     segment = _write(r.Index(rows.unionByName(kept), rows), root, previous.join(states.select("path"), "path", "left_semi"))
-    _point(spark, root, _merged(spark, root, [*found, segment]))
+    _point(spark, root, _merged(spark, root, [*found, segment]), after=int(at["number"]))
     return total
 
 

@@ -22,30 +22,60 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def point(spark: SparkSession, root: str, version: str, facts: dict[str, str] | None = None) -> None:
-    """Make a version the current one. Pointers are small files of ascending names, each written whole and then renamed into place."""
-    fs, folder = file_system(spark, f"{root}/_current")
-    fs.mkdirs(folder)
-    last = max((int(x.getPath().getName()) for x in fs.listStatus(folder) if x.getPath().getName().isdigit()), default=0)
-    _, draft = file_system(spark, f"{root}/_current/.{version}")
-    out = fs.create(draft, True)
+class Conflict(Exception):
+    """Another writer has changed what a commit relies on."""
+
+
+def claim(spark: SparkSession, folder: str, name: str, text: str) -> bool:
+    """Put a small file in place, whole, unless its name is taken."""
+    fs, draft = file_system(spark, f"{folder}/.{uuid.uuid4().hex}")
+    _, target = file_system(spark, f"{folder}/{name}")
+    jvm = spark.sparkContext._jvm
+    fs.mkdirs(draft.getParent())
+    out = fs.create(draft, False)
     try:
-        out.write(bytearray(json.dumps({"version": version} | (facts or {})).encode()))
+        out.write(bytearray(text.encode()))
     finally:
         out.close()
-    while not fs.rename(draft, file_system(spark, f"{root}/_current/{last + 1:012d}")[1]):  # another writer took the number
+    try:
+        if fs.getUri().getScheme() == "file":  # a local rename would replace what is there; a link is refused
+            local = lambda p: jvm.java.nio.file.Paths.get(fs.makeQualified(p).toUri())
+            jvm.java.nio.file.Files.createLink(local(target), local(draft))
+        else:  # refused by the file system if the target exists
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            context.rename(draft, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception as e:
+        if fs.exists(target):
+            return False
+        raise e
+    finally:
+        fs.delete(draft, False)
+    return True
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    fs, folder = file_system(spark, f"{root}/_current")
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(folder) if x.getPath().getName().isdigit()) if fs.exists(folder) else []
+
+
+def point(spark: SparkSession, root: str, version: str, facts: dict[str, str] | None = None, after: int | None = None) -> None:
+    """Make a version the current one: pointers are small files of ascending numbers. With after, the number of the pointer that was read
+    (0 for none), only if it is the newest still; else Conflict."""
+    text, last = json.dumps({"version": version} | (facts or {})), max(_pointers(spark, root), default=0)
+    while True:
+        if after is not None and last != after:
+            raise Conflict(f"{root} has changed since it was read")
+        if claim(spark, f"{root}/_current", f"{last + 1:012d}", text):
+            return
         last += 1
-        if last > 10**9:
-            raise OSError(f"no pointer can be written in {root}")
 
 
 def pointer(spark: SparkSession, root: str) -> dict[str, str] | None:
-    """What the newest pointer says; None without one."""
-    fs, folder = file_system(spark, f"{root}/_current")
-    if not fs.exists(folder):
+    """What the newest pointer says, and its number; None without one."""
+    numbers = _pointers(spark, root)
+    if not numbers:
         return None
-    names = [x.getPath().getName() for x in fs.listStatus(folder) if x.getPath().getName().isdigit()]
-    return json.loads(spark.read.text(f"{root}/_current/{max(names)}", wholetext=True).first()[0]) if names else None
+    return json.loads(spark.read.text(f"{root}/_current/{numbers[-1]:012d}", wholetext=True).first()[0]) | {"number": str(numbers[-1])}
 
 
 def replace(df: DataFrame, root: str) -> str:

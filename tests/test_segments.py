@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from notemill.operators import analytics, notes, places
@@ -106,3 +107,19 @@ def test_nothing_of_the_index_is_half_written(spark, tmp_path):
     stored.refresh(files(spark, texts), root)
     os.makedirs(tmp_path / "i" / "v-unfinished" / "entries")  # of a refresh that stopped
     same_as_rebuilt(spark, root, texts)
+
+
+def test_a_refresh_does_not_undo_another(spark, tmp_path, monkeypatch):
+    root, texts = str(tmp_path / "i"), {"a": ("one", 0)}
+    stored.refresh(files(spark, texts), root)
+    write = stored._write
+
+    def slow(*args):
+        monkeypatch.setattr(stored, "_write", write)
+        stored.refresh(files(spark, texts | {"b": ("from another", 0)}), root)
+        return write(*args)
+
+    monkeypatch.setattr(stored, "_write", slow)
+    with pytest.raises(stored.sinks.Conflict):
+        stored.refresh(files(spark, texts | {"c": ("late", 0)}), root)
+    same_as_rebuilt(spark, root, texts | {"b": ("from another", 0)})
