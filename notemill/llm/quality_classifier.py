@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .folds import fold, labelled_sample
-from .worker import releasing
+from .worker import release, releasing
 
 TRAIN_DOCS, DIM, HIDDEN, MIN_COUNT, WINDOW = 1500, 64, 32, 3, 2
 THRESHOLD = 0.3
@@ -164,7 +164,10 @@ def train(sample: list[tuple[str, int]]) -> Model:
 
 
 def fit_on_labels(spark: SparkSession, documents: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Model:
-    return train(labelled_sample(documents, labels, "quality", bound))
+    try:
+        return train(labelled_sample(documents, labels, "quality", bound))
+    finally:
+        release()  # what fitting used of the driver's memory
 
 
 def classify(documents: DataFrame, model: Model) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import textcore as tc
 from .folds import labelled_sample
-from .worker import releasing
+from .worker import release, releasing
 
 #: Most labelled documents the field is trained on.
 TRAIN_DOCS = 1000
@@ -194,7 +194,10 @@ def train(sample: list[tuple[str, int]], rounds: int = 1) -> LineField:
 
 
 def fit_on_labels(spark: SparkSession, documents: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> LineField:
-    return train(labelled_sample(documents, labels, "quality", bound))
+    try:
+        return train(labelled_sample(documents, labels, "quality", bound))
+    finally:
+        release()  # what fitting used of the driver's memory
 
 
 def judge(t: tc.Texts, field: LineField, least_share: float):
