@@ -17,11 +17,11 @@ FOLDERS = {"loop": "05_open_loops", "fact": "02_facts", "pref": "03_preferences"
 
 def scalar_kind(value: Column) -> Column:
     """list, null, bool, int, float or str: what an unquoted front-matter scalar is read as."""
-    v = t.unquote(value)
-    return (
-        F.when(t.strip(value).rlike(r"^\[.*\]$"), "list").when((v == "") | F.lower(v).isin("null", "~"), "null").when(F.lower(v).isin("true", "false"), "bool")
-        .when(v.rlike(r"^[+-]?\d+(_\d+)*$"), "int").when(v.rlike(r"^[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?$"), "float").otherwise("str")
+    of = lambda v: (
+        F.when((v == "") | F.lower(v).isin("null", "~"), "null").when(F.lower(v).isin("true", "false"), "bool")
+        .when(v.rlike(r"^[+-]?\d+(_\d+)*+$"), "int").when(v.rlike(r"^[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?$"), "float").otherwise("str")
     )
+    return F.when(t.strip(value).rlike(r"(?s)^\[.*\]$"), "list").otherwise(t.once(t.unquote(value), of))
 
 
 def scalar(value: Column) -> Column:

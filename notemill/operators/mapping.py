@@ -23,20 +23,24 @@ _RAW = "array<struct<path:array<string>,value:string>>"
 
 def _events(line: Column) -> Column:
     """What a line says: an item, a key, both, or something else."""
-    indent = F.length(F.regexp_extract(line, r"^(\s*)", 1))
-    body = t.strip(line)
-    item = body.rlike(r"^-(\s|$)")
-    rest = F.when(item, t.strip(F.substring(body, F.lit(2), F.length(body)))).otherwise(body)
-    inner = F.when(item, indent + F.length(body) - F.length(rest)).otherwise(indent)
-    pattern = r"^(\"[^\"]*\"|'[^']*'|[A-Za-z0-9_.-]+):(?:\s+(.*))?$"
-    keyed = rest.rlike(pattern)
+    indent, pattern, none = F.length(F.regexp_extract(line, r"^(\s*)", 1)), r"^(\"[^\"]*\"|'[^']*'|[A-Za-z0-9_.-]+):(?:\s+((?s:.*)))?$", F.lit(None).cast("string")
     event = lambda at, kind, name, value: F.struct(at.cast("int").alias("indent"), F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"))
-    none = F.lit(None).cast("string")
-    key = event(inner, "key", t.unquote(F.regexp_extract(rest, pattern, 1)), F.regexp_extract(rest, pattern, 2))
-    return (
-        F.when(item & keyed, F.array(event(indent, "item", none, F.lit("")), key)).when(item, F.array(event(indent, "item", none, rest)))
-        .when(keyed, F.array(key)).otherwise(F.array(event(indent, "other", none, F.lit(""))))
-    )
+
+    def of(body: Column) -> Column:
+        item = body.rlike(r"^-(\s|$)")
+
+        def told(rest: Column) -> Column:
+            keyed = rest.rlike(pattern)
+            inner = F.when(item, indent + F.length(body) - F.length(rest)).otherwise(indent)
+            key = event(inner, "key", t.unquote(F.regexp_extract(rest, pattern, 1)), F.regexp_extract(rest, pattern, 2))
+            return (
+                F.when(item & keyed, F.array(event(indent, "item", none, F.lit("")), key)).when(item, F.array(event(indent, "item", none, rest)))
+                .when(keyed, F.array(key)).otherwise(F.array(event(indent, "other", none, F.lit(""))))
+            )
+
+        return t.once(F.when(item, t.strip(F.substring(body, F.lit(2), F.length(body)))).otherwise(body), told)
+
+    return t.once(t.strip(line), of)
 
 
 def _step(acc: Column, e: Column) -> Column:
@@ -55,29 +59,31 @@ def _step(acc: Column, e: Column) -> Column:
 
 def _plain(value: Column, escapes: bool) -> Column:
     """A scalar without quotes and comment; with escapes, JSON's in double quotes are read."""
-    v = F.regexp_replace(t.strip(value), r"""^("(?:[^"\\]|\\.)*"|'[^']*')\s+#.*$""", "$1")
     if not escapes:
-        return t.unquote(v)
-    return F.when(v.rlike(r'^".*"$'), F.coalesce(F.get(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"), F.lit(0)), t.unquote(v))).otherwise(t.unquote(v))
+        return t.unquote(t.without_comment(value))
+    json = lambda v: F.when(v.rlike(r'(?s)^".*"$'), F.get(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"), F.lit(0)))
+    return t.once(t.without_comment(value), lambda v: F.coalesce(json(v), t.unquote(v)))
 
 
 def entries(text: Column, escapes: bool = False) -> Column:
     """array<struct<path,value,kind>> of a text; null text has none."""
-    said = F.filter(t.lines(text), lambda x: ~x.rlike(r"^\s*(#.*)?$"))
+    said = F.filter(t.lines(text), lambda x: ~x.rlike(r"(?s)^\s*(#.*)?$"))
     events = F.flatten(F.transform(said, _events)).cast(f"array<{_EVENT}>")
     raw = F.aggregate(events, F.struct(F.array().cast(_FRAME).alias("stack"), F.array().cast(_RAW).alias("out")), _step)["out"]
     entry = lambda path, value, kind: F.struct(path.alias("path"), value.alias("value"), kind.alias("kind"))
 
     def spread(e: Column) -> Column:
-        bare = t.strip(F.regexp_replace(e["value"], r"\s+#[^\"'\]]*$", ""))
-        inside = F.regexp_extract_all(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit(r"(\s*\"(?:[^\"\\]|\\.)*\"\s*|\s*'[^']*'\s*|[^,]+)"), 1)
-        items = F.filter(inside, lambda x: t.strip(x) != "")
-        listed = F.transform(items, lambda x, i: entry(F.concat(e["path"], F.array(i.cast("string"))), _plain(x, escapes), compose.scalar_kind(x)))
-        nothing = F.array(entry(e["path"], F.lit(""), F.lit("empty")))
-        return (
-            F.when(e["value"] == "", nothing).when(bare.rlike(r"^\[.*\]$"), F.concat(nothing, listed))
-            .otherwise(F.array(entry(e["path"], _plain(e["value"], escapes), compose.scalar_kind(e["value"]))))
-        )
+        def told(bare: Column) -> Column:
+            inside = F.regexp_extract_all(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit(rf"(\s*{t.QUOTED}\s*|\s*'[^']*'\s*|[^,]+)"), 1)
+            items = F.filter(inside, lambda x: t.strip(x) != "")
+            listed = F.transform(items, lambda x, i: entry(F.concat(e["path"], F.array(i.cast("string"))), _plain(x, escapes), compose.scalar_kind(x)))
+            nothing = F.array(entry(e["path"], F.lit(""), F.lit("empty")))
+            return (
+                F.when(e["value"] == "", nothing).when(bare.rlike(r"(?s)^\[.*\]$"), F.concat(nothing, listed))
+                .otherwise(F.array(entry(e["path"], _plain(e["value"], escapes), compose.scalar_kind(e["value"]))))
+            )
+
+        return t.once(t.strip(F.regexp_replace(e["value"], r"\s+#[^\"'\]]*$", "")), told)
 
     return F.flatten(F.transform(raw, spread))
 

@@ -76,15 +76,22 @@ SELECT doc_id, key, CASE key WHEN 'source' THEN source WHEN 'n_chars' THEN CAST(
   WHEN 'deep.lang' THEN lang WHEN 'deep.more.0.n' THEN '1' WHEN 'deep.more.1.n' THEN CAST(doc_id AS VARCHAR) ELSE 'true' END AS value,
   CASE key WHEN 'n_chars' THEN 'int' WHEN 'ratio' THEN 'float' WHEN 'deep.more.0.n' THEN 'int' WHEN 'deep.more.1.n' THEN 'int' WHEN 'flag' THEN 'bool' ELSE 'str' END AS kind FROM k""")
 def c2_any_front_matter(spark: SparkSession, d: str) -> DataFrame:
-    """Front matter with keys of any name, lists and nested keys; the whole text is one of its values."""
+    """Front matter with keys of any name, lists and nested keys; the whole text is one of its values.
+
+    A null is written as `null`, which is read as a scalar of that kind, and is null here, with the kind that its column has; so is an empty string, which stays one.
+    """
     docs, i = a.table(spark, d, "documents"), F.col("doc_id")
+    shown = lambda c: F.coalesce(c, F.lit("null"))
+    text = lambda c: shown(compose.scalar(F.col(c)))
     front = F.concat(
-        F.lit("---\nsource: "), compose.scalar(F.col("source")), F.lit("\n# a comment\nn_chars: "), F.col("n_chars").cast("string"), F.lit("\nratio: "), (i % 10).cast("string"), F.lit(".5\nquoted: "), compose.scalar(F.col("text")),
-        F.lit("\nlists: ["), F.array_join(F.transform(F.array("lang", "source"), compose.scalar), ", "), F.lit("]\ndeep:\n  lang: "), compose.scalar(F.col("lang")), F.lit("\n  more:\n  - n: 1\n  - n: "), i.cast("string"),
+        F.lit("---\nsource: "), text("source"), F.lit("\n# a comment\nn_chars: "), shown(F.col("n_chars").cast("string")), F.lit("\nratio: "), shown(F.concat((i % 10).cast("string"), F.lit(".5"))), F.lit("\nquoted: "), text("text"),
+        F.lit("\nlists: ["), text("lang"), F.lit(", "), text("source"), F.lit("]\ndeep:\n  lang: "), text("lang"), F.lit("\n  more:\n  - n: 1\n  - n: "), shown(i.cast("string")),
         F.lit("\n\nflag: true\n---\nbody\n"),
     )
     rows = mapping.any_front_matter(docs.select(i.cast("string").alias("path"), front.alias("text")), escapes=True)
-    return rows.where("kind <> 'empty'").select(F.col("path").cast("long").alias("doc_id"), "key", "value", "kind")
+    none = F.col("kind") == "null"
+    kind = F.when(none & F.col("key").isin("n_chars", "deep.more.1.n"), "int").when(none & (F.col("key") == "ratio"), "float").when(none, "str").otherwise(F.col("kind"))
+    return rows.where("kind <> 'empty'").select(F.col("path").cast("long").alias("doc_id"), "key", F.when(~none | (F.col("value") == ""), F.col("value")).alias("value"), kind.alias("kind"))
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 50 ELSE CAST(page_id % 7 AS INT) END AS max_files_per_cycle, CASE WHEN page_id % 5 = 0 THEN CAST(0.7 AS DOUBLE) ELSE page_id % 3 * CAST(0.6 AS DOUBLE) END AS queue_confidence_min,
