@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as t
 from ..schema import DEFAULTS, STOPWORDS, Settings
@@ -220,6 +224,38 @@ def fingerprint(files: DataFrame, group: str, part: int = 4096) -> DataFrame:
         lines = parts.select("g", "at", F.concat("h", F.lit("\n")).alias("line"))
 
 
+def digest(files: DataFrame, group: str, block: int = 64) -> DataFrame:
+    """SHA-256 over all sorted (path, hash) lines of each group as one text; null lines are left out, a group without lines has null.
+
+    Lines are sorted in ranges and joined to blocks in parallel. A hash takes its bytes one after another, so a group's blocks pass one task in their order,
+    which holds a batch of them at a time."""
+    lines = files.select(F.col(group).alias("g"), F.concat("path", F.lit("\t"), "hash", F.lit("\n")).alias("line"))
+    at = placed(lines.where("line IS NOT NULL"), "g", [F.col("line").asc()])
+    blocks = at.groupBy("g", ((F.col("pos") - 1) / block).cast("long").alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "").alias("text"))
+    names = [group, "fingerprint"]
+
+    def run(batches):
+        key, held = None, None
+        for batch in batches:
+            out = []
+            for g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held is None or g != key:
+                    if held is not None:
+                        out.append((key, held.hexdigest()))
+                    key, held = g, hashlib.sha256()
+                held.update(text.encode())
+            kind = batch.schema.field(0).type
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out])], names=names)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([held.hexdigest()])], names=names)
+
+    schema = StructType([StructField(group, lines.schema["g"].dataType), StructField("fingerprint", StringType())])
+    found = blocks.repartition("g").sortWithinPartitions("g", "at").select("g", "text").mapInArrow(run, schema)
+    bare = lines.groupBy("g").agg(F.count("line").alias("n")).where("n = 0").select(F.col("g").alias(group), F.lit(None).cast("string").alias("fingerprint"))
+    return found.unionByName(bare)
+
+
 # Links -------------------------------------------------------------------------------------------------------------
 
 

@@ -150,7 +150,7 @@ def f20_scope_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source, sha256(string_agg(doc_id || chr(9) || sha256(text) || chr(10), '' ORDER BY doc_id || chr(9) || sha256(text) || chr(10))) AS fingerprint FROM documents GROUP BY source")
 def f22_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     rows = a.table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("hash"))
-    return an.fingerprint(rows, "source")
+    return an.digest(rows, "source")
 
 
 @query(f"WITH {a.SQL_NOTES} SELECT type, scope, count(*) AS n FROM notes GROUP BY ALL")

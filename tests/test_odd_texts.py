@@ -34,3 +34,9 @@ def test_candidates_of_texts_without_letters(spark, odd):
 
 def test_front_matter_with_long_quoted_texts(spark, odd):
     same_as_sql(spark, odd, "c2_any_front_matter")
+
+
+def test_one_hash_over_a_large_group(spark, tmp_path):
+    rows = [(i, None if i % 10 == 3 or i >= 5_000 else f"text {i}", "one" if i < 5_000 else "none" if i < 5_003 else None) for i in range(5_006)] + [(5_006, "x", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    same_as_sql(spark, str(tmp_path), "f22_fingerprint")
