@@ -13,8 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Most customers of a dish whose tables are drawn from all Stirling numbers; beyond, from their limit form (``draw_many``).
+#: Most customers of a dish whose tables are drawn from a table of all Stirling numbers; beyond, a proposal is tried against two of them (``draw_tables``).
 EXACT = 64
+#: Such trials where tables are drawn without those before.
+STEPS = 8
+#: Points of the integral that gives a Stirling number beyond (``log_stirling_at``).
+NODES = 96
 #: Values that discounts and strengths are sampled from.
 DISCOUNTS = np.round(np.arange(0.1, 0.96, 0.05), 2)
 STRENGTHS = np.array([0.05, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0])
@@ -44,8 +48,44 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
 
-def draw_many(rng: np.random.Generator, c: np.ndarray, x: np.ndarray, discount: float) -> np.ndarray:
-    """Tables of dishes with many customers: one and a Poisson number more.
+def log_stirling_at(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """Logarithms of S(c, t), 1 <= t <= c, of any size: an integral of its generating function.
+
+    S(c, t) is c! / t! times the coefficient of z ** c in f ** t, with f = (1 - (1 - z) ** d) / d. With z = exp(v), that is an integral over Im v from -pi to pi. Its path
+    goes through the saddle point, and bends around the branch point v = 0 but where the integrand is spread over the whole circle.
+    """
+    c, t = np.asarray(c, float), np.asarray(t, float)
+    out = np.where(t == 1, lgamma(c - discount) - lgamma(np.full(1, 1 - discount)), 0.0)
+    some = np.flatnonzero((t > 1) & (t < c))  # S(c, c) is 1
+    for part in np.split(some, range(4096, len(some), 4096)):
+        if len(part):
+            out[part] = _log_stirling(c[part], t[part], discount)
+    return out
+
+
+def _log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    lo, hi = np.full(len(c), -700.0), np.zeros(len(c))
+    for _ in range(60):  # of log w, w = 1 - z, in t * z * f'(z) / f(z) = c
+        mid = (lo + hi) / 2
+        above = np.log(t * d) + np.log(-np.expm1(mid)) + (d - 1) * mid - np.log(-np.expm1(d * mid)) > np.log(c)
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    w = np.exp(lo)
+    width, start = 1 / np.sqrt(np.maximum(c * (1 + (1 - w) * (1 - d) / w - c / t), 1e-12)), np.log1p(-w)
+    start = np.minimum(start, -1 / c)  # nearer to the branch point, points of the integral couldn't be told apart
+    far = 9 * np.maximum(width, np.sqrt(-2 * start / c))
+    circle = (far > 1) & (start < -16 / NODES)
+    bend, far = np.where(circle, 0, -1 / (4 * start)), np.where(circle, np.pi, np.minimum(far, np.pi))
+    s = far[:, None] * np.linspace(0, 1, NODES + 1)
+    v = (start[:, None] + bend[:, None] * s**2) + 1j * s
+    log_w = np.log(-np.expm1(v))
+    phase = t[:, None] * (np.log(-np.expm1(d * log_w)) - np.log(d)) - c[:, None] * v
+    value = (np.exp(phase - phase[:, :1].real) * (1 - 2j * bend[:, None] * s)).real
+    total = (value.sum(1) - (value[:, 0] + value[:, -1]) / 2) * far / NODES / np.pi
+    return lgamma(c + 1) - lgamma(t + 1) + phase[:, 0].real + np.log(total)
+
+
+def _limit(c: np.ndarray, x: np.ndarray, discount: float) -> np.ndarray:
+    """Tables of dishes with many customers, but for one: the mean of their number in the limit, which is Poisson.
 
     The generating function of S(c, t) * x ** t over c is exp(x * (1 - (1 - z) ** d) / d); at its saddle point for c the
     number of tables is Poisson.
@@ -56,11 +96,20 @@ def draw_many(rng: np.random.Generator, c: np.ndarray, x: np.ndarray, discount:
         with np.errstate(divide="ignore"):
             above = np.log(x) + np.log1p(-y) + (discount - 1) * np.log(y) > np.log(c)
         lo, hi = np.where(above, y, lo), np.where(above, hi, y)
-    return np.minimum(c, 1 + rng.poisson(x * (1 - hi**discount) / discount))
+    return np.maximum(x * (1 - hi**discount) / discount, 1e-300)
+
+
+def draw_many(rng: np.random.Generator, c: np.ndarray, x: np.ndarray, discount: float) -> np.ndarray:
+    """A draw of the limit: one table and a Poisson number more."""
+    return np.minimum(c, 1 + rng.poisson(_limit(c, x, discount)))
+
 
+def draw_tables(rng: np.random.Generator, c: np.ndarray, x: np.ndarray, discount: float, before: np.ndarray | None = None) -> np.ndarray:
+    """t with probability in proportion to S(c, t) * x ** t, for each dish; 0 without customers.
 
-def draw_tables(rng: np.random.Generator, c: np.ndarray, x: np.ndarray, discount: float) -> np.ndarray:
-    """t with probability in proportion to S(c, t) * x ** t, for each dish; 0 without customers."""
+    Tables of a dish of more than EXACT customers go on from those it had (at first those that the Poisson limit gives) by Metropolis-Hastings steps, which propose a draw of
+    that limit and leave the same distribution as it is.
+    """
     t = np.minimum(c, 1)
     several = np.flatnonzero(c > 1)
     if not len(several):
@@ -77,7 +126,23 @@ def draw_tables(rng: np.random.Generator, c: np.ndarray, x: np.ndarray, discount
         t[at] = 1 + (weight[:, :-1] < (rng.random(len(at)) * weight[:, -1])[:, None]).sum(1)
     many = order[c[order] > EXACT]
     if len(many):
-        t[many] = draw_many(rng, c[many], x[many], discount)
+        t[many] = _step_many(rng, c[many], x[many], discount, None if before is None else before[many])
+    return t
+
+
+def _step_many(rng: np.random.Generator, c: np.ndarray, x: np.ndarray, discount: float, before: np.ndarray | None) -> np.ndarray:
+    """Tables of dishes with many customers after one step from those before, or after STEPS steps from a draw of the limit."""
+    mean = _limit(c, x, discount)
+    # what the distribution has over the limit's; that cuts at c, whose tail is so rare that it isn't counted
+    over = lambda t: log_stirling_at(c, t, discount) + t * np.log(x) - (t - 1) * np.log(mean) + lgamma(t)
+    propose = lambda: np.minimum(c, 1 + rng.poisson(mean))
+    t = propose() if before is None else np.minimum(before, c)
+    weight = over(t)
+    for _ in range(STEPS if before is None else 1):
+        new = propose()
+        new_weight = over(new)
+        take = np.log(rng.random(len(c))) < new_weight - weight
+        t, weight = np.where(take, new, t), np.where(take, new_weight, weight)
     return t
 
 
@@ -88,7 +153,7 @@ def resample(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, restaurant:
     drawn[where] = True
     g = np.empty(size)
     g[drawn] = rng.standard_gamma(strength / discount + tables[drawn])
-    return draw_tables(rng, c[live], np.maximum(discount * g[where] * p, 1e-300), discount)
+    return draw_tables(rng, c[live], np.maximum(discount * g[where] * p, 1e-300), discount, t[live])
 
 
 def predictive(c: np.ndarray, t: np.ndarray, restaurant: np.ndarray, size: int, p: np.ndarray, discount: float, strength: float) -> np.ndarray:
@@ -113,23 +178,21 @@ def distribution(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, restaur
 
 
 def likelihoods(c: np.ndarray, t: np.ndarray, restaurant: np.ndarray, size: int) -> np.ndarray:
-    """Log-likelihood of the seating for each of DISCOUNTS and STRENGTHS.
-
-    Restaurants with a dish of more than EXACT customers are left out.
-    """
+    """Log-likelihood of the seating for each of DISCOUNTS and STRENGTHS, of all restaurants."""
     out = np.zeros((len(DISCOUNTS), len(STRENGTHS)))
-    fit = np.bincount(restaurant, c > EXACT, size) == 0
-    use = fit[restaurant] & (c > 0)
+    use = c > 0
     if not use.any():
         return out
     n, k = np.bincount(restaurant[use], c[use], size).astype(np.int64), np.bincount(restaurant[use], t[use], size).astype(np.int64)
     kinds, often = np.unique((n[n > 0] << 32) | k[n > 0], return_counts=True)
     n, k = (kinds >> 32).astype(float), (kinds & 0xFFFFFFFF).astype(float)
-    pairs = np.bincount(c[use] * (EXACT + 1) + t[use], minlength=(EXACT + 1) ** 2).reshape(EXACT + 1, EXACT + 1)
+    few, many = use & (c <= EXACT), c > EXACT
+    pairs = np.bincount(c[few] * (EXACT + 1) + t[few], minlength=(EXACT + 1) ** 2).reshape(EXACT + 1, EXACT + 1)
     seen = pairs > 0
+    large, times = np.unique((c[many].astype(np.int64) << 32) | t[many].astype(np.int64), return_counts=True)
     per_strength = [(often * (lgamma(s + n) - lgamma(s))).sum() for s in STRENGTHS]
     for i, d in enumerate(DISCOUNTS.tolist()):
-        dishes = (pairs[seen] * log_stirling(d)[seen]).sum()
+        dishes = (pairs[seen] * log_stirling(d)[seen]).sum() + (times * log_stirling_at(large >> 32, large & 0xFFFFFFFF, d)).sum()
         for j, s in enumerate(STRENGTHS.tolist()):
             out[i, j] = dishes + (often * (k * np.log(d) + lgamma(s / d + k) - lgamma(s / d))).sum() - per_strength[j]
     return out

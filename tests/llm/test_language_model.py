@@ -174,3 +174,32 @@ def test_classes_of_first_tokens_change_little(spark, docs):
     table = docs([*train, *((k, " ".join(rng.choices(vocabulary, k=1 + k % 4))) for k in ids)])
     few, many = ({r.doc_id: r.score for r in pitman_yor.score(spark, table, most=most).where("doc_id >= 3000").collect()} for most in (10**6, 100))
     assert max(abs(few[k] - many[k]) for k in ids) < 0.5 and abs(sum(few.values()) - sum(many.values())) < 0.05 * len(ids)
+
+
+def test_stirling_numbers_of_any_size(monkeypatch):
+    for d in (0.1, 0.6, 0.95):
+        at = {(65, t): r.log_stirling_at(np.array([65]), np.array([t]), d)[0] for t in (1, 2, 10, 40, 55, 64, 65)} | {(300, t): r.log_stirling_at(np.array([300]), np.array([t]), d)[0] for t in (1, 2, 30, 250, 299, 300)}
+        with monkeypatch.context() as m:
+            m.setattr(r, "EXACT", 300)
+            table = r.log_stirling.__wrapped__(d)
+        assert all(abs(table[k] - v) < 1e-6 for k, v in at.items())
+
+
+def test_likelihoods_have_restaurants_with_frequent_dishes(monkeypatch):
+    c, t, where = np.array([3, 200, 1, 90, 7]), np.array([1, 12, 1, 3, 2]), np.array([0, 0, 1, 1, 2])
+    got = r.likelihoods(c, t, where, 3)
+    monkeypatch.setattr(r, "EXACT", 200)
+    monkeypatch.setattr(r, "log_stirling", r.log_stirling.__wrapped__)
+    assert np.allclose(got, r.likelihoods(c, t, where, 3), atol=1e-5)
+
+
+def test_tables_of_frequent_dishes_have_their_exact_distribution():
+    rng, n, d = np.random.default_rng(3), 20_000, 0.6
+    for c, x in ((70, 0.05), (300, 2.0)):
+        t = np.arange(1, c + 1)
+        p = r.log_stirling_at(np.full(c, c), t, d) + t * np.log(x)
+        p = np.exp(p - p.max())
+        drawn = r.draw_tables(rng, np.full(n, c), np.full(n, x), d)
+        again = r.draw_tables(rng, np.full(n, c), np.full(n, x), d, drawn)
+        for sample in (drawn, again):
+            assert np.abs(np.bincount(sample, minlength=c + 1)[1:] / n - p / p.sum()).sum() < 0.05
