@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from . import tokenise
 from .worker import releasing
 
+#: Bytes of text encoded at once; the more, the fewer words are looked up again.
+SLICE = 2 << 20
 STORED = "doc_id long, part long, local_start long, n_tokens long, tokens array<int>"
 #: Of the files; parquet.block.size bounds a row group, the page limits bound what a selective read fetches.
 FORMAT = {
@@ -45,7 +47,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int =
         part, total = TaskContext.get().partitionId(), 0
         encode = tokenise.encoder(vocabulary)
         for batch in batches:
-            for i, j, texts in tokenise.slices(batch.column(1)):
+            for i, j, texts in tokenise.slices(batch.column(1), SLICE):
                 ids = [x + end for x in encode(texts)]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.zeros(len(n) + 1, np.int64)

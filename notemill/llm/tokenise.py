@@ -2,7 +2,8 @@
 
 Both public vocabularies split a text at white space and at changes between letters, digits and other characters
 before they merge anything, so a text's ids are those of its pieces one after another. Each distinct piece is merged by
-the library's model once per worker process. The splitting patterns below are the vocabularies' own, restricted to
+the library's model once per worker process. Plain texts of the byte-level vocabulary are cut at white space many at a time:
+each distinct stretch of a batch is looked up once, and those not met before are encoded by the library together. The splitting patterns below are the vocabularies' own, restricted to
 characters below U+0300, where Python's classes agree with theirs and no normal form changes; words with any other
 character, and texts with unusual white space, are encoded by the library as they are.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 
 import numpy as np
@@ -36,7 +38,11 @@ PIECES = {
     "word": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"),
 }
 #: Most cached words (of about 200 bytes each) by vocabulary, most cached other pieces, and the longest of either.
-CACHE_WORDS, CACHE_PARTS, CACHE_CHARS = {"byte": 1_000_000, "word": 250_000}, 50_000, 48
+CACHE_WORDS, CACHE_PARTS, CACHE_CHARS = {"byte": 800_000, "word": 250_000}, 50_000, 48
+#: Stretches not met before that the library encodes in one call.
+TOGETHER = 250
+#: Of bytes: a space or an end of line; an ASCII letter or digit; an ASCII sign other than that of contractions.
+SPACE, ALNUM, SIGN = (np.isin(np.arange(256), list(chars)) for chars in (b" \n", (string.ascii_letters + string.digits).encode(), string.punctuation.replace("'", "").encode()))
 
 _encoders: dict[str, Encoder] = {}
 
@@ -65,9 +71,11 @@ class Encoder:
         self.pieces, self.merge, self.letters = PIECES[self.kind].findall, self.tokenizer.model.tokenize, _byte_letters()
         self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words = _Words(self, " " if self.kind == "byte" else "", CACHE_WORDS[self.kind])
-        self.heads = _Words(self, "", CACHE_PARTS)
         self.parts: dict[str, bytes] = {}
-        self.end_of_line = self.whole("\n")
+        tokens = self.tokenizer.get_vocab()
+        self.opens = np.zeros(len(self.bytes), bool)  # does a token begin with a space or an end of line
+        self.opens[[i for token, i in tokens.items() if token.startswith((self.letters[32], self.letters[10]))]] = True
+        self.apart = not any(re.search(f"[A-Za-z]{self.letters[32]}", token) for token in tokens)  # words of letters never merge with each other
 
     def whole(self, text: str) -> bytes:
         """Ids of a text as the library gives them."""
@@ -106,7 +114,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        out, get = [], self.words.__getitem__
+        out, get, plain = [], self.words.__getitem__, []
         for text in texts:
             if any(x in text for x in self.special):
                 out.append(array("I", self.plain.encode(text, add_special_tokens=False).ids).tobytes())
@@ -121,18 +129,75 @@ class Encoder:
                 elif tabs or "\n\n" in text or "\n " in text:
                     words = text.split(" ")
                     out.append(self.word(words[0]) + b"".join(map(get, words[1:])))
-                else:  # every end of a line is a piece by itself
-                    out.append(self.end_of_line.join([self.line(x, get) for x in text.split("\n")]))
+                else:
+                    plain.append(len(out))
+                    out.append(b"")
+        if plain:
+            for k, got in zip(plain, self.together([texts[k] for k in plain]), strict=True):
+                out[k] = got
         return out
 
-    def line(self, line: str, get) -> bytes:
-        words = iter(line.split(" "))
-        head = next(words)
-        return (self.heads[head] if head else b"") + b"".join(map(get, words))
+    def together(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts whose only white space is single spaces and ends of lines, none after another.
+
+        Each text is put behind an end of line, which is a piece by itself. So all fall into stretches that begin with a space or an end of line, and
+        are cut where an ASCII letter or digit is followed by a sign, as no piece holds both (contractions begin with their sign, which is left out).
+        """
+        data = ("\n" + "\n".join(texts)).encode()
+        buf = np.frombuffer(data, np.uint8)
+        blank, cut = SPACE[buf], np.zeros(len(buf), bool)
+        cut[1:] = SIGN[buf[1:]] & ALNUM[buf[:-1]]
+        starts = np.flatnonzero(blank | cut)
+        bounds = pa.py_buffer(np.append(starts, len(buf)).astype(np.int64))
+        met = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
+        ids, which = self.stretches(met.dictionary), np.asarray(met.indices)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, n, begin = np.frombuffer(b"".join(ids), "<u4"), size[which], (np.cumsum(size) - size)[which]
+        blanks = np.zeros(len(texts), np.int64)  # before each text
+        np.cumsum([1 + x.count(" ") + x.count("\n") for x in texts[:-1]], out=blanks[1:])
+        heads = np.flatnonzero(blank[starts])[blanks]
+        begin[heads] += 1  # without the end of line that it was put behind
+        n[heads] -= 1
+        to = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=to[1:])
+        got, ends = flat[np.repeat(begin - to[:-1], n) + np.arange(to[-1])].tobytes(), (4 * to[np.append(heads, len(n))]).tolist()
+        return [got[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def merged_ids(self, words: str) -> list[int]:
+        return [t.id for t in self.merge(words.replace(" ", self.letters[32]))]
+
+    def library_ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def stretches(self, distinct: pa.Array) -> list[bytes]:
+        """Ids of distinct stretches; those with white space and more that were not met before are encoded many at once."""
+        data, ends = distinct.buffers()[2].to_pybytes(), np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1].tolist()
+        found = [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        out = list(map(self.words.get, found))
+        fresh = [k for k, got in enumerate(out) if got is None]
+        spaced = [k for k in fresh if len(found[k]) > 1 and found[k][0] in b" \n"]
+        letters = [k for k in spaced if self.apart and found[k][0] == 32 and found[k][1:].isalpha()]  # ASCII ones: each is one piece
+        others = sorted({*spaced}.difference(letters))
+        for of, encode in ((letters, self.merged_ids), (others, self.library_ids)):
+            for i in range(0, len(of), TOGETHER):
+                some = of[i : i + TOGETHER]
+                ids = np.array(encode(b"".join([found[k] for k in some]).decode()), "<u4")
+                # White space is only met where a stretch begins, so a token that begins with it begins a stretch.
+                at, got = np.append(np.flatnonzero(self.opens[ids]), len(ids)).tolist(), ids.tobytes()
+                for k, a, b in zip(some, at[:-1], at[1:], strict=True):
+                    out[k] = got[4 * a : 4 * b]
+        if len(self.words) + len(fresh) > self.words.most:
+            self.words.clear()
+        for k in fresh:
+            if out[k] is None:
+                out[k] = self.whole(found[k].decode())
+            if len(found[k]) <= CACHE_CHARS:
+                self.words[found[k]] = out[k]
+        return out
 
 
 class _Words(dict):
-    """Ids of words met so far, with what stands before them; new ones are encoded on the way."""
+    """Ids of words met so far, with what stands before them; new ones are encoded on the way. Keys of bytes are whole stretches."""
 
     def __init__(self, encoder: Encoder, before: str, most: int):
         super().__init__()

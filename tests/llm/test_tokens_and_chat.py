@@ -29,6 +29,31 @@ def test_cached_encoder_is_exact(name):
     assert tokenise.Encoder(P.path(name), ordinary=True)(texts) == want
 
 
+def test_unseen_words_are_encoded_together(monkeypatch):
+    """Fresh words of many texts take a call to the library for each few hundred, and repeated texts none, with the ids of whole texts."""
+    path = P.path("byte_bpe_50k.json")
+    e, library, calls = tokenise.Encoder(path), Tokenizer.from_file(path), []
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgXYZé日²'") for _ in range(rng.randrange(1, 9))) + rng.choice(["", "", ".", "###", "'s.", "!'s", "_9,", "-x", "—", "'", "\x00."]) for _ in range(3000)]
+    texts = ["", "\n", "a ", "a\n", ".", "'s", "_", "a.b'll.c", *(rng.choice(["", " ", "\n"]) + "".join(w + rng.choice("   \n") for w in rng.sample(words, 60)) for _ in range(200))]
+    want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+    class Counting:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(inner, name)
+
+    inner, merge = e.tokenizer, e.merge
+    monkeypatch.setattr(e, "tokenizer", Counting())
+    monkeypatch.setattr(e, "merge", lambda piece: calls.append("merge") or merge(piece))
+    assert e(texts) == want
+    assert 2 <= calls.count("encode_batch_fast") + calls.count("merge") <= 40
+    calls.clear()
+    assert e(texts) == want and not calls
+    monkeypatch.setattr(e.words, "most", 50)
+    assert e(texts[::-1]) == want[::-1] and e(["new" + str(k) for k in range(99)]) and e(texts) == want
+
+
 def test_token_store(spark, docs, odd_rows):
     path, where = P.path("byte_bpe_50k.json"), f"{Scratch(spark, 't').path}/ids"
     token_store.write_tokens(docs(odd_rows), where, path)
