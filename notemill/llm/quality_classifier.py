@@ -28,6 +28,8 @@ from .worker import release, releasing
 
 TRAIN_DOCS, DIM, HIDDEN, MIN_COUNT, WINDOW = 1500, 64, 32, 3, 2
 THRESHOLD = 0.3
+#: Words whose vectors are summed at once.
+POOL_WORDS = 1 << 16
 _CLASS = {name: np.isin(np.arange(256), list(chars)) for name, chars in {
     "symbol": b"#*$%&<>|~^=@\\", "upper": range(65, 91), "letter": [*range(65, 91), *range(97, 123), *range(128, 256)], "bang": b"!?", "digit": range(48, 58), "stop": b".,;:",
 }.items()}
@@ -75,10 +77,19 @@ class Model:
         n = np.maximum(t.n_words, 1)[:, None]
         out = np.zeros((t.n, 2 * DIM + 1), np.float32)
         if len(t.start):
-            some = t.n_words > 0
-            at = t.first[:-1][some]
-            out[some, :DIM] = np.add.reduceat(self.vectors[self.ids(t.hash)].astype(np.float32), at)
-            out[some, DIM : 2 * DIM] = np.add.reduceat(self.shape_vectors[shapes(t)].astype(np.float32), at)
+            shape = shapes(t)
+            # Each text is cut from its own first word, so that equal texts have equal sums wherever they stand.
+            parts = -(-t.n_words // POOL_WORDS)
+            of = np.repeat(np.arange(t.n), parts)
+            at = t.first[of] + POOL_WORDS * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+            ends = np.append(at[1:], len(t.start))
+            i = 0
+            while i < len(at):
+                j = max(i + 1, int(np.searchsorted(ends, at[i] + POOL_WORDS, side="right")))
+                some = slice(at[i], ends[j - 1])
+                for k, v in ((0, self.vectors[self.ids(t.hash[some])]), (DIM, self.shape_vectors[shape[some]])):
+                    np.add.at(out[:, k : k + DIM], of[i:j], np.add.reduceat(v.astype(np.float32), at[i:j] - at[i]))
+                i = j
         out[:, : 2 * DIM] /= n
         out[:, -1] = np.log1p(t.n_words)
         return out

@@ -29,10 +29,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    n, r = 1 << bits, _MULTIPLIERS[which]
-    up, down = np.full(n, r, np.uint64), np.full(n, pow(r, -1, 1 << 64), np.uint64)
+#: Powers kept of each multiplier; longer buffers make theirs of these, block by block.
+_KEPT = 1 << 21
+
+
+@lru_cache(maxsize=2)
+def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+    r = _MULTIPLIERS[which]
+    up, down = np.full(_KEPT, r, np.uint64), np.full(_KEPT, pow(r, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
@@ -41,18 +45,24 @@ class SpanHasher:
     """Hashes of any byte spans of one buffer in constant time each."""
 
     def __init__(self, buf: np.ndarray, both: bool = True):
-        bits = max(21, int(len(buf) + 1).bit_length())
         self.sums = []
         for which in (0, 1) if both else (0,):
-            up, down = _powers(bits, which)
+            up, down = _powers(which)
             sums = np.zeros(len(buf) + 1, np.uint64)
-            np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-            self.sums.append((sums, down))
+            for k in range(0, len(buf), _KEPT):
+                part = (buf[k : k + _KEPT].astype(np.uint64) + np.uint64(1)) * up[: len(buf) - k]
+                if k:
+                    part *= np.uint64(pow(_MULTIPLIERS[which], k, 1 << 64))
+                    part[:1] += sums[k : k + 1]
+                np.cumsum(part, out=sums[k + 1 : k + 1 + len(part)])
+            blocks = np.array([pow(_MULTIPLIERS[which], -k, 1 << 64) for k in range(0, len(buf) + 1, _KEPT)], np.uint64)
+            self.sums.append((sums, down, blocks))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = mix((end - start).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-        for k, (sums, down) in enumerate(self.sums):
-            out = mix(out * np.uint64(2 * k + 1) ^ ((sums[end] - sums[start]) * down[start]))
+        for k, (sums, down, blocks) in enumerate(self.sums):
+            back = down[start] if len(blocks) == 1 else down[start % _KEPT] * blocks[start // _KEPT]
+            out = mix(out * np.uint64(2 * k + 1) ^ ((sums[end] - sums[start]) * back))
         return out
 
 

@@ -188,3 +188,32 @@ def test_shingles_equal_brute_force():
     assert [len(s) for s in sets] == [len(s) for s in want]
     assert all(len(sets[i] & sets[j]) == len(want[i] & want[j]) for i in range(5) for j in range(5))
     assert len(tc.mix(np.arange(10, dtype=np.uint64))) == 10
+
+
+def test_long_texts_take_bounded_memory_and_equal_vectors():
+    """A text of millions of bytes needs no table of vectors of all its words, nor of powers of all its bytes; its hashes are as of short ones."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from notemill.llm import quality_classifier as q
+    from notemill.llm import textcore as tc
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    model = q.train([(" ".join(rng.choices(words[:300] if k % 2 else words[200:], k=60)), k % 2) for k in range(60)])
+    short, long = " ".join(rng.choices(words, k=400)), " ".join(rng.choices(words, k=500_000))
+    both = [next(tc.chunks(pa.array([*before, long], pa.large_string()), False, 1 << 40))[2] for before in ([], [short])]
+    assert (both[1].hash[400:] == both[0].hash).all() and (both[1].hash[:400] == next(tc.chunks(pa.array([short])))[2].hash).all()
+    index = {w: next(tc.chunks(pa.array([w])))[2].hash[0] for w in words}
+    assert (both[0].hash == np.array([index[w] for w in long.split()])).all()
+    tracemalloc.start()
+    one = model.score(both[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    assert 0 < one[0] < 1 and (model.pool(both[1])[1] == model.pool(both[0])[0]).all()
+    v = model.vectors[model.ids(both[0].hash)].astype(float).mean(0)
+    assert np.abs(model.pool(both[0])[0, : q.DIM] - v).max() < 1e-3
