@@ -202,6 +202,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
+            scratch.release()
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         state, step = now, step + 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -262,6 +263,7 @@ def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
     if full.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():  # repeated rows
         texts = texts.dropDuplicates(["node"])
     sets = scratch.write(texts.mapInArrow(releasing(_sets), "node long, set binary, short binary"), "sets")
+    scratch.release()
     size = nodes.select("node", "n", "registers")
 
     def confirmed(pairs: DataFrame, name: str, estimated: bool) -> DataFrame:
@@ -271,7 +273,9 @@ def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
             pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(releasing(_likely), "a long, b long")
         one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
         tried = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y")
-        return scratch.write(tried.mapInArrow(releasing(_linked), "a long, b long").distinct(), name)
+        links = scratch.write(tried.mapInArrow(releasing(_linked), "a long, b long").distinct(), name)
+        scratch.release()
+        return links
 
     stars = hits.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     edges = confirmed(stars, "edges0", False)
@@ -311,6 +315,7 @@ def filter_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     rows = classes(spark, documents).where("class_id IS NULL OR (_id <=> first.id AND _hash = first.hash)")
     rows = rows.groupBy(F.col("_id").alias("k_id"), F.col("_hash").alias("k_hash"), F.col("class_id").isNull().alias("bare")).agg(F.count("*").alias("n"))
     rows = scratch.write(rows, "kept")
+    scratch.release()
     kept, bare = rows.where("NOT bare"), rows.where("bare")
     docs = _keyed(documents)
     same = lambda keys: (docs["_hash"] == keys["k_hash"]) & docs["_id"].eqNullSafe(keys["k_id"])

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import worker
+
 #: Bytes of a row group, which a task holds in memory until it is full.
 ROW_GROUP = 16 << 20
 
@@ -52,3 +54,8 @@ class Scratch:
     def drop(self, name: str) -> None:
         path = f"{self.path}/{name}"
         self._fs(path).delete(self._hadoop_path(path), True)
+
+    def release(self) -> None:
+        """Let the driver forget finished steps: their plans, broadcast tables and shuffle files, which Spark clears only once its garbage is collected."""
+        worker.release()
+        self.spark.sparkContext._jvm.System.gc()

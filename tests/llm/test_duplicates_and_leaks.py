@@ -1,5 +1,6 @@
 import collections
 import random
+import time
 
 import numpy as np
 import pytest
@@ -165,3 +166,16 @@ def test_many_items_give_what_one_index_gives(spark, docs, monkeypatch):
         found.append(sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in decontaminate.leaks(table, idx).collect()), key=str))
         found.append(sorted(str(r.doc_id) for r in decontaminate.filter_documents(table, idx).collect()))
     assert found[0] == found[2] and found[1] == found[3] and 20 < len(found[0]) and (None, None) in {r[:2] for r in found[0]} and {(1, 1), (1, None)} <= {r[:2] for r in found[0]}
+
+
+def test_the_driver_forgets_finished_steps_of_near_duplicates(spark):
+    known = spark._jsc.sc().env().mapOutputTracker().shuffleStatuses
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(words[: 40 + k % 12]) + f" x{k // 24}") for k in range(120)], "doc_id long, text string")
+    before, rows = known().size(), near_dedup.classes(spark, docs)
+    for _ in range(40):  # Spark clears them in a thread of its own
+        left = known().size() - before
+        if left < 20:
+            break
+        time.sleep(0.5)
+    assert left < 20 and rows.count() == 120
