@@ -41,6 +41,9 @@ PIECES = {
 CACHE_WORDS, CACHE_PARTS, CACHE_CHARS = {"byte": 800_000, "word": 250_000}, 50_000, 48
 #: Stretches not met before that the library encodes in one call.
 TOGETHER = 250
+#: Of bytes: white space; a letter 1, a digit 2, another 0; one that any ASCII piece of a word has (an apostrophe may begin a contraction); in lower case.
+BLANK, CLASS = np.isin(np.arange(256), list(b" \n\t\r\x0b\x0c")), np.array([bytes([b]).isalpha() + 2 * bytes([b]).isdigit() for b in range(256)], np.int8)
+PLAIN, LOWER = np.isin(np.arange(256), [b for b in range(33, 127) if b != 39]), np.frombuffer(bytes(range(256)).lower(), np.uint8)
 #: Of bytes: a space or an end of line; an ASCII letter or digit; an ASCII sign other than that of contractions.
 SPACE, ALNUM, SIGN = (np.isin(np.arange(256), list(chars)) for chars in (b" \n", (string.ascii_letters + string.digits).encode(), string.punctuation.replace("'", "").encode()))
 
@@ -61,7 +64,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     def __init__(self, path: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # for pieces, which never hold one whole
@@ -69,12 +72,17 @@ class Encoder:
         self.special = () if ordinary else tuple(x.content for x in self.plain.get_added_tokens_decoder().values())
         self.kind = "byte" if '"normalizer":null' in self.tokenizer.to_str() else "word"
         self.pieces, self.merge, self.letters = PIECES[self.kind].findall, self.tokenizer.model.tokenize, _byte_letters()
+        self.spaced = Tokenizer(self.tokenizer.model)  # the same model, for pieces spelled in its letters with spaces between
+        self.spaced.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.between = {b: x for b, x in self.letters.items() if b != 32}
         self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words = _Words(self, " " if self.kind == "byte" else "", CACHE_WORDS[self.kind])
         self.parts: dict[str, bytes] = {}
         tokens = self.tokenizer.get_vocab()
         self.opens = np.zeros(len(self.bytes), bool)  # does a token begin with a space or an end of line
         self.opens[[i for token, i in tokens.items() if token.startswith((self.letters[32], self.letters[10]))]] = True
+        self.closes = np.zeros(len(self.bytes), bool)  # does a token end a piece
+        self.closes[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
         self.apart = not any(re.search(f"[A-Za-z]{self.letters[32]}", token) for token in tokens)  # words of letters never merge with each other
 
     def whole(self, text: str) -> bytes:
@@ -121,7 +129,8 @@ class Encoder:
             elif has_odd(text):
                 out.append(self.whole(text))
             elif self.kind == "word":
-                out.append(b"".join(map(get, text.split())))
+                plain.append(len(out))
+                out.append(b"")
             else:
                 tabs = any(c in text for c in TABS)
                 if "  " in text or " \n" in text or (tabs and any(r in text for r in RUN)):
@@ -133,7 +142,8 @@ class Encoder:
                     plain.append(len(out))
                     out.append(b"")
         if plain:
-            for k, got in zip(plain, self.together([texts[k] for k in plain]), strict=True):
+            together = self.by_pieces if self.kind == "word" else self.together
+            for k, got in zip(plain, together([texts[k] for k in plain]), strict=True):
                 out[k] = got
         return out
 
@@ -158,10 +168,60 @@ class Encoder:
         heads = np.flatnonzero(blank[starts])[blanks]
         begin[heads] += 1  # without the end of line that it was put behind
         n[heads] -= 1
-        to = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n, out=to[1:])
-        got, ends = flat[np.repeat(begin - to[:-1], n) + np.arange(to[-1])].tobytes(), (4 * to[np.append(heads, len(n))]).tolist()
-        return [got[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return _joined(flat, begin, n, np.append(heads, len(n)))
+
+    def by_pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without unusual white space, by the vocabulary that drops it.
+
+        Words of printable ASCII without an apostrophe are cut into their pieces: runs of letters, runs of signs, single digits. Other words stay whole.
+        """
+        coded = [x.encode() for x in texts]
+        buf = np.frombuffer(b"\n".join(coded), np.uint8)
+        solid = ~BLANK[buf]
+        small, first = buf[solid], solid.copy()
+        if not len(small):
+            return [b""] * len(texts)
+        first[1:] &= ~solid[:-1]
+        first = first[solid]
+        words, kind = np.flatnonzero(first), CLASS[small]
+        whole = np.repeat(np.logical_or.reduceat(~PLAIN[small], words), np.diff(np.append(words, len(small))))
+        first[1:] |= ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & ~whole[1:]
+        starts = np.flatnonzero(first)
+        bounds = pa.py_buffer(np.append(starts, len(small)).astype(np.int64))
+        met = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(np.where(whole, small, LOWER[small]))]).dictionary_encode()
+        ids, which = self.distinct_pieces(met.dictionary), np.asarray(met.indices)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ends = np.cumsum([len(x) + 1 for x in coded]).tolist()
+        heads = np.cumsum([0, *(np.count_nonzero(solid[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True))])
+        return _joined(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(size) - size)[which], size[which], np.searchsorted(starts, heads))
+
+    def distinct_pieces(self, distinct: pa.Array) -> list[bytes]:
+        """Ids of distinct pieces and words; those not met before are encoded many at once, but for words with characters beyond SIMPLE."""
+        found = _binaries(distinct)
+        out = list(map(self.words.get, found))
+        fresh = [k for k, got in enumerate(out) if got is None]
+        names = [found[k].decode() for k in fresh]
+        simple = [(k, x) for k, x in zip(fresh, names, strict=True) if x.isascii() or SIMPLE.fullmatch(x)]
+        for i in range(0, len(simple), TOGETHER):
+            some, pieces = [k for k, _ in simple[i : i + TOGETHER]], [[low] if (low := x.lower()).isalpha() else self.pieces(low) for _, x in simple[i : i + TOGETHER]]
+            spelled = " ".join([" ".join(x) for x in pieces])
+            if not (spelled.isascii() and spelled.isprintable()):
+                spelled = spelled.encode().decode("latin-1").translate(self.between)
+            ids = np.array(self.spaced.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+            # A piece's last token says so. Were pieces not those that were counted, each would be encoded alone.
+            last, counted = np.flatnonzero(self.closes[ids]) + 1, np.cumsum([len(x) for x in pieces])
+            if len(last) == counted[-1]:
+                ends, got = [0, *(4 * last[counted - 1]).tolist()], ids.tobytes()
+                for k, a, b in zip(some, ends[:-1], ends[1:], strict=True):
+                    out[k] = got[a:b]
+        if len(self.words) + len(fresh) > self.words.most:
+            self.words.clear()
+        for k, x in zip(fresh, names, strict=True):
+            if out[k] is None:
+                out[k] = self.word(x)
+            if len(x) <= CACHE_CHARS:
+                self.words[found[k]] = out[k]
+        return out
 
     def merged_ids(self, words: str) -> list[int]:
         return [t.id for t in self.merge(words.replace(" ", self.letters[32]))]
@@ -171,8 +231,7 @@ class Encoder:
 
     def stretches(self, distinct: pa.Array) -> list[bytes]:
         """Ids of distinct stretches; those with white space and more that were not met before are encoded many at once."""
-        data, ends = distinct.buffers()[2].to_pybytes(), np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1].tolist()
-        found = [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        found = _binaries(distinct)
         out = list(map(self.words.get, found))
         fresh = [k for k, got in enumerate(out) if got is None]
         spaced = [k for k in fresh if len(found[k]) > 1 and found[k][0] in b" \n"]
@@ -196,6 +255,19 @@ class Encoder:
         return out
 
 
+def _binaries(distinct: pa.Array) -> list[bytes]:
+    data, ends = distinct.buffers()[2].to_pybytes(), np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1].tolist()
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _joined(flat: np.ndarray, begin: np.ndarray, n: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """Runs of ids, n[k] of flat from begin[k], put together as texts: text i has those from cut[i] up to cut[i + 1]."""
+    to = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(n, out=to[1:])
+    got, ends = flat[np.repeat(begin - to[:-1], n) + np.arange(to[-1])].tobytes(), (4 * to[cut]).tolist()
+    return [got[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 class _Words(dict):
     """Ids of words met so far, with what stands before them; new ones are encoded on the way. Keys of bytes are whole stretches."""
 
