@@ -19,6 +19,8 @@ EXACT = 64
 STEPS = 8
 #: Points of the integral that gives a Stirling number beyond (``log_stirling_at``).
 NODES = 96
+#: A quarter of them serves where half of that quarter gives the same within this share; errors fall much faster than points are added.
+SAME = 1e-5
 #: Values that discounts and strengths are sampled from.
 DISCOUNTS = np.round(np.arange(0.1, 0.96, 0.05), 2)
 STRENGTHS = np.array([0.05, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0])
@@ -75,13 +77,25 @@ def _log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     far = 9 * np.maximum(width, np.sqrt(-2 * start / c))
     circle = (far > 1) & (start < -16 / NODES)
     bend, far = np.where(circle, 0, -1 / (4 * start)), np.where(circle, np.pi, np.minimum(far, np.pi))
-    s = far[:, None] * np.linspace(0, 1, NODES + 1)
+    value, total = np.empty(len(c)), np.empty(len(c))
+    todo = np.arange(len(c))
+    for nodes in (NODES // 4, NODES):
+        value[todo], total[todo], half = _integral(c[todo], t[todo], d, start[todo], bend[todo], far[todo], nodes)
+        todo = todo[~(np.abs(half - total[todo]) <= SAME * total[todo])]
+        if not len(todo):
+            break
+    return lgamma(c + 1) - lgamma(t + 1) + value + np.log(total)
+
+
+def _integral(c: np.ndarray, t: np.ndarray, d: float, start: np.ndarray, bend: np.ndarray, far: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logarithm of the integrand at the saddle point, the integral over that by so many points, and by half of them."""
+    s = far[:, None] * np.linspace(0, 1, nodes + 1)
     v = (start[:, None] + bend[:, None] * s**2) + 1j * s
     log_w = np.log(-np.expm1(v))
     phase = t[:, None] * (np.log(-np.expm1(d * log_w)) - np.log(d)) - c[:, None] * v
     value = (np.exp(phase - phase[:, :1].real) * (1 - 2j * bend[:, None] * s)).real
-    total = (value.sum(1) - (value[:, 0] + value[:, -1]) / 2) * far / NODES / np.pi
-    return lgamma(c + 1) - lgamma(t + 1) + phase[:, 0].real + np.log(total)
+    value[:, [0, -1]] /= 2
+    return phase[:, 0].real, value.sum(1) * far / nodes / np.pi, value[:, ::2].sum(1) * 2 * far / nodes / np.pi
 
 
 def _limit(c: np.ndarray, x: np.ndarray, discount: float) -> np.ndarray:

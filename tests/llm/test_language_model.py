@@ -203,3 +203,18 @@ def test_tables_of_frequent_dishes_have_their_exact_distribution():
         again = r.draw_tables(rng, np.full(n, c), np.full(n, x), d, drawn)
         for sample in (drawn, again):
             assert np.abs(np.bincount(sample, minlength=c + 1)[1:] / n - p / p.sum()).sum() < 0.05
+
+
+def test_stirling_integral_takes_few_points_where_they_do(monkeypatch):
+    rng, points = np.random.default_rng(3), []
+    c = np.exp(rng.uniform(np.log(65), np.log(1e5), 2000)).astype(int)
+    t = np.concatenate([np.maximum(2, (c[:1600] ** rng.uniform(0, 1, 1600)).astype(int)), c[1600:] - rng.integers(1, 9, 400)])
+    integral = r._integral
+    monkeypatch.setattr(r, "_integral", lambda *a: points.append(len(a[0]) * a[-1]) or integral(*a))
+    for d in (0.1, 0.5, 0.8, 0.95):
+        points.clear()
+        got = r.log_stirling_at(c, t, d)
+        assert sum(points) < r.NODES * len(c) / 2
+        with monkeypatch.context() as m:
+            m.setattr(r, "SAME", -1.0)  # all points for all
+            assert np.abs(got - r.log_stirling_at(c, t, d)).max() < 1e-5
