@@ -272,25 +272,28 @@ def classes(spark: SparkSession, documents: DataFrame) -> DataFrame:
             two = size.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
             pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(releasing(_likely), "a long, b long")
         one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-        tried = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y")
-        links = scratch.write(tried.mapInArrow(releasing(_linked), "a long, b long").distinct(), name)
+        tried = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+        links = scratch.write(tried.mapInArrow(releasing(_linked), "a long, b long"), name)
         scratch.release()
         return links
 
     stars = hits.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    edges = confirmed(stars, "edges0", False)
-    comps = components(scratch, edges, "comps0-")
+    comps = components(scratch, confirmed(stars, "edges0", False), "comps0-")
     for turn, best_only in ((1, True), (2, False)):
         placed = hits.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        dealt = _blocked(placed.join(mixed, "key").join(size.select("node", "n"), "node"), any_large).join(size.select("node", "registers"), "node")
+        # in steps of their own: the driver holds each plan whole, and plans it anew after every shuffle
+        members = scratch.write(placed.join(mixed, "key").join(size.select("node", "n"), "node"), f"members{turn}")
+        dealt = _blocked(members, any_large).join(size.select("node", "registers"), "node")
         columns = ["key", "band", "node", "comp", "n", "rep", "registers", "blk", "i", "j"]
         if not best_only:
             dealt, columns = dealt.join(sets.select("node", "short"), "node"), [*columns, "short"]
-        pairs = dealt.select(*columns).groupBy("key", "i", "j").applyInArrow(_across(best_only), "a long, b long")
-        more = confirmed(pairs, f"edges{turn}", True)
-        edges = edges.unionByName(more)
-        comps = components(scratch, edges, f"comps{turn}-")
+        pairs = dealt.select(*columns).groupBy("key", "i", "j").applyInArrow(_across(best_only), "a long, b long").distinct()
+        more = confirmed(scratch.write(pairs, f"pairs{turn}"), f"edges{turn}", True)
+        scratch.drop(f"members{turn}")
+        scratch.drop(f"pairs{turn}")
+        if more.limit(1).count():  # the components so far stand for the links that made them
+            comps = components(scratch, more.unionByName(comps.toDF("a", "b")), f"comps{turn}-")
 
     # the first document of a class is found among its nodes, so that rows, of which many can be copies, are joined once
     placed = nodes.select("s1", "s2", "node", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias("of")).join(comps, "node", "left")

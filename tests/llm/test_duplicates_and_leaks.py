@@ -1,5 +1,6 @@
 import collections
 import random
+import re
 import time
 
 import numpy as np
@@ -179,3 +180,19 @@ def test_the_driver_forgets_finished_steps_of_near_duplicates(spark):
             break
         time.sleep(0.5)
     assert left < 20 and rows.count() == 120
+
+
+def test_no_step_of_near_duplicates_has_a_plan_of_many_shuffles(spark, docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rng = random.Random(3)
+    passage = prose(rng, 60)
+    table = docs([(k, passage + " " + prose(rng, rng.randrange(5, 60))) for k in range(60)])
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    known = store.executionsCount()
+    assert near_dedup.near_duplicates(spark, table).count() == 60
+    bus.waitUntilEmpty(30_000)
+    done = store.executionsList()
+    plans = [done.apply(k).physicalPlanDescription() for k in range(known, done.size())]
+    counts = [len(re.findall(r"^\(\d+\) Exchange", x, re.M)) for x in plans]
+    assert len(counts) > 9 and max(counts) <= 7, counts
