@@ -24,6 +24,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+def half_away(value: Column, digits: int) -> Column:
+    """Rounded to digits in floating point, halves away from zero (F.round rounds the decimal text of a number)."""
+    return F.signum(value) * F.floor(F.abs(value) * 10.0**digits + 0.5) / 10.0**digits
+
+
 def item_hash(*columns: str) -> Column:
     """Content hash of an item's fields."""
     return F.sha1(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
@@ -86,12 +91,13 @@ class Encoder:
         return rows.select("id", "hash", "text").mapInArrow(run, "id string, hash string, embedding array<float>")
 
 
-def ranked(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """The best vectors (id, embedding) of each query (query_id, query_vector) by cosine, ties by id. queries is a stated set; a block of
-    vectors is multiplied by a tile of queries at once, and only each block's best rows of a query leave it."""
-    scored = tiles.nearest(vectors, queries, limit)
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+def ranked(vectors: DataFrame, queries: DataFrame, limit: int, digits: int = tiles.DIGITS, undefined: bool = False) -> DataFrame:
+    """The best vectors (id, embedding) of each query (query_id, query_vector) by cosine, ties by id; cosines that agree when rounded to digits
+    are ties. queries is a stated set; a block of vectors is multiplied by a tile of queries at once, and only each block's best rows
+    of a query leave it. undefined: see tiles.nearest."""
+    scored = tiles.nearest(vectors, queries, limit, digits, undefined)
+    order = Window.partitionBy("query_id").orderBy(F.desc("tied"), F.asc_nulls_last("id"))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("tied")
 
 
 def encoded(items: DataFrame, previous: DataFrame, encoder: Encoder) -> DataFrame:

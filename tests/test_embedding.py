@@ -4,8 +4,11 @@ import datetime as dt
 import hashlib
 import json
 
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from notemill.operators import semantic
 from notemill.sources import vectors
 
@@ -83,3 +86,18 @@ def test_nearest_ties_zero_vectors_and_blocks(spark):
     assert [(r.query_id, r.id) for r in got] == [(1, "v0002"), (1, "v0005"), (1, "v0008"), (2, "null"), (2, "v0000"), (2, "v0001")]
     assert abs(got[0].cosine - 1) < 1e-9 and got[3].cosine == 0
     assert semantic.ranked(v.where(F.lit(False)), q, 3).count() == 0
+
+
+def test_search_ranks_as_its_sql(spark, tmp_path):
+    draw = np.random.default_rng(3)
+    near = np.round(draw.normal(size=8), 3) + draw.normal(size=(2600, 8)) * 10.0 ** -draw.integers(2, 5, (2600, 1))  # many agree to six digits
+    rows = [(i, [float(np.float32(v)) for v in x]) for i, x in enumerate(near)]
+    rows[700:712] = [(700 + i, [1.0] + [0.0] * i + [8.0 * (i > 0)] + [0.0] * (6 - i)) for i in range(7)] + [(707 + i, rows[5][1]) for i in range(5)]
+    rows[100], rows[200], rows[901], rows[902], rows[903] = (100, [0.0] * 8), (200, None), (901, None), (902, [0.0] * 8), (None, rows[300][1])
+    rows[904] = (904, [float("nan")] + [1.0] * 7)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = entry.queries()["e8_semantic_search"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        want = con.execute(entry.oracle_sql()["e8_semantic_search"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
