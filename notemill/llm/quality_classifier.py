@@ -37,7 +37,7 @@ _CLASS = {name: np.isin(np.arange(256), list(chars)) for name, chars in {
 
 def shapes(t: tc.Texts) -> np.ndarray:
     """Small integer that says what each word looks like."""
-    n = {k: tc.per_span(v[t.buf], t.start, t.end) for k, v in _CLASS.items()}
+    n = {k: tc.count_in(v, t.buf, t.start, t.end) for k, v in _CLASS.items()}
     size = t.end - t.start
     echo = np.zeros(len(size), bool)
     echo[1:] = t.hash[1:] == t.hash[:-1]

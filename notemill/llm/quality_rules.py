@@ -54,7 +54,7 @@ def base_and_lines(t: tc.Texts):
     lo, hi = np.searchsorted(t.start, start), np.searchsorted(t.start, end)
     real = hi > lo
     start, end, doc, lo, hi = start[real], end[real], doc[real], lo[real], hi[real]
-    dup, _ = tc.repeated(t.spans(start, end), doc)
+    dup, _ = tc.repeated(t.span_hashes(start, end), doc)
     base = Base(
         t.n_words.astype(np.int64),
         tc.per_span(chars & t.solid, begin, stop),
@@ -63,7 +63,7 @@ def base_and_lines(t: tc.Texts):
         tc.per_span(repeat, t.first[:-1], t.first[1:]),
     )
     words = hi - lo
-    n = {k: tc.per_span(v[t.buf], start, end).astype(float) for k, v in _CLASS.items()}
+    n = {k: tc.count_in(v, t.buf, start, end).astype(float) for k, v in _CLASS.items()}
     size = tc.per_span(t.solid, start, end).astype(float)
     echo = np.zeros(len(t.start), bool)
     if len(echo):

@@ -66,6 +66,27 @@ class SpanHasher:
         return out
 
 
+def blocks(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(i, j, a, b): spans i to j lie in bytes a to b, about ``_KEPT`` of them or one longer span. Spans ascend and don't overlap."""
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + _KEPT, side="right")))
+        yield i, j, int(start[i]), int(end[j - 1])
+        i = j
+
+
+def _one_hash(buf: np.ndarray) -> np.ndarray:
+    """What SpanHasher gives for all of buf, without sums of each of its bytes."""
+    out = mix(np.array([len(buf)], np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    for which in (0, 1):
+        up, total = _powers(which)[0], 0
+        for k in range(0, len(buf), _KEPT):
+            part = (buf[k : k + _KEPT].astype(np.uint64) + np.uint64(1)) * up[: len(buf) - k]
+            total += int(part.sum(dtype=np.uint64)) * pow(_MULTIPLIERS[which], k, 1 << 64)
+        out = mix(out * np.uint64(2 * which + 1) ^ np.uint64(total % (1 << 64)))
+    return out
+
+
 class Texts:
     """Words and lines of a chunk of texts. first[i]:first[i+1] are the words of text i."""
 
@@ -96,9 +117,18 @@ class Texts:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = self.spans(self.start, self.end)
+            self._hash = self.span_hashes(self.start, self.end)
         return self._hash
 
+    def span_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of ascending spans that don't overlap. A hash is of a span's bytes alone, so a long text's are made block by block."""
+        if len(self.buf) <= _KEPT:
+            return self.spans(start, end)
+        out = np.empty(len(start), np.uint64)
+        for i, j, a, b in blocks(start, end):
+            out[i:j] = _one_hash(self.buf[a:b]) if b - a > _KEPT else SpanHasher(self.buf[a:b])(start[i:j] - a, end[i:j] - a)
+        return out
+
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.n_words)
 
@@ -178,9 +208,19 @@ def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
 
 def per_span(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """How many flags are set in each span."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return total[end] - total[start]
+    total = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)
+    np.cumsum(flags, out=total[1:], dtype=total.dtype)
+    return (total[end] - total[start]).astype(np.int64)
+
+
+def count_in(table: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many bytes of each span the table of 256 flags has set. Spans ascend and don't overlap."""
+    if len(buf) <= _KEPT:
+        return per_span(table[buf], start, end)
+    out = np.empty(len(start), np.int64)
+    for i, j, a, b in blocks(start, end):
+        out[i:j] = per_span(table[buf[a:b]], start[i:j] - a, end[i:j] - a)
+    return out
 
 
 def repeated(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -190,6 +190,31 @@ def test_shingles_equal_brute_force():
     assert len(tc.mix(np.arange(10, dtype=np.uint64))) == 10
 
 
+def test_long_texts_are_hashed_and_counted_block_by_block():
+    """Words, lines and what they look like are as of the whole buffer at once, without sums of all its bytes."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from notemill.llm import quality_classifier as q
+    from notemill.llm import textcore as tc
+
+    rng = random.Random(5)
+    long = "".join("".join(rng.choice("aB3#") for _ in range(rng.randrange(1, 9))) + rng.choice("  \n") for _ in range(20_000)) * 30
+    long = "\n\n" + long + "é!" * (tc._KEPT // 2) + "\n" + long  # a word longer than a block
+    texts = [next(tc.chunks(pa.array([long], pa.large_string()), False, 1 << 40))[2] for _ in range(2)]
+    start, end, _ = texts[0].lines()
+    assert (texts[0].hash == tc.SpanHasher(texts[0].buf)(texts[0].start, texts[0].end)).all()
+    assert (texts[0].span_hashes(start, end) == tc.SpanHasher(texts[0].buf)(start, end)).all()
+    for flags in q._CLASS.values():
+        assert (tc.count_in(flags, texts[0].buf, start, end) == tc.per_span(flags[texts[0].buf], start, end)).all()
+    tracemalloc.start()
+    assert len(texts[1].hash) == len(texts[1].start) and tracemalloc.get_traced_memory()[0] < 3 * len(texts[1].buf)  # before: two sums of 8 bytes for each byte
+    tracemalloc.stop()
+
+
 def test_long_texts_take_bounded_memory_and_equal_vectors():
     """A text of millions of bytes needs no table of vectors of all its words, nor of powers of all its bytes; its hashes are as of short ones."""
     import random
